@@ -1,0 +1,18 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most ``max_rows + 1``)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a dimension whose row count was checked; otherwise a plain
+    (shuffle) join side, and adaptive execution may still broadcast it at run time."""
+    return F.broadcast(df) if fits(df, max_rows) else df
