@@ -25,10 +25,26 @@ DETECTORS: list[tuple[str, str, str]] = [
     ("xss", XSS_PATTERN, "xss"),
 ]
 
+# Necessary conditions (derived from the patterns): a text can only match if it
+# holds one of these literal substrings, none of which has letters, so case does
+# not matter. A cheap substring test skips the regular expression for all other
+# texts; it never changes which texts match.
+REQUIRED_ANY: dict[str, tuple[str, ...]] = {
+    SQL_META_PATTERN: ("=", "%3", "'", "%27"),
+    XSS_PATTERN: ("<", "%3"),
+}
+
 
 def matches(col, pattern: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.rlike("(?iU)" + pattern), F.lit(False))
+    test = c.rlike("(?iU)" + pattern)
+    needed = REQUIRED_ANY.get(pattern)
+    if needed:
+        pre = c.contains(needed[0])
+        for lit in needed[1:]:
+            pre = pre | c.contains(lit)
+        test = F.when(pre, test).otherwise(F.lit(False))
+    return F.coalesce(test, F.lit(False))
 
 
 def detector_hits(col) -> Column:

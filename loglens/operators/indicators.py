@@ -31,8 +31,10 @@ def indicator_listing(xss: DataFrame, datasource_id: int | None = None, client:
     return df.select("datasource_id", "clientip", "query", "xsstype")
 
 
-def detector_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per-detector hit counts over a free-text column (R1 over long texts)."""
-    hits = texts.select(id_col, F.explode(detector_hits(F.col(text_col))).alias("hit"))
-    return hits.groupBy(F.col("hit.detector").alias("detector"), F.col("hit.xsstype").alias("xsstype")) \
-               .agg(F.count(F.lit(1)).alias("hits"), F.countDistinct(id_col).alias("texts"))
+def detector_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """Texts scanned and texts hit per detector over a free-text column (R1), one
+    aggregate pass over whole texts."""
+    from ..functions.indicators import DETECTORS, matches
+    aggs = [F.count(F.lit(1)).alias("texts")]
+    aggs += [F.count_if(matches(F.col(text_col), pattern)).alias(f"{name}_hits") for name, pattern, _ in DETECTORS]
+    return texts.agg(*aggs)

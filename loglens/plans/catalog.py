@@ -418,9 +418,9 @@ def p4_indicator_rows(spark, sf):
 
 
 def r1_document_indicators(spark, sf):
-    """F17-F20 over whole document texts: hits and texts per detector."""
+    """F17-F20 over whole document texts: texts scanned and texts hit per detector."""
     docs = si.table(spark, sf, "documents").select("doc_id", "text")
-    return indicators.detector_counts(docs, "doc_id", "text")
+    return indicators.detector_counts(docs, "text")
 
 
 # ---------------------------------------------------------------- scalars, free SQL

@@ -358,10 +358,9 @@ def oracle_sql() -> dict[str, str]:
     out["p2_p3_page_changes"] = weeks + (f"SELECT datasource_id, page, 'new' AS change FROM ({cur} EXCEPT {prev}) UNION ALL "
                                          f"SELECT datasource_id, page, 'gone' AS change FROM ({prev} EXCEPT {cur})")
     out["p4_indicator_rows"] = _with(WEB, XSS) + "SELECT * FROM xss"
-    out["r1_document_indicators"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS detector, '{kind}' AS xsstype, count(*) AS hits, count(DISTINCT doc_id) AS texts FROM documents "
-        f"WHERE regexp_matches(text, {_q('(?i)' + pattern)}) HAVING count(*) > 0"
-        for name, pattern, kind in DETECTORS)
+    out["r1_document_indicators"] = "SELECT count(*) AS texts, " + ", ".join(
+        f"count(*) FILTER (WHERE regexp_matches(text, {_q('(?i)' + pattern)})) AS {name}_hits"
+        for name, pattern, _ in DETECTORS) + " FROM documents"
     out["u1_url_parts"] = (
         "SELECT page_id, CASE WHEN host = '' THEN NULL ELSE host END AS host, regexp_replace(path, ';[^/]*$', '') AS path, query FROM ("
         "SELECT page_id, lower(split_part(split_part(regexp_extract(url, '^[^?#]*'), '://', 2), '/', 1)) AS host0, "

@@ -17,9 +17,17 @@ SEED_DATASOURCES = [(1, 1, "bc", "bluecoat", ""), (2, 1, "sq", "squid", ""), (3,
                     (4, 1, "iis", "iis", ""), (5, 1, "iiss", "iis-short", "")]
 
 
+def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small table from literal rows, built JVM-side (no Python worker is started)."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def seed_registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return (spark.createDataFrame(SEED_COLLECTIONS, COLLECTIONS),
-            spark.createDataFrame(SEED_DATASOURCES, DATASOURCES))
+    return (literal_table(spark, SEED_COLLECTIONS, COLLECTIONS),
+            literal_table(spark, SEED_DATASOURCES, DATASOURCES))
 
 
 def _next_id(df: DataFrame) -> DataFrame:

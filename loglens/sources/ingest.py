@@ -31,8 +31,11 @@ def parse_lines(lines: DataFrame, kind: str, log_type="type", line_col: str = "l
     ``log_type`` is a type string (one format for all lines) or the name of a column."""
     keep = [c for c in (keep if keep is not None else ["datasource_id"]) if c in lines.columns]
     ann = annotate(lines, kind, log_type, line_col, tz)
-    rows = ann.filter(F.col("_rec").isNotNull()).select(
-        *keep, *[F.col("_rec")[f].alias(f) for f in ROW_FIELDS[kind]])
+    # A line yields zero or one record. Emitting it through a generator (rather than
+    # filtering on the parsed struct) keeps the optimizer from pushing a filter down
+    # with the whole parser expression inlined once per token reference.
+    one = ann.select(*keep, F.explode(F.filter(F.array("_rec"), lambda r: r.isNotNull())).alias("_r"))
+    rows = one.select(*keep, *[F.col("_r")[f].alias(f) for f in ROW_FIELDS[kind]])
     if assign_id:
         # Stable under task retries for file scans: partition index + position in split.
         rows = rows.withColumn("id", F.monotonically_increasing_id())
@@ -44,8 +47,8 @@ def rejected_lines(lines: DataFrame, kind: str, log_type="type", line_col: str =
     """Lines that gave no row, with the reason."""
     keep = [c for c in (keep if keep is not None else ["datasource_id"]) if c in lines.columns]
     ann = annotate(lines, kind, log_type, line_col, tz)
-    return ann.filter(F.col("_rec").isNull()).select(*keep, F.col(line_col).alias("line"),
-                                                      F.col("_reason").alias("reason"))
+    return ann.select(*keep, F.col(line_col).alias("line"),
+                      F.explode(F.filter(F.array("_reason"), lambda r: r.isNotNull())).alias("reason"))
 
 
 def reject_counts(lines: DataFrame, kind: str, log_type="type", tz: str = "UTC") -> DataFrame:
