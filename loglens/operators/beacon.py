@@ -97,9 +97,9 @@ def pair_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) ->
                     F.sqrt(var).alias("std_raw"))
 
 
-def destination_counts(stats: DataFrame) -> DataFrame:
-    """Requests per destination and data source, from the pair aggregates."""
-    return stats.groupBy("datasource_id", "destip").agg(F.sum("n").alias("dest_count"))
+def destination_counts(proxy: DataFrame) -> DataFrame:
+    """Requests per destination and data source (reads one column; partial aggregation)."""
+    return proxy.groupBy("datasource_id", "destip").agg(F.count(F.lit(1)).alias("dest_count"))
 
 
 def score_columns(mean: Column, std: Column, n: Column, content_sum: Column, bytes_sum: Column,
@@ -122,8 +122,9 @@ def beacon_scores(proxy: DataFrame, datasources: DataFrame,
                   slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """``beacon_data`` rows: pairs with a positive rounded mean gap (D10, F13), scored."""
     stats = pair_stats(proxy, slice_seconds)
-    counts = destination_counts(stats)
-    scored = stats.join(counts, ["datasource_id", "destip"], "left")
+    # Joined on (source, destination); adaptive execution broadcasts the counts when
+    # they are small at run time and otherwise splits a hot destination (skew join).
+    scored = stats.join(destination_counts(proxy), ["datasource_id", "destip"], "left")
     scored = with_type(scored, datasources)
     scored = scored.withColumn("mean", numpy_round(F.col("mean_raw"), 2)) \
                    .withColumn("stdDev", numpy_round(F.col("std_raw"), 3))

@@ -160,12 +160,12 @@ def k3_append_web(spark, sf):
 
 
 def k4_replace_beacons(spark, sf):
-    """K4: replace each proxy source's beacon rows (twice: the result must not double)."""
+    """K4: replace the proxy sources' beacon rows (one source first, then both, twice: no doubling)."""
     store = LogStore(spark, scratch_path(spark, "store"))
     b = _beacons(spark, sf)
+    store.replace_source("beacon_data", 1, b)
     for _ in range(2):
-        for ds in (1, 2):
-            store.replace_source("beacon_data", ds, b)
+        store.replace_sources("beacon_data", b, [1, 2])
     return store.read("beacon_data")
 
 
@@ -174,8 +174,7 @@ def k5_replace_indicators(spark, sf):
     store = LogStore(spark, scratch_path(spark, "store"))
     x = _xss(spark, sf)
     store.replace_source("xss_data", 3, x.filter(F.col("datasource_id") == 4).withColumn("datasource_id", F.lit(3)))
-    for ds in (3, 4, 5):
-        store.replace_source("xss_data", ds, x)
+    store.replace_sources("xss_data", x, [3, 4, 5])
     return store.read("xss_data")
 
 
@@ -241,7 +240,7 @@ def j2_collections_nested(spark, sf):
 
 def j7_destination_counts(spark, sf):
     """Requests per destination and source."""
-    return beacon.destination_counts(beacon.pair_stats(_proxy(spark, sf)))
+    return beacon.destination_counts(_proxy(spark, sf))
 
 
 def j9_geo_locate(spark, sf):

@@ -51,6 +51,19 @@ class LogStore:
         rows = df.filter(F.col("datasource_id") == int(datasource_id)).select(*cols)
         rows.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={int(datasource_id)}")
 
+    def replace_sources(self, table: str, df: DataFrame, datasource_ids) -> None:
+        """K4/K5 for several sources in one job: each requested source's folder is first
+        emptied (static overwrite, so a source without new rows ends up empty, D18),
+        then the result is written once with dynamic partition overwrite."""
+        ids = [int(i) for i in datasource_ids]
+        schema = TABLES[table]
+        empty = self.spark.createDataFrame([], schema).drop("datasource_id")
+        for i in ids:
+            empty.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={i}")
+        rows = df.filter(F.col("datasource_id").isin(*ids)).select(*schema.fieldNames())
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("datasource_id").parquet(self.path(table))
+
     def write_registry(self, collections: DataFrame, datasources: DataFrame) -> None:
         """K6: persist the registry (tiny; rewritten whole)."""
         collections.coalesce(1).write.mode("overwrite").parquet(self.path("collections"))

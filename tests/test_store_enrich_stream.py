@@ -21,6 +21,9 @@ def test_replace_source_with_empty_result_clears_it(spark, tmp_path):
     assert store.read("beacon_data", 2).count() == 1
     store.create_tables()                                          # IF NOT EXISTS: keeps data
     assert store.read("beacon_data").count() == 1
+    only_1 = spark.createDataFrame(rows[:1], BEACON_DATA)
+    store.replace_sources("beacon_data", only_1, [1, 2])           # source 2 has no new rows -> emptied
+    assert [(r.clientip, r.datasource_id) for r in store.read("beacon_data").collect()] == [("10.0.0.1", 1)]
 
 
 def test_geo_lookup_equals_nested_loop(spark):
