@@ -69,3 +69,18 @@ def test_streaming_import(spark, tmp_path):
     rows = spark.read.parquet(out).orderBy("time").collect()
     assert [(r.destip, r.time, r.bytesIn, r.datasource_id) for r in rows] == [
         ("x.example.com", 1700000000, 512, 2), ("x.example.com", 1700000060, 100, 2)]
+
+
+def test_registry_add_and_persist(spark, tmp_path, registry):
+    from loglens.plans.registry import add_collection, add_datasource, collections_nested, sources_with_collection
+    coll, ds = registry
+    coll = add_collection(coll, "case-7", "New case")
+    ds = add_datasource(ds, "fw", "squid", 3)
+    store = LogStore(spark, str(tmp_path / "reg"))
+    store.write_registry(coll, ds)
+    c2 = spark.read.parquet(store.path("collections"))
+    d2 = spark.read.parquet(store.path("datasources"))
+    assert sorted(r.id for r in c2.collect()) == [1, 2, 3]
+    assert {(r.datasource_name, r.collection_name) for r in sources_with_collection(d2, c2).collect()} >= {("fw", "case-7")}
+    nested = {r.name: [x.name for x in r.datasources] for r in collections_nested(c2, d2).collect()}
+    assert nested["empty"] == [] and nested["case-7"] == ["fw"]

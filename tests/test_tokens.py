@@ -33,3 +33,19 @@ def test_long_hostile_line_does_not_overflow(spark):
     rows = df.select(F.size(shell_tokens(F.col("s"))).alias("n")).collect()
     assert rows[0].n == 3
     assert rows[1].n is None or rows[1].n == -1
+
+
+def test_document_tokenizing_query_equals_shlex(spark):
+    """s3_tokenize_documents (no SQL twin) against a brute-force shlex loop on whole texts."""
+    import pyarrow.parquet as pq
+
+    from conftest import SF_SMALL
+    from loglens.plans.catalog import s3_tokenize_documents
+    docs = pq.read_table(f"{SF_SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    expected = {}
+    for d in docs:
+        lines = d["text"].split("\n")
+        toks = [_shlex(l) for l in lines]
+        expected[d["doc_id"]] = (len(lines), sum(t is not None for t in toks), sum(len(t) for t in toks if t is not None))
+    got = {r.doc_id: (r.lines, r.valid_lines, r.tokens) for r in s3_tokenize_documents(spark, SF_SMALL).collect()}
+    assert got == expected
