@@ -22,38 +22,54 @@ def share(part: Column, total: Column) -> Column:
     return F.when(F.coalesce(part, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.coalesce(round2(pct), F.lit(0.0)))
 
 
-def web_baseline(web: DataFrame, xss: DataFrame) -> DataFrame:
-    """A24 + J5: per source hits, distinct pages, bytes, indicator total."""
-    base = web.groupBy("datasource_id").agg(
-        F.count("page").alias("total_hits"), F.countDistinct("page").alias("total_pages"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("total_bytes"))
-    ind = xss.groupBy("datasource_id").agg(F.count("query").alias("total_xss"))
-    return base.join(ind, "datasource_id", "left").fillna(0, ["total_xss"])
+def _web_clients(web: DataFrame, xss: DataFrame) -> DataFrame:
+    per_client = web.groupBy("datasource_id", "clientip").agg(
+        F.count("page").alias("hits"), F.countDistinct("page").alias("pages"),
+        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
+    ind = xss.groupBy("datasource_id", "clientip").agg(F.count("query").alias("xss"))
+    return per_client.join(ind, ["datasource_id", "clientip"], "left").fillna(0, ["xss"])
+
+
+def _proxy_clients(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
+    per_client = proxy.groupBy("datasource_id", "clientip").agg(
+        F.countDistinct("destip").alias("dests"),
+        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
+    bsum = beacons.groupBy("datasource_id", "clientip").agg(F.sum("beaconScore").alias("beacon"))
+    return per_client.join(bsum, ["datasource_id", "clientip"], "left")
+
 
+def web_baseline(web: DataFrame, xss: DataFrame, clients: DataFrame | None = None) -> DataFrame:
+    """A24 + J5: per source hits, distinct pages, bytes, indicator total.
 
-def proxy_baseline(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
+    Additive totals are sums of the per-client aggregates (no second pass over the
+    rows); only the distinct-page total needs its own aggregate."""
+    clients = clients if clients is not None else _web_clients(web, xss)
+    sums = clients.groupBy("datasource_id").agg(
+        F.sum("hits").alias("total_hits"), F.sum("bytes").alias("total_bytes"), F.sum("xss").alias("total_xss"))
+    pages = web.groupBy("datasource_id").agg(F.countDistinct("page").alias("total_pages"))
+    return sums.join(pages, "datasource_id").select("datasource_id", "total_hits", "total_pages", "total_bytes",
+                                                    "total_xss")
+
+
+def proxy_baseline(proxy: DataFrame, beacons: DataFrame, clients: DataFrame | None = None) -> DataFrame:
     """A25 + J5: per source distinct destinations, bytes, beacon-score total."""
-    base = proxy.groupBy("datasource_id").agg(
-        F.countDistinct("destip").alias("total_dests"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("total_bytes"))
-    bt = beacons.groupBy("datasource_id").agg(F.sum("beaconScore").alias("total_beacon"))
-    return base.join(bt, "datasource_id", "left")
+    clients = clients if clients is not None else _proxy_clients(proxy, beacons)
+    sums = clients.groupBy("datasource_id").agg(F.sum("bytes").alias("total_bytes"),
+                                                F.sum("beacon").alias("total_beacon"))
+    dests = proxy.groupBy("datasource_id").agg(F.countDistinct("destip").alias("total_dests"))
+    return sums.join(dests, "datasource_id").select("datasource_id", "total_dests", "total_bytes", "total_beacon")
 
 
 def web_suspicion(web: DataFrame, xss: DataFrame) -> DataFrame:
     """Hits, pages, bytes and indicator shares per client, summed; index desc."""
-    per_client = web.groupBy("datasource_id", "clientip").agg(
-        F.count("page").alias("hits"), F.countDistinct("page").alias("pages"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
-    ind = xss.groupBy("datasource_id", "clientip").agg(F.count("query").alias("xss"))
-    c = per_client.join(ind, ["datasource_id", "clientip"], "left")
-    c = c.join(F.broadcast(web_baseline(web, xss)), "datasource_id")   # one row per source (J6)
+    c = _web_clients(web, xss)
+    c = c.join(F.broadcast(web_baseline(web, xss, c)), "datasource_id")   # one row per source (J6)
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("hits"), F.col("total_hits")).alias("hitsScore"),
         share(F.col("pages"), F.col("total_pages")).alias("pageScore"),
         share(F.col("bytes"), F.col("total_bytes")).alias("bytesScore"),
-        share(F.coalesce(F.col("xss"), F.lit(0)), F.col("total_xss")).alias("xssScore"))
+        share(F.col("xss"), F.col("total_xss")).alias("xssScore"))
     total = F.col("hitsScore") + F.col("pageScore") + F.col("bytesScore") + F.col("xssScore")
     return scored.withColumn("suspicionScore", round2(total)) \
                  .orderBy(F.col("suspicionScore").desc(), "datasource_id", "clientip")
@@ -61,12 +77,8 @@ def web_suspicion(web: DataFrame, xss: DataFrame) -> DataFrame:
 
 def proxy_suspicion(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
     """Destination, bytes and beacon shares per client, summed; index desc."""
-    per_client = proxy.groupBy("datasource_id", "clientip").agg(
-        F.countDistinct("destip").alias("dests"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
-    bsum = beacons.groupBy("datasource_id", "clientip").agg(F.sum("beaconScore").alias("beacon"))
-    c = per_client.join(bsum, ["datasource_id", "clientip"], "left")
-    c = c.join(F.broadcast(proxy_baseline(proxy, beacons)), "datasource_id")
+    c = _proxy_clients(proxy, beacons)
+    c = c.join(F.broadcast(proxy_baseline(proxy, beacons, c)), "datasource_id")
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("dests"), F.col("total_dests")).alias("ipScore"),

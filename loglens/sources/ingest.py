@@ -24,12 +24,27 @@ def attach_types(lines: DataFrame, datasources: DataFrame) -> DataFrame:
     return lines.join(broadcast_if_small(types), "datasource_id", "inner")
 
 
+def spread(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the lines over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism) when the input has fewer splits, e.g. a few large gzip
+    files, which cannot be split. Parsing is CPU-bound; inputs with enough splits
+    are left untouched (no shuffle)."""
+    if lines.isStreaming:
+        return lines
+    target = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
+    if lines.rdd.getNumPartitions() < target:
+        return lines.repartition(target)
+    return lines
+
+
 def parse_lines(lines: DataFrame, kind: str, log_type="type", line_col: str = "line",
-                tz: str = "UTC", keep: list[str] | None = None, assign_id: bool = False) -> DataFrame:
+                tz: str = "UTC", keep: list[str] | None = None, assign_id: bool = False,
+                min_partitions: int | None = None) -> DataFrame:
     """Parsed rows of one kind (``proxy``/``web``); unparseable lines vanish.
 
     ``log_type`` is a type string (one format for all lines) or the name of a column."""
     keep = [c for c in (keep if keep is not None else ["datasource_id"]) if c in lines.columns]
+    lines = spread(lines, min_partitions)
     ann = annotate(lines, kind, log_type, line_col, tz)
     # A line yields zero or one record. Emitting it through a generator (rather than
     # filtering on the parsed struct) keeps the optimizer from pushing a filter down

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import looks_like_ip
 from ..functions.times import parse_epoch, parse_local_time
 from ..functions.urls import request_page, request_query, url_host, url_path
-from .tokens import shell_tokens, token
+from .tokens import token, with_shell_tokens
 
 # Minimum token counts per format (D34) and the date patterns.
 MIN_TOKENS = {"squid": 10, "bluecoat-a": 24, "bluecoat-b": 14, "apache": 9, "iis": 19, "iis-short": 12}
@@ -157,8 +157,7 @@ def annotate(lines, kind: str, log_type="type", line_col: str = "line", tz: str
     Lines must start with a digit (D4, both importers call ``isdigit()``)."""
     line = F.col(line_col)
     type_expr = F.col(log_type) if isinstance(log_type, str) and log_type in lines.columns else log_type
-    tokens = shell_tokens(line)
-    with_tokens = lines.withColumn("_tokens", F.when(line.rlike("^[0-9]"), tokens))
+    with_tokens = with_shell_tokens(lines, line_col, "_tokens", where=F.coalesce(line.rlike("^[0-9]"), F.lit(False)))
     t = F.col("_tokens")
     rec = F.when(t.isNotNull(), parse_for_type(t, type_expr, kind, tz))
     out = with_tokens.withColumn("_rec", rec)

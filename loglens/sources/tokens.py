@@ -27,17 +27,45 @@ def _unquote_piece(p: Column) -> Column:
              .otherwise(p))
 
 
-def shell_tokens(line) -> Column:
-    """array<string> of tokens, or NULL when the quoting is unbalanced."""
-    s = F.col(line) if isinstance(line, str) else line
-    quoted = s.rlike(r"""["'\\]""")
+def _has_quoting(c: Column) -> Column:
+    return c.contains('"') | c.contains("'") | c.contains("\\")
+
+
+def raw_tokens(s: Column) -> Column:
+    """Quoted tokens as written, in one regex pass. A quote or backslash that cannot
+    start a token (unbalanced) is captured as a one-character element; every other
+    non-blank character is consumed by a token."""
+    return F.regexp_extract_all(s, F.lit("(" + TOKEN + r"""|["'\\])"""), 1)
+
+
+def tokens_from_raw(s: Column, raw: Column) -> Column:
+    """Final tokens from the line and its raw tokens (NULL raw means: no quoting, plain split)."""
     plain = F.when(F.trim(s, F.lit(" \t\r\n")) == "", F.array().cast("array<string>")) \
         .otherwise(F.split(F.trim(s, F.lit(" \t\r\n")), r"[ \t\r\n]+"))
-    valid = F.regexp_replace(s, TOKEN, "").rlike(r"^[ \t\r\n]*$")
-    raw = F.regexp_extract_all(s, F.lit("(" + TOKEN + ")"), 1)
-    unquoted = F.transform(raw, lambda t: F.array_join(
-        F.transform(F.regexp_extract_all(t, F.lit(PIECE), 1), _unquote_piece), ""))
-    return F.when(s.isNull(), F.lit(None)).when(~quoted, plain).when(valid, unquoted)
+    valid = ~F.exists(raw, lambda x: x.isin('"', "'", "\\"))
+    unquoted = F.transform(raw, lambda t: F.when(_has_quoting(t), F.array_join(
+        F.transform(F.regexp_extract_all(t, F.lit(PIECE), 1), _unquote_piece), "")).otherwise(t))
+    return F.when(s.isNull(), F.lit(None)).when(raw.isNull(), plain).when(valid, unquoted)
+
+
+def shell_tokens(line) -> Column:
+    """array<string> of tokens, or NULL when the quoting is unbalanced (one expression)."""
+    s = F.col(line) if isinstance(line, str) else line
+    return tokens_from_raw(s, F.when(_has_quoting(s), raw_tokens(s)))
+
+
+def with_shell_tokens(df, line_col: str, out_col: str, where: Column | None = None):
+    """Add ``out_col`` = tokens of ``line_col`` (NULL where ``where`` is false).
+
+    The raw token array is projected as its own column first, so the validity test
+    and the unquoting read it instead of each re-running the regex."""
+    s = F.col(line_col)
+    cond = _has_quoting(s) if where is None else (where & _has_quoting(s))
+    staged = df.withColumn("_raw_tokens", F.when(cond, raw_tokens(s)))
+    tokens = tokens_from_raw(s, F.col("_raw_tokens"))
+    if where is not None:
+        tokens = F.when(where, tokens)
+    return staged.withColumn(out_col, tokens).drop("_raw_tokens")
 
 
 def token(tokens: Column, i: int) -> Column:
