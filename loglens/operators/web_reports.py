@@ -45,9 +45,25 @@ def latest_time(web: DataFrame) -> DataFrame:
 
 def _weeks(web: DataFrame) -> DataFrame:
     """Rows tagged ``current`` (last - 1 week < t < last) or ``previous``
-    (last - 2 weeks < t < last - 1 week); bounds exclusive (D16, D17)."""
-    last = latest_time(web)
-    w = web.select("datasource_id", "time", "page").join(last, "datasource_id")
+    (last - 2 weeks < t < last - 1 week); bounds exclusive (D16, D17).
+
+    The newest time per source is computed first (one row per data source, so the
+    driver receives a bounded handful of numbers) and the two-week window becomes
+    a literal predicate: it reaches the Parquet scan, and row groups outside the
+    window are skipped by their min/max statistics."""
+    bounds = [(r["datasource_id"], r["last_time"]) for r in latest_time(web).collect()
+              if r["last_time"] is not None]
+    if not bounds:
+        return web.select("datasource_id", "time", "page", F.lit(None).cast("bigint").alias("last_time"),
+                          F.lit(None).cast("string").alias("week")).limit(0)
+    window = None
+    last_col = None
+    for ds, last in bounds:
+        cond = (F.col("datasource_id") == ds) & (F.col("time") > last - 2 * WEEK_SECONDS) & (F.col("time") < last)
+        window = cond if window is None else window | cond
+        last_col = (F.when(F.col("datasource_id") == ds, F.lit(last)) if last_col is None
+                    else last_col.when(F.col("datasource_id") == ds, F.lit(last)))
+    w = web.filter(window).select("datasource_id", "time", "page", last_col.cast("bigint").alias("last_time"))
     t, lt = F.col("time"), F.col("last_time")
     week = (F.when((t < lt) & (t > lt - WEEK_SECONDS), "current")
              .when((t < lt - WEEK_SECONDS) & (t > lt - 2 * WEEK_SECONDS), "previous"))
