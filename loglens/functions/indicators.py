@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 # Fixed values (reference detector patterns, in the reference's order).
 SQL_KEYWORD_PATTERN = r"drop|delete|truncate|update|insert|select|declare|union|create|concat"
-SQL_META_PATTERN = (r"((\%3D)|(=))[^\n]*((\%27)|(\')|(\-\-)|(\%3B)|(;))"
-                    r"|\w*((\%27)|(\'))((\%6F)|o|(\%4F))((\%72)|r|(\%52))")
+SQL_META_PATTERN = r"((\%3D)|(=))[^\n]*((\%27)|(\')|(\-\-)|(\%3B)|(;))|\w*((\%27)|(\'))((\%6F)|o|(\%4F))((\%72)|r|(\%52))"
 MSSQL_EXEC_PATTERN = r"exec(\s|\+)+(s|x)p\w+"
-XSS_PATTERN = (r"((\%3C)|<)((\%2F)|\/)*[a-z0-9\%]+((\%3E)|>)"
-               r"|((\%3C)|<)((\%69)|i|(\%49))((\%6D)|m|(\%4D))((\%67)|g|(\%47))[^\n]+((\%3E)|>)")
+XSS_PATTERN = r"((\%3C)|<)((\%2F)|\/)*[a-z0-9\%]+((\%3E)|>)|((\%3C)|<)((\%69)|i|(\%49))((\%6D)|m|(\%4D))((\%67)|g|(\%47))[^\n]+((\%3E)|>)"
 
 # detector name -> (pattern, indicator type)
 DETECTORS: list[tuple[str, str, str]] = [

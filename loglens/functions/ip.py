@@ -4,14 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the importer/beacon IP test. One octet, repeated four times with dots,
-# checked with a match anchored only at the start and a word boundary at the end.
-_OCTET = r"(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IP_PREFIX_PATTERN = r"^" + r"\.".join([_OCTET] * 4) + r"\b"
-
-# Fixed value: the dashboard's strict dotted quad (first octet 1-255, others 0-255), whole string.
-STRICT_IP_PATTERN = (r"^([1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-                     r"(\.([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$")
+# Fixed values (the reference's own address patterns, verbatim).
+# Importer/beacon test, applied as a match at the start of the text only (D26):
+IP_PATTERN = r"\b(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+# Dashboard test, whole string after trimming:
+STRICT_IP_PATTERN = r"^([1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(\.([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$"
+
+IP_PREFIX_PATTERN = "^" + IP_PATTERN   # a match anchored at the start (search elsewhere would differ)
 
 # The private/zero prefixes the map feed leaves out.
 PRIVATE_PREFIXES = ("192.168.1.", "10.", "172.16.")
