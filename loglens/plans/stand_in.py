@@ -149,12 +149,19 @@ def iis_short_line(w: DataFrame) -> F.Column:
                        F.lit("-"), web_status(w), F.lit("0"), F.lit("0"))
 
 
+def _as_many_files(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Real logs arrive as many files (many input splits); the small driver tables
+    give one or two. Spreading the rendered lines over the cluster's parallelism
+    stands in for that, so the parse runs on every core."""
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def proxy_lines(spark: SparkSession, sf_dir: str, bluecoat_layout: str = "a") -> DataFrame:
     """(datasource_id, id, line): source 1 rendered as Bluecoat, source 2 as Squid."""
     p = proxy_data(spark, sf_dir)
     blue = bluecoat_a_line(p) if bluecoat_layout == "a" else bluecoat_b_line(p)
     line = F.when(F.col("datasource_id") == 1, blue).otherwise(squid_line(p))
-    return p.select("datasource_id", "id", line.alias("line"))
+    return _as_many_files(spark, p.select("datasource_id", "id", line.alias("line")))
 
 
 def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +169,7 @@ def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = web_data(spark, sf_dir)
     ds = F.col("datasource_id")
     line = F.when(ds == 3, apache_line(w)).when(ds == 4, iis_line(w)).otherwise(iis_short_line(w))
-    return w.select("datasource_id", "id", line.alias("line"))
+    return _as_many_files(spark, w.select("datasource_id", "id", line.alias("line")))
 
 
 def registry_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -24,17 +24,12 @@ def attach_types(lines: DataFrame, datasources: DataFrame) -> DataFrame:
     return lines.join(broadcast_if_small(types), "datasource_id", "inner")
 
 
-def spread(lines: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the lines over at least ``min_partitions`` tasks (default: the
-    cluster's parallelism) when the input has fewer splits, e.g. a few large gzip
-    files, which cannot be split. Parsing is CPU-bound; inputs with enough splits
-    are left untouched (no shuffle)."""
-    if lines.isStreaming:
+def spread(lines: DataFrame, min_partitions: int | None) -> DataFrame:
+    """Round-robin the lines over ``min_partitions`` tasks before the CPU-bound parse
+    (for inputs known to have few splits); ``None`` leaves the input as it is."""
+    if not min_partitions or lines.isStreaming:
         return lines
-    target = min_partitions or lines.sparkSession.sparkContext.defaultParallelism
-    if lines.rdd.getNumPartitions() < target:
-        return lines.repartition(target)
-    return lines
+    return lines.repartition(int(min_partitions))
 
 
 def parse_lines(lines: DataFrame, kind: str, log_type="type", line_col: str = "line",

@@ -14,13 +14,24 @@ def latin1_line(col="value"):
     return F.decode(c.cast("binary"), "ISO-8859-1")
 
 
+# Compressed files that a text scan cannot split (one file = one task).
+UNSPLITTABLE = (".gz", ".zst", ".zstd", ".snappy", ".lz4", ".z")
+
+
 def read_log_lines(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
                    with_file: bool = False) -> DataFrame:
     """Read text logs as a ``line`` column; input splits give the parallelism.
 
-    Partition folders such as ``datasource_id=3`` become columns (partition discovery)."""
+    Partition folders such as ``datasource_id=3`` become columns (partition discovery).
+    When every file is compressed without splits and there are fewer files than the
+    cluster's parallelism, the lines are round-robined over that many tasks so the
+    CPU-bound parse is not limited to one task per file (file listing only, no job)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.text(paths)
+    files = raw.inputFiles()
+    parallelism = spark.sparkContext.defaultParallelism
+    if files and len(files) < parallelism and all(f.lower().endswith(UNSPLITTABLE) for f in files):
+        raw = raw.repartition(parallelism)
     line = latin1_line("value") if encoding.upper() in ("ISO-8859-1", "LATIN-1", "LATIN1") \
         else F.decode(F.col("value").cast("binary"), encoding)
     cols = [line.alias("line")] + [F.col(c) for c in raw.columns if c != "value"]
