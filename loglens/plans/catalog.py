@@ -233,7 +233,7 @@ def j2_collections_nested(spark, sf):
     per_coll = ds.join(rows, ds.id == rows.datasource_id, "inner").groupBy("collection_id").agg(F.sum("rows").alias("rows"))
     out = nested.join(per_coll, nested.id == per_coll.collection_id, "left")
     return out.select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"),
-                      F.size("datasources").alias("sources"),
+                      F.size("datasources").cast("bigint").alias("sources"),
                       F.array_join(F.transform("datasources", lambda d: d["name"]), ",").alias("source_names"),
                       F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
 
