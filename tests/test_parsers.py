@@ -92,3 +92,18 @@ def test_latin1_text_scan(spark, tmp_path):
     lines = read_log_lines(spark, str(p)).withColumn("datasource_id", F.lit(2))
     (row,) = parse_lines(lines, "proxy", "squid").collect()
     assert row.page == "/café.html"
+
+
+def test_gzip_logs_are_spread_and_parsed(spark, tmp_path):
+    import gzip
+
+    from loglens.sources.text import read_log_lines
+    for k in range(2):
+        with gzip.open(tmp_path / f"access-{k}.log.gz", "wt", encoding="latin-1") as fh:
+            for i in range(500):
+                fh.write(SQUID_1.replace("1700000000.750", f"{1700000000 + 1000 * k + i}.5") + "\n")
+    lines = read_log_lines(spark, str(tmp_path / "*.gz"))
+    assert lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = parse_lines(lines.withColumn("datasource_id", F.lit(2)), "proxy", "squid")
+    assert rows.count() == 1000
+    assert rows.agg(F.countDistinct("time")).first()[0] == 1000
