@@ -33,14 +33,30 @@ REQUIRED_ANY: dict[str, tuple[str, ...]] = {
 }
 
 
+# Case-insensitive necessary conditions: the lower-cased text holds one of the
+# words, or the text holds a non-ASCII letter that Unicode case folding maps onto
+# an ASCII letter of the words (dotted capital I, dotless i, long s).
+REQUIRED_ANY_FOLDED: dict[str, tuple[str, ...]] = {
+    SQL_KEYWORD_PATTERN: tuple(SQL_KEYWORD_PATTERN.split("|")),
+    MSSQL_EXEC_PATTERN: ("exec",),
+}
+FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f")
+
+
+def _any_contains(c: Column, literals) -> Column:
+    out = None
+    for lit in literals:
+        out = c.contains(lit) if out is None else out | c.contains(lit)
+    return out
+
+
 def matches(col, pattern: str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     test = c.rlike("(?iU)" + pattern)
-    needed = REQUIRED_ANY.get(pattern)
-    if needed:
-        pre = c.contains(needed[0])
-        for lit in needed[1:]:
-            pre = pre | c.contains(lit)
+    if pattern in REQUIRED_ANY:
+        test = F.when(_any_contains(c, REQUIRED_ANY[pattern]), test).otherwise(F.lit(False))
+    elif pattern in REQUIRED_ANY_FOLDED:
+        pre = _any_contains(F.lower(c), REQUIRED_ANY_FOLDED[pattern]) | _any_contains(c, FOLDING_LETTERS)
         test = F.when(pre, test).otherwise(F.lit(False))
     return F.coalesce(test, F.lit(False))
 

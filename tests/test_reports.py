@@ -74,3 +74,15 @@ def test_top_k_uses_partial_group_limit(spark):
     assert out.count() == 15
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_prefilters_keep_unicode_case_folding(spark):
+    """Texts that only match through Unicode case folding still match."""
+    import re
+
+    from loglens.functions.indicators import DETECTORS, matches
+    texts = ["ſelect x", "unıon all", "İNSERT", "EXEC  sp_who", "id=1 UNION SELECT", "nothing here", "éxec sp"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(*[matches(F.col("t"), p).alias(n) for n, p, _ in DETECTORS]).collect()
+    for t, row in zip(texts, got):
+        assert tuple(row) == tuple(bool(re.search(p, t, re.IGNORECASE)) for _, p, _ in DETECTORS), t
