@@ -170,7 +170,8 @@ def k4_replace_beacons(spark, sf):
 
 
 def k5_replace_indicators(spark, sf):
-    """K5: replace each web source's indicator rows; a source with no hits is emptied."""
+    """K5: stale rows are first put into source 3, then all web sources' indicator rows
+    are replaced in one job: the stale rows are gone, nothing is appended twice."""
     store = LogStore(spark, scratch_path(spark, "store"))
     x = _xss(spark, sf)
     store.replace_source("xss_data", 3, x.filter(F.col("datasource_id") == 4).withColumn("datasource_id", F.lit(3)))

@@ -17,11 +17,16 @@ SEED_DATASOURCES = [(1, 1, "bc", "bluecoat", ""), (2, 1, "sq", "squid", ""), (3,
                     (4, 1, "iis", "iis", ""), (5, 1, "iiss", "iis-short", "")]
 
 
+def empty_table(spark: SparkSession, schema) -> DataFrame:
+    """A table with ``schema`` and no rows, built JVM-side (no Python worker is started)."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
     """A small table from literal rows, built JVM-side (no Python worker is started)."""
     structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
     if not structs:
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PARTITIONED, TABLES
+from .registry import empty_table
 
 
 class LogStore:
@@ -25,7 +26,7 @@ class LogStore:
         """K1: create every table that does not exist yet (``IF NOT EXISTS``: the
         ``ignore`` save mode leaves an existing folder untouched)."""
         for name, schema in TABLES.items():
-            writer = self.spark.createDataFrame([], schema).write.mode("ignore")
+            writer = empty_table(self.spark, schema).write.mode("ignore")
             if name in PARTITIONED:
                 writer = writer.partitionBy("datasource_id")
             writer.parquet(self.path(name))
@@ -62,7 +63,7 @@ class LogStore:
         then the result is written once with dynamic partition overwrite."""
         ids = [int(i) for i in datasource_ids]
         schema = TABLES[table]
-        empty = self.spark.createDataFrame([], schema).drop("datasource_id")
+        empty = empty_table(self.spark, schema).drop("datasource_id")
         for i in ids:
             empty.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={i}")
         rows = df.filter(F.col("datasource_id").isin(*ids)).select(*schema.fieldNames())
