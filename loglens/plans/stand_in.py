@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import ntz_seconds, seconds_to_ntz
+from ..session import default_parallelism
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -153,7 +154,7 @@ def _as_many_files(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Real logs arrive as many files (many input splits); the small driver tables
     give one or two. Spreading the rendered lines over the cluster's parallelism
     stands in for that, so the parse runs on every core."""
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    return df.repartition(default_parallelism(spark))
 
 
 def proxy_lines(spark: SparkSession, sf_dir: str, bluecoat_layout: str = "a") -> DataFrame:

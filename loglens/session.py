@@ -36,9 +36,18 @@ def build_session(master: str | None = "local[*]", app_name: str = "loglens",
     return spark
 
 
+_LOCAL_FALLBACK: dict[int, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a local one only when none is configured."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # a remote (Connect) session has no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            configured = _LOCAL_FALLBACK.setdefault(id(spark), tempfile.mkdtemp(prefix="loglens-checkpoint-"))
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -49,6 +58,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster (falls back to the shuffle partition setting)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import default_parallelism
+
 
 def latin1_line(col="value"):
     """Re-decode the raw bytes of a text row as ISO-8859-1.
@@ -29,7 +31,7 @@ def read_log_lines(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.text(paths)
     files = raw.inputFiles()
-    parallelism = spark.sparkContext.defaultParallelism
+    parallelism = default_parallelism(spark)
     if files and len(files) < parallelism and all(f.lower().endswith(UNSPLITTABLE) for f in files):
         raw = raw.repartition(parallelism)
     line = latin1_line("value") if encoding.upper() in ("ISO-8859-1", "LATIN-1", "LATIN1") \
