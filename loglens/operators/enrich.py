@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ip import ipv4_to_long, is_public
+from ..functions.ip import ipv4_to_long, is_public, is_strict_ip
 from ..plans.joins import broadcast_if_small
 from .topk import top_k
 
@@ -46,12 +46,23 @@ def resolve_names(df: DataFrame, address_col: str, names: DataFrame,
     return j.select(*[df[c] for c in df.columns], F.coalesce(n["name"], F.lit(UNRESOLVED)).alias("name"))
 
 
-def map_feed(facts: DataFrame, blocks: DataFrame, kind: str = "proxy", k: int | None = None) -> DataFrame:
+def map_feed(facts: DataFrame, blocks: DataFrame, kind: str = "proxy", k: int | None = None,
+             names: DataFrame | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Top destinations (proxy, 100) or clients (web, 500) by total bytes, private
-    addresses excluded (F7, D24, D25), then located (J9); unlocated ones drop out."""
+    addresses excluded (F7, D24, D25), then located (J9); unlocated ones drop out.
+
+    Host-name destinations are located through ``names`` (address, name) when given:
+    the name's address is looked up, as a forward name lookup would."""
     key = "destip" if kind == "proxy" else "clientip"
     k = k or (100 if kind == "proxy" else 500)
     g = facts.filter(is_public(F.col(key))).groupBy("datasource_id", key).agg(
         F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("totalBytes"))
     top = top_k(g, k, [F.col("totalBytes").desc(), F.col(key)])
-    return locate(top, key, blocks).withColumnRenamed(key, "address")
+    if names is None:
+        return locate(top, key, blocks).withColumnRenamed(key, "address")
+    forward = names.groupBy(F.col("name").alias("_name")).agg(F.min("address").alias("_address"))
+    forward = broadcast_if_small(forward, max_broadcast_rows)
+    top = top.join(forward, top[key] == forward["_name"], "left")
+    top = top.withColumn("_lookup", F.when(is_strict_ip(F.col(key)), F.col(key)).otherwise(F.col("_address")))
+    located = locate(top.drop("_name", "_address"), "_lookup", blocks)
+    return located.drop("_lookup").withColumnRenamed(key, "address")

@@ -60,8 +60,9 @@ def proxy_baseline(proxy: DataFrame, beacons: DataFrame, clients: DataFrame | No
     return sums.join(dests, "datasource_id").select("datasource_id", "total_dests", "total_bytes", "total_beacon")
 
 
-def web_suspicion(web: DataFrame, xss: DataFrame) -> DataFrame:
-    """Hits, pages, bytes and indicator shares per client, summed; index desc."""
+def web_suspicion(web: DataFrame, xss: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hits, pages, bytes and indicator shares per client, summed; index desc.
+    ``limit`` keeps the top rows after sorting (never before, D20)."""
     c = _web_clients(web, xss)
     c = c.join(F.broadcast(web_baseline(web, xss, c)), "datasource_id")   # one row per source (J6)
     scored = c.select(
@@ -71,12 +72,14 @@ def web_suspicion(web: DataFrame, xss: DataFrame) -> DataFrame:
         share(F.col("bytes"), F.col("total_bytes")).alias("bytesScore"),
         share(F.col("xss"), F.col("total_xss")).alias("xssScore"))
     total = F.col("hitsScore") + F.col("pageScore") + F.col("bytesScore") + F.col("xssScore")
-    return scored.withColumn("suspicionScore", round2(total)) \
-                 .orderBy(F.col("suspicionScore").desc(), "datasource_id", "clientip")
+    out = scored.withColumn("suspicionScore", round2(total)) \
+                .orderBy(F.col("suspicionScore").desc(), "datasource_id", "clientip")
+    return out.limit(limit) if limit else out
 
 
-def proxy_suspicion(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
-    """Destination, bytes and beacon shares per client, summed; index desc."""
+def proxy_suspicion(proxy: DataFrame, beacons: DataFrame, limit: int | None = None) -> DataFrame:
+    """Destination, bytes and beacon shares per client, summed; index desc.
+    ``limit`` keeps the top rows after sorting (never before, D20)."""
     c = _proxy_clients(proxy, beacons)
     c = c.join(F.broadcast(proxy_baseline(proxy, beacons, c)), "datasource_id")
     scored = c.select(
@@ -85,5 +88,6 @@ def proxy_suspicion(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
         share(F.col("bytes"), F.col("total_bytes")).alias("bytesScore"),
         share(F.col("beacon"), F.col("total_beacon")).alias("beaconScore"))
     total = F.col("ipScore") + F.col("bytesScore") + F.col("beaconScore")
-    return scored.withColumn("suspicionScore", round2(total)) \
-                 .orderBy(F.col("suspicionScore").desc(), "datasource_id", "clientip")
+    out = scored.withColumn("suspicionScore", round2(total)) \
+                .orderBy(F.col("suspicionScore").desc(), "datasource_id", "clientip")
+    return out.limit(limit) if limit else out

@@ -84,3 +84,19 @@ def test_registry_add_and_persist(spark, tmp_path, registry):
     assert {(r.datasource_name, r.collection_name) for r in sources_with_collection(d2, c2).collect()} >= {("fw", "case-7")}
     nested = {r.name: [x.name for x in r.datasources] for r in collections_nested(c2, d2).collect()}
     assert nested["empty"] == [] and nested["case-7"] == ["fw"]
+
+
+def test_map_feed_locates_host_names_through_names(spark):
+    from loglens.operators.enrich import map_feed
+    from loglens.schemas import PROXY_DATA
+    rows = [(1, "10.0.0.1", "files.example.org", 100, 5000, 0, 5000, "in", 0, "/", 1),
+            (2, "10.0.0.1", "203.0.113.9", 100, 10, 0, 10, "in", 0, "/", 1),
+            (3, "10.0.0.1", "10.1.1.1", 100, 99999, 0, 99999, "in", 0, "/", 1)]
+    proxy = spark.createDataFrame(rows, PROXY_DATA)
+    blocks = spark.createDataFrame([((203 << 24) + (0 << 16) + (113 << 8), (203 << 24) + (0 << 16) + (113 << 8) + 255,
+                                     1.0, 2.0, "X", "R", "C")], GEO_BLOCKS)
+    names = spark.createDataFrame([("203.0.113.50", "files.example.org")], HOST_NAMES)
+    plain = {r.address for r in map_feed(proxy, blocks, "proxy").collect()}
+    named = {r.address: r.totalBytes for r in map_feed(proxy, blocks, "proxy", names=names).collect()}
+    assert plain == {"203.0.113.9"}                              # private 10.x excluded, host name not located
+    assert named == {"203.0.113.9": 10, "files.example.org": 5000}
