@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.times import WEEK_SECONDS
 from .topk import top_k
 
+MAX_LITERAL_SOURCES = 256   # above this, week bounds are joined instead of inlined
+
 MEASURES = {
     "bytesOut": lambda: F.sum("bytesOut"),
     "bytesIn": lambda: F.sum("bytesIn"),
@@ -51,19 +53,29 @@ def _weeks(web: DataFrame) -> DataFrame:
     driver receives a bounded handful of numbers) and the two-week window becomes
     a literal predicate: it reaches the Parquet scan, and row groups outside the
     window are skipped by their min/max statistics."""
-    bounds = [(r["datasource_id"], r["last_time"]) for r in latest_time(web).collect()
+    last = latest_time(web)
+    bounds = [(r["datasource_id"], r["last_time"]) for r in last.limit(MAX_LITERAL_SOURCES + 1).collect()
               if r["last_time"] is not None]
+    if len(bounds) > MAX_LITERAL_SOURCES:
+        # Very many sources: keep the bounds as a (broadcast, one row per source) join.
+        w = web.select("datasource_id", "time", "page").join(F.broadcast(last), "datasource_id")
+        w = w.filter((F.col("time") > F.col("last_time") - 2 * WEEK_SECONDS) & (F.col("time") < F.col("last_time")))
+        return _tag_weeks(w)
     if not bounds:
         return web.select("datasource_id", "time", "page", F.lit(None).cast("bigint").alias("last_time"),
                           F.lit(None).cast("string").alias("week")).limit(0)
     window = None
     last_col = None
-    for ds, last in bounds:
-        cond = (F.col("datasource_id") == ds) & (F.col("time") > last - 2 * WEEK_SECONDS) & (F.col("time") < last)
+    for ds, newest in bounds:
+        cond = (F.col("datasource_id") == ds) & (F.col("time") > newest - 2 * WEEK_SECONDS) & (F.col("time") < newest)
         window = cond if window is None else window | cond
-        last_col = (F.when(F.col("datasource_id") == ds, F.lit(last)) if last_col is None
-                    else last_col.when(F.col("datasource_id") == ds, F.lit(last)))
+        last_col = (F.when(F.col("datasource_id") == ds, F.lit(newest)) if last_col is None
+                    else last_col.when(F.col("datasource_id") == ds, F.lit(newest)))
     w = web.filter(window).select("datasource_id", "time", "page", last_col.cast("bigint").alias("last_time"))
+    return _tag_weeks(w)
+
+
+def _tag_weeks(w: DataFrame) -> DataFrame:
     t, lt = F.col("time"), F.col("last_time")
     week = (F.when((t < lt) & (t > lt - WEEK_SECONDS), "current")
              .when((t < lt - WEEK_SECONDS) & (t > lt - 2 * WEEK_SECONDS), "previous"))

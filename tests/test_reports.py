@@ -86,3 +86,15 @@ def test_prefilters_keep_unicode_case_folding(spark):
     got = df.select(*[matches(F.col("t"), p).alias(n) for n, p, _ in DETECTORS]).collect()
     for t, row in zip(texts, got):
         assert tuple(row) == tuple(bool(re.search(p, t, re.IGNORECASE)) for _, p, _ in DETECTORS), t
+
+
+def test_page_changes_join_path_equals_literal_path(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from loglens.plans.stand_in import web_data
+    w = web_data(spark, SF_SMALL)
+    literal = sorted(tuple(r) for r in web_reports.page_changes(w).collect())
+    totals = sorted(tuple(r) for r in web_reports.page_week_totals(w).collect())
+    monkeypatch.setattr(web_reports, "MAX_LITERAL_SOURCES", 1)
+    assert sorted(tuple(r) for r in web_reports.page_changes(w).collect()) == literal
+    assert sorted(tuple(r) for r in web_reports.page_week_totals(w).collect()) == totals
+    assert literal
