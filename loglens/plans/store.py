@@ -7,7 +7,9 @@ filter on the partition column, which prunes folders.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PARTITIONED, TABLES
@@ -41,15 +43,55 @@ class LogStore:
             df = df.filter(F.col("datasource_id") == int(datasource_id))
         return df
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """K2/K3: append rows; partition folders per data source. Fact rows are sorted
-        by time inside each task, so Parquet row-group statistics line up with time
-        and time-window reports skip most row groups."""
+    # ---- id counter: ids stay unique across imports, like an auto-increment key.
+    def _counter_path(self, table: str) -> str:
+        return f"{self.root}/_meta/{table}_next_id"
+
+    def next_id(self, table: str) -> int:
+        """First free id of a table (a one-value file; one scan of ``id`` if it is missing)."""
+        try:
+            row = self.spark.read.schema("next_id bigint").json(self._counter_path(table)).first()
+            if row is not None and row["next_id"] is not None:
+                return int(row["next_id"])
+        except Exception:   # no counter yet
+            pass
+        try:
+            top = self.read(table).agg(F.max("id")).first()[0]
+        except Exception:   # no table yet
+            top = None
+        return 0 if top is None else int(top) + 1
+
+    def _set_next_id(self, table: str, value: int) -> None:
+        self.spark.range(1).select(F.lit(int(value)).cast("bigint").alias("next_id")) \
+            .write.mode("overwrite").json(self._counter_path(table))
+
+    def append(self, table: str, df: DataFrame, new_ids: bool = False) -> None:
+        """K2/K3: append rows; partition folders per data source.
+
+        ``new_ids`` gives the rows fresh ids after every id already in the table
+        (``next id + monotonically_increasing_id``); otherwise given ids are kept.
+        Either way the batch's largest id is observed during the write (no extra
+        job) and the table's counter moves past it. Imports into one table run one
+        at a time, as with any counter. Fact rows are sorted by time inside each
+        task, so Parquet row-group statistics follow time and time-window reports
+        skip most row groups."""
         cols = TABLES[table].fieldNames()
+        has_id = "id" in cols
+        base = self.next_id(table) if has_id else 0
+        if has_id and new_ids:
+            df = df.withColumn("id", F.lit(base) + F.monotonically_increasing_id())
         rows = df.select(*cols)
+        obs = None
+        if has_id:
+            obs = Observation(f"ids_{uuid.uuid4().hex[:8]}")
+            rows = rows.observe(obs, F.max("id").alias("max_id"))
         if "time" in cols:
             rows = rows.sortWithinPartitions("datasource_id", "time")
         rows.write.mode("append").partitionBy("datasource_id").parquet(self.path(table))
+        if obs is not None:
+            top = obs.get.get("max_id")
+            if top is not None and int(top) + 1 > base:
+                self._set_next_id(table, int(top) + 1)
 
     def replace_source(self, table: str, datasource_id: int, df: DataFrame) -> None:
         """K4/K5: replace one data source's rows (static overwrite of its folder)."""
