@@ -48,18 +48,17 @@ class LogStore:
         return f"{self.root}/_meta/{table}_next_id"
 
     def next_id(self, table: str) -> int:
-        """First free id of a table (a one-value file; one scan of ``id`` if it is missing)."""
-        try:
-            row = self.spark.read.schema("next_id bigint").json(self._counter_path(table)).first()
-            if row is not None and row["next_id"] is not None:
-                return int(row["next_id"])
-        except Exception:   # no counter yet
-            pass
-        try:
-            top = self.read(table).agg(F.max("id")).first()[0]
-        except Exception:   # no table yet
-            top = None
-        return 0 if top is None else int(top) + 1
+        """First free id of a table. A missing counter is initialised from the table's
+        largest id (save mode ``ignore`` skips that job when the counter exists), so
+        no read ever hits a missing path."""
+        writer = empty_table(self.spark, TABLES[table]).write.mode("ignore")
+        if table in PARTITIONED:
+            writer = writer.partitionBy("datasource_id")
+        writer.parquet(self.path(table))
+        self.read(table).agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("bigint").alias("next_id")) \
+            .write.mode("ignore").json(self._counter_path(table))
+        row = self.spark.read.schema("next_id bigint").json(self._counter_path(table)).first()
+        return int(row["next_id"]) if row is not None and row["next_id"] is not None else 0
 
     def _set_next_id(self, table: str, value: int) -> None:
         self.spark.range(1).select(F.lit(int(value)).cast("bigint").alias("next_id")) \
