@@ -4,6 +4,7 @@ The parsers are pure column expressions, so the batch import plan runs unchanged
 on a streaming source. The sink is exactly-once through its checkpoint folder
 (below ``spark.checkpoint.dir`` unless given) and writes its own table folder: a
 streaming Parquet sink keeps a commit log that batch appends would bypass.
+Streamed rows carry no ``id``: there is no table-wide counter across micro-batches.
 """
 from __future__ import annotations
 
