@@ -18,10 +18,14 @@ def parse_local_time(text, pattern: str, tz: str = "UTC") -> Column:
     return F.unix_timestamp(ts)
 
 
+MAX_EPOCH_SECONDS = 1e11   # about year 5000; keeps later time arithmetic inside 64 bits
+
+
 def parse_epoch(text) -> Column:
-    """``1700000000.750`` to whole seconds (floor); NULL for non-numbers and non-finite values."""
+    """``1700000000.750`` to whole seconds (floor); NULL for non-numbers, non-finite
+    values and times beyond ``MAX_EPOCH_SECONDS``."""
     value = _c(text).try_cast("double")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(1e15))
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(MAX_EPOCH_SECONDS))
     return F.when(finite, F.floor(value))
 
 

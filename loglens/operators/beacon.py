@@ -79,14 +79,16 @@ def pair_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) ->
     """Step 3 + A5: per pair n, mean and population deviation of the gaps (unrounded)."""
     sl = slice_stats(proxy, slice_seconds)
     w = Window.partitionBy(*PAIR).orderBy("slice")
-    boundary = F.col("t_first") - F.lag("t_last").over(w)
-    sl = sl.withColumn("sq_cross", F.coalesce(boundary * boundary, F.lit(0).cast("bigint")))
+    # Gaps across slices can be long (a stray timestamp far from the rest): square
+    # them as exact decimals. Sum of squares <= span^2, far inside 38 digits.
+    boundary = (F.col("t_first") - F.lag("t_last").over(w)).cast("decimal(38,0)")
+    sl = sl.withColumn("sq_cross", F.coalesce(boundary * boundary, F.lit(0).cast("decimal(38,0)")))
     p = sl.groupBy(*PAIR).agg(
         F.sum("n").alias("n"),
         F.sum("content_sum").alias("content_sum"),
         F.sum("bytes_sum").alias("bytes_sum"),
         (F.max("t_last") - F.min("t_first")).alias("s1"),
-        F.sum(F.col("sq_inner") + F.col("sq_cross")).cast("decimal(38,0)").alias("s2"),
+        F.sum(F.col("sq_inner").cast("decimal(38,0)") + F.col("sq_cross")).cast("decimal(38,0)").alias("s2"),
     )
     gaps = (F.col("n") - 1)
     s1 = F.col("s1").cast("decimal(38,0)")

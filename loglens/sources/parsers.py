@@ -26,8 +26,11 @@ IIS_SHORT_MAP = {"date": 0, "time": 1, "page": 4, "query": 6, "clientip": 8, "st
 
 
 def _int(tok: Column) -> Column:
-    """Integer conversion that rejects (NULL) anything not an integer literal (M2)."""
-    return F.trim(tok).try_cast("bigint")
+    """Integer conversion that rejects (NULL) anything not an integer literal (M2).
+    Literals longer than 18 characters count as junk, so sums, differences and
+    ``abs`` of byte counts stay inside 64 bits (ANSI arithmetic never overflows)."""
+    t = F.trim(tok)
+    return F.when(F.length(t) <= 18, t.try_cast("bigint"))
 
 
 def _stored_uint(tok: Column) -> Column:

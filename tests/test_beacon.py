@@ -96,3 +96,15 @@ def test_hot_pair_is_not_one_window_partition(spark, registry):
     hot = slice_stats(df, 3600).filter(F.col("clientip") == "10.0.0.1")
     assert hot.count() > 500
     assert hot.agg(F.max("n")).first()[0] <= 13
+
+
+def test_stray_timestamp_does_not_overflow(spark, registry):
+    """A single far-away time (decades off) squares beyond 64 bits; results stay exact."""
+    rows = [dict(id=k, clientip="10.0.0.1", destip="h.example.com", time=1_700_000_000 + 60 * k, bytesIn=1, bytesOut=0,
+                 bytesDiff=1, direction="", contentType=0, page="/", datasource_id=2) for k in range(10)]
+    rows.append(dict(rows[0], id=99, time=5_000_000_000))        # year 2128
+    df = spark.createDataFrame([tuple(r[f] for f in PROXY_DATA.fieldNames()) for r in rows], PROXY_DATA)
+    expected = brute_force(rows, {1: "bluecoat", 2: "squid"})
+    got = {(r.datasource_id, r.clientip, r.destip): (r.mean, r.stdDev, r["count"], r.beaconScore, r.raw_score)
+           for r in beacon_scores(df, registry[1]).collect()}
+    assert got == expected

@@ -107,3 +107,14 @@ def test_gzip_logs_are_spread_and_parsed(spark, tmp_path):
     rows = parse_lines(lines.withColumn("datasource_id", F.lit(2)), "proxy", "squid")
     assert rows.count() == 1000
     assert rows.agg(F.countDistinct("time")).first()[0] == 1000
+
+
+def test_huge_numbers_do_not_overflow(spark):
+    big = "9" * 19
+    squid = SQUID_1.replace(" 512 ", f" -{big} ")
+    blue = BLUE_A.replace(" 900 300", f" 9{'0' * 17} -9{'0' * 16}")
+    far = SQUID_1.replace("1700000000.750", "1e14")
+    df = spark.createDataFrame([(2, squid), (2, far)], "datasource_id int, line string")
+    assert parse_lines(df, "proxy", "squid").count() == 0
+    (row,) = parse_lines(spark.createDataFrame([(1, blue)], "datasource_id int, line string"), "proxy", "bluecoat").collect()
+    assert (row.bytesIn, row.bytesOut, row.bytesDiff) == (9 * 10 ** 17, 0, 9 * 10 ** 17 + 9 * 10 ** 16)
