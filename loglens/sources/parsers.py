@@ -18,6 +18,7 @@ MIN_TOKENS = {"squid": 10, "bluecoat-a": 24, "bluecoat-b": 14, "apache": 9, "iis
 DATE_TIME_PATTERN = "yyyy-M-d H:m:s"
 APACHE_TIME_PATTERN = "d/MMM/yyyy:H:m:s"
 HTML_TYPE = "text/html"
+UINT_MAX = 4294967295      # byte columns are unsigned 32-bit: stored values are clamped to 0..UINT_MAX
 
 # Positional maps (D31): field -> token index. The IIS short map is a parameter.
 IIS_FULL_MAP = {"date": 0, "time": 1, "page": 5, "query": 6, "clientip": 9, "status": 14,
@@ -33,9 +34,14 @@ def _int(tok: Column) -> Column:
     return F.when(F.length(t) <= 18, t.try_cast("bigint"))
 
 
+def _clamp(v: Column) -> Column:
+    """Value as an unsigned 32-bit column stores it: negatives 0, large values UINT_MAX."""
+    return F.least(F.greatest(v, F.lit(0)), F.lit(UINT_MAX)).cast("bigint")
+
+
 def _stored_uint(tok: Column) -> Column:
-    """Value as an unsigned integer column stores it: blanks and junk 0, negatives 0."""
-    return F.greatest(F.coalesce(_int(tok), F.lit(0)), F.lit(0)).cast("bigint")
+    """Stored form of a byte field: blanks and junk 0, then clamped."""
+    return _clamp(F.coalesce(_int(tok), F.lit(0)))
 
 
 def _html(tok: Column) -> Column:
@@ -63,7 +69,7 @@ def squid(t: Column, tz: str = "UTC") -> Column:
     size = _int(token(t, 4))
     ok = (F.size(t) >= MIN_TOKENS["squid"]) & epoch.isNotNull() & size.isNotNull()
     row = _proxy(token(t, 2), F.coalesce(url_host(url), F.lit("Unknown")), epoch,
-                 F.greatest(size, F.lit(0)), F.lit(0), F.abs(size), F.lit(""),
+                 _clamp(size), F.lit(0), _clamp(F.abs(size)), F.lit(""),
                  _html(token(t, 9)), F.coalesce(url_path(url), F.lit("")))
     return F.when(ok, row)
 
@@ -74,13 +80,13 @@ def bluecoat(t: Column, tz: str = "UTC") -> Column:
     a_time = parse_local_time(F.concat_ws(" ", token(t, 0), token(t, 1)), DATE_TIME_PATTERN, tz)
     a_ok = (F.size(t) >= MIN_TOKENS["bluecoat-a"]) & a_time.isNotNull() & a_in.isNotNull() & a_out.isNotNull()
     direction = F.when(a_in > a_out, "in").when(a_in < a_out, "out").otherwise("unknown")
-    layout_a = _proxy(token(t, 3), token(t, 15), a_time, F.greatest(a_in, F.lit(0)),
-                      F.greatest(a_out, F.lit(0)), F.abs(a_in - a_out), direction,
+    layout_a = _proxy(token(t, 3), token(t, 15), a_time, _clamp(a_in),
+                      _clamp(a_out), _clamp(F.abs(a_in - a_out)), direction,
                       _html(token(t, 13)), token(t, 17))
     b_in = _int(token(t, 5))
     b_time = parse_epoch(token(t, 0))
     b_ok = (F.size(t) >= MIN_TOKENS["bluecoat-b"]) & b_time.isNotNull() & b_in.isNotNull()
-    layout_b = _proxy(token(t, 2), token(t, 12), b_time, F.greatest(b_in, F.lit(0)), F.lit(0), F.lit(0),
+    layout_b = _proxy(token(t, 2), token(t, 12), b_time, _clamp(b_in), F.lit(0), F.lit(0),
                       F.lit(""), _html(token(t, 13)), F.coalesce(url_path(token(t, 7)), F.lit("")))
     is_a = looks_like_ip(token(t, 3))
     is_b = looks_like_ip(token(t, 2))
