@@ -361,6 +361,15 @@ def oracle_sql() -> dict[str, str]:
     out["r1_document_indicators"] = "SELECT count(*) AS texts, " + ", ".join(
         f"count(*) FILTER (WHERE regexp_matches(text, {_q('(?i)' + pattern)})) AS {name}_hits"
         for name, pattern, _ in DETECTORS) + " FROM documents"
+    # Texts without apostrophes or backslashes (true for the driver's documents): shell
+    # quoting then reduces to balanced double quotes, and a token is a maximal run of
+    # non-blank characters and "..." sections.
+    even = """(length(line) - length(replace(line, '"', ''))) % 2 = 0"""
+    out["s3_tokenize_documents"] = (
+        "WITH doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) "
+        f"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE {even}) AS valid_lines, "
+        f"CAST(coalesce(sum(CASE WHEN {even} THEN len(regexp_extract_all(line, '(?:[^ \t\r\n\"]+|\"[^\"]*\")+')) "
+        "ELSE 0 END), 0) AS BIGINT) AS tokens FROM doc_lines GROUP BY doc_id")
     out["u1_url_parts"] = (
         "SELECT page_id, CASE WHEN host = '' THEN NULL ELSE host END AS host, regexp_replace(path, ';[^/]*$', '') AS path, query FROM ("
         "SELECT page_id, lower(split_part(split_part(regexp_extract(url, '^[^?#]*'), '://', 2), '/', 1)) AS host0, "
