@@ -423,6 +423,12 @@ def r1_document_indicators(spark, sf):
     return indicators.detector_counts(docs, "text")
 
 
+def r1_page_indicators(spark, sf):
+    """F17-F20 over whole raw web pages (``pages.html``): pages scanned and pages hit per detector."""
+    pages = si.table(spark, sf, "pages").select("page_id", "html")
+    return indicators.detector_counts(pages, "html")
+
+
 # ---------------------------------------------------------------- scalars, free SQL
 def u1_url_parts(spark, sf):
     """Host, path and query of every page URL."""
@@ -461,6 +467,6 @@ _ALL = [
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
     a28_map_feed_proxy, a28_map_feed_web, a29_latest_time,
     p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, p4_indicator_rows,
-    r1_document_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql,
+    r1_document_indicators, r1_page_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}

@@ -361,6 +361,9 @@ def oracle_sql() -> dict[str, str]:
     out["r1_document_indicators"] = "SELECT count(*) AS texts, " + ", ".join(
         f"count(*) FILTER (WHERE regexp_matches(text, {_q('(?i)' + pattern)})) AS {name}_hits"
         for name, pattern, _ in DETECTORS) + " FROM documents"
+    out["r1_page_indicators"] = "SELECT count(*) AS texts, " + ", ".join(
+        f"count(*) FILTER (WHERE regexp_matches(html, {_q('(?i)' + pattern)})) AS {name}_hits"
+        for name, pattern, _ in DETECTORS) + " FROM pages"
     # Texts without apostrophes or backslashes (true for the driver's documents): shell
     # quoting then reduces to balanced double quotes, and a token is a maximal run of
     # non-blank characters and "..." sections.
