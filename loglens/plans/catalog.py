@@ -340,6 +340,16 @@ def a19_beacon_listing_for_ip(spark, sf):
     return beacon.beacon_listing(_beacons(spark, sf), ip=REPORT_IP_PROXY)
 
 
+def a19_listing_after_import(spark, sf):
+    """The whole workflow: proxy lines parsed by their source's format, appended to the
+    store with new ids, beacons scored from the stored columns, listed (score >= 3)."""
+    from .store import LogStore as _Store
+    _, ds = _registry(spark)
+    store = _Store(spark, scratch_path(spark, "import"))
+    store.append("proxy_data", parse_lines(_typed(si.proxy_lines(spark, sf), spark), "proxy"), new_ids=True)
+    return beacon.beacon_listing(beacon.beacon_scores(store.read("proxy_data"), ds), min_score=3)
+
+
 def a20_ip_hourly_proxy(spark, sf):
     return explore.ip_hourly(_proxy(spark, sf), REPORT_IP_PROXY, "proxy")
 
@@ -462,7 +472,7 @@ _ALL = [
     a7_beacon_scores, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
     a12_top_pages_of_client, a13_top_pages_total, a14_top_clients_bytes_in, a15_top_clients_bytes_out,
     a16_top_clients_bytes_total, a17_top_clients_hosts, a18_web_byte_leaders, a19_beacon_listing,
-    a19_beacon_listing_for_ip, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,
+    a19_beacon_listing_for_ip, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,
     a21_ip_top_pages, a22_indicator_listing, a23_page_search_proxy, a23_page_search_web,
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
     a28_map_feed_proxy, a28_map_feed_web, a29_latest_time,

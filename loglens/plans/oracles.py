@@ -304,6 +304,7 @@ def oracle_sql() -> dict[str, str]:
                "CASE WHEN beaconScore >= 6 THEN 'High' WHEN beaconScore >= 3 THEN 'Medium' ELSE 'Low' END AS probability "
                "FROM beacons ")
     out["a19_beacon_listing"] = beacons + listing + "WHERE beaconScore >= 3"
+    out["a19_listing_after_import"] = beacons + listing + "WHERE beaconScore >= 3"
     out["a19_beacon_listing_for_ip"] = beacons + listing + f"WHERE clientip = '{REPORT_IP_PROXY}' OR destip = '{REPORT_IP_PROXY}'"
     out["a20_ip_hourly_proxy"] = P + _ip_hourly("proxy_data", f"clientip = '{REPORT_IP_PROXY}' OR destip = '{REPORT_IP_PROXY}'")
     out["a20_ip_hourly_web"] = W + _ip_hourly("web_data", f"clientip = '{REPORT_IP_WEB}'")
