@@ -343,9 +343,8 @@ def a19_beacon_listing_for_ip(spark, sf):
 def a19_listing_after_import(spark, sf):
     """The whole workflow: proxy lines parsed by their source's format, appended to the
     store with new ids, beacons scored from the stored columns, listed (score >= 3)."""
-    from .store import LogStore as _Store
     _, ds = _registry(spark)
-    store = _Store(spark, scratch_path(spark, "import"))
+    store = LogStore(spark, scratch_path(spark, "import"))
     store.append("proxy_data", parse_lines(_typed(si.proxy_lines(spark, sf), spark), "proxy"), new_ids=True)
     return beacon.beacon_listing(beacon.beacon_scores(store.read("proxy_data"), ds), min_score=3)
 
