@@ -108,3 +108,27 @@ def test_stray_timestamp_does_not_overflow(spark, registry):
     got = {(r.datasource_id, r.clientip, r.destip): (r.mean, r.stdDev, r["count"], r.beaconScore, r.raw_score)
            for r in beacon_scores(df, registry[1]).collect()}
     assert got == expected
+
+
+def test_random_pairs_any_slice_width(spark, registry):
+    """300 random pairs (spans from minutes to months, many duplicate times) under three
+    slice widths: every width gives the brute-force scores."""
+    rng = random.Random(23)
+    rows = []
+    for p in range(300):
+        n = rng.randint(1, 40)
+        span = rng.choice([120, 7200, 86_400 * 3, 86_400 * 60])
+        base = 1_700_000_000 + rng.randint(0, 10_000)
+        times = [base + rng.randint(0, span) for _ in range(n)]
+        if rng.random() < 0.3:
+            times += times[: rng.randint(1, len(times))]           # duplicate timestamps
+        for k, t in enumerate(times):
+            rows.append(dict(id=len(rows), clientip=f"10.2.{p % 7}.{p}", destip=rng.choice(["x.example.com", "198.51.100.3"]),
+                             time=t, bytesIn=0, bytesOut=0, bytesDiff=rng.randint(0, 200), direction="",
+                             contentType=rng.randint(0, 1), page="/", datasource_id=rng.choice([1, 2])))
+    df = spark.createDataFrame([tuple(r[f] for f in PROXY_DATA.fieldNames()) for r in rows], PROXY_DATA).cache()
+    expected = brute_force(rows, {1: "bluecoat", 2: "squid"})
+    for width in (60, 3600, 86_400 * 30):
+        got = {(r.datasource_id, r.clientip, r.destip): (r.mean, r.stdDev, r["count"], r.beaconScore, r.raw_score)
+               for r in beacon_scores(df, registry[1], slice_seconds=width).collect()}
+        assert got == expected, width
