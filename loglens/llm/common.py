@@ -96,9 +96,10 @@ class Chunk:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
-                chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut batches into runs of whole rows holding about ``chunk_bytes`` of text
-    (one row at least, so a longer text is a chunk of its own). Null is empty."""
+                chunk_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 30) -> Iterator[Chunk]:
+    """Cut batches into runs of whole rows holding about ``chunk_bytes`` of text and at
+    most ``max_rows`` rows (one row at least, so a longer text is a chunk of its own).
+    Null is empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -111,7 +112,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
         i, n = 0, len(arr)
         while i < n:
             j = int(np.searchsorted(offsets, offsets[i] + chunk_bytes, side="right")) - 1
-            j = min(n, max(i + 1, j))
+            j = min(n, i + max_rows, max(i + 1, j))
             yield Chunk(batch, i, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], valid[i:j])
             i = j
 
@@ -197,12 +198,25 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ Spark helpers
+#: Lets Spark delete a statement's shuffle files when the statement ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to and reread from a new table in the shared folder: cuts the
-    lineage, survives lost executors and is computed once."""
+    lineage, survives lost executors and is computed once. The shuffle files of the
+    write are not needed after it and go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

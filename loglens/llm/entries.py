@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, ngram_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op9_ngram_join": op9_ngram_join,
 }
 ORACLES: dict[str, str] = {}
