@@ -7,17 +7,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate
+from loglens.llm import decontaminate, ngram_join
 from loglens.llm.common import written
 from loglens.llm.entries import read
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.75 and more: the smallest id."""
+    return ngram_join.drop_near_copies(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contaminated ones (13-word windows, a twentieth of the words)."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 STAGES = [
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
 ]
 
