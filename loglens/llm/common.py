@@ -70,9 +70,58 @@ class RollingHash:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
-def order_of(keys: np.ndarray) -> np.ndarray:
-    """Stable sorting permutation of small non-negative ints or 64-bit hashes."""
-    return np.argsort(keys, kind="stable")
+def packed_order(keys: np.ndarray) -> np.ndarray:
+    """Sorting permutation of 64-bit keys: sorts the keys' high bits packed with their
+    index, then checks that the whole keys came out in order."""
+    n = len(keys)
+    low = _U((1 << max(1, (n - 1).bit_length())) - 1)
+    packed = (keys & ~low) | np.arange(n, dtype=_U)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    got = keys[order]
+    return order if bool(np.all(got[1:] >= got[:-1])) else np.argsort(keys, kind="stable")
+
+
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """Suffix array of a sequence of 64-bit tokens by prefix doubling; only suffixes
+    that are still tied are sorted again."""
+    n = len(tokens)
+    if n < 2:
+        return np.arange(n, dtype=np.int64)
+    sa = packed_order(tokens)
+    rank = np.empty(n, dtype=np.int64)
+    slots = np.arange(n, dtype=np.int64)
+
+    def regroup(where: np.ndarray, changed: np.ndarray) -> np.ndarray:
+        """Ranks (first slot of each group) of ``sa[where]``; the slots still tied."""
+        heads = np.flatnonzero(changed)
+        size = np.diff(np.append(heads, len(where)))
+        rank[sa[where]] = np.repeat(where[heads], size)
+        return where[np.repeat(size > 1, size)]
+
+    ordered = tokens[sa]
+    tied = regroup(slots, np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    bits = n.bit_length()
+    h = 1
+    while len(tied):
+        members = sa[tied]
+        own = rank[members]
+        ahead = members + h
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        if 3 * bits <= 64:
+            packed = (own.astype(_U) << _U(2 * bits)) | (second.astype(_U) << _U(bits)) | members.astype(_U)
+            packed.sort()
+            members = (packed & _U((1 << bits) - 1)).astype(np.int64)
+            pair = packed >> _U(bits)
+            changed = np.concatenate(([True], pair[1:] != pair[:-1]))
+        else:
+            o = np.lexsort((members, second, own))
+            members, own, second = members[o], own[o], second[o]
+            changed = np.concatenate(([True], (own[1:] != own[:-1]) | (second[1:] != second[:-1])))
+        sa[tied] = members
+        tied = regroup(tied, changed)
+        h *= 2
+    return sa
 
 
 # ------------------------------------------------------------------ text as bytes

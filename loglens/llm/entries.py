@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join
+from . import decontaminate, ngram_join, repeats
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repeated_bytes(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op9_ngram_join": op9_ngram_join,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {}

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loglens.llm import decontaminate as dc
+from loglens.llm.common import suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -95,4 +96,4 @@ def test_suffix_array():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 50, 400):
         t = rng.integers(0, 3, n).astype(np.uint64) << np.uint64(60)
-        assert dc.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+        assert suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
