@@ -7,11 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate, ngram_join
+from loglens.llm import decontaminate, language, ngram_join
 from loglens.llm.common import written
 from loglens.llm.entries import read
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from the labelled ones; texts without
+    letters and texts that no language explains better than all others together go."""
+    return language.keep_identified(docs, language.learn(docs))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at 0.75 and more: the smallest id."""
     return ngram_join.drop_near_copies(docs)
@@ -23,6 +29,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language ID", keep_languages),
     ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
 ]
