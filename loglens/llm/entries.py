@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, ngram_join, repeats
+from . import decontaminate, language, ngram_join, repeats, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.learn_cuts(docs))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = language.identify(docs, language.learn(docs))
@@ -34,6 +39,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op9_ngram_join": op9_ngram_join,
     "op10_repeats": op10_repeats,
