@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate, language, ngram_join
+from loglens.llm import decontaminate, language, ngram_join, secrets
 from loglens.llm.common import written
 from loglens.llm.entries import read
 
@@ -28,10 +28,16 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets masked and n_chars the new length."""
+    return secrets.mask_secrets(docs, secrets.learn_cuts(docs), "n_chars")
+
+
 STAGES = [
     ("language ID", keep_languages),
     ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
+    ("secret scans", mask_secrets),
 ]
 
 #: Language models, shingle joins and rounding have no SQL form; tests hold run() against plain Python.
