@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglens.llm import decontaminate, language, ngram_join, secrets
+from loglens.llm import decontaminate, language, mixing, ngram_join, secrets
 from loglens.llm.common import written
 from loglens.llm.entries import read
 
@@ -33,11 +33,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.mask_secrets(docs, secrets.learn_cuts(docs), "n_chars")
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the copies that the mix takes of each (0: it takes none), and the
+    words these come to; sources weigh 3, 1, 2, repeating."""
+    return mixing.with_copies(docs)
+
+
 STAGES = [
     ("language ID", keep_languages),
     ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_benchmark),
     ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
 ]
 
 #: Language models, shingle joins and rounding have no SQL form; tests hold run() against plain Python.
