@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, ngram_join, repeats, secrets, warc
+from . import ann, decontaminate, language, mixing, ngram_join, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "quality", "toxic", "quality_own", "toxic_own", "quality_host", "quality_path", "toxic_host", "toxic_path", "keep")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.learn_cuts(docs))
@@ -54,6 +59,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
     "op3_nearest": op3_nearest,
+    "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
