@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, ngram_join, quality, repeats, secrets, warc
+from . import ann, decontaminate, language, mixing, ngram_join, passages, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "quality", "toxic", "quality_own", "toxic_own", "quality_host", "quality_path", "toxic_host", "toxic_path", "keep")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets.find_secrets(docs, secrets.learn_cuts(docs))
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
+    "op5_passages": op5_passages,
     "op6_secrets": op6_secrets,
     "op7_language": op7_language,
     "op8_warc": op8_warc,
