@@ -1 +1,10 @@
-"""Training-data operators. Nothing else in the library imports this subpackage."""
+"""Training-data operators. Nothing else in the library imports this subpackage.
+
+Functions that run in tasks are sent to the executors by value, so that these need no
+copy of the package.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

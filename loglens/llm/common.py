@@ -37,7 +37,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=_U) * _U(_MULT))
 _INVERSE = pow(_MULT, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Filled again where it is used; sent to tasks empty."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_POWERS: dict[str, np.ndarray] = _Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

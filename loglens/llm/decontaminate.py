@@ -48,6 +48,10 @@ class Block:
     word: np.ndarray             # its position in the item
     left: np.ndarray             # words from it to the item's end
 
+    def fields(self) -> tuple:
+        """For a broadcast, which takes no classes that executors do not have."""
+        return tuple(self.__dict__.values())
+
 
 def compare(shard: np.ndarray, at: np.ndarray, block: Block, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sign of (training suffix - test suffix) over ``length`` words, and the words they share."""
@@ -149,7 +153,7 @@ def _hits(blocks: list, shard_bytes: int, batches):
         found = [np.empty((0, 2), np.int64)]
         names: list[str | None] = []
         for b in blocks:
-            block = b.value
+            block = Block(*b.value)
             window, pos = occurrences(tokens, sa, block)
             cover += np.bincount(pos, minlength=len(cover)) - np.bincount(pos + block.length[window], minlength=len(cover))
             n_windows = max(len(block.first), 1)
@@ -236,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks: eight broadcasts of ``block_bytes`` of text a pass, more passes beyond."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_rid"), "text")
-    blocks = [spark.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes)]
+    blocks = [spark.sparkContext.broadcast(b.fields()) for b in benchmark_blocks(benchmark, window, block_bytes)]
     passes = [blocks[k:k + BLOCKS_PER_PASS] for k in range(0, len(blocks), BLOCKS_PER_PASS)]
     schema = "_rid long, n_words long, spans array<long>, items array<string>"
     if len(passes) > 1:
@@ -263,7 +267,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
                         shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the contaminated rows; the same columns. One pass over the
     documents where the benchmark fits one, else row numbers and an anti-join."""
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes)]
+    blocks = [docs.sparkSession.sparkContext.broadcast(b.fields()) for b in benchmark_blocks(benchmark, window, block_bytes)]
     if len(blocks) <= BLOCKS_PER_PASS:
         return docs.mapInArrow(_keep_clean(blocks, shard_bytes), docs.schema)
     row = fresh_name(docs, "row_id")
@@ -281,7 +285,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     def scan(b):
         def run(batches):
-            block = b.value
+            block = Block(*b.value)
             for chunk, _, tokens, heads in _shards(batches, shard_bytes):
                 if not len(tokens) or not len(block.tokens):
                     continue
@@ -305,7 +309,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     out = None
     for block in benchmark_blocks(benchmark, window, block_bytes):
         part = docs.select(F.col(id_col).alias("_rid"), "text").mapInArrow(
-            scan(spark.sparkContext.broadcast(block)), "item_id string, word long, n_words long, doc long, position long")
+            scan(spark.sparkContext.broadcast(block.fields())), "item_id string, word long, n_words long, doc long, position long")
         out = part if out is None else out.unionByName(part)
     key = F.struct((-F.col("n_words")).alias("l"), F.col("doc").alias("d"), F.col("position").alias("p"))
     return out.groupBy("item_id", "word").agg(F.min(key).alias("b")).select(

@@ -175,12 +175,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", train
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """Row of ``docs`` by row: ``id_col``, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model.__dict__.values()))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for chunk in text_chunks(batches):
-            lang, score = predict(shared.value, chunk)
+            lang, score = predict(Model(*shared.value), chunk)
             yield pa.RecordBatch.from_arrays([chunk.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
@@ -188,11 +188,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
     """``docs`` without rows that have no language, or none that is likelier than ``least_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model.__dict__.values()))
 
     def run(batches):
         for chunk in text_chunks(batches):
-            lang, score = predict(shared.value, chunk)
+            lang, score = predict(Model(*shared.value), chunk)
             keep = (np.array(lang, dtype=object) != UNKNOWN) & (score >= least_score)
             yield chunk.batch.slice(chunk.first, len(chunk)).filter(pa.array(keep.astype(bool)))
 

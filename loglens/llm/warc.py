@@ -44,7 +44,7 @@ SKIPPABLE_SEEK, SKIPPABLE_INDEX = 0x184D2A5E, 0x184D2A51
 SEEKABLE_MAGIC = bytes.fromhex("b1ea928f")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-_INDEX = struct.Struct("<16sIQQ")
+_INDEX = "<16sIQQ"
 
 
 def record_id(page_id: int | None, digest: str) -> uuid.UUID:
@@ -81,7 +81,7 @@ class Bundle:
     def add(self, rid: uuid.UUID, record: bytes) -> None:
         if self.open and self.size + len(record) > self.frame_bytes:
             self.close_frame()
-        self.index.append(_INDEX.pack(rid.bytes, len(self.frames), self.size, len(record)))
+        self.index.append(struct.pack(_INDEX, rid.bytes, len(self.frames), self.size, len(record)))
         self.open.append(record)
         self.size += len(record)
         self.total += len(record)
@@ -118,7 +118,7 @@ def read_tables(content: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[
     at, packed, _ = frames.pop()
     if struct.unpack_from("<I", content, at)[0] != SKIPPABLE_INDEX:
         raise ValueError("no record index before the seek table")
-    return frames, [(uuid.UUID(bytes=r), *rest) for r, *rest in _INDEX.iter_unpack(content[at + 8:at + packed])]
+    return frames, [(uuid.UUID(bytes=r), *rest) for r, *rest in struct.iter_unpack(_INDEX, content[at + 8:at + packed])]
 
 
 def unpack_frame(content: bytes, frame: tuple[int, int, int]) -> bytes:
