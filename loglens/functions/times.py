@@ -18,15 +18,17 @@ def parse_local_time(text, pattern: str, tz: str = "UTC") -> Column:
     return F.unix_timestamp(ts)
 
 
-MAX_EPOCH_SECONDS = 1e11   # about year 5000; keeps later time arithmetic inside 64 bits
+_DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_EPOCH_LIMIT = float(1 << 62)          # times whose differences fit 64 bits
+_NTZ_LIMIT = 9_000_000_000_000         # seconds that a zone-less timestamp holds
 
 
 def parse_epoch(text) -> Column:
-    """``1700000000.750`` to whole seconds (floor); NULL for non-numbers, non-finite
-    values and times beyond ``MAX_EPOCH_SECONDS``."""
-    value = _c(text).try_cast("double")
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(MAX_EPOCH_SECONDS))
-    return F.when(finite, F.floor(value))
+    """``1700000000.750`` to whole seconds (floor); NULL for anything but a decimal number
+    (no type suffix, no infinity) and for numbers that 64 bits do not hold."""
+    t = F.trim(_c(text))
+    value = F.when(t.rlike(_DECIMAL), t.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(_EPOCH_LIMIT), F.floor(value))
 
 
 def ntz_seconds(ts) -> Column:
@@ -35,14 +37,17 @@ def ntz_seconds(ts) -> Column:
 
 
 def seconds_to_ntz(seconds) -> Column:
-    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _c(seconds).cast("decimal(18,6)"))
+    """Zone-less timestamp of epoch seconds; NULL beyond the range of timestamps."""
+    s = F.when(F.abs(_c(seconds)) < F.lit(_NTZ_LIMIT), _c(seconds).cast("bigint"))
+    days = F.floor(s / F.lit(86400)).cast("int")
+    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(days, F.lit(0), F.lit(0), F.pmod(s, F.lit(86400)).cast("decimal(18,6)"))
 
 
 def hour_bucket(seconds) -> Column:
     """T2 ``%Y-%m-%d %H`` in UTC."""
-    return F.substring(seconds_to_ntz(seconds).cast("string"), 1, 13)
+    return F.substring_index(seconds_to_ntz(seconds).cast("string"), ":", 1)
 
 
 def minute_text(seconds) -> Column:
     """T2 ``%Y-%m-%d %H:%i`` in UTC."""
-    return F.substring(seconds_to_ntz(seconds).cast("string"), 1, 16)
+    return F.substring_index(seconds_to_ntz(seconds).cast("string"), ":", 2)

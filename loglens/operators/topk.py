@@ -11,10 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, k: int, order: list[Column], partition: tuple[str, ...] = ("datasource_id",),
-          rank_col: str | None = None) -> DataFrame:
+def top_k(df: DataFrame, k: int, order: list[Column], partition: tuple[str, ...] = ("datasource_id",)) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    if rank_col:
-        return ranked.withColumnRenamed("_rn", rank_col)
     return ranked.drop("_rn")

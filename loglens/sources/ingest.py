@@ -1,15 +1,14 @@
 """S10-S11 and the import path: lines -> typed proxy/web rows (+ rejects).
 
 The driver only plans; executors tokenise and parse their own input splits.
-The data-source type comes from the registry, joined on ``datasource_id`` with a
-broadcast whose size is checked first (the registry is a small dimension).
+The data-source type comes from the registry, joined on ``datasource_id``; Spark
+broadcasts the registry by its size in bytes.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import broadcast_if_small
 from ..schemas import PROXY_ROW_FIELDS, PROXY_TYPES, WEB_ROW_FIELDS, WEB_TYPES
 from .parsers import annotate
 from .text import read_log_lines
@@ -21,7 +20,7 @@ KIND_TYPES = {"proxy": PROXY_TYPES, "web": WEB_TYPES}
 def attach_types(lines: DataFrame, datasources: DataFrame) -> DataFrame:
     """Add each line's data-source ``type`` from the registry."""
     types = datasources.select(F.col("id").cast("int").alias("datasource_id"), F.col("type"))
-    return lines.join(broadcast_if_small(types), "datasource_id", "inner")
+    return lines.join(types, "datasource_id", "inner")
 
 
 def spread(lines: DataFrame, min_partitions: int | None) -> DataFrame:
@@ -67,12 +66,6 @@ def reject_counts(lines: DataFrame, kind: str, log_type="type", tz: str = "UTC")
             .groupBy("datasource_id", "reason").agg(F.count(F.lit(1)).alias("lines")))
 
 
-def split_kinds(typed_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines whose source is a proxy type, and lines whose source is a web type."""
-    return (typed_lines.filter(F.col("type").isin(*PROXY_TYPES)),
-            typed_lines.filter(F.col("type").isin(*WEB_TYPES)))
-
-
 def read_source_file(spark: SparkSession, paths, datasource_id: int, log_type: str,
                      tz: str = "UTC") -> DataFrame:
     """Import one data source's files (the reference's per-file import): rows with an id."""

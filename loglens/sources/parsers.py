@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.counts import byte_difference
 from ..functions.ip import looks_like_ip
 from ..functions.times import parse_epoch, parse_local_time
 from ..functions.urls import request_page, request_query, url_host, url_path
@@ -18,7 +19,6 @@ MIN_TOKENS = {"squid": 10, "bluecoat-a": 24, "bluecoat-b": 14, "apache": 9, "iis
 DATE_TIME_PATTERN = "yyyy-M-d H:m:s"
 APACHE_TIME_PATTERN = "d/MMM/yyyy:H:m:s"
 HTML_TYPE = "text/html"
-UINT_MAX = 4294967295      # byte columns are unsigned 32-bit: stored values are clamped to 0..UINT_MAX
 
 # Positional maps (D31): field -> token index. The IIS short map is a parameter.
 IIS_FULL_MAP = {"date": 0, "time": 1, "page": 5, "query": 6, "clientip": 9, "status": 14,
@@ -26,22 +26,24 @@ IIS_FULL_MAP = {"date": 0, "time": 1, "page": 5, "query": 6, "clientip": 9, "sta
 IIS_SHORT_MAP = {"date": 0, "time": 1, "page": 4, "query": 6, "clientip": 8, "status": 11}
 
 
-def _int(tok: Column) -> Column:
-    """Integer conversion that rejects (NULL) anything not an integer literal (M2).
-    Literals longer than 18 characters count as junk, so sums, differences and
-    ``abs`` of byte counts stay inside 64 bits (ANSI arithmetic never overflows)."""
-    t = F.trim(tok)
-    return F.when(F.length(t) <= 18, t.try_cast("bigint"))
+_INTEGER = r"^[+-]?[0-9]+$"
+
 
+def _is_int(tok: Column) -> Column:
+    """Whether a token is an integer literal, of any length (M2)."""
+    return F.coalesce(F.trim(tok).rlike(_INTEGER), F.lit(False))
 
-def _clamp(v: Column) -> Column:
-    """Value as an unsigned 32-bit column stores it: negatives 0, large values UINT_MAX."""
-    return F.least(F.greatest(v, F.lit(0)), F.lit(UINT_MAX)).cast("bigint")
+
+def _int(tok: Column) -> Column:
+    """Integer value of a token as a 64-bit number; blanks, junk and numbers that no 64-bit
+    column holds are 0 (D1)."""
+    t = F.trim(tok)
+    return F.coalesce(F.when(t.rlike(_INTEGER), t.try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
-def _stored_uint(tok: Column) -> Column:
-    """Stored form of a byte field: blanks and junk 0, then clamped."""
-    return _clamp(F.coalesce(_int(tok), F.lit(0)))
+def _stored_bytes(tok: Column) -> Column:
+    """Stored form of a byte field: never negative (D1, D2), otherwise as logged."""
+    return F.greatest(_int(tok), F.lit(0).cast("bigint"))
 
 
 def _html(tok: Column) -> Column:
@@ -66,10 +68,10 @@ def squid(t: Column, tz: str = "UTC") -> Column:
     """client=2, URL=6, bytes=4, epoch=0, type=9. CONNECT targets give ``Unknown``."""
     url = token(t, 6)
     epoch = parse_epoch(token(t, 0))
-    size = _int(token(t, 4))
-    ok = (F.size(t) >= MIN_TOKENS["squid"]) & epoch.isNotNull() & size.isNotNull()
+    size = token(t, 4)
+    ok = (F.size(t) >= MIN_TOKENS["squid"]) & epoch.isNotNull() & _is_int(size)
     row = _proxy(token(t, 2), F.coalesce(url_host(url), F.lit("Unknown")), epoch,
-                 _clamp(size), F.lit(0), _clamp(F.abs(size)), F.lit(""),
+                 _stored_bytes(size), F.lit(0), byte_difference(_int(size), F.lit(0)), F.lit(""),
                  _html(token(t, 9)), F.coalesce(url_path(url), F.lit("")))
     return F.when(ok, row)
 
@@ -77,16 +79,16 @@ def squid(t: Column, tz: str = "UTC") -> Column:
 def bluecoat(t: Column, tz: str = "UTC") -> Column:
     """S5 (address in token 3) or S6 (address in token 2); neither gives NULL."""
     a_in, a_out = _int(token(t, 22)), _int(token(t, 23))
+    a_ints = _is_int(token(t, 22)) & _is_int(token(t, 23))
     a_time = parse_local_time(F.concat_ws(" ", token(t, 0), token(t, 1)), DATE_TIME_PATTERN, tz)
-    a_ok = (F.size(t) >= MIN_TOKENS["bluecoat-a"]) & a_time.isNotNull() & a_in.isNotNull() & a_out.isNotNull()
+    a_ok = (F.size(t) >= MIN_TOKENS["bluecoat-a"]) & a_time.isNotNull() & a_ints
     direction = F.when(a_in > a_out, "in").when(a_in < a_out, "out").otherwise("unknown")
-    layout_a = _proxy(token(t, 3), token(t, 15), a_time, _clamp(a_in),
-                      _clamp(a_out), _clamp(F.abs(a_in - a_out)), direction,
+    layout_a = _proxy(token(t, 3), token(t, 15), a_time, _stored_bytes(token(t, 22)),
+                      _stored_bytes(token(t, 23)), byte_difference(a_in, a_out), direction,
                       _html(token(t, 13)), token(t, 17))
-    b_in = _int(token(t, 5))
     b_time = parse_epoch(token(t, 0))
-    b_ok = (F.size(t) >= MIN_TOKENS["bluecoat-b"]) & b_time.isNotNull() & b_in.isNotNull()
-    layout_b = _proxy(token(t, 2), token(t, 12), b_time, _clamp(b_in), F.lit(0), F.lit(0),
+    b_ok = (F.size(t) >= MIN_TOKENS["bluecoat-b"]) & b_time.isNotNull() & _is_int(token(t, 5))
+    layout_b = _proxy(token(t, 2), token(t, 12), b_time, _stored_bytes(token(t, 5)), F.lit(0), F.lit(0),
                       F.lit(""), _html(token(t, 13)), F.coalesce(url_path(token(t, 7)), F.lit("")))
     is_a = looks_like_ip(token(t, 3))
     is_b = looks_like_ip(token(t, 2))
@@ -97,11 +99,11 @@ def apache(t: Column, tz: str = "UTC") -> Column:
     """S7 combined format: client=0, time=3, request=5, status=6, bytes=7 (404 excluded)."""
     stamp = token(t, 3)
     time = F.when(stamp.startswith("["),
-                  parse_local_time(F.substring(stamp, 2, 1 << 20), APACHE_TIME_PATTERN, tz))
+                  parse_local_time(F.regexp_replace(stamp, r"^\[", ""), APACHE_TIME_PATTERN, tz))
     request = token(t, 5)
     page = request_page(request)
     ok = (F.size(t) >= MIN_TOKENS["apache"]) & (token(t, 6) != "404") & time.isNotNull() & page.isNotNull()
-    return F.when(ok, _web(token(t, 0), time, F.lit(0), _stored_uint(token(t, 7)), page,
+    return F.when(ok, _web(token(t, 0), time, F.lit(0), _stored_bytes(token(t, 7)), page,
                           request_query(request)))
 
 
@@ -110,8 +112,8 @@ def iis(t: Column, tz: str = "UTC", positions: dict | None = None) -> Column:
     p = {**IIS_FULL_MAP, **(positions or {})}
     time = parse_local_time(F.concat_ws(" ", token(t, p["date"]), token(t, p["time"])), DATE_TIME_PATTERN, tz)
     ok = (F.size(t) >= MIN_TOKENS["iis"]) & (token(t, p["status"]) != "404") & time.isNotNull()
-    return F.when(ok, _web(token(t, p["clientip"]), time, _stored_uint(token(t, p["bytesIn"])),
-                          _stored_uint(token(t, p["bytesOut"])), token(t, p["page"]), token(t, p["query"])))
+    return F.when(ok, _web(token(t, p["clientip"]), time, _stored_bytes(token(t, p["bytesIn"])),
+                          _stored_bytes(token(t, p["bytesOut"])), token(t, p["page"]), token(t, p["query"])))
 
 
 def iis_short(t: Column, tz: str = "UTC", positions: dict | None = None) -> Column:

@@ -21,19 +21,17 @@ UNSPLITTABLE = (".gz", ".zst", ".zstd", ".snappy", ".lz4", ".z")
 
 
 def read_log_lines(spark: SparkSession, paths, encoding: str = "ISO-8859-1",
-                   with_file: bool = False) -> DataFrame:
+                   with_file: bool = False, spread: bool | None = None) -> DataFrame:
     """Read text logs as a ``line`` column; input splits give the parallelism.
 
     Partition folders such as ``datasource_id=3`` become columns (partition discovery).
-    When every file is compressed without splits and there are fewer files than the
-    cluster's parallelism, the lines are round-robined over that many tasks so the
-    CPU-bound parse is not limited to one task per file (file listing only, no job)."""
+    A compressed file that a scan cannot split is one task. When a given path or pattern names
+    such files, the lines are dealt out over the cluster's parallelism, so that the CPU-bound
+    parse is not bound to one task a file (``spread`` overrides this for folders)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.text(paths)
-    files = raw.inputFiles()
-    parallelism = default_parallelism(spark)
-    if files and len(files) < parallelism and all(f.lower().endswith(UNSPLITTABLE) for f in files):
-        raw = raw.repartition(parallelism)
+    if spread if spread is not None else any(p.lower().endswith(UNSPLITTABLE) for p in paths):
+        raw = raw.repartition(default_parallelism(spark))
     line = latin1_line("value") if encoding.upper() in ("ISO-8859-1", "LATIN-1", "LATIN1") \
         else F.decode(F.col("value").cast("binary"), encoding)
     cols = [line.alias("line")] + [F.col(c) for c in raw.columns if c != "value"]

@@ -110,11 +110,21 @@ def test_gzip_logs_are_spread_and_parsed(spark, tmp_path):
 
 
 def test_huge_numbers_do_not_overflow(spark):
+    """Counts are stored as logged; what 64 bits do not hold counts as 0, and no line fails the job."""
     big = "9" * 19
     squid = SQUID_1.replace(" 512 ", f" -{big} ")
     blue = BLUE_A.replace(" 900 300", f" 9{'0' * 17} -9{'0' * 16}")
     far = SQUID_1.replace("1700000000.750", "1e14")
     df = spark.createDataFrame([(2, squid), (2, far)], "datasource_id int, line string")
-    assert parse_lines(df, "proxy", "squid").count() == 0
+    got = sorted((r.time, r.bytesIn, r.bytesDiff) for r in parse_lines(df, "proxy", "squid").collect())
+    assert got == [(1700000000, 0, 0), (10**14, 512, 512)]
     (row,) = parse_lines(spark.createDataFrame([(1, blue)], "datasource_id int, line string"), "proxy", "bluecoat").collect()
-    assert (row.bytesIn, row.bytesOut, row.bytesDiff) == (4294967295, 0, 4294967295)   # unsigned 32-bit clamp
+    assert (row.bytesIn, row.bytesOut, row.bytesDiff) == (9 * 10**17, 0, 99 * 10**16)
+
+
+def test_sums_beyond_64_bits_stay_at_the_largest_number(spark):
+    from loglens.functions.counts import MAX_LONG, add_bytes, byte_difference, byte_sum
+    df = spark.createDataFrame([(1, MAX_LONG, 5), (1, 7, 5), (2, 3, None)], "k int, a long, b long")
+    got = sorted(tuple(r) for r in df.groupBy("k").agg(byte_sum("a"), byte_sum("b"), byte_sum(add_bytes("a", "b"))).collect())
+    assert got == [(1, MAX_LONG, 10, MAX_LONG), (2, 3, None, None)]
+    assert [r[0] for r in df.select(byte_difference("a", F.lit(-5))).collect()] == [MAX_LONG, 12, 8]
