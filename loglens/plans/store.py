@@ -1,14 +1,15 @@
 """Table store and sinks.
 
-Fact tables are Parquet folders partitioned by ``datasource_id``; replacing one
-source's rows overwrites only its partition folder, statically, so an empty
-result also clears old rows (D18). Reads name the schema (no inference) and
+Fact tables are Parquet folders partitioned by ``datasource_id``; replacing sources'
+rows overwrites only their partition folders, after the new rows are computed, and
+an empty result also clears old rows (D18). Reads name the schema (no inference) and
 filter on the partition column, which prunes folders.
 """
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,12 @@ from ..schemas import PARTITIONED, TABLES
 from .registry import empty_table
 
 
+#: An import reserves 2^SLAB_BITS ids, 2^TASK_BITS of them for each task: 2^20 tasks of 67
+#: million rows an import, and 131 072 imports into a table.
+SLAB_BITS, TASK_BITS = 46, 26
+GIVEN_IDS = -2
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -24,14 +31,18 @@ class LogStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def create_table(self, name: str) -> None:
+        """K1 for one table (``IF NOT EXISTS``: the ``ignore`` save mode leaves an existing
+        folder untouched)."""
+        writer = empty_table(self.spark, TABLES[name]).write.mode("ignore")
+        if name in PARTITIONED:
+            writer = writer.partitionBy("datasource_id")
+        writer.parquet(self.path(name))
+
     def create_tables(self) -> list[str]:
-        """K1: create every table that does not exist yet (``IF NOT EXISTS``: the
-        ``ignore`` save mode leaves an existing folder untouched)."""
-        for name, schema in TABLES.items():
-            writer = empty_table(self.spark, schema).write.mode("ignore")
-            if name in PARTITIONED:
-                writer = writer.partitionBy("datasource_id")
-            writer.parquet(self.path(name))
+        """K1: create every table that does not exist yet."""
+        for name in TABLES:
+            self.create_table(name)
         return list(TABLES)
 
     def read(self, table: str, datasource_id: int | None = None) -> DataFrame:
@@ -43,73 +54,87 @@ class LogStore:
             df = df.filter(F.col("datasource_id") == int(datasource_id))
         return df
 
-    # ---- id counter: ids stay unique across imports, like an auto-increment key.
-    def _counter_path(self, table: str) -> str:
-        return f"{self.root}/_meta/{table}_next_id"
-
-    def next_id(self, table: str) -> int:
-        """First free id of a table. A missing counter is initialised from the table's
-        largest id (save mode ``ignore`` skips that job when the counter exists), so
-        no read ever hits a missing path."""
-        writer = empty_table(self.spark, TABLES[table]).write.mode("ignore")
-        if table in PARTITIONED:
-            writer = writer.partitionBy("datasource_id")
-        writer.parquet(self.path(table))
-        self.read(table).agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("bigint").alias("next_id")) \
-            .write.mode("ignore").json(self._counter_path(table))
-        row = self.spark.read.schema("next_id bigint").json(self._counter_path(table)).first()
-        return int(row["next_id"]) if row is not None and row["next_id"] is not None else 0
-
-    def _set_next_id(self, table: str, value: int) -> None:
-        self.spark.range(1).select(F.lit(int(value)).cast("bigint").alias("next_id")) \
-            .write.mode("overwrite").json(self._counter_path(table))
+    # ---- ids: unique across imports, like an auto-increment key.
+    def _claims_path(self, table: str) -> str:
+        return f"{self.root}/_meta/{table}_ids"
+
+    def _claim(self, table: str, name: str, slab: int) -> bool:
+        """Write one claim; False when that name is taken (the save mode fails on an existing folder)."""
+        row = self.spark.range(1).select(F.lit(int(slab)).cast("bigint").alias("slab"))
+        try:
+            row.write.mode("error").json(f"{self._claims_path(table)}/{name}")
+        except AnalysisException as e:
+            if "ALREADY_EXISTS" not in str(e):
+                raise
+            return False
+        return True
+
+    def reserve_ids(self, table: str) -> int:
+        """Reserve a block of 2^SLAB_BITS ids before anything is written and return its first
+        id. A block belongs to one import, also if that fails later; two imports at once get
+        different blocks. Rows that were appended with ids of their own are respected."""
+        self._claim(table, "start", -1)
+        claims = self.spark.read.schema("slab bigint").json(f"{self._claims_path(table)}/*")
+        top, given = claims.agg(F.max("slab"), F.max(F.when(F.col("slab") == GIVEN_IDS, 1))).first()
+        slab = max(int(top), -1) + 1
+        if given or slab == 0:
+            self.create_table(table)
+            stored = self.read(table).agg(F.max("id")).first()[0]
+            slab = max(slab, 0 if stored is None else (int(stored) >> SLAB_BITS) + 1)
+        while not self._claim(table, f"slab-{slab}", slab):
+            slab += 1
+        return slab << SLAB_BITS
 
     def append(self, table: str, df: DataFrame, new_ids: bool = False) -> None:
         """K2/K3: append rows; partition folders per data source.
 
-        ``new_ids`` gives the rows fresh ids after every id already in the table
-        (``next id + monotonically_increasing_id``); otherwise given ids are kept.
-        Either way the batch's largest id is observed during the write (no extra
-        job) and the table's counter moves past it. Imports into one table run one
-        at a time, as with any counter. Fact rows are sorted by time inside each
-        task, so Parquet row-group statistics follow time and time-window reports
-        skip most row groups."""
+        ``new_ids`` gives the rows ids of a block that is reserved before the write: first id
+        + task number * 2^TASK_BITS + row in the task (a task with more rows fails with a
+        message; deal its rows out over more partitions). Otherwise given ids are kept. Fact
+        rows are sorted by time inside each task, so Parquet row-group statistics follow time
+        and time-window reports skip most row groups."""
         cols = TABLES[table].fieldNames()
-        has_id = "id" in cols
-        base = self.next_id(table) if has_id else 0
-        if has_id and new_ids:
-            df = df.withColumn("id", F.lit(base) + F.monotonically_increasing_id())
+        if "id" in cols and new_ids:
+            local = F.monotonically_increasing_id()
+            task, row = F.shiftright(local, 33), local.bitwiseAND(F.lit((1 << 33) - 1))
+            fits = (task < F.lit(1 << (SLAB_BITS - TASK_BITS))) & (row < F.lit(1 << TASK_BITS))
+            df = df.withColumn("id", F.when(fits, F.lit(self.reserve_ids(table)) + F.shiftleft(task, TASK_BITS) + row)
+                               .otherwise(F.raise_error(F.lit(f"more than 2^{TASK_BITS} rows in one task: use more partitions")).cast("bigint")))
+        elif "id" in cols:
+            self._claim(table, f"given-{uuid.uuid4().hex}", GIVEN_IDS)
         rows = df.select(*cols)
-        obs = None
-        if has_id:
-            obs = Observation(f"ids_{uuid.uuid4().hex[:8]}")
-            rows = rows.observe(obs, F.max("id").alias("max_id"))
         if "time" in cols:
             rows = rows.sortWithinPartitions("datasource_id", "time")
         rows.write.mode("append").partitionBy("datasource_id").parquet(self.path(table))
-        if obs is not None:
-            top = obs.get.get("max_id")
-            if top is not None and int(top) + 1 > base:
-                self._set_next_id(table, int(top) + 1)
 
     def replace_source(self, table: str, datasource_id: int, df: DataFrame) -> None:
-        """K4/K5: replace one data source's rows (static overwrite of its folder)."""
-        cols = [c for c in TABLES[table].fieldNames() if c != "datasource_id"]
-        rows = df.filter(F.col("datasource_id") == int(datasource_id)).select(*cols)
-        rows.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={int(datasource_id)}")
+        """K4/K5: replace one data source's rows."""
+        self.replace_sources(table, df, [datasource_id])
 
     def replace_sources(self, table: str, df: DataFrame, datasource_ids) -> None:
-        """K4/K5 for several sources in one job: each requested source's folder is first
-        emptied (static overwrite, so a source without new rows ends up empty, D18),
-        then the result is written once with dynamic partition overwrite."""
+        """K4/K5 for several sources in one job. The result is computed and written first
+        (dynamic partition overwrite: a source's old files go when the job commits, and stay
+        if it fails); sources that got no row are emptied afterwards (D18)."""
         ids = [int(i) for i in datasource_ids]
         schema = TABLES[table]
-        empty = empty_table(self.spark, schema).drop("datasource_id")
-        for i in ids:
-            empty.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={i}")
+        self.create_table(table)
+        seen = Observation(f"replaced_{uuid.uuid4().hex[:8]}")
         rows = df.filter(F.col("datasource_id").isin(*ids)).select(*schema.fieldNames())
+        rows = rows.observe(seen, F.collect_set("datasource_id").alias("sources"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("datasource_id").parquet(self.path(table))
+        written = {int(i) for i in seen.get.get("sources") or []}
+        empty = empty_table(self.spark, schema).drop("datasource_id")
+        for i in ids:
+            if i not in written:
+                empty.write.mode("overwrite").parquet(f"{self.path(table)}/datasource_id={i}")
+
+    def register_views(self) -> list[str]:
+        """Q1: every stored table as a temporary view of its name, for free SQL."""
+        for name in TABLES:
+            self.create_table(name)
+            self.read(name).createOrReplaceTempView(name)
+        return list(TABLES)
 
     def write_registry(self, collections: DataFrame, datasources: DataFrame) -> None:
         """K6: persist the registry (tiny; rewritten whole)."""

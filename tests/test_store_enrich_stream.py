@@ -2,6 +2,8 @@
 import os
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loglens.operators.enrich import locate, resolve_names
@@ -100,3 +102,73 @@ def test_map_feed_locates_host_names_through_names(spark):
     named = {r.address: r.totalBytes for r in map_feed(proxy, blocks, "proxy", names=names).collect()}
     assert plain == {"203.0.113.9"}                              # private 10.x excluded, host name not located
     assert named == {"203.0.113.9": 10, "files.example.org": 5000}
+
+
+PROXY_ROW = ("10.0.0.1", "h", 1000, 1, 0, 1, "", 0, "/", 2)
+
+
+def _rows(spark, n=10):
+    return spark.createDataFrame([PROXY_ROW] * n, "clientip string, destip string, time long, bytesIn long, bytesOut long, bytesDiff long, "
+                                 "direction string, contentType int, page string, datasource_id int").repartition(3)
+
+
+def test_ids_stay_unique_after_failed_and_interrupted_imports(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "ids"))
+    store.append("proxy_data", _rows(spark), new_ids=True)
+    store.reserve_ids("proxy_data")                                # an import that ended before its write
+    store.append("proxy_data", _rows(spark), new_ids=True)
+    bad = _rows(spark).withColumn("page", F.raise_error(F.lit("boom")).cast("string"))
+    with pytest.raises(Exception, match="boom"):
+        store.append("proxy_data", bad, new_ids=True)
+    LogStore(spark, str(tmp_path / "ids")).append("proxy_data", _rows(spark), new_ids=True)
+    ids = [r.id for r in store.read("proxy_data").collect()]
+    assert len(ids) == 30 and len(set(ids)) == 30
+    blocks = {store.reserve_ids("proxy_data") for _ in range(3)}
+    assert len(blocks) == 3 and min(blocks) > max(ids)
+
+
+def test_new_ids_follow_given_ids(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "given"))
+    store.append("proxy_data", _rows(spark).withColumn("id", F.lit(1 << 50) + F.monotonically_increasing_id()))
+    store.append("proxy_data", _rows(spark), new_ids=True)
+    ids = [r.id for r in store.read("proxy_data").collect()]
+    assert len(set(ids)) == 20
+
+
+def test_replace_keeps_old_rows_when_the_new_result_fails(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "replace"))
+    rows = [("10.0.0.1", "a", 10.0, 0.1, 5, 4, 4, 1), ("10.0.0.2", "b", 20.0, 0.2, 6, 3, 3, 2)]
+    store.replace_sources("beacon_data", spark.createDataFrame(rows, BEACON_DATA), [1, 2])
+    bad = spark.createDataFrame(rows, BEACON_DATA).withColumn("destip", F.raise_error(F.lit("boom")).cast("string"))
+    for replace in (lambda: store.replace_sources("beacon_data", bad, [1, 2]), lambda: store.replace_source("beacon_data", 1, bad)):
+        with pytest.raises(Exception, match="boom"):
+            replace()
+        assert store.read("beacon_data").count() == 2
+    # a result that reads the table it replaces
+    store.replace_sources("beacon_data", store.read("beacon_data").withColumn("count", F.col("count") + 1), [1, 2])
+    assert sorted((r.datasource_id, r["count"]) for r in store.read("beacon_data").collect()) == [(1, 6), (2, 7)]
+
+
+def test_session_needs_a_shared_folder_outside_one_machine(monkeypatch):
+    from loglens import session
+    assert session._local_folder("a", "local[4]") == session._local_folder("a", "local[4]")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x", ""):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session._local_folder("b", master)
+
+
+def test_build_session_sets_partitions_only_when_given(monkeypatch):
+    from loglens import session
+    seen = {}
+
+    class Builder:
+        def appName(self, name): return self
+        def master(self, name): return self
+        def config(self, key, value): seen[key] = value; return self
+        def getOrCreate(self): raise KeyboardInterrupt
+    monkeypatch.setattr(session.SparkSession, "builder", Builder())
+    for given, kept in ((None, None), (96, "96")):
+        seen.clear()
+        with pytest.raises(KeyboardInterrupt):
+            session.build_session(master=None, shuffle_partitions=given)
+        assert seen.get("spark.sql.shuffle.partitions") == kept
