@@ -6,11 +6,9 @@ For every (data source, client, destination) pair, the gaps between consecutive
 request times give a mean and a population standard deviation. A hot pair may
 hold a large share of all rows, so no pair is ever sorted in one task:
 
-1. rows are grouped by (pair, time slice) with partial aggregation; each group
-   keeps its count, sums, first/last time and the *distinct* times of the slice
-   (bounded by the slice width, ``slice_seconds``);
-2. inside a slice the squared gaps of the sorted distinct times are summed
-   (equal times only add zero gaps);
+1. rows are added up by (pair, time slice, second) with partial aggregation (equal times
+   only add zero gaps);
+2. inside a slice, at most ``slice_seconds`` rows, the squared gaps are summed;
 3. per pair, slices are ordered by their index and the gap across each slice
    boundary (``first(k+1) - last(k)``) is added; this step sees one row per
    non-empty slice, not one per request.
@@ -25,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.counts import byte_sum
 from ..functions.ip import looks_like_ip
 from ..plans.registry import with_type
 
@@ -56,23 +55,22 @@ def beacon_projection(proxy: DataFrame, datasource_id: int | None = None) -> Dat
 
 
 def slice_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
-    """Step 1-2: one row per (pair, slice) with counts, sums and in-slice squared gaps."""
+    """Step 1-2: one row per (pair, slice) with counts, sums and in-slice squared gaps.
+
+    Rows of one second are added up first (a plain hash aggregate, partial before the
+    shuffle); the gaps inside a slice are then ``lag`` over its at most ``slice_seconds`` rows."""
     rows = proxy.select(*PAIR, "time", "bytesDiff", "contentType").filter(F.col("time").isNotNull())
     rows = rows.withColumn("slice", F.floor(F.col("time") / F.lit(slice_seconds)))
-    g = rows.groupBy(*PAIR, "slice").agg(
+    seconds = rows.groupBy(*PAIR, "slice", "time").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.coalesce(F.col("contentType"), F.lit(0))).cast("bigint").alias("content_sum"),
-        F.sum(F.coalesce(F.col("bytesDiff"), F.lit(0))).cast("bigint").alias("bytes_sum"),
-        F.min("time").alias("t_first"),
-        F.max("time").alias("t_last"),
-        F.collect_set("time").alias("times"),
-    )
-    s = F.array_sort(F.col("times"))
-    k = F.size(s) - 1
-    gaps = F.zip_with(F.slice(s, 2, k), F.slice(s, 1, k), lambda a, b: a - b)
-    inner_sq = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, d: acc + d * d)
-    return g.select(*PAIR, "slice", "n", "content_sum", "bytes_sum", "t_first", "t_last",
-                    F.when(k > 0, inner_sq).otherwise(F.lit(0).cast("bigint")).alias("sq_inner"))
+        byte_sum(F.coalesce(F.col("bytesDiff"), F.lit(0))).alias("bytes_sum"))
+    w = Window.partitionBy(*PAIR, "slice").orderBy("time")
+    gap = F.col("time") - F.lag("time").over(w)
+    return seconds.withColumn("gap", gap).groupBy(*PAIR, "slice").agg(
+        F.sum("n").alias("n"), F.sum("content_sum").alias("content_sum"), byte_sum("bytes_sum").alias("bytes_sum"),
+        F.min("time").alias("t_first"), F.max("time").alias("t_last"),
+        F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0)).cast("bigint").alias("sq_inner"))
 
 
 def pair_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
@@ -86,15 +84,17 @@ def pair_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) ->
     p = sl.groupBy(*PAIR).agg(
         F.sum("n").alias("n"),
         F.sum("content_sum").alias("content_sum"),
-        F.sum("bytes_sum").alias("bytes_sum"),
+        byte_sum("bytes_sum").alias("bytes_sum"),
         (F.max("t_last") - F.min("t_first")).alias("s1"),
         F.sum(F.col("sq_inner").cast("decimal(38,0)") + F.col("sq_cross")).cast("decimal(38,0)").alias("s2"),
     )
     gaps = (F.col("n") - 1)
     s1 = F.col("s1").cast("decimal(38,0)")
-    num = F.col("s2") * gaps.cast("decimal(38,0)") - s1 * s1
+    # exact where 38 digits hold it; else the same in doubles
+    exact = F.try_subtract(F.try_multiply(F.col("s2"), gaps.cast("decimal(38,0)")), F.try_multiply(s1, s1)).cast("double")
+    num = F.coalesce(exact, F.col("s2").cast("double") * gaps - s1.cast("double") * s1.cast("double"))
     mean = F.when(gaps > 0, F.col("s1").cast("double") / gaps.cast("double"))
-    var = F.when(gaps > 0, F.greatest(num.cast("double"), F.lit(0.0)) / (gaps.cast("double") * gaps.cast("double")))
+    var = F.when(gaps > 0, F.greatest(num, F.lit(0.0)) / (gaps.cast("double") * gaps.cast("double")))
     return p.select(*PAIR, "n", "content_sum", "bytes_sum", mean.alias("mean_raw"),
                     F.sqrt(var).alias("std_raw"))
 
@@ -124,9 +124,11 @@ def beacon_scores(proxy: DataFrame, datasources: DataFrame,
                   slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """``beacon_data`` rows: pairs with a positive rounded mean gap (D10, F13), scored."""
     stats = pair_stats(proxy, slice_seconds)
-    # Joined on (source, destination); adaptive execution broadcasts the counts when
-    # they are small at run time and otherwise splits a hot destination (skew join).
-    scored = stats.join(destination_counts(proxy), ["datasource_id", "destip"], "left")
+    # Requests per destination are sums over the pairs, so the rows are read once. Joined
+    # on (source, destination); adaptive execution broadcasts the counts when they are small
+    # at run time and otherwise splits a hot destination (skew join).
+    dests = stats.groupBy("datasource_id", "destip").agg(F.sum("n").alias("dest_count"))
+    scored = stats.join(dests, ["datasource_id", "destip"], "left")
     scored = with_type(scored, datasources)
     scored = scored.withColumn("mean", numpy_round(F.col("mean_raw"), 2)) \
                    .withColumn("stdDev", numpy_round(F.col("std_raw"), 3))

@@ -4,15 +4,16 @@ Location is a point-in-range lookup. A range condition alone would plan as a
 nested-loop join, so blocks are exploded over the /16 buckets they cover
 (at most 65 536 per block, usually one) and joined on the bucket of the address,
 then filtered on the exact range. Addresses in a hot /16 are split by adaptive
-skew-join handling; the block table is broadcast only when its row count is checked.
+skew-join handling; whether the blocks or names are broadcast is decided by their size
+in bytes when the query runs.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counts import add_bytes, byte_sum
 from ..functions.ip import ipv4_to_long, is_public, is_strict_ip
-from ..plans.joins import broadcast_if_small
 from .topk import top_k
 
 BUCKET_BITS = 16
@@ -25,29 +26,26 @@ def bucketed_blocks(blocks: DataFrame) -> DataFrame:
                                                             F.shiftright(end, BUCKET_BITS))))
 
 
-def locate(df: DataFrame, address_col: str, blocks: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def locate(df: DataFrame, address_col: str, blocks: DataFrame) -> DataFrame:
     """Add latitude, longitude, country, region, city; unlocated rows are dropped."""
     ip_num = ipv4_to_long(F.col(address_col))
     left = df.withColumn("_ipnum", ip_num).filter(F.col("_ipnum").isNotNull()) \
              .withColumn("_bucket", F.shiftright(F.col("_ipnum"), BUCKET_BITS))
     b = bucketed_blocks(blocks).withColumnRenamed("bucket", "_bucket")
-    b = broadcast_if_small(b, max_broadcast_rows)
     j = left.join(b, "_bucket", "inner").filter(
         (F.col("_ipnum") >= F.col("start_ip")) & (F.col("_ipnum") <= F.col("end_ip")))
     return j.drop("_bucket", "_ipnum", "start_ip", "end_ip")
 
 
-def resolve_names(df: DataFrame, address_col: str, names: DataFrame,
-                  max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def resolve_names(df: DataFrame, address_col: str, names: DataFrame) -> DataFrame:
     """Add ``name`` for the address column; ``unresolvable`` when absent."""
     n = names.groupBy("address").agg(F.min("name").alias("name"))   # one name per address
-    n = broadcast_if_small(n, max_broadcast_rows)
     j = df.join(n, df[address_col] == n["address"], "left")
     return j.select(*[df[c] for c in df.columns], F.coalesce(n["name"], F.lit(UNRESOLVED)).alias("name"))
 
 
 def map_feed(facts: DataFrame, blocks: DataFrame, kind: str = "proxy", k: int | None = None,
-             names: DataFrame | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+             names: DataFrame | None = None) -> DataFrame:
     """Top destinations (proxy, 100) or clients (web, 500) by total bytes, private
     addresses excluded (F7, D24, D25), then located (J9); unlocated ones drop out.
 
@@ -56,13 +54,24 @@ def map_feed(facts: DataFrame, blocks: DataFrame, kind: str = "proxy", k: int |
     key = "destip" if kind == "proxy" else "clientip"
     k = k or (100 if kind == "proxy" else 500)
     g = facts.filter(is_public(F.col(key))).groupBy("datasource_id", key).agg(
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("totalBytes"))
+        byte_sum(add_bytes("bytesIn", "bytesOut")).alias("totalBytes"))
     top = top_k(g, k, [F.col("totalBytes").desc(), F.col(key)])
     if names is None:
         return locate(top, key, blocks).withColumnRenamed(key, "address")
     forward = names.groupBy(F.col("name").alias("_name")).agg(F.min("address").alias("_address"))
-    forward = broadcast_if_small(forward, max_broadcast_rows)
     top = top.join(forward, top[key] == forward["_name"], "left")
     top = top.withColumn("_lookup", F.when(is_strict_ip(F.col(key)), F.col(key)).otherwise(F.col("_address")))
     located = locate(top.drop("_name", "_address"), "_lookup", blocks)
     return located.drop("_lookup").withColumnRenamed(key, "address")
+
+
+def address_location(addresses: DataFrame, blocks: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """A28 for chosen addresses or host names (column ``address``): their location, without
+    totals. Host names are looked up in ``names`` when given; unlocated ones drop out."""
+    a = addresses.select("address").distinct()
+    if names is None:
+        return locate(a, "address", blocks)
+    forward = names.groupBy(F.col("name").alias("_name")).agg(F.min("address").alias("_address"))
+    a = a.join(forward, a["address"] == forward["_name"], "left")
+    a = a.withColumn("_lookup", F.when(is_strict_ip(F.col("address")), F.col("address")).otherwise(F.col("_address")))
+    return locate(a.drop("_name", "_address"), "_lookup", blocks).drop("_lookup")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counts import add_bytes, byte_sum
 from ..functions.ip import client_or_dest
 from ..functions.times import hour_bucket, minute_text
 from .topk import top_k
@@ -32,7 +33,7 @@ def page_search(facts: DataFrame, word: str, kind: str = "proxy", wildcards: boo
     hits = F.count("time") if kind == "proxy" else F.count("page")
     g = facts.filter(cond).groupBy("datasource_id", "clientip").agg(
         hits.alias("pageCount"), F.min("time").alias("first_time"), F.max("time").alias("last_time"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
+        byte_sum(add_bytes("bytesIn", "bytesOut")).alias("bytes"))
     return g.select("datasource_id", "clientip", "pageCount",
                     minute_text(F.col("first_time")).alias("first_seen"),
                     minute_text(F.col("last_time")).alias("last_seen"), "bytes") \
@@ -46,8 +47,8 @@ def _for_ip(facts: DataFrame, ip: str, kind: str) -> DataFrame:
 def ip_hourly(facts: DataFrame, ip: str, kind: str = "proxy", hours: int = 25) -> DataFrame:
     """Hourly bytes in, out and total for one address: first ``hours`` hours."""
     g = _for_ip(facts, ip, kind).groupBy("datasource_id", hour_bucket(F.col("time")).alias("hour")).agg(
-        F.sum("bytesIn").alias("bytes_in"), F.sum("bytesOut").alias("bytes_out"))
-    g = g.withColumn("bytes_total", F.col("bytes_out") + F.col("bytes_in"))
+        byte_sum("bytesIn").alias("bytes_in"), byte_sum("bytesOut").alias("bytes_out"))
+    g = g.withColumn("bytes_total", add_bytes("bytes_out", "bytes_in"))
     return top_k(g, hours, [F.col("hour")])
 
 
@@ -55,5 +56,5 @@ def ip_top_targets(facts: DataFrame, ip: str, kind: str = "proxy", k: int = 25)
     """Top destinations (proxy) or pages (web) of one address by total bytes."""
     key = "destip" if kind == "proxy" else "page"
     g = _for_ip(facts, ip, kind).groupBy("datasource_id", key).agg(
-        (F.sum("bytesOut") + F.sum("bytesIn")).alias("totalBytes"))
+        byte_sum(add_bytes("bytesOut", "bytesIn")).alias("totalBytes"))
     return top_k(g, k, [F.col("totalBytes").desc(), F.col(key)])

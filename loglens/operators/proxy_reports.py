@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.registry import restrict_to_types, with_type
+from ..functions.counts import add_bytes, byte_sum
+from ..plans.registry import of_types, restrict_to_types
 from .topk import top_k
 
 
@@ -22,10 +23,10 @@ def bluecoat_detail(proxy: DataFrame, datasources: DataFrame) -> DataFrame:
     """A1: per (client, destination): bytes in, out, total, requests, direction; total desc."""
     p = restrict_to_types(proxy, datasources, ["bluecoat"])
     g = p.groupBy("datasource_id", "clientip", "destip").agg(
-        F.sum("bytesIn").alias("bytesIn"), F.sum("bytesOut").alias("bytesOut"),
+        byte_sum("bytesIn").alias("bytesIn"), byte_sum("bytesOut").alias("bytesOut"),
         F.count("id").alias("count"))
     return g.select("datasource_id", "clientip", "destip", "bytesIn", "bytesOut",
-                    (F.col("bytesIn") + F.col("bytesOut")).alias("byteTotal"), "count",
+                    add_bytes("bytesIn", "bytesOut").alias("byteTotal"), "count",
                     pair_direction(F.col("bytesIn"), F.col("bytesOut")).alias("direction")) \
             .orderBy(F.col("byteTotal").desc(), "datasource_id", "clientip", "destip")
 
@@ -34,10 +35,10 @@ def bluecoat_summary(proxy: DataFrame, datasources: DataFrame) -> DataFrame:
     """A2: per client: bytes in, out, total, distinct destinations; total desc."""
     p = restrict_to_types(proxy, datasources, ["bluecoat"])
     g = p.groupBy("datasource_id", "clientip").agg(
-        F.sum("bytesIn").alias("bytesIn"), F.sum("bytesOut").alias("bytesOut"),
+        byte_sum("bytesIn").alias("bytesIn"), byte_sum("bytesOut").alias("bytesOut"),
         F.countDistinct("destip").alias("hosts"))
     return g.select("datasource_id", "clientip", "bytesIn", "bytesOut",
-                    (F.col("bytesIn") + F.col("bytesOut")).alias("byteTotal"), "hosts") \
+                    add_bytes("bytesIn", "bytesOut").alias("byteTotal"), "hosts") \
             .orderBy(F.col("byteTotal").desc(), "datasource_id", "clientip")
 
 
@@ -45,14 +46,14 @@ def squid_detail(proxy: DataFrame, datasources: DataFrame) -> DataFrame:
     """A3: per (client, destination): bytes, direction (D23: deterministic pick), requests."""
     p = restrict_to_types(proxy, datasources, ["squid"])
     g = p.groupBy("datasource_id", "clientip", "destip").agg(
-        F.sum("bytesIn").alias("bytes"), F.min("direction").alias("direction"), F.count("id").alias("count"))
+        byte_sum("bytesIn").alias("bytes"), F.min("direction").alias("direction"), F.count("id").alias("count"))
     return g.orderBy(F.col("bytes").desc(), "datasource_id", "clientip", "destip")
 
 
 def squid_summary(proxy: DataFrame, datasources: DataFrame) -> DataFrame:
     """A4: per client: bytes, distinct destinations; bytes desc."""
     p = restrict_to_types(proxy, datasources, ["squid"])
-    g = p.groupBy("datasource_id", "clientip").agg(F.sum("bytesIn").alias("bytes"),
+    g = p.groupBy("datasource_id", "clientip").agg(byte_sum("bytesIn").alias("bytes"),
                                                      F.countDistinct("destip").alias("hosts"))
     return g.orderBy(F.col("bytes").desc(), "datasource_id", "clientip")
 
@@ -66,14 +67,14 @@ def _measure(which: str):
     if which == "out":
         return F.when(t == "bluecoat", F.col("bytesOut")).otherwise(F.col("bytesIn"))
     if which == "total":
-        return F.when(t == "bluecoat", F.col("bytesIn") + F.col("bytesOut")).otherwise(F.col("bytesIn"))
+        return F.when(t == "bluecoat", add_bytes("bytesIn", "bytesOut")).otherwise(F.col("bytesIn"))
     raise ValueError(which)
 
 
 def top_clients_by_bytes(proxy: DataFrame, datasources: DataFrame, which: str, k: int = 50) -> DataFrame:
     """A14 (``in``), A15 (``out``), A16 (``total``): top clients per proxy source."""
-    p = with_type(restrict_to_types(proxy, datasources, ["bluecoat", "squid"]), datasources)
-    g = p.groupBy("datasource_id", "clientip").agg(F.sum(_measure(which)).alias("totalBytes"))
+    p = of_types(proxy, datasources, ["bluecoat", "squid"])
+    g = p.groupBy("datasource_id", "clientip").agg(byte_sum(_measure(which)).alias("totalBytes"))
     return top_k(g, k, [F.col("totalBytes").desc(), F.col("clientip")])
 
 

@@ -1,7 +1,8 @@
 """Suspicion index: per-client shares of a data source's totals.
 
 Baselines are one row per data source; per-client aggregates are joined to them
-on ``datasource_id`` (a broadcast of at most one row per source). Indicator and
+on ``datasource_id`` (one row per source). All figures are rolled up from one aggregate
+per (source, client, page or destination). Indicator and
 beacon sums are pre-aggregated per (source, client) and left-joined (J3, J4; D19).
 Percentages use half-up rounding on the scaled value, ``floor(x*100+0.5)/100``
 (D22), and divide by ``nullif(total, 0)`` (D21).
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counts import add_bytes, byte_sum
+
 
 def round2(col: Column) -> Column:
     return F.floor(col * 100 + 0.5) / 100
@@ -22,49 +25,61 @@ def share(part: Column, total: Column) -> Column:
     return F.when(F.coalesce(part, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.coalesce(round2(pct), F.lit(0.0)))
 
 
-def _web_clients(web: DataFrame, xss: DataFrame) -> DataFrame:
-    per_client = web.groupBy("datasource_id", "clientip").agg(
-        F.count("page").alias("hits"), F.countDistinct("page").alias("pages"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
+def _web_clients(pages: DataFrame, xss: DataFrame) -> DataFrame:
+    per_client = pages.groupBy("datasource_id", "clientip").agg(
+        F.sum("hits").alias("hits"), F.count("page").alias("pages"), byte_sum("bytes").alias("bytes"))
     ind = xss.groupBy("datasource_id", "clientip").agg(F.count("query").alias("xss"))
     return per_client.join(ind, ["datasource_id", "clientip"], "left").fillna(0, ["xss"])
 
 
-def _proxy_clients(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
-    per_client = proxy.groupBy("datasource_id", "clientip").agg(
-        F.countDistinct("destip").alias("dests"),
-        F.sum(F.col("bytesIn") + F.col("bytesOut")).alias("bytes"))
+def _proxy_clients(dests: DataFrame, beacons: DataFrame) -> DataFrame:
+    per_client = dests.groupBy("datasource_id", "clientip").agg(F.count("destip").alias("dests"), byte_sum("bytes").alias("bytes"))
     bsum = beacons.groupBy("datasource_id", "clientip").agg(F.sum("beaconScore").alias("beacon"))
     return per_client.join(bsum, ["datasource_id", "clientip"], "left")
 
 
-def web_baseline(web: DataFrame, xss: DataFrame, clients: DataFrame | None = None) -> DataFrame:
-    """A24 + J5: per source hits, distinct pages, bytes, indicator total.
+def _per_item(facts: DataFrame, item: str) -> DataFrame:
+    """One row per (source, client, item): the only aggregate that reads the rows. Client
+    and source figures are rolled up from it."""
+    return facts.groupBy("datasource_id", "clientip", item).agg(
+        F.count(item).alias("hits"), byte_sum(add_bytes("bytesIn", "bytesOut")).alias("bytes"))
+
+
+def _distinct_items(items: DataFrame, item: str, name: str) -> DataFrame:
+    return items.groupBy("datasource_id").agg(F.countDistinct(item).alias(name))
+
 
-    Additive totals are sums of the per-client aggregates (no second pass over the
-    rows); only the distinct-page total needs its own aggregate."""
-    clients = clients if clients is not None else _web_clients(web, xss)
+def _web_base(items: DataFrame, clients: DataFrame) -> DataFrame:
     sums = clients.groupBy("datasource_id").agg(
-        F.sum("hits").alias("total_hits"), F.sum("bytes").alias("total_bytes"), F.sum("xss").alias("total_xss"))
-    pages = web.groupBy("datasource_id").agg(F.countDistinct("page").alias("total_pages"))
-    return sums.join(pages, "datasource_id").select("datasource_id", "total_hits", "total_pages", "total_bytes",
-                                                    "total_xss")
+        F.sum("hits").alias("total_hits"), byte_sum("bytes").alias("total_bytes"), F.sum("xss").alias("total_xss"))
+    return sums.join(_distinct_items(items, "page", "total_pages"), "datasource_id") \
+        .select("datasource_id", "total_hits", "total_pages", "total_bytes", "total_xss")
+
+
+def _proxy_base(items: DataFrame, clients: DataFrame) -> DataFrame:
+    sums = clients.groupBy("datasource_id").agg(byte_sum("bytes").alias("total_bytes"), F.sum("beacon").alias("total_beacon"))
+    return sums.join(_distinct_items(items, "destip", "total_dests"), "datasource_id") \
+        .select("datasource_id", "total_dests", "total_bytes", "total_beacon")
+
+
+def web_baseline(web: DataFrame, xss: DataFrame) -> DataFrame:
+    """A24 + J5: per source hits, distinct pages, bytes, indicator total."""
+    items = _per_item(web, "page")
+    return _web_base(items, _web_clients(items, xss))
 
 
-def proxy_baseline(proxy: DataFrame, beacons: DataFrame, clients: DataFrame | None = None) -> DataFrame:
+def proxy_baseline(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
     """A25 + J5: per source distinct destinations, bytes, beacon-score total."""
-    clients = clients if clients is not None else _proxy_clients(proxy, beacons)
-    sums = clients.groupBy("datasource_id").agg(F.sum("bytes").alias("total_bytes"),
-                                                F.sum("beacon").alias("total_beacon"))
-    dests = proxy.groupBy("datasource_id").agg(F.countDistinct("destip").alias("total_dests"))
-    return sums.join(dests, "datasource_id").select("datasource_id", "total_dests", "total_bytes", "total_beacon")
+    items = _per_item(proxy, "destip")
+    return _proxy_base(items, _proxy_clients(items, beacons))
 
 
 def web_suspicion(web: DataFrame, xss: DataFrame, limit: int | None = None) -> DataFrame:
     """Hits, pages, bytes and indicator shares per client, summed; index desc.
     ``limit`` keeps the top rows after sorting (never before, D20)."""
-    c = _web_clients(web, xss)
-    c = c.join(F.broadcast(web_baseline(web, xss, c)), "datasource_id")   # one row per source (J6)
+    items = _per_item(web, "page")
+    c = _web_clients(items, xss)
+    c = c.join(_web_base(items, c), "datasource_id")   # one row per source (J6)
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("hits"), F.col("total_hits")).alias("hitsScore"),
@@ -80,8 +95,9 @@ def web_suspicion(web: DataFrame, xss: DataFrame, limit: int | None = None) -> D
 def proxy_suspicion(proxy: DataFrame, beacons: DataFrame, limit: int | None = None) -> DataFrame:
     """Destination, bytes and beacon shares per client, summed; index desc.
     ``limit`` keeps the top rows after sorting (never before, D20)."""
-    c = _proxy_clients(proxy, beacons)
-    c = c.join(F.broadcast(proxy_baseline(proxy, beacons, c)), "datasource_id")
+    items = _per_item(proxy, "destip")
+    c = _proxy_clients(items, beacons)
+    c = c.join(_proxy_base(items, c), "datasource_id")
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("dests"), F.col("total_dests")).alias("ipScore"),

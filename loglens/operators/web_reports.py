@@ -4,15 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.counts import add_bytes, byte_sum
 from ..functions.times import WEEK_SECONDS
 from .topk import top_k
 
-MAX_LITERAL_SOURCES = 256   # above this, week bounds are joined instead of inlined
-
 MEASURES = {
-    "bytesOut": lambda: F.sum("bytesOut"),
-    "bytesIn": lambda: F.sum("bytesIn"),
-    "total": lambda: F.sum("bytesOut") + F.sum("bytesIn"),
+    "bytesOut": lambda: byte_sum("bytesOut"),
+    "bytesIn": lambda: byte_sum("bytesIn"),
+    "total": lambda: byte_sum(add_bytes("bytesOut", "bytesIn")),
     "pages": lambda: F.count("page"),
 }
 
@@ -29,15 +28,31 @@ def web_top(web: DataFrame, key: str, measure: str, k: int = 20, client: str | N
     return top_k(g, k, [F.col(name).desc(), F.col(key)])
 
 
+def web_leaders(web: DataFrame, reports: list[tuple[str, str, str]], k: int = 20) -> DataFrame:
+    """Several top-``k`` reports (label, key, measure) in one frame (report, source, item, value):
+    one aggregate of the rows per key, all its measures at once; the top ``k`` of each
+    measure are then taken from the grouped rows."""
+    out = None
+    for key in dict.fromkeys(r[1] for r in reports):
+        mine = [(label, measure) for label, at, measure in reports if at == key]
+        g = web.groupBy("datasource_id", F.col(key).alias("item")).agg(*[MEASURES[m]().alias(label) for label, m in mine])
+        pairs = F.explode(F.array(*[F.struct(F.lit(label).alias("report"), F.col(label).cast("bigint").alias("value")) for label, _ in mine]))
+        long = g.select("datasource_id", "item", pairs.alias("r")).select("r.report", "datasource_id", "item", "r.value")
+        top = top_k(long, k, [F.col("value").desc(), F.col("item")], ("report", "datasource_id"))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def traffic_summary(web: DataFrame) -> DataFrame:
     """A8 + A9 + A10 (the report's three tables) with a ``report`` label."""
-    a8 = web_top(web, "clientip", "bytesOut", 20).select(F.lit("clients_by_bytes_out").alias("report"), "datasource_id",
-                                                         F.col("clientip").alias("item"), F.col("totalBytes").alias("value"))
-    a9 = web_top(web, "clientip", "pages", 20).select(F.lit("clients_by_pages").alias("report"), "datasource_id",
-                                                      F.col("clientip").alias("item"), F.col("totalPages").alias("value"))
-    a10 = web_top(web, "page", "bytesOut", 20).select(F.lit("pages_by_bytes_out").alias("report"), "datasource_id",
-                                                      F.col("page").alias("item"), F.col("totalBytes").alias("value"))
-    return a8.unionByName(a9).unionByName(a10)
+    return web_leaders(web, [("clients_by_bytes_out", "clientip", "bytesOut"), ("clients_by_pages", "clientip", "pages"),
+                             ("pages_by_bytes_out", "page", "bytesOut")])
+
+
+def byte_leaders(web: DataFrame) -> DataFrame:
+    """Pages and clients by bytes in and out, with a ``report`` label."""
+    return web_leaders(web, [("pages_by_bytes_in", "page", "bytesIn"), ("pages_by_bytes_out", "page", "bytesOut"),
+                             ("clients_by_bytes_out", "clientip", "bytesOut"), ("clients_by_bytes_in", "clientip", "bytesIn")])
 
 
 def latest_time(web: DataFrame) -> DataFrame:
@@ -45,34 +60,23 @@ def latest_time(web: DataFrame) -> DataFrame:
     return web.groupBy("datasource_id").agg(F.max("time").alias("last_time"))
 
 
-def _weeks(web: DataFrame) -> DataFrame:
+def _weeks(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
     """Rows tagged ``current`` (last - 1 week < t < last) or ``previous``
     (last - 2 weeks < t < last - 1 week); bounds exclusive (D16, D17).
 
-    The newest time per source is computed first (one row per data source, so the
-    driver receives a bounded handful of numbers) and the two-week window becomes
-    a literal predicate: it reaches the Parquet scan, and row groups outside the
-    window are skipped by their min/max statistics."""
-    last = latest_time(web)
-    bounds = [(r["datasource_id"], r["last_time"]) for r in last.limit(MAX_LITERAL_SOURCES + 1).collect()
-              if r["last_time"] is not None]
-    if len(bounds) > MAX_LITERAL_SOURCES:
-        # Very many sources: keep the bounds as a (broadcast, one row per source) join.
-        w = web.select("datasource_id", "time", "page").join(F.broadcast(last), "datasource_id")
+    The newest time of each source is joined, one row a source. A caller that knows the newest
+    times passes them (``last_times``, source to time): the two weeks are then a literal
+    predicate that reaches the Parquet scan and skips row groups by their statistics."""
+    if last_times is None:
+        w = web.select("datasource_id", "time", "page").join(latest_time(web), "datasource_id")
         w = w.filter((F.col("time") > F.col("last_time") - 2 * WEEK_SECONDS) & (F.col("time") < F.col("last_time")))
         return _tag_weeks(w)
-    if not bounds:
-        return web.select("datasource_id", "time", "page", F.lit(None).cast("bigint").alias("last_time"),
-                          F.lit(None).cast("string").alias("week")).limit(0)
-    window = None
-    last_col = None
-    for ds, newest in bounds:
-        cond = (F.col("datasource_id") == ds) & (F.col("time") > newest - 2 * WEEK_SECONDS) & (F.col("time") < newest)
-        window = cond if window is None else window | cond
-        last_col = (F.when(F.col("datasource_id") == ds, F.lit(newest)) if last_col is None
-                    else last_col.when(F.col("datasource_id") == ds, F.lit(newest)))
-    w = web.filter(window).select("datasource_id", "time", "page", last_col.cast("bigint").alias("last_time"))
-    return _tag_weeks(w)
+    window, last_col = F.lit(False), F.lit(None).cast("bigint")
+    for ds, newest in last_times.items():
+        mine = F.col("datasource_id") == int(ds)
+        window = window | (mine & (F.col("time") > int(newest) - 2 * WEEK_SECONDS) & (F.col("time") < int(newest)))
+        last_col = F.when(mine, F.lit(int(newest)).cast("bigint")).otherwise(last_col)
+    return _tag_weeks(web.filter(window).select("datasource_id", "time", "page", last_col.alias("last_time")))
 
 
 def _tag_weeks(w: DataFrame) -> DataFrame:
@@ -82,36 +86,29 @@ def _tag_weeks(w: DataFrame) -> DataFrame:
     return w.withColumn("week", week).filter(F.col("week").isNotNull())
 
 
-def page_week_totals(web: DataFrame) -> DataFrame:
+def page_week_totals(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
     """Per data source: last time and the distinct (time, page) totals of both weeks."""
-    d = _weeks(web).select("datasource_id", "last_time", "week", "time", "page").distinct()
+    d = _weeks(web, last_times).select("datasource_id", "last_time", "week", "time", "page").distinct()
     return d.groupBy("datasource_id", "last_time").agg(
         F.count(F.when(F.col("week") == "current", 1)).alias("current_total"),
         F.count(F.when(F.col("week") == "previous", 1)).alias("previous_total"))
 
 
-def page_changes(web: DataFrame) -> DataFrame:
+def page_changes(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
     """P2 + P3 in one pass: pages seen in only one of the two weeks, with ``change``
     ``new`` (current only) or ``gone`` (previous only). One shuffle on (source, page)."""
-    w = _weeks(web)
-    g = w.groupBy("datasource_id", "page").agg(
+    g = _weeks(web, last_times).groupBy("datasource_id", "page").agg(
         F.max(F.when(F.col("week") == "current", 1).otherwise(0)).alias("cur"),
         F.max(F.when(F.col("week") == "previous", 1).otherwise(0)).alias("prev"))
     return g.filter(F.col("cur") != F.col("prev")).select(
         "datasource_id", "page", F.when(F.col("cur") == 1, "new").otherwise("gone").alias("change"))
 
 
-def new_pages(web: DataFrame) -> DataFrame:
-    """Current week minus previous week (set difference)."""
-    w = _weeks(web)
-    cur = w.filter(F.col("week") == "current").select("datasource_id", "page")
-    prev = w.filter(F.col("week") == "previous").select("datasource_id", "page")
-    return cur.subtract(prev)
+def new_pages(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
+    """Pages of the current week that the previous week has not."""
+    return page_changes(web, last_times).filter(F.col("change") == "new").drop("change")
 
 
-def gone_pages(web: DataFrame) -> DataFrame:
-    """Previous week minus current week."""
-    w = _weeks(web)
-    cur = w.filter(F.col("week") == "current").select("datasource_id", "page")
-    prev = w.filter(F.col("week") == "previous").select("datasource_id", "page")
-    return prev.subtract(cur)
+def gone_pages(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
+    """Pages of the previous week that the current week has not."""
+    return page_changes(web, last_times).filter(F.col("change") == "gone").drop("change")

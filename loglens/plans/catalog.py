@@ -32,7 +32,13 @@ REPORT_IP_PROXY = "203.0.113.3"
 REPORT_IP_WEB = "198.51.0.7"
 SEARCH_WORD = "purchase"
 SEARCH_WORD_WEB = "/en/1"
-FREE_SQL = "SELECT DISTINCT clientip FROM web_data WHERE page LIKE '%/fr/%'"
+FREE_SQL = """
+    SELECT x.clientip, c.name AS collection
+    FROM xss_data x JOIN datasources d ON d.id = x.datasource_id JOIN collections c ON c.id = d.collection_id
+    WHERE x.clientip IN (SELECT clientip FROM web_data WHERE bytesOut > 100)
+    UNION
+    SELECT b.clientip, 'beacons' FROM beacon_data b JOIN proxy_data p ON p.clientip = b.clientip AND p.datasource_id = b.datasource_id
+    WHERE b.beaconScore >= 6 AND p.direction = 'in'"""
 
 
 def _registry(spark):
@@ -119,10 +125,23 @@ def s10_dispatch_web(spark, sf):
 
 
 def s11_reject_counts(spark, sf):
-    """Lines that gave no row, per source and reason (proxy and web)."""
-    web = reject_counts(_typed(si.web_lines(spark, sf), spark), "web")
-    proxy = reject_counts(_typed(si.proxy_lines(spark, sf), spark), "proxy")
-    return web.unionByName(proxy)
+    """Lines that gave no row, per kind, source and reason."""
+    web = reject_counts(_typed(si.damaged_web_lines(spark, sf), spark), "web")
+    proxy = reject_counts(_typed(si.damaged_proxy_lines(spark, sf), spark), "proxy")
+    return web.withColumn("kind", F.lit("web")).unionByName(proxy.withColumn("kind", F.lit("proxy")))
+
+
+def s4_numbers_proxy(spark, sf):
+    """M2 + T1: proxy lines over long, negative, blank-like and suffixed numbers and times."""
+    lines = si.number_lines(spark, sf).filter(F.col("type").isin("squid", "bluecoat"))
+    return parse_lines(lines, "proxy").groupBy("datasource_id", "time", "bytesIn", "bytesOut", "bytesDiff", "direction") \
+        .agg(F.count(F.lit(1)).alias("lines"))
+
+
+def s7_numbers_web(spark, sf):
+    """M2: web lines over the same numbers."""
+    lines = si.number_lines(spark, sf).filter(F.col("type") == "apache")
+    return parse_lines(lines, "web").groupBy("datasource_id", "time", "bytesIn", "bytesOut").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def s12_partition_scan(spark, sf):
@@ -318,18 +337,7 @@ def a17_top_clients_hosts(spark, sf):
 
 def a18_web_byte_leaders(spark, sf):
     """Four parametrisations of one top-k (pages/clients by bytes in/out)."""
-    w = _web(spark, sf)
-    parts = []
-    for label, key, measure in [("pages_by_bytes_in", "page", "bytesIn"), ("pages_by_bytes_out", "page", "bytesOut"),
-                                ("clients_by_bytes_out", "clientip", "bytesOut"),
-                                ("clients_by_bytes_in", "clientip", "bytesIn")]:
-        t = web_reports.web_top(w, key, measure, 20)
-        parts.append(t.select(F.lit(label).alias("report"), "datasource_id", F.col(key).alias("item"),
-                              F.col("totalBytes").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return web_reports.byte_leaders(_web(spark, sf))
 
 
 def a19_beacon_listing(spark, sf):
@@ -349,6 +357,11 @@ def a19_listing_after_import(spark, sf):
     return beacon.beacon_listing(beacon.beacon_scores(store.read("proxy_data"), ds), min_score=3)
 
 
+def a19_beacon_listing_all_labels(spark, sf):
+    """A19 at the dashboard's threshold 2 (D15): Low rows are listed too."""
+    return beacon.beacon_listing(_beacons(spark, sf), min_score=2)
+
+
 def a20_ip_hourly_proxy(spark, sf):
     return explore.ip_hourly(_proxy(spark, sf), REPORT_IP_PROXY, "proxy")
 
@@ -369,6 +382,11 @@ def a22_indicator_listing(spark, sf):
     return indicators.indicator_listing(_xss(spark, sf))
 
 
+def a22_indicators_of_client(spark, sf):
+    """A22 for one client of one source."""
+    return indicators.indicator_listing(_xss(spark, sf), datasource_id=4, client=REPORT_IP_WEB)
+
+
 def a23_page_search_proxy(spark, sf):
     return explore.page_search(_proxy(spark, sf), SEARCH_WORD, "proxy")
 
@@ -401,6 +419,17 @@ def a28_map_feed_web(spark, sf):
     return enrich.map_feed(_web(spark, sf), si.geo_blocks(spark, sf), "web")
 
 
+def a28_map_feed_names(spark, sf):
+    """A28 with host-name destinations located through their names' addresses."""
+    return enrich.map_feed(_proxy(spark, sf), si.geo_blocks(spark, sf), "proxy", names=si.destination_names(spark, sf))
+
+
+def a28_map_one_address(spark, sf):
+    """A28 for one chosen address, among the destinations that occur."""
+    chosen = _proxy(spark, sf).filter(F.col("destip") == REPORT_IP_PROXY).select(F.col("destip").alias("address"))
+    return enrich.address_location(chosen, si.geo_blocks(spark, sf))
+
+
 def a29_latest_time(spark, sf):
     return web_reports.latest_time(_web(spark, sf))
 
@@ -455,14 +484,21 @@ def t2_hourly_requests(spark, sf):
 
 
 def q1_free_sql(spark, sf):
-    """Q1: free SQL over registered tables; first column resolved to names."""
-    tables = {"proxy_data": _proxy(spark, sf), "web_data": _web(spark, sf)}
-    return resolve_query(spark, FREE_SQL, si.host_names(spark, sf), tables)
+    """Q1: free SQL over all six stored tables; first column resolved to names."""
+    store = LogStore(spark, scratch_path(spark, "free-sql"))
+    coll, ds = _registry(spark)
+    store.write_registry(coll, ds)
+    store.append("proxy_data", _proxy(spark, sf))
+    store.append("web_data", _web(spark, sf))
+    store.replace_sources("beacon_data", beacon.beacon_scores(store.read("proxy_data"), ds), [1, 2])
+    store.replace_sources("xss_data", indicators.indicator_rows(store.read("web_data")), [3, 4, 5])
+    store.register_views()
+    return resolve_query(spark, FREE_SQL, si.host_names(spark, sf))
 
 
 _ALL = [
     s1_text_scan_proxy, s3_tokenize_documents, s4_parse_squid, s5_parse_bluecoat_a, s6_parse_bluecoat_b,
-    s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s12_partition_scan,
+    s4_numbers_proxy, s7_numbers_web, s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s12_partition_scan,
     k1_create_tables, k2_append_proxy, k3_append_web, k4_replace_beacons, k5_replace_indicators,
     k6_registry_add, k7_names_csv, k8_beacon_projection,
     f4_ip_literal_dests, f7_public_addresses, f22_kilobytes_top_clients,
@@ -471,10 +507,10 @@ _ALL = [
     a7_beacon_scores, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
     a12_top_pages_of_client, a13_top_pages_total, a14_top_clients_bytes_in, a15_top_clients_bytes_out,
     a16_top_clients_bytes_total, a17_top_clients_hosts, a18_web_byte_leaders, a19_beacon_listing,
-    a19_beacon_listing_for_ip, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,
-    a21_ip_top_pages, a22_indicator_listing, a23_page_search_proxy, a23_page_search_web,
+    a19_beacon_listing_for_ip, a19_beacon_listing_all_labels, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,
+    a21_ip_top_pages, a22_indicator_listing, a22_indicators_of_client, a23_page_search_proxy, a23_page_search_web,
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
-    a28_map_feed_proxy, a28_map_feed_web, a29_latest_time,
+    a28_map_feed_proxy, a28_map_feed_web, a28_map_feed_names, a28_map_one_address, a29_latest_time,
     p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, p4_indicator_rows,
     r1_document_indicators, r1_page_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql,
 ]

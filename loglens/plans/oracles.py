@@ -8,10 +8,23 @@ Sums are cast to BIGINT (DuckDB widens them); rounding uses explicit formulas
 """
 from __future__ import annotations
 
-from ..functions.indicators import DETECTORS
-from ..functions.ip import IP_PREFIX_PATTERN, STRICT_IP_PATTERN
-from .catalog import FREE_SQL, REPORT_IP_PROXY, REPORT_IP_WEB, SEARCH_WORD, SEARCH_WORD_WEB
-from .registry import SEED_COLLECTIONS, SEED_DATASOURCES
+# Fixed values, stated here again so that a wrong one in the library shows: the four
+# detector patterns in order, the two address patterns, the seed registry.
+DETECTORS = [
+    ("keyword", r"drop|delete|truncate|update|insert|select|declare|union|create|concat", "sqli"),
+    ("meta", r"((\%3D)|(=))[^\n]*((\%27)|(\')|(\-\-)|(\%3B)|(;))|\w*((\%27)|(\'))((\%6F)|o|(\%4F))((\%72)|r|(\%52))", "sqli"),
+    ("exec", r"exec(\s|\+)+(s|x)p\w+", "sqli"),
+    ("xss", r"((\%3C)|<)((\%2F)|\/)*[a-z0-9\%]+((\%3E)|>)|((\%3C)|<)((\%69)|i|(\%49))((\%6D)|m|(\%4D))((\%67)|g|(\%47))[^\n]+((\%3E)|>)", "xss"),
+]
+IP_PREFIX_PATTERN = r"^\b(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
+STRICT_IP_PATTERN = r"^([1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(\.([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])){3}$"
+SEED_COLLECTIONS = [(1, "incident", "Example incident"), (2, "empty", "No sources")]
+SEED_DATASOURCES = [(1, 1, "bc", "bluecoat", ""), (2, 1, "sq", "squid", ""), (3, 1, "www", "apache", ""),
+                    (4, 1, "iis", "iis", ""), (5, 1, "iiss", "iis-short", "")]
+
+# Parameters of the queries under test.
+REPORT_IP_PROXY, REPORT_IP_WEB = "203.0.113.3", "198.51.0.7"
+SEARCH_WORD, SEARCH_WORD_WEB = "purchase", "/en/1"
 
 
 def _q(text: str) -> str:
@@ -205,11 +218,31 @@ def oracle_sql() -> dict[str, str]:
     out["s10_dispatch_web"] = W + (f"SELECT * FROM ({APACHE_EXPECTED}) WHERE datasource_id = 3 UNION ALL "
                                    f"SELECT * FROM ({IIS_EXPECTED}) WHERE datasource_id = 4 UNION ALL "
                                    f"SELECT * FROM ({IIS_SHORT_EXPECTED}) WHERE datasource_id = 5")
-    out["s11_reject_counts"] = W + (
-        f"SELECT datasource_id, reason, count(*) AS lines FROM (SELECT datasource_id, CASE "
+    out["s11_reject_counts"] = _with(PROXY, WEB) + (
+        f"SELECT kind, datasource_id, reason, count(*) AS lines FROM (SELECT 'web' AS kind, datasource_id, CASE "
+        f"WHEN id % 31 = 1 THEN 'unbalanced_quote' WHEN id % 31 = 2 THEN 'not_digit_first' "
+        f"WHEN id % 31 = 3 AND datasource_id = 3 THEN 'unbalanced_quote' WHEN id % 31 = 3 THEN 'unparsed' "
         f"WHEN datasource_id IN (4, 5) AND {ODD_QUOTES} THEN 'unbalanced_quote' "
-        f"WHEN id % 23 = 0 THEN 'status_404' END AS reason FROM web_data) WHERE reason IS NOT NULL "
-        f"GROUP BY datasource_id, reason")
+        f"WHEN id % 23 = 0 THEN 'status_404' END AS reason FROM web_data UNION ALL "
+        f"SELECT 'proxy', datasource_id, CASE id % 31 WHEN 1 THEN 'unbalanced_quote' WHEN 2 THEN 'not_digit_first' "
+        f"WHEN 3 THEN 'unparsed' END FROM proxy_data) WHERE reason IS NOT NULL GROUP BY kind, datasource_id, reason")
+    # texts 5000000000, 20 digits, -7, junk, 12d, 0, 4294967296, 2^63 - 1, 1.5: integer or not, and its value
+    numbers = ("nums(i, ok, v) AS (VALUES (0, true, CAST(5000000000 AS HUGEINT)), (1, true, 0), (2, true, -7), (3, false, 0), (4, false, 0), "
+               "(5, true, 0), (6, true, 4294967296), (7, true, 9223372036854775807), (8, false, 0))")
+    # lines that begin with 1700000000123, 1700000000, 1700000000d, 1700000000.9, -5.5, inf, 1e3, +12., 20 digits
+    times = "times(i, t) AS (VALUES (0, 1700000000123), (1, 1700000000), (3, 1700000000), (6, 1000))"
+    out["s4_numbers_proxy"] = _with(numbers, times) + (
+        "SELECT datasource_id, time, bytesIn, bytesOut, bytesDiff, direction, count(*) AS lines FROM ("
+        "SELECT CAST(2 AS INTEGER) AS datasource_id, CAST(t.t AS BIGINT) AS time, CAST(greatest(n.v, 0) AS BIGINT) AS bytesIn, CAST(0 AS BIGINT) AS bytesOut, "
+        "CAST(abs(n.v) AS BIGINT) AS bytesDiff, '' AS direction FROM events e JOIN nums n ON n.i = e.event_id % 9 AND n.ok "
+        "JOIN times t ON t.i = (e.event_id // 9) % 9 UNION ALL "
+        "SELECT CAST(1 AS INTEGER), CAST(1700000000 AS BIGINT), CAST(greatest(n.v, 0) AS BIGINT), CAST(greatest(m.v, 0) AS BIGINT), "
+        "CAST(least(abs(n.v - m.v), 9223372036854775807) AS BIGINT), CASE WHEN n.v > m.v THEN 'in' WHEN n.v < m.v THEN 'out' ELSE 'unknown' END "
+        "FROM events e JOIN nums n ON n.i = e.event_id % 9 AND n.ok JOIN nums m ON m.i = (e.event_id // 9) % 9 AND m.ok) "
+        "GROUP BY datasource_id, time, bytesIn, bytesOut, bytesDiff, direction")
+    out["s7_numbers_web"] = _with(numbers) + (
+        "SELECT CAST(3 AS INTEGER) AS datasource_id, CAST(1700000000 AS BIGINT) AS time, CAST(0 AS BIGINT) AS bytesIn, "
+        "CAST(greatest(n.v, 0) AS BIGINT) AS bytesOut, count(*) AS lines FROM events e JOIN nums n ON n.i = e.event_id % 9 GROUP BY greatest(n.v, 0)")
     out["s12_partition_scan"] = P + f"SELECT id, {PROXY_COLS} FROM proxy_data WHERE datasource_id = 2"
     out["k1_create_tables"] = _with(PROXY, WEB) + (
         "SELECT 'proxy_data' AS table_name, count(*) AS rows FROM proxy_data UNION ALL "
@@ -304,6 +337,7 @@ def oracle_sql() -> dict[str, str]:
                "CASE WHEN beaconScore >= 6 THEN 'High' WHEN beaconScore >= 3 THEN 'Medium' ELSE 'Low' END AS probability "
                "FROM beacons ")
     out["a19_beacon_listing"] = beacons + listing + "WHERE beaconScore >= 3"
+    out["a19_beacon_listing_all_labels"] = beacons + listing + "WHERE beaconScore >= 2"
     out["a19_listing_after_import"] = beacons + listing + "WHERE beaconScore >= 3"
     out["a19_beacon_listing_for_ip"] = beacons + listing + f"WHERE clientip = '{REPORT_IP_PROXY}' OR destip = '{REPORT_IP_PROXY}'"
     out["a20_ip_hourly_proxy"] = P + _ip_hourly("proxy_data", f"clientip = '{REPORT_IP_PROXY}' OR destip = '{REPORT_IP_PROXY}'")
@@ -313,6 +347,8 @@ def oracle_sql() -> dict[str, str]:
     out["a21_ip_top_pages"] = W + _top("web_data", "page", "sum(bytesOut) + sum(bytesIn)", 25, "totalBytes",
                                        f"WHERE clientip = '{REPORT_IP_WEB}'")
     out["a22_indicator_listing"] = _with(WEB, XSS) + "SELECT datasource_id, clientip, query, xsstype FROM xss"
+    out["a22_indicators_of_client"] = _with(WEB, XSS) + (
+        f"SELECT datasource_id, clientip, query, xsstype FROM xss WHERE datasource_id = 4 AND clientip = '{REPORT_IP_WEB}'")
     out["a23_page_search_proxy"] = P + _page_search(
         "proxy_data", f"contains(lower(page), '{SEARCH_WORD.lower()}') OR contains(lower(destip), '{SEARCH_WORD.lower()}')", "time")
     out["a23_page_search_web"] = W + _page_search("web_data", f"contains(lower(page), '{SEARCH_WORD_WEB.lower()}')", "page")
@@ -346,6 +382,18 @@ def oracle_sql() -> dict[str, str]:
         "SELECT *, floor((ipScore + bytesScore + beaconScore) * 100 + 0.5) / 100 AS suspicionScore FROM s")
     out["a28_map_feed_proxy"] = _with(PROXY, GEO) + _map_feed("proxy_data", "destip", 100)
     out["a28_map_feed_web"] = _with(WEB, GEO) + _map_feed("web_data", "clientip", 500)
+    dest_names = ("dest_names AS (SELECT DISTINCT concat('203.', CAST(length(event_type) % 5 * 16 + 1 AS VARCHAR), '.0.9') AS address, "
+                  "concat(event_type, '.example.com') AS name FROM events)")
+    private = ("destip <> '0.0.0.0' AND NOT starts_with(destip, '192.168.1.') AND NOT starts_with(destip, '10.') AND NOT starts_with(destip, '172.16.')")
+    top = _top("proxy_data", "destip", "sum(bytesIn + bytesOut)", 100, "totalBytes", f"WHERE {private}")
+    out["a28_map_feed_names"] = _with(PROXY, GEO, dest_names) + (
+        "SELECT t.datasource_id, t.destip AS address, t.totalBytes, g.latitude, g.longitude, g.country, g.region, g.city FROM ("
+        f"SELECT x.*, CASE WHEN regexp_matches(trim(x.destip), '{STRICT_IP_PATTERN}') THEN x.destip ELSE n.address END AS lookup "
+        f"FROM ({top}) x LEFT JOIN dest_names n ON n.name = x.destip) t JOIN geo_blocks g ON {IPNUM.replace('{a}', 't.lookup')} BETWEEN g.start_ip AND g.end_ip")
+    out["a28_map_one_address"] = _with(PROXY, GEO) + (
+        "SELECT a.address, g.latitude, g.longitude, g.country, g.region, g.city FROM "
+        f"(SELECT DISTINCT destip AS address FROM proxy_data WHERE destip = '{REPORT_IP_PROXY}') a "
+        f"JOIN geo_blocks g ON {IPNUM.replace('{a}', 'a.address')} BETWEEN g.start_ip AND g.end_ip")
     out["a29_latest_time"] = W + "SELECT datasource_id, max(time) AS last_time FROM web_data GROUP BY datasource_id"
     weeks = _with(WEB, _weeks())
     out["p1_week_totals"] = weeks + (
@@ -381,7 +429,12 @@ def oracle_sql() -> dict[str, str]:
         "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages)")
     out["t2_hourly_requests"] = P + (f"SELECT datasource_id, {_hour('time')} AS hour, count(*) AS requests, "
                                      f"CAST(sum(bytesIn) AS BIGINT) AS bytesIn FROM proxy_data GROUP BY datasource_id, {_hour('time')}")
-    out["q1_free_sql"] = _with(WEB, HOST_NAMES) + (
-        "SELECT w.clientip AS key, coalesce(n.name, 'unresolvable') AS name FROM ("
-        + FREE_SQL.replace("SELECT DISTINCT clientip", "SELECT DISTINCT clientip") + ") w LEFT JOIN host_names n ON n.address = w.clientip")
+    out["q1_free_sql"] = _with(
+        PROXY, WEB, REGISTRY, BEACON, XSS, HOST_NAMES,
+        "listed AS (SELECT DISTINCT x.clientip, c.name AS label FROM xss x JOIN datasources_t d ON d.id = x.datasource_id "
+        "JOIN collections_t c ON c.id = d.collection_id WHERE x.clientip IN (SELECT clientip FROM web_data WHERE bytesOut > 100))",
+        "called AS (SELECT DISTINCT b.clientip, 'beacons' AS label FROM beacons b WHERE b.beaconScore >= 6 AND EXISTS "
+        "(SELECT 1 FROM proxy_data p WHERE p.clientip = b.clientip AND p.datasource_id = b.datasource_id AND p.direction = 'in'))") + (
+        "SELECT w.clientip AS key, coalesce(n.name, 'unresolvable') AS name FROM "
+        "(SELECT * FROM listed UNION ALL SELECT * FROM called) w LEFT JOIN host_names n ON n.address = w.clientip")
     return out

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import COLLECTIONS, DATASOURCES, LOG_TYPES
-from .joins import broadcast_if_small
 
 # The registry seed used with the stand-in data (FIXTURES §1).
 SEED_COLLECTIONS = [(1, "incident", "Example incident"), (2, "empty", "No sources")]
@@ -59,7 +58,7 @@ def add_datasource(datasources: DataFrame, name: str, log_type: str, collection_
 def sources_with_collection(datasources: DataFrame, collections: DataFrame) -> DataFrame:
     """Data sources with their collection's name (inner join)."""
     c = collections.select(F.col("id").alias("collection_id"), F.col("name").alias("collection_name"))
-    return datasources.join(broadcast_if_small(c), "collection_id", "inner").select(
+    return datasources.join(c, "collection_id", "inner").select(
         F.col("name").alias("datasource_name"), F.col("id").alias("datasource_id"), "type",
         "collection_name", "collection_id")
 
@@ -77,11 +76,16 @@ def sources_of_types(datasources: DataFrame, types) -> DataFrame:
 
 
 def restrict_to_types(facts: DataFrame, datasources: DataFrame, types) -> DataFrame:
-    """keep fact rows whose data source has one of ``types`` (semi join, broadcast dim)."""
-    return facts.join(broadcast_if_small(sources_of_types(datasources, types)), "datasource_id", "left_semi")
+    """keep fact rows whose data source has one of ``types`` (semi join; Spark broadcasts the registry by its size)."""
+    return facts.join(sources_of_types(datasources, types), "datasource_id", "left_semi")
 
 
 def with_type(facts: DataFrame, datasources: DataFrame) -> DataFrame:
     """Add the data-source ``type`` column to fact rows."""
     t = datasources.select(F.col("id").alias("datasource_id"), "type")
-    return facts.join(broadcast_if_small(t), "datasource_id", "inner")
+    return facts.join(t, "datasource_id", "inner")
+
+
+def of_types(facts: DataFrame, datasources: DataFrame, types) -> DataFrame:
+    """F12 with the ``type`` column: rows of data sources of ``types``, one join."""
+    return facts.join(sources_of_types(datasources, types), "datasource_id", "inner")

@@ -173,6 +173,51 @@ def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_many_files(spark, w.select("datasource_id", "id", line.alias("line")))
 
 
+def _damaged(line: F.Column) -> F.Column:
+    """Some lines as they go wrong in practice: an unpaired apostrophe, a header mark, a cut."""
+    eid = F.col("id")
+    return F.when(eid % 31 == 1, F.concat(line, F.lit(" o'clock"))).when(eid % 31 == 2, F.concat(F.lit("#"), line)) \
+        .when(eid % 31 == 3, F.substring_index(line, " ", 6)).otherwise(line)
+
+
+def damaged_proxy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``proxy_lines`` with damaged ones among them."""
+    return proxy_lines(spark, sf_dir).withColumn("line", _damaged(F.col("line")))
+
+
+def damaged_web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``web_lines`` with damaged ones among them."""
+    return web_lines(spark, sf_dir).withColumn("line", _damaged(F.col("line")))
+
+
+# Number texts in the byte and time fields, by event_id % 9.
+NUMBER_TEXTS = ["5000000000", "12345678901234567890", "-7", "junk", "12d", "0", "4294967296", "9223372036854775807", "1.5"]
+TIME_TEXTS = ["1700000000123", "1700000000", "1700000000d", "1700000000.9", "-5.5", "inf", "1e3", "+12.", "99999999999999999999"]
+
+
+def number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(datasource_id, id, type, line) from ``events``: squid lines (source 2) over the number and
+    time texts, bluecoat lines (source 1) and apache lines (source 3) over the number texts."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    pick = lambda texts, n: F.element_at(F.array(*[F.lit(t) for t in texts]), (n % len(texts) + 1).cast("int"))
+    number, other, time = pick(NUMBER_TEXTS, F.col("id")), pick(NUMBER_TEXTS, F.floor(F.col("id") / 9)), pick(TIME_TEXTS, F.floor(F.col("id") / 9))
+    client = F.concat(F.lit("10.0.0."), (F.col("id") % 200).cast("string"))
+    squid = F.concat_ws(" ", time, F.lit("5"), client, F.lit("TCP_MISS/200"), number, F.lit("GET http://h.example.com/p - DIRECT/h text/html"))
+    blue = F.concat_ws(" ", F.lit("2023-11-14 22:13:20 1"), client, F.lit("200 HIT 1 2 GET http a b c text/html x h.example.com 80 /p - - UA y"), number, other)
+    apache = F.concat_ws(" ", client, F.lit('- - [14/Nov/2023:22:13:20 +0000] "GET /p HTTP/1.1" 200'), number, F.lit('"-" "UA"'))
+    kinds = F.explode(F.array(F.struct(F.lit(2).alias("datasource_id"), F.lit("squid").alias("type"), squid.alias("line")),
+                              F.struct(F.lit(1).alias("datasource_id"), F.lit("bluecoat").alias("type"), blue.alias("line")),
+                              F.struct(F.lit(3).alias("datasource_id"), F.lit("apache").alias("type"), apache.alias("line"))))
+    return e.select("id", kinds.alias("k")).select("k.datasource_id", "id", "k.type", "k.line")
+
+
+def destination_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address-to-name rows for the host names that occur as proxy destinations."""
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    return kinds.select(F.concat(F.lit("203."), (F.length("event_type") % 5 * 16 + 1).cast("string"), F.lit(".0.9")).alias("address"),
+                        F.concat("event_type", F.lit(".example.com")).alias("name"))
+
+
 def registry_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The registry seed: two collections (one empty) and five data sources, one per type."""
     from ..plans.registry import seed_registry

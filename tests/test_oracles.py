@@ -9,7 +9,8 @@ from conftest import SF_SMALL  # noqa: E402
 
 def test_all_queries_match_oracles(spark):
     from check_oracle import compare_all
-    results = compare_all(spark, SF_SMALL, echo=lambda m: None)
+    from loglens.plans.catalog import QUERIES
+    results = compare_all(spark, SF_SMALL, echo=lambda m: None, names=QUERIES)
     bad = [m for _, ok, m in results if not ok]
     assert len(results) >= 60
     assert not bad, "\n".join(bad)

@@ -2,7 +2,7 @@
 import pytest
 
 from conftest import SF_SMALL
-from loglens.operators import beacon, explore, proxy_reports, web_reports
+from loglens.operators import beacon, enrich, explore, proxy_reports, suspicion, web_reports
 from loglens.plans import stand_in as si
 from loglens.plans.store import LogStore
 
@@ -28,14 +28,16 @@ def test_top_k_limits_before_the_shuffle(stored):
 def test_beacon_aggregates_map_side_and_reads_few_columns(stored, registry):
     proxy, _ = stored
     plan = _formatted(beacon.beacon_scores(proxy, registry[1]))
-    assert "ObjectHashAggregate" in plan and "partial_collect_set" in plan
+    assert "HashAggregate" in plan and "partial_count" in plan and "collect_set" not in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "ReadSchema: struct<clientip:string,destip:string,time:bigint,bytesDiff:bigint,contentType:int>" in plan
 
 
 def test_page_changes_push_time_bounds_to_the_scan(stored):
     _, web = stored
-    plan = _formatted(web_reports.page_changes(web))
+    newest = {r.datasource_id: r.last_time for r in web_reports.latest_time(web).collect()}
+    assert sorted(web_reports.page_changes(web, newest).collect()) == sorted(web_reports.page_changes(web).collect())
+    plan = _formatted(web_reports.page_changes(web, newest))
     assert "PushedFilters: [Or(" in plan and "GreaterThan(time," in plan and "LessThan(time," in plan
 
 
@@ -50,3 +52,25 @@ def test_reports_prune_columns_and_partitions(stored, registry):
     plan = _formatted(proxy_reports.bluecoat_summary(proxy, registry[1]))
     assert "ReadSchema: struct<clientip:string,destip:string,bytesIn:bigint,bytesOut:bigint>" in plan
     assert "dynamicpruning" in plan.lower()
+
+
+def test_building_a_report_runs_no_job(spark, stored, registry):
+    proxy, web = stored
+    blocks, names = si.geo_blocks(spark, SF_SMALL), si.host_names(spark, SF_SMALL)
+    beacons = beacon.beacon_scores(proxy, registry[1])
+    tracker = spark.sparkContext.statusTracker()
+    group = "no-jobs"
+    spark.sparkContext.setJobGroup(group, "building only")
+    try:
+        proxy_reports.top_clients_by_bytes(proxy, registry[1], "in")
+        proxy_reports.bluecoat_summary(proxy, registry[1])
+        web_reports.new_pages(web)
+        web_reports.page_changes(web)
+        web_reports.traffic_summary(web)
+        beacon.beacon_scores(proxy, registry[1])
+        suspicion.proxy_suspicion(proxy, beacons)
+        enrich.map_feed(proxy, blocks, "proxy", names=names)
+        enrich.resolve_names(web, "clientip", names)
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

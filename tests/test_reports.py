@@ -88,13 +88,13 @@ def test_prefilters_keep_unicode_case_folding(spark):
         assert tuple(row) == tuple(bool(re.search(p, t, re.IGNORECASE)) for _, p, _ in DETECTORS), t
 
 
-def test_page_changes_join_path_equals_literal_path(spark, monkeypatch):
+def test_page_changes_join_path_equals_literal_path(spark):
     from conftest import SF_SMALL
     from loglens.plans.stand_in import web_data
     w = web_data(spark, SF_SMALL)
-    literal = sorted(tuple(r) for r in web_reports.page_changes(w).collect())
-    totals = sorted(tuple(r) for r in web_reports.page_week_totals(w).collect())
-    monkeypatch.setattr(web_reports, "MAX_LITERAL_SOURCES", 1)
+    newest = {r.datasource_id: r.last_time for r in web_reports.latest_time(w).collect()}
+    literal = sorted(tuple(r) for r in web_reports.page_changes(w, newest).collect())
+    totals = sorted(tuple(r) for r in web_reports.page_week_totals(w, newest).collect())
     assert sorted(tuple(r) for r in web_reports.page_changes(w).collect()) == literal
     assert sorted(tuple(r) for r in web_reports.page_week_totals(w).collect()) == totals
     assert literal
