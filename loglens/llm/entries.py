@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, ngram_join, passages, quality, repeats, secrets, warc
+from . import ann, decontaminate, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.similar_documents(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,8 @@ QUERIES = {
     "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {
-    "op8_warc": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
-             f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
-        SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
-               CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
-        FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100""",
+    "op1_decontaminate": oracles.OP1,
+    "op8_warc": oracles.OP8,
+    "op9_ngram_join": oracles.OP9,
+    "op10_repeats": oracles.OP10,
 }
