@@ -8,8 +8,8 @@ exclusion), an unknown context costs nothing, and a byte seen in no context 1 /
 after the last escape. The language with the shortest code of the whole text wins.
 
 Learning takes about TRAIN_DOCS documents of each language, chosen by a hash of their id
-among those that may be learned from; whole texts. That bounds the model, which is
-broadcast. Every document is scored whole, in its scan task: no shuffle.
+among those that may be learned from; whole texts. That, and MAX_LANGUAGES, bounds the model,
+which is broadcast. Every document is scored whole, in its scan task: no shuffle.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and so is
 everything where nothing can be learned; ties go to the smaller name; rows are scored one by
@@ -28,6 +28,8 @@ from .common import _LOWER, Chunk, numbers, text_chunks
 
 ORDER = 4
 TRAIN_DOCS = 1000
+#: Languages that are learned, those with the most documents; bounds the model.
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 #: Byte that stands before the start of every text.
 START = 10
@@ -165,8 +167,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", train
     """Model of the languages of ``docs``, from about ``train_docs`` rows of each that are not held out."""
     able = docs.filter(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     able = able.select(F.col(lang_col).alias("lang"), "text", F.xxhash64(F.col(id_col)).alias("h"))
-    share = able.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("share"))
-    some = able.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    share = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES) \
+        .select("lang", (F.lit(float(train_docs)) / F.col("n")).alias("share"))
+    some = able.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
     table = some.groupBy("lang").applyInArrow(_count(order), "lang string, gram long, n long").toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     number = np.searchsorted(languages, table.column("lang").to_pylist()) if languages else np.empty(0, np.int64)
