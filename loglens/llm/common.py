@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-CHUNK_BYTES = 1 << 21
+#: Text that is worked on at a time; arrays of 8 bytes a byte of it are held, several at once.
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1

@@ -37,7 +37,7 @@ STEPS = 300
 LABELS = ("quality", "toxic")
 
 _U = np.uint64
-_CLASSES = np.zeros((5, 256), dtype=np.int64)
+_CLASSES = np.zeros((5, 256), dtype=np.uint8)
 _CLASSES[0, 65:91] = 1                                                             # capitals
 _CLASSES[1, 48:58] = 1                                                             # digits
 _CLASSES[2, [i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:'\"-()"]] = 1   # symbols
@@ -57,7 +57,7 @@ def features(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     rows, found = [(packed >> _U(24)).astype(np.int64)], [(packed & _U(0xFFFFFF)).astype(np.int64)]
     every = np.arange(len(chunk))
     for k, lut in enumerate(_CLASSES):
-        share = segment_sums(lut[chunk.data], chunk.offsets) / size
+        share = segment_sums(lut[chunk.data].astype(np.int32), chunk.offsets) / size
         rows.append(every)
         found.append(BUCKETS + 16 * k + np.searchsorted(_BINS, share, side="left"))
     rows.append(every)
@@ -87,10 +87,11 @@ def _fit(table: pa.Table) -> pa.Table:
     rows, found, n = [], [], 0
     for chunk in text_chunks(iter(table.to_batches())):
         r, f = features(chunk)
-        rows.append(r + n)
-        found.append(f)
+        rows.append((r + n).astype(np.int32))
+        found.append(f.astype(np.int32))
         n += len(chunk)
     row, feature = np.concatenate(rows), np.concatenate(found)
+    del rows, found
     out = []
     for k, label in enumerate(LABELS):
         y = table.column(label).to_numpy(zero_copy_only=False).astype(float)
