@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS, find_words, fresh_name, list_array, segment_sums, suffix_array, text_chunks, with_row_ids
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Benchmark text per broadcast, and broadcasts in one pass over the documents.
 BLOCK_BYTES = 8 << 20
 BLOCKS_PER_PASS = 8
