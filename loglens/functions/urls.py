@@ -9,30 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_SPLIT = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?.*$"
+_MARK = "\u0001"
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def url_split(col) -> Column:
+    """Struct (netloc with its ``//``, path, query) of a URL, by one regular expression."""
+    # the mark parts the pieces, so one that the URL holds itself is taken out first
+    marked = F.regexp_replace(F.replace(_c(col), F.lit(_MARK), F.lit("")), _SPLIT, f"$1{_MARK}$2{_MARK}$3")
+    return F.transform(F.array(F.split(marked, _MARK)), lambda p: F.struct(
+        F.get(p, 0).alias("netloc"), F.get(p, 1).alias("path"), F.get(p, 2).alias("query")))[0]
+
+
+def _host(netloc: Column) -> Column:
+    host = F.regexp_extract(netloc, r"^//(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
+    host = F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
+    return F.when((netloc != "") & (host != ""), host)
+
+
+def _path(path: Column) -> Column:
+    return F.regexp_replace(path, r";[^/]*$", "")
+
+
+def url_host_path(col) -> Column:
+    """Struct (host, path) as ``url_host`` and ``url_path`` give them, the URL split once."""
+    return F.transform(F.array(url_split(col)), lambda u: F.struct(
+        _host(u["netloc"]).alias("host"), _path(u["path"]).alias("path")))[0]
+
+
 def url_host(col) -> Column:
     """Lower-cased host name of an absolute URL; NULL when there is no ``//netloc``."""
-    netloc = F.regexp_extract(_c(col), _SPLIT, 3)
-    has_netloc = F.regexp_extract(_c(col), _SPLIT, 2) != ""
-    host = F.regexp_extract(netloc, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)
-    host = F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
-    return F.when(has_netloc & (host != ""), host)
+    return url_host_path(col)["host"]
 
 
 def url_path(col) -> Column:
     """Path without ``;params`` of its last segment (as a generic URL splitter does)."""
-    path = F.regexp_extract(_c(col), _SPLIT, 4)
-    return F.regexp_replace(path, r";[^/]*$", "")
+    return url_host_path(col)["path"]
 
 
 def url_query(col) -> Column:
-    return F.regexp_extract(_c(col), _SPLIT, 5)
+    return url_split(col)["query"]
 
 
 def request_page(request) -> Column:

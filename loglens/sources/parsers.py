@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.counts import byte_difference
 from ..functions.ip import looks_like_ip
 from ..functions.times import parse_epoch, parse_local_time
-from ..functions.urls import request_page, request_query, url_host, url_path
+from ..functions.urls import request_page, request_query, url_host_path, url_path
 from .tokens import token, with_shell_tokens
 
 # Minimum token counts per format (D34) and the date patterns.
@@ -66,13 +66,13 @@ def _web(clientip, time, b_in, b_out, page, query) -> Column:
 
 def squid(t: Column, tz: str = "UTC") -> Column:
     """client=2, URL=6, bytes=4, epoch=0, type=9. CONNECT targets give ``Unknown``."""
-    url = token(t, 6)
+    url = url_host_path(token(t, 6))
     epoch = parse_epoch(token(t, 0))
     size = token(t, 4)
     ok = (F.size(t) >= MIN_TOKENS["squid"]) & epoch.isNotNull() & _is_int(size)
-    row = _proxy(token(t, 2), F.coalesce(url_host(url), F.lit("Unknown")), epoch,
+    row = _proxy(token(t, 2), F.coalesce(url["host"], F.lit("Unknown")), epoch,
                  _stored_bytes(size), F.lit(0), byte_difference(_int(size), F.lit(0)), F.lit(""),
-                 _html(token(t, 9)), F.coalesce(url_path(url), F.lit("")))
+                 _html(token(t, 9)), F.coalesce(url["path"], F.lit("")))
     return F.when(ok, row)
 
 
