@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Text that is worked on at a time; arrays of 8 bytes a byte of it are held, several at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -174,6 +174,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             j = min(n, i + max_rows, max(i + 1, j))
             yield Chunk(batch, i, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], valid[i:j])
             i = j
+        del batch, arr, data, offsets, buf, off
+        pa.default_memory_pool().release_unused()     # workers stay; give back what the batch took
 
 
 def read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -244,6 +246,21 @@ def find_words(chunk: Chunk, word_bytes: np.ndarray) -> Words:
     return Words(hashes, start, end, doc, offsets)
 
 
+def word_hashes(chunk: Chunk, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a large chunk and the offsets of its rows' words, found in
+    pieces of whole rows."""
+    found, counts, i, n = [np.empty(0, _U)], [], 0, len(chunk)
+    while i < n:
+        j = int(np.searchsorted(chunk.offsets, chunk.offsets[i] + CHUNK_BYTES, side="right")) - 1
+        j = min(n, max(i + 1, j))
+        at = chunk.offsets[i:j + 1]
+        w = find_words(Chunk(chunk.batch, chunk.first + i, chunk.data[at[0]:at[-1]], at - at[0], chunk.valid[i:j]), word_bytes)
+        found.append(w.hashes)
+        counts.append(np.diff(w.offsets))
+        i = j
+    return np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` consecutive words, by first word (rows not separated)."""
     n = len(words) - k + 1

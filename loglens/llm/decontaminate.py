@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, find_words, fresh_name, list_array, segment_sums, suffix_array, text_chunks, with_row_ids
+from .common import ALNUM_WORDS, find_words, fresh_name, list_array, segment_sums, suffix_array, text_chunks, with_row_ids, word_hashes
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -123,16 +123,15 @@ def make_block(table: pa.Table, window: int) -> Block:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int):
-    """(chunk, words, token sequence with a separator of its own after each document,
-    position of each document's first token)."""
+    """(chunk, words of each document, token sequence with a separator of its own after each
+    document, position of each document's first token)."""
     for chunk in text_chunks(batches, chunk_bytes=shard_bytes):
-        w = find_words(chunk, ALNUM_WORDS)
-        n_docs = len(chunk)
-        tokens = np.empty(len(w.hashes) + n_docs, dtype=_U)
-        at = np.arange(len(w.hashes)) + w.doc
-        tokens[at] = w.hashes
-        tokens[w.offsets[1:] + np.arange(n_docs)] = np.arange(n_docs, dtype=_U)
-        yield chunk, w, tokens, w.offsets[:-1] + np.arange(n_docs)
+        hashes, offsets = word_hashes(chunk, ALNUM_WORDS)
+        rows = np.arange(len(chunk))
+        tokens = np.empty(len(hashes) + len(chunk), dtype=_U)
+        tokens[np.arange(len(hashes)) + np.repeat(rows, np.diff(offsets))] = hashes
+        tokens[offsets[1:] + rows] = rows
+        yield chunk, np.diff(offsets), tokens, offsets[:-1] + rows
 
 
 def occurrences(tokens: np.ndarray, sa: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +145,8 @@ def occurrences(tokens: np.ndarray, sa: np.ndarray, block: Block) -> tuple[np.nd
 
 
 def _hits(blocks: list, shard_bytes: int, batches):
-    """Per shard: chunk, its words, hit word ranges (offsets by row, flattened) and items of each row."""
-    for chunk, w, tokens, heads in _shards(batches, shard_bytes):
+    """Per shard: chunk, its numbers of words, hit word ranges (offsets by row, flattened) and items of each row."""
+    for chunk, n_words, tokens, heads in _shards(batches, shard_bytes):
         sa = suffix_array(tokens)
         cover = np.zeros(len(tokens) + 1, dtype=np.int64)
         found = [np.empty((0, 2), np.int64)]
@@ -171,7 +170,7 @@ def _hits(blocks: list, shard_bytes: int, batches):
         for d, i in np.concatenate(found).tolist():
             if names[i] is not None:
                 items[d].add(names[i])
-        yield chunk, w, np.searchsorted(doc, np.arange(len(chunk) + 1)), np.stack([s - heads[doc], e - heads[doc]], axis=1), items
+        yield chunk, n_words, np.searchsorted(doc, np.arange(len(chunk) + 1)), np.stack([s - heads[doc], e - heads[doc]], axis=1), items
 
 
 def _scan(blocks: list, shard_bytes: int):
@@ -179,9 +178,9 @@ def _scan(blocks: list, shard_bytes: int):
     schema = pa.schema([("_rid", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        for chunk, w, offsets, spans, items in _hits(blocks, shard_bytes, batches):
+        for chunk, n_words, offsets, spans, items in _hits(blocks, shard_bytes, batches):
             yield pa.RecordBatch.from_arrays([
-                chunk.column("_rid"), pa.array(np.diff(w.offsets), pa.int64()),
+                chunk.column("_rid"), pa.array(n_words, pa.int64()),
                 list_array(2 * offsets, pa.array(spans.reshape(-1), pa.int64())),
                 pa.array([sorted(x) for x in items], pa.list_(pa.string()))], schema=schema)
 
@@ -191,9 +190,9 @@ def _scan(blocks: list, shard_bytes: int):
 def _keep_clean(blocks: list, shard_bytes: int):
     """The rows that are not contaminated, whole."""
     def run(batches):
-        for chunk, w, offsets, spans, _ in _hits(blocks, shard_bytes, batches):
+        for chunk, n_words, offsets, spans, _ in _hits(blocks, shard_bytes, batches):
             n_hit = segment_sums(spans[:, 1] - spans[:, 0], offsets)
-            clean = ~((n_hit > 0) & (20 * n_hit >= np.diff(w.offsets)))
+            clean = ~((n_hit > 0) & (20 * n_hit >= n_words))
             yield chunk.batch.slice(chunk.first, len(chunk)).filter(pa.array(clean))
 
     return run
@@ -242,20 +241,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).alias("_rid"), "text")
     blocks = [spark.sparkContext.broadcast(b.fields()) for b in benchmark_blocks(benchmark, window, block_bytes)]
     passes = [blocks[k:k + BLOCKS_PER_PASS] for k in range(0, len(blocks), BLOCKS_PER_PASS)]
-    schema = "_rid long, n_words long, spans array<long>, items array<string>"
-    if len(passes) > 1:
-        named = with_row_ids(docs.select(id_col, "text"), id_col)
-        ids, slim = named.select(id_col, "_rid"), named.select("_rid", "text")
-        merged = None
-        for some in passes:
-            part = slim.mapInArrow(_scan(some, shard_bytes), schema)
-            merged = part if merged is None else merged.unionByName(part)
-        merged = merged.groupBy("_rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-                                            F.flatten(F.collect_list("items")).alias("items"))
-    else:
-        ids, merged = None, slim.mapInArrow(_scan(passes[0], shard_bytes), schema)
-    out = merged.mapInArrow(_digest, "_rid long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, items array<string>")
-    return out.withColumnRenamed("_rid", id_col) if ids is None else out.join(ids, "_rid").drop("_rid")
+    result = "_rid long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, items array<string>"
+    if len(passes) == 1:
+        scan = _scan(passes[0], shard_bytes)
+        return slim.mapInArrow(lambda batches: _digest(scan(batches)), result).withColumnRenamed("_rid", id_col)
+    named = with_row_ids(docs.select(id_col, "text"), id_col)
+    merged = None
+    for some in passes:
+        part = named.select("_rid", "text").mapInArrow(_scan(some, shard_bytes), "_rid long, n_words long, spans array<long>, items array<string>")
+        merged = part if merged is None else merged.unionByName(part)
+    merged = merged.groupBy("_rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+                                        F.flatten(F.collect_list("items")).alias("items"))
+    return merged.mapInArrow(_digest, result).join(named.select(id_col, "_rid"), "_rid").drop("_rid")
 
 
 def is_contaminated() -> F.Column:

@@ -35,7 +35,7 @@ UNKNOWN = "und"
 START = 10
 
 _U = np.uint64
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def grams(chunk: Chunk, order: int) -> np.ndarray:
