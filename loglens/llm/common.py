@@ -10,6 +10,7 @@ Hashes only stand for equality of strings of one job; 64 bits, mixed.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,6 +155,15 @@ class Chunk:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay between tasks, and an
+    executor's memory limit counts what they keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 chunk_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 30) -> Iterator[Chunk]:
     """Cut batches into runs of whole rows holding about ``chunk_bytes`` of text and at
@@ -175,11 +185,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield Chunk(batch, i, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], valid[i:j])
             i = j
         del batch, arr, data, offsets, buf, off
-        pa.default_memory_pool().release_unused()     # workers stay; give back what the batch took
+        give_back()
 
 
 def read_all(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """One shuffle partition as a table (callers size partitions to fit in memory)."""
+    give_back()
     kept = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(kept) if kept else None
 
