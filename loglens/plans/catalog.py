@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import beacon, enrich, explore, indicators, proxy_reports, suspicion, web_reports
-from ..operators.topk import top_k
 from ..functions.ip import is_public, is_strict_ip, looks_like_ip
 from ..functions.urls import url_host, url_path, url_query
 from ..session import scratch_path
