@@ -11,10 +11,14 @@ False-discovery control is by encoding and length: short strings leave more ordi
 undetected. Strings above the middle of the probabilities are taken as random; as random
 ones spread evenly, their count tells how many of the strings above any cut are random. The
 cut of a stratum is the lowest that leaves a share of at most FDR others, counting one more
-than estimated; without such a cut the stratum gives nothing. The counts cover all rows and
-are a few thousand numbers however many those are.
+than estimated. That takes 1 / FDR random strings; a stratum without such a cut has that of
+its encoding's strata together, an encoding without one that of all strata, or the lowest
+one above it that the own counts do not speak against (two standard errors). Strings are
+counted once, however often they are copied. The counts cover all rows and are a few
+thousand numbers however many those are.
 
-Rows are scanned twice in their scan tasks; nothing is shuffled but counts.
+Rows are scanned twice in their scan tasks; nothing is shuffled but the candidates' hashes
+and the counts.
 
 Edge cases: null is an empty text; spans count code points and may overlap between kinds;
 rows are judged one by one, so repeated rows repeat; other columns are not touched.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Chunk, text_chunks
+from .common import _LOWER, Chunk, RollingHash, text_chunks
 
 # The patterns and least lengths of the base spans, kinds in listed order.
 KINDS = ("assign", "access", "hex")
@@ -184,32 +188,40 @@ def candidates(chunk: Chunk, base: list[tuple[int, int, int]]) -> tuple[np.ndarr
     return s, e, encoding * len(BANDS) + np.searchsorted(BANDS, n, side="right") - 1, p
 
 
-def _histogram(batches):
-    counts = np.zeros((len(ALPHABETS) * len(BANDS), BINS), dtype=np.int64)
+def _strings(batches):
+    """Rows (h, stratum, bin): the distinct candidates of each chunk."""
     for chunk in text_chunks(batches):
-        _, _, stratum, p = candidates(chunk, base_spans(chunk))
-        np.add.at(counts, (stratum, np.minimum((p * BINS).astype(np.int64), BINS - 1)), 1)
-    stratum, bucket = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(stratum), pa.array(bucket), pa.array(counts[stratum, bucket])], names=["stratum", "bin", "n"])
+        s, e, stratum, p = candidates(chunk, base_spans(chunk))
+        code, at = np.unique(RollingHash(chunk.data).ranges(s, e), return_index=True)
+        bucket = np.minimum((p[at] * BINS).astype(np.int64), BINS - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(stratum[at].astype(np.int64)), pa.array(bucket)], names=["h", "stratum", "bin"])
+
+
+def _cut(row: np.ndarray, fdr: float, parent: float = 2.0) -> float:
+    """Least accepted probability of strings with these counts, above 1 where nothing is accepted."""
+    half = BINS // 2
+    above = np.cumsum(row[::-1])[::-1]
+    others = lambda b: max(0.0, above[b] - above[half] * 2 * (1 - b / BINS))
+    for b in range(1, half + 1):
+        if above[b] and others(b) + 1 <= fdr * above[b]:
+            return b / BINS
+    for b in range(round(parent * BINS), half + 1):
+        if others(b) <= fdr * above[b] + 2 * np.sqrt(above[b]):
+            return b / BINS
+    return 2.0
 
 
 def cuts_of(counts: np.ndarray, fdr: float = FDR) -> np.ndarray:
     """Least accepted probability of each stratum, above 1 where nothing is accepted."""
-    out = np.full(len(counts), 2.0)
-    half = BINS // 2
-    above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]
-    for k, row in enumerate(above):
-        for b in range(1, half + 1):
-            random = row[half] * 2 * (1 - b / BINS)
-            if row[b] and max(0.0, row[b] - random) + 1 <= fdr * row[b]:
-                out[k] = b / BINS
-                break
-    return out
+    everything = _cut(counts.sum(axis=0), fdr)
+    encodings = [_cut(rows.sum(axis=0), fdr, everything) for rows in counts.reshape(-1, len(BANDS), BINS)]
+    return np.array([_cut(row, fdr, encodings[k // len(BANDS)]) for k, row in enumerate(counts)])
 
 
 def learn_cuts(docs: DataFrame, fdr: float = FDR) -> np.ndarray:
-    """Cuts of all strata, from the counts over all rows of ``docs``."""
-    rows = docs.select("text").mapInArrow(_histogram, "stratum long, bin long, n long").groupBy("stratum", "bin").agg(F.sum("n").alias("n")).collect()
+    """Cuts of all strata, from the distinct candidates of all rows of ``docs``."""
+    strings = docs.select("text").mapInArrow(_strings, "h long, stratum long, bin long").distinct()
+    rows = strings.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.zeros((len(ALPHABETS) * len(BANDS), BINS), dtype=np.int64)
     for r in rows:
         counts[r["stratum"], r["bin"]] = r["n"]

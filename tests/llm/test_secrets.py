@@ -76,3 +76,28 @@ def test_battery_is_uniform_for_random_strings():
         assert 0.4 < np.mean(p > 0.5) < 0.6 and np.mean(p < 0.05) < 0.09
     words = np.tile(np.arange(30), 40)
     assert sc.battery(words, np.arange(41) * 30, np.full(40, 36)).max() < 0.01
+
+
+def test_cuts_count_distinct_strings_and_few_have_their_encodings(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(B62) for _ in range(32)) + " x" for _ in range(300)]
+    long = ["".join(rng.choice(B62) for _ in range(70)) + " x" for _ in range(8)]
+    few = ["".join(rng.choice("0123456789ABCDEF") for _ in range(40)) + " x" for _ in range(8)]
+
+    def cuts(rows):
+        return sc.learn_cuts(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(4))
+
+    alone = cuts(texts + long + few)
+    base62, upper_hex, none = 5 * len(sc.BANDS), 1 * len(sc.BANDS), cuts(long + few[:1])
+    assert alone[base62 + 1] < 0.5 and alone[base62 + 3] < 0.5 and alone[upper_hex + 2] < 0.5
+    assert (none > 1).all()
+    odd = next(t for t in ("".join(rng.choice(B62) for _ in range(32)) + " x" for _ in range(10000)) if 0.3 < probability(t) < 0.45)
+    assert (cuts(texts + long + few + [odd] * 5000) == cuts(texts + long + few + [odd])).all()
+    counts = np.zeros((len(alone), sc.BINS), np.int64)
+    counts[base62 + 1], counts[base62 + 3, 5], counts[base62 + 3, 40] = 20, 400, 3
+    assert sc.cuts_of(counts)[base62 + 3] > 5 / sc.BINS      # ordinary strings of a small stratum stay out
+
+
+def probability(text):
+    s = np.array([sc._SYMBOL[5, b] for b in text.split()[0].encode()])
+    return sc.battery(s, np.array([0, len(s)]), np.array([62]))[0]
