@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training words.
 
 Every shard (a run of whole documents) gets a word-level suffix array by prefix
-doubling. Every suffix of every benchmark item is binary-searched in it: one pair of
-searches gives the range of training suffixes that begin with the item's window (all
-its locations), another the longest verbatim match. Documents never leave their
+doubling. The suffixes of every benchmark item that begin with a whole window are
+binary-searched in it, distinct windows once: one pair of searches gives the range of
+training suffixes that begin with the window (all its locations). Longest verbatim matches
+of all suffixes are given by ``longest_matches`` alone, which no query calls. Documents never leave their
 scan task: there is no shuffle, and a passage shared by a third of all documents is
 found once per shard as one range.
 
