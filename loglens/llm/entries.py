@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators: whole tables, production parameters."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
+from . import ann, byte_bpe, decontaminate, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.read_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -69,6 +79,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_repeats": op10_repeats,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.OP1,
