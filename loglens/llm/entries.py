@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
+from . import ann, byte_bpe, decontaminate, divergence, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -80,10 +84,12 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_repeats": op10_repeats,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_divergence": op12_divergence,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.OP1,
     "op8_warc": oracles.OP8,
     "op9_ngram_join": oracles.OP9,
     "op10_repeats": oracles.OP10,
+    "op12_divergence": oracles.OP12,
 }
