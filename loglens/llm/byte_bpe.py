@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import most_frequent, written
 
 #: Maps of a lookup literal.
 _BUCKETS = 1 << 15
@@ -223,14 +223,8 @@ def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -
     some frequency, as many as fit. Distinct words are counted before they are shuffled."""
     counts = written(docs.select(F.explode(pieces(F.col(text_col), vocabulary)).alias("word")).groupBy("word")
                      .agg(F.count(F.lit(1)).alias("n")), "words")
-    short = counts.filter(F.octet_length("word") <= HOT_BYTES).withColumn("level", F.floor(F.log2("n") * 8))
-    levels, total = [], 0
-    for r in sorted(short.groupBy("level").count().collect(), reverse=True):    # at most 8 levels a doubling
-        total += r["count"]
-        if total <= HOT_WORDS:
-            levels.append(r["level"])
+    hot = most_frequent(counts.filter(F.octet_length("word") <= HOT_BYTES), "n", HOT_WORDS)
     folded = _let(_rank_literal(vocabulary), lambda ranks: fold_merges(F.col("word"), _in(ranks)))
-    hot = short.filter(F.col("level") >= min(levels)) if levels else short.limit(0)
     return {r["word"]: r["ids"] for r in hot.select("word", folded.alias("ids")).collect()}
 
 

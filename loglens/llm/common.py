@@ -307,6 +307,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """The rows of ``counts`` with the greatest ``n`` (long, positive), ``limit`` at most: all rows from
+    some count on, as many as fit. Counts are levelled, at most 8 levels a doubling, so the driver sees
+    at most 512 rows."""
+    level = F.floor(F.log2(n) * 8)
+    fits, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("c")).collect(), reverse=True):
+        total += r["c"]
+        if total > limit:
+            break
+        fits = r["l"]
+    return counts.limit(0) if fits is None else counts.filter(level >= fits)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, decontaminate, divergence, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
+from . import alignment, ann, byte_bpe, decontaminate, divergence, language, mixing, ngram_join, oracles, passages, quality, repeats, secrets, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -85,6 +90,7 @@ QUERIES = {
     "op10_repeats": op10_repeats,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.OP1,
