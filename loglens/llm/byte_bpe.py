@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by Spark's higher-order functions.
 
-A vocabulary is a rank file (base64 token, rank) that is read, never trained. Its ranks become one
-literal of Spark's plan: an array of small maps, a token's map being chosen by its checksum, so that a
-lookup costs the same at every vocabulary size. Bytes travel as strings of the 256 Latin-1 characters.
+A vocabulary is a rank file (base64 token, rank) that is read, never trained. A token's id is its rank.
+The ranks become one literal of Spark's plan: every pair of tokens that joins to a token, with that
+token's rank, dealt into short lists by the pair's remainder, so that a lookup costs the same at every
+vocabulary size. A word is an array of the ids of its bytes.
 
 * ``pieces``: a text's pieces, the matches of the vocabulary's pattern, as a Rust regular expression
   finds them (Unicode white space, letters and digits of the pattern library's Unicode version).
@@ -11,9 +12,9 @@ lookup costs the same at every vocabulary size. Bytes travel as strings of the 2
   unless one of these merges opens a lower rank, which then takes only the leftmost pair; both give
   the same tokens.
 * ``encode``: distinct words are counted, the most frequent ones (``HOT_WORDS`` at most, of at most
-  ``HOT_BYTES`` bytes) folded once each and made a literal as well; every other word is folded where
-  it stands, so the bound changes no result. Words are shuffled only for that count, which is
-  partial in each task, so hot words, sources and groups of copies cost nothing more.
+  ``HOT_BYTES`` bytes, so at most 20 MB) folded once each and made a literal as well; every other word
+  is folded where it stands, so the bound changes no result. Words are shuffled only for that count,
+  which is partial in each task, so hot words, sources and groups of copies cost nothing more.
 * ``decode``: the tokens' bytes, joined.
 
 Results: null and empty texts have no tokens and decode to no bytes. Rows are kept one for one, in
@@ -24,7 +25,6 @@ from __future__ import annotations
 import base64
 import json
 import sys
-import zlib
 from dataclasses import dataclass
 
 import regex
@@ -33,18 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import most_frequent, written
 
-#: Maps of a lookup literal.
-_BUCKETS = 1 << 15
+#: Lists that the pairs of a vocabulary, and the looked-up words, are dealt into.
+_PAIR_LISTS = (1 << 14) - 3
+_WORD_LISTS = 1 << 14
 #: Most words that are folded once and looked up.
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 17
 #: Longest word looked up so.
-HOT_BYTES = 64
+HOT_BYTES = 32
 #: Words of more bytes merge all pairs of a rank in a step.
 LONG_WORD = 256
-_CUT = "\u0100"
-#: Ranks are held times this, so that a place can be added.
-_PLACES = 1 << 10
-
 #: White space of Unicode (fixed values): Java's own class is ASCII only.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -99,25 +96,20 @@ def _runs(codes: list[int]) -> list[tuple[int, int]]:
 
 
 # ------------------------------------------------------------------ literals
-def _latin(data: bytes) -> str:
-    return data.decode("latin-1")
-
-
-def _map_literal(entries: dict[str, object], kind: str) -> Column:
-    """``entries`` as a literal of the plan."""
-    buckets: list[dict[str, object]] = [{} for _ in range(_BUCKETS)]
-    for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % _BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
-
-
 def _rank_literal(vocabulary: Vocabulary) -> Column:
-    return _map_literal({_latin(t): r * _PLACES for t, r in vocabulary.ranks.items()}, "long")
-
-
-def _in(table: Column):
-    """How to look a string up in a literal (null where absent)."""
-    return lambda key: F.try_element_at(F.get(table, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int")), key)
+    """Every pair of tokens that joins to a token, and the ids of the 256 bytes."""
+    ranks, size = vocabulary.ranks, len(vocabulary.by_rank())
+    lists: list[dict[str, list]] = [{"pair": [], "rank": [None]} for _ in range(_PAIR_LISTS)]      # place 0: no such pair
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pair = left * size + right
+                lists[pair % _PAIR_LISTS]["pair"].append(pair)
+                lists[pair % _PAIR_LISTS]["rank"].append(rank)
+    table = {"bytes": [ranks.get(bytes([b])) for b in range(256)], "size": size, "lists": lists}
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))),
+                       "bytes array<bigint>, size bigint, lists array<struct<pair: array<bigint>, rank: array<bigint>>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -125,115 +117,114 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _pair_rank(ranks: Column, left: Column, right: Column) -> Column:
+    """The rank of two neighbouring tokens joined (null: no token, or no neighbour)."""
+    pair = left * ranks["size"] + right
+    found = F.get(ranks["lists"], pair % _PAIR_LISTS)
+    return F.get(found["rank"], F.array_position(found["pair"], pair))
+
+
+def _pair_ranks(ids: Column, ranks: Column) -> Column:
+    """The rank of every token joined with the next one (of the last: null)."""
+    return F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda left, right: _pair_rank(ranks, left, right))
+
+
 # ------------------------------------------------------------------ words to tokens
 def pieces(text: Column, vocabulary: Vocabulary) -> Column:
     return F.when(text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(vocabulary.newer_pattern), 0)) \
         .otherwise(F.regexp_extract_all(text, F.lit(vocabulary.pattern), 0))
 
 
-def fold_merges(word: Column, rank_of) -> Column:
+def fold_merges(word: Column, ranks: Column) -> Column:
     """Token ids of ``word``."""
-    letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    whole = rank_of(letters)
-    return F.when(whole.isNotNull(), F.array(_id(whole))) \
-        .when(F.octet_length(word) <= LONG_WORD, _fold_short(letters, rank_of)) \
-        .otherwise(_fold_long(letters, rank_of))
-
+    letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")        # a letter a byte
+    ids = F.transform(F.regexp_extract_all(letters, F.lit("(?s)."), 0), lambda c: F.get(ranks["bytes"], F.ascii(c)))
+    steps = F.sequence(F.lit(1), F.octet_length(word))
+    short = F.aggregate(steps, F.struct(ids.alias("ids"), F.lit(True).alias("more")), lambda state, _: _merge_one(state, ranks),
+                        lambda state: state["ids"].cast("array<int>"))
+    long = F.aggregate(steps, _let(ids, lambda x: _with_ranks(x, ranks)), lambda state, _: _merge_rank(state, ranks),
+                       lambda state: state["ids"].cast("array<int>"))
+    return F.when(F.octet_length(word) <= LONG_WORD, short).otherwise(long)
 
-def _id(rank: Column) -> Column:
-    return (rank / _PLACES).cast("int")
 
+def _merge_one(state: Column, ranks: Column) -> Column:
+    """The leftmost pair of the lowest rank is one token."""
+    ids = state["ids"]
 
-def _fold_short(letters: Column, rank_of) -> Column:
-    """One pair a step. The state is one string, its parts separated by a character beyond Latin-1."""
-    def step(state: Column, _) -> Column:
-        # the lowest (rank, place) of the pairs of neighbours
-        best = _let(F.split(state["parts"], _CUT), lambda parts: F.array_min(F.transform(
-            parts, lambda p, i: rank_of(F.concat(p, F.get(parts, i + 1))) + i)))
+    def merge(pairs: Column) -> Column:
+        lowest = F.array_min(pairs)
+        place = F.array_position(pairs, lowest).cast("int")
+        return F.when(lowest.isNull(), F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(
+            F.concat(F.slice(ids, F.lit(1), place - 1), F.array(lowest), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
+            F.lit(True).alias("more")))
 
-        def merge(at: Column) -> Column:
-            head = F.call_function("substring_index", state["parts"], F.lit(_CUT), (at % _PLACES + 1).cast("int"))
-            tail = F.substr(state["parts"], F.length(head) + 2)
-            return F.struct(F.concat(head, tail).alias("parts"), F.lit(True).alias("more"))
+    return F.when(state["more"], _let(_pair_ranks(ids, ranks), merge)).otherwise(state)
 
-        return F.when(state["more"], _let(best, lambda at: F.when(
-            at.isNull(), F.struct(state["parts"], F.lit(False).alias("more"))).otherwise(merge(at)))).otherwise(state)
 
-    start = F.struct(F.regexp_replace(letters, "(?s)(?<=.)(?=.)", _CUT).alias("parts"), F.lit(True).alias("more"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(letters)), start, step,
-                       lambda state: F.transform(F.split(state["parts"], _CUT), lambda p: _id(rank_of(p))))
+def _with_ranks(ids: Column, ranks: Column) -> Column:
+    return F.struct(ids.alias("ids"), _pair_ranks(ids, ranks).alias("ranks"))
 
 
-def _fold_long(letters: Column, rank_of) -> Column:
-    """All pairs of the lowest rank a step."""
-    parts = F.regexp_extract_all(letters, F.lit("(?s)."), 0)
-    start = _let(parts, lambda p: F.struct(p.alias("parts"), _pair_ranks(p, rank_of).alias("ranks")))
-    return F.aggregate(F.sequence(F.lit(1), F.length(letters)), start,
-                       lambda state, _: _merge_rank(state, rank_of),
-                       lambda state: F.transform(state["parts"], lambda p: _id(rank_of(p))))
-
-
-def _pair_ranks(parts: Column, rank_of) -> Column:
-    """The rank of each part joined with the next (null: none; of the last, always)."""
-    return F.transform(parts, lambda p, i: rank_of(F.concat(p, F.get(parts, i + 1))))
-
-
-def _merge_rank(state: Column, rank_of) -> Column:
-    """All pairs of the lowest rank, from the left and without overlaps, are one part each;
+def _merge_rank(state: Column, ranks: Column) -> Column:
+    """All pairs of the lowest rank, from the left and without overlaps, are one token each;
     only the leftmost where one of these merges makes a pair of a lower rank."""
-    parts, ranks = state["parts"], state["ranks"]
+    ids, held = state["ids"], state["ranks"]
 
     def merge(lowest: Column) -> Column:
-        flags = F.array_join(F.transform(ranks, lambda r: F.when(r == lowest, "1").otherwise("0")), "")
+        flags = F.array_join(F.transform(held, lambda r: F.when(r == lowest, "1").otherwise("0")), "")
         every = F.regexp_replace(flags, "11", "10").cast("binary")
         first = F.regexp_replace(flags, "^(0*1).*", "$1").cast("binary")
 
-        def with_ranks(new: Column) -> Column:
-            return F.struct(new.alias("parts"), _pair_ranks(new, rank_of).alias("ranks"))
-
         def unless_lower(chosen: Column) -> Column:
-            opened = F.array_min(_passing(parts, chosen, rank_of))
-            return _let(_joined(parts, chosen), lambda new: _let(with_ranks(new), lambda after: F.when(
-                F.coalesce(F.least(F.array_min(after["ranks"]), opened), lowest) >= lowest, after).otherwise(
-                _let(first, lambda one: _let(_joined(parts, one), with_ranks)))))
+            # pairs that exist between two of the merges: a new token and the next old one
+            passing = F.array_min(F.transform(ids, lambda _, i: F.when(_is_chosen(chosen, i), _pair_rank(ranks, lowest, F.get(ids, i + 2)))))
+            return _let(_let(_merged(ids, chosen, lowest), lambda x: _with_ranks(x, ranks)), lambda after: F.when(
+                F.coalesce(F.least(F.array_min(after["ranks"]), passing), lowest) >= lowest, after).otherwise(
+                _let(first, lambda one: _let(_merged(ids, one, lowest), lambda x: _with_ranks(x, ranks)))))
 
         return _let(every, unless_lower)
 
-    return _let(F.array_min(ranks), lambda lowest: F.when(lowest.isNull(), state).otherwise(merge(lowest)))
+    return _let(F.array_min(held), lambda lowest: F.when(lowest.isNull(), state).otherwise(merge(lowest)))
 
 
-def _chosen(flags: Column, i: Column) -> Column:
+def _is_chosen(flags: Column, i: Column) -> Column:
     return F.substring(flags, i + 1, F.lit(1)) == F.lit(b"1")
 
 
-def _joined(parts: Column, flags: Column) -> Column:
-    """``parts``, each one flagged joined with the next."""
-    return F.filter(F.transform(parts, lambda p, i: F.when((i > 0) & _chosen(flags, i - 1), None)
-                                .when(_chosen(flags, i), F.concat(p, F.get(parts, i + 1))).otherwise(p)), lambda p: p.isNotNull())
-
-
-def _passing(parts: Column, flags: Column, rank_of) -> Column:
-    """Ranks of the pairs that exist between two of the merges: a new part and the next old one."""
-    return F.transform(parts, lambda p, i: F.when(_chosen(flags, i), rank_of(F.concat(p, F.get(parts, i + 1), F.get(parts, i + 2)))))
+def _merged(ids: Column, flags: Column, new: Column) -> Column:
+    """``ids``, each one flagged made one with the next."""
+    return F.filter(F.transform(ids, lambda x, i: F.when((i > 0) & _is_chosen(flags, i - 1), None)
+                                .when(_is_chosen(flags, i), new).otherwise(x)), lambda x: x.isNotNull())
 
 
 # ------------------------------------------------------------------ documents
-def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> dict[str, list[int]]:
-    """Tokens of the most frequent words of ``docs``, at most ``HOT_WORDS``: of all words of at least
-    some frequency, as many as fit. Distinct words are counted before they are shuffled."""
+def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """The most frequent words of ``docs``, at most ``HOT_WORDS``, and their tokens. Distinct words
+    are counted before they are shuffled."""
     counts = written(docs.select(F.explode(pieces(F.col(text_col), vocabulary)).alias("word")).groupBy("word")
                      .agg(F.count(F.lit(1)).alias("n")), "words")
     hot = most_frequent(counts.filter(F.octet_length("word") <= HOT_BYTES), "n", HOT_WORDS)
-    folded = _let(_rank_literal(vocabulary), lambda ranks: fold_merges(F.col("word"), _in(ranks)))
-    return {r["word"]: r["ids"] for r in hot.select("word", folded.alias("ids")).collect()}
+    return hot.select("word", _let(_rank_literal(vocabulary), lambda ranks: fold_merges(F.col("word"), ranks)).alias("ids"))
+
+
+def _list_of(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % _WORD_LISTS).cast("int")
+
+
+def _word_literal(hot: DataFrame) -> Column:
+    """Words and tokens as lists, a word's list being chosen by its checksum."""
+    lists: list[dict[str, list[int]]] = [{} for _ in range(_WORD_LISTS)]
+    for r in hot.select(_list_of(F.col("word")).alias("list"), "word", "ids").collect():
+        lists[r["list"]][r["word"]] = r["ids"]
+    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "array<map<string, array<int>>>")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text_col`` (array<int>, empty for null)."""
-    hot = _map_literal(hot_words(docs, vocabulary, text_col), "array<int>")
+    known = _word_literal(hot_words(docs, vocabulary, text_col))
     words = pieces(F.coalesce(F.col(text_col), F.lit("")), vocabulary)
-    return docs.withColumn(ids_col, _let(_rank_literal(vocabulary), lambda ranks: _let(hot, lambda known: F.flatten(
-        F.transform(words, lambda w: F.coalesce(_in(known)(w), fold_merges(w, _in(ranks))))))))
+    return docs.withColumn(ids_col, _let(_rank_literal(vocabulary), lambda ranks: _let(known, lambda lists: F.flatten(F.transform(
+        words, lambda w: F.coalesce(F.try_element_at(F.get(lists, _list_of(w)), w), fold_merges(w, ranks)))))))
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:

@@ -104,3 +104,17 @@ def test_groups_as_text(spark):
     out = aligned(spark.createDataFrame([(1, "Hello 漢")], "doc_id long, text string"), digest=False)[0]
     sides = [[x.split(",") for x in g.split("|")] for g in out.groups_sha256.split(";")]
     assert len(sides) == out.n_groups and sum(len(s[0]) for s in sides) == out.n_a and sum(len(s[1]) for s in sides) == out.n_b
+
+
+def test_merging_by_id_is_the_file_s_own_encoding(libraries):
+    import random
+    rng = random.Random(2)
+    a_json = open(A, encoding="utf-8").read()
+    pair = alignment.Pair.load(a_json, open(B, "rb").read())
+    assert not isinstance(pair.a, Tokenizer)
+    letters = [" ", " ", "  ", "\n", "\t", "\u3000", "\x1c", "a", "the", "N", "'s", "7", "42", ".", "é", "漢", "_", "\u00a0", "🤖", "<|endoftext|>", *"etaoinshr"]
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        assert pair.a.encode_ordinary(text) == libraries[0].encode(text, add_special_tokens=False).ids, text
+    other = a_json.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true')
+    assert other != a_json and alignment.by_merges(other, pair.bytes_a) is None

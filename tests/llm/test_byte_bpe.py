@@ -45,7 +45,7 @@ def test_edges_and_clashing_columns(spark, edge_docs, schema, vocabulary, librar
     odd = ["it's WE'LL 'S 42\u00bd", "<|endoftext|>", "\u3000\u3000x\x85y  \n\n z ", "\U0001f916" * 90, "\t" * 500]
     rows = edge_docs + [(900 + i, t, "en", "s", None) for i, t in enumerate(odd)] + [(None, "a b", None, None, None)] * 2
     docs = spark.createDataFrame(rows, schema)
-    check(docs.withColumn("ids", F.lit("x")).withColumn("_words", F.lit(1)).withColumn("n", F.lit(2)), vocabulary, library)
+    check(docs.withColumn("ids", F.lit("x")).withColumn("word", F.lit(1)).withColumn("n", F.lit(2)), vocabulary, library)
     check(docs.limit(0), vocabulary, library)
 
 
@@ -67,8 +67,8 @@ def test_characters_of_all_planes(spark, vocabulary, library):
 
 def test_the_bound_on_looked_up_words_changes_nothing(spark, vocabulary, library, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60)
-    every = byte_bpe.hot_words(docs, vocabulary)
+    every = {r.word: r.ids for r in byte_bpe.hot_words(docs, vocabulary).collect()}
     monkeypatch.setattr(byte_bpe, "HOT_WORDS", 200)
-    few = byte_bpe.hot_words(docs, vocabulary)
+    few = {r.word: r.ids for r in byte_bpe.hot_words(docs, vocabulary).collect()}
     assert 0 < len(few) <= 200 < len(every) and few.items() <= every.items()
     check(docs, vocabulary, library)
