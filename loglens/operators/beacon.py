@@ -75,7 +75,11 @@ def slice_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) ->
 
 def pair_stats(proxy: DataFrame, slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """Step 3 + A5: per pair n, mean and population deviation of the gaps (unrounded)."""
-    sl = slice_stats(proxy, slice_seconds)
+    return stats_of_slices(slice_stats(proxy, slice_seconds))
+
+
+def stats_of_slices(sl: DataFrame) -> DataFrame:
+    """Step 3 over slices, however they were kept."""
     w = Window.partitionBy(*PAIR).orderBy("slice")
     # Gaps across slices can be long (a stray timestamp far from the rest): square
     # them as exact decimals. Sum of squares <= span^2, far inside 38 digits.
@@ -123,10 +127,15 @@ def score_columns(mean: Column, std: Column, n: Column, content_sum: Column, byt
 def beacon_scores(proxy: DataFrame, datasources: DataFrame,
                   slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
     """``beacon_data`` rows: pairs with a positive rounded mean gap (D10, F13), scored."""
-    stats = pair_stats(proxy, slice_seconds)
-    # Requests per destination are sums over the pairs, so the rows are read once. Joined
-    # on (source, destination); adaptive execution broadcasts the counts when they are small
-    # at run time and otherwise splits a hot destination (skew join).
+    return scores_of_pairs(pair_stats(proxy, slice_seconds), datasources)
+
+
+def scores_of_pairs(stats: DataFrame, datasources: DataFrame) -> DataFrame:
+    """A7 over the statistics of all pairs."""
+    # Requests per destination are sums over the pairs. Joined on (source, destination);
+    # adaptive execution broadcasts the counts when they are small at run time and otherwise splits
+    # a hot destination (skew join). Both sides plan the statistics: over rows that is a second scan,
+    # over a kept state (``operators.beacon_state``) it reads only slices.
     dests = stats.groupBy("datasource_id", "destip").agg(F.sum("n").alias("dest_count"))
     scored = stats.join(dests, ["datasource_id", "destip"], "left")
     scored = with_type(scored, datasources)

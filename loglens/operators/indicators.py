@@ -21,6 +21,13 @@ def indicator_rows(web: DataFrame, text_col: str = "query") -> DataFrame:
                        F.col("hit.detector").alias("detector"), F.col("datasource_id").cast("int"))
 
 
+def reject_indicators(rejects: DataFrame) -> DataFrame:
+    """F17-F20 over lines that gave no row (D36): (datasource_id, kind, reason, line, xsstype,
+    detector) per hit. An attack with an unpaired apostrophe loses its row, not its indicator."""
+    hits = rejects.filter(F.col("line") != "").select("datasource_id", "kind", "reason", "line", F.explode(detector_hits(F.col("line"))).alias("hit"))
+    return hits.select("datasource_id", "kind", "reason", "line", F.col("hit.xsstype").alias("xsstype"), F.col("hit.detector").alias("detector"))
+
+
 def indicator_listing(xss: DataFrame, datasource_id: int | None = None, client: str | None = None) -> DataFrame:
     """Indicators of a data source, all clients or one."""
     df = xss

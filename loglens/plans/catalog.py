@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import beacon, enrich, explore, indicators, proxy_reports, suspicion, web_reports
+from ..operators import beacon, beacon_state, enrich, explore, indicators, proxy_reports, suspicion, web_reports
 from ..functions.ip import is_public, is_strict_ip, looks_like_ip
 from ..functions.urls import url_host, url_path, url_query
 from ..session import scratch_path
@@ -130,6 +130,16 @@ def s11_reject_counts(spark, sf):
     return web.withColumn("kind", F.lit("web")).unionByName(proxy.withColumn("kind", F.lit("proxy")))
 
 
+def s11_reject_indicators(spark, sf):
+    """S11 + D36: one job imports attack lines; the detectors run over those that gave no row."""
+    store = LogStore(spark, scratch_path(spark, "import"))
+    store.import_lines(si.attack_lines(spark, sf), "web")
+    stored = store.read("web_data").groupBy("datasource_id").agg(F.count(F.lit(1)).alias("lines")) \
+        .select("datasource_id", F.lit("stored").alias("reason"), F.lit("").alias("xsstype"), F.lit("").alias("detector"), "lines")
+    return indicators.reject_indicators(store.read("rejects")).groupBy("datasource_id", "reason", "xsstype", "detector") \
+        .agg(F.count(F.lit(1)).alias("lines")).unionByName(stored)
+
+
 def s4_numbers_proxy(spark, sf):
     """M2 + T1: proxy lines over long, negative, blank-like and suffixed numbers and times."""
     lines = si.number_lines(spark, sf).filter(F.col("type").isin("squid", "bluecoat"))
@@ -208,6 +218,20 @@ def k6_registry_add(spark, sf):
     return listing.join(rows, "datasource_id", "left").fillna(0, ["rows"])
 
 
+def k6_registry_store(spark, sf):
+    """K6: a stored registry grows, by name and by rows derived from what it holds, and is read back."""
+    store = LogStore(spark, scratch_path(spark, "registry"))
+    store.write_registry(*_registry(spark))
+    later = store.add_collection("later", "Added later")
+    store.add_datasource("sq2", "squid", later)
+    store.write_registry(add_collection(store.read("collections"), "more"),
+                         add_datasource(store.read("datasources"), "ap2", "apache", later + 1))
+    rows = _proxy(spark, sf).select("datasource_id").unionByName(_web(spark, sf).select("datasource_id")) \
+        .groupBy("datasource_id").agg(F.count(F.lit(1)).alias("rows"))
+    return sources_with_collection(store.read("datasources"), store.read("collections")) \
+        .join(rows, "datasource_id", "left").fillna(0, ["rows"])
+
+
 def k7_names_csv(spark, sf):
     """K7 + J10: web clients resolved to names, written as ``key,name`` CSV and read back."""
     clients = _web(spark, sf).select("clientip").distinct()
@@ -269,6 +293,13 @@ def j9_geo_locate(spark, sf):
     return enrich.locate(a, "address", si.geo_blocks(spark, sf))
 
 
+def j9_nested_blocks(spark, sf):
+    """The same addresses among blocks that nest, overlap and repeat: one row an address."""
+    a = _web(spark, sf).select(F.col("clientip").alias("address")).unionByName(
+        _proxy(spark, sf).select(F.col("destip").alias("address"))).distinct()
+    return enrich.locate(a, "address", si.nested_blocks(spark, sf))
+
+
 # ---------------------------------------------------------------- aggregates
 def a1_bluecoat_detail(spark, sf):
     return proxy_reports.bluecoat_detail(_proxy(spark, sf), _registry(spark)[1])
@@ -298,6 +329,17 @@ def a7_beacon_scores(spark, sf):
     return _beacons(spark, sf)
 
 
+def a7_scores_after_imports(spark, sf):
+    """A5 + A7 kept up to date: three imports, a compaction after the second, scored from the state."""
+    state = beacon_state.BeaconState(spark, scratch_path(spark, "beacon-state"))
+    proxy = _proxy(spark, sf)
+    for k in range(3):
+        state.add(proxy.filter(F.col("id") % 3 == k))
+        if k == 1:
+            state.compact()
+    return state.scores(_registry(spark)[1])
+
+
 def a8_a10_traffic_summary(spark, sf):
     return web_reports.traffic_summary(_web(spark, sf))
 
@@ -497,13 +539,13 @@ def q1_free_sql(spark, sf):
 
 _ALL = [
     s1_text_scan_proxy, s3_tokenize_documents, s4_parse_squid, s5_parse_bluecoat_a, s6_parse_bluecoat_b,
-    s4_numbers_proxy, s7_numbers_web, s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s12_partition_scan,
+    s4_numbers_proxy, s7_numbers_web, s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s11_reject_indicators, s12_partition_scan,
     k1_create_tables, k2_append_proxy, k3_append_web, k4_replace_beacons, k5_replace_indicators,
-    k6_registry_add, k7_names_csv, k8_beacon_projection,
+    k6_registry_add, k6_registry_store, k7_names_csv, k8_beacon_projection,
     f4_ip_literal_dests, f7_public_addresses, f22_kilobytes_top_clients,
-    j2_collections_nested, j7_destination_counts, j9_geo_locate,
+    j2_collections_nested, j7_destination_counts, j9_geo_locate, j9_nested_blocks,
     a1_bluecoat_detail, a2_bluecoat_summary, a3_squid_detail, a4_squid_summary, a5_pair_statistics,
-    a7_beacon_scores, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
+    a7_beacon_scores, a7_scores_after_imports, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
     a12_top_pages_of_client, a13_top_pages_total, a14_top_clients_bytes_in, a15_top_clients_bytes_out,
     a16_top_clients_bytes_total, a17_top_clients_hosts, a18_web_byte_leaders, a19_beacon_listing,
     a19_beacon_listing_for_ip, a19_beacon_listing_all_labels, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,

@@ -93,6 +93,14 @@ SELECT CAST({203 << 24} + CAST(r_regionkey AS BIGINT) * {16 << 16} AS BIGINT),
        CAST({203 << 24} + CAST(r_regionkey AS BIGINT) * {16 << 16} + {(16 << 16) - 1} AS BIGINT),
        CAST(r_regionkey * 10 AS DOUBLE), CAST(r_regionkey * -10 AS DOUBLE), r_name, r_name, 'any' FROM region)"""
 
+NESTED = f"""nested_blocks AS (SELECT * FROM geo_blocks
+UNION ALL SELECT CAST({(198 << 24) + (51 << 16)} + n_nationkey * 1500 AS BIGINT), CAST({(198 << 24) + (51 << 16)} + n_nationkey * 1500 + 2047 AS BIGINT),
+  CAST(n_nationkey AS DOUBLE), CAST(-n_nationkey AS DOUBLE), n_name, 'nation', NULL FROM nation
+UNION ALL SELECT CAST({(198 << 24) + (51 << 16)} + r_regionkey * 32768 AS BIGINT), CAST({(198 << 24) + (51 << 16)} + r_regionkey * 32768 + 32767 AS BIGINT),
+  CAST(r_regionkey AS DOUBLE), CAST(-r_regionkey AS DOUBLE), r_name, 'half', NULL FROM region
+UNION ALL SELECT CAST({198 << 24} AS BIGINT), CAST({(199 << 24) - 1} AS BIGINT),
+  CAST(r_regionkey AS DOUBLE), CAST(-r_regionkey AS DOUBLE), r_name, 'whole', NULL FROM region)"""
+
 IPNUM = ("CASE WHEN regexp_matches(trim({a}), '" + STRICT_IP_PATTERN + "') THEN "
          "CAST(split_part(trim({a}), '.', 1) AS BIGINT) * 16777216 + CAST(split_part(trim({a}), '.', 2) AS BIGINT) * 65536 "
          "+ CAST(split_part(trim({a}), '.', 3) AS BIGINT) * 256 + CAST(split_part(trim({a}), '.', 4) AS BIGINT) END")
@@ -226,8 +234,15 @@ def oracle_sql() -> dict[str, str]:
         f"WHEN id % 23 = 0 THEN 'status_404' END AS reason FROM web_data UNION ALL "
         f"SELECT 'proxy', datasource_id, CASE id % 31 WHEN 1 THEN 'unbalanced_quote' WHEN 2 THEN 'not_digit_first' "
         f"WHEN 3 THEN 'unparsed' END FROM proxy_data) WHERE reason IS NOT NULL GROUP BY kind, datasource_id, reason")
+    attack = "list_value('id=1', 'id=1''--', 'id=1''or''1''=''1', 'q=''<script>x', 'id=1'';drop')[event_id % 5 + 1]"
+    out["s11_reject_indicators"] = (
+        f"WITH lines AS (SELECT concat('2023-11-14 22:13:20 192.0.2.1 GET /p v=1 ', {attack}, ' 80 198.51.0.', CAST(event_id % 200 AS VARCHAR), ' UA - 200 0 0') AS line FROM events), "
+        "marked AS (SELECT line, (length(line) - length(replace(line, '''', ''))) % 2 = 1 AS odd FROM lines) "
+        + " UNION ALL ".join(f"SELECT CAST(5 AS INTEGER) AS datasource_id, 'unbalanced_quote' AS reason, '{kind}' AS xsstype, '{name}' AS detector, count(*) AS lines "
+                             f"FROM marked WHERE odd AND regexp_matches(line, {_q('(?i)' + pattern)}) HAVING count(*) > 0" for name, pattern, kind in DETECTORS)
+        + " UNION ALL SELECT CAST(5 AS INTEGER), 'stored', '', '', count(*) FROM marked WHERE NOT odd")
     # texts 5000000000, 20 digits, -7, junk, 12d, 0, 4294967296, 2^63 - 1, 1.5: integer or not, and its value
-    numbers = ("nums(i, ok, v) AS (VALUES (0, true, CAST(5000000000 AS HUGEINT)), (1, true, 0), (2, true, -7), (3, false, 0), (4, false, 0), "
+    numbers = ("nums(i, ok, v) AS (VALUES (0, true, CAST(5000000000 AS HUGEINT)), (1, true, 9223372036854775807), (2, true, -7), (3, false, 0), (4, false, 0), "
                "(5, true, 0), (6, true, 4294967296), (7, true, 9223372036854775807), (8, false, 0))")
     # lines that begin with 1700000000123, 1700000000, 1700000000d, 1700000000.9, -5.5, inf, 1e3, +12., 20 digits
     times = "times(i, t) AS (VALUES (0, 1700000000123), (1, 1700000000), (3, 1700000000), (6, 1000))"
@@ -261,6 +276,15 @@ def oracle_sql() -> dict[str, str]:
         "SELECT ds.id AS datasource_id, ds.name AS datasource_name, ds.type, c.name AS collection_name, "
         "ds.collection_id, coalesce(cnt.rows, 0) AS rows FROM ds JOIN coll c ON c.id = ds.collection_id "
         "LEFT JOIN cnt ON cnt.datasource_id = ds.id")
+    out["k6_registry_store"] = _with(
+        PROXY, WEB, REGISTRY,
+        "coll AS (SELECT * FROM collections_t UNION ALL SELECT 3, 'later', 'Added later' UNION ALL SELECT 4, 'more', '')",
+        "ds AS (SELECT * FROM datasources_t UNION ALL SELECT 6, 3, 'sq2', 'squid', '' UNION ALL SELECT 7, 4, 'ap2', 'apache', '')",
+        "cnt AS (SELECT datasource_id, count(*) AS rows FROM (SELECT datasource_id FROM proxy_data UNION ALL "
+        "SELECT datasource_id FROM web_data) GROUP BY datasource_id)") + (
+        "SELECT ds.id AS datasource_id, ds.name AS datasource_name, ds.type, c.name AS collection_name, "
+        "ds.collection_id, coalesce(cnt.rows, 0) AS rows FROM ds JOIN coll c ON c.id = ds.collection_id "
+        "LEFT JOIN cnt ON cnt.datasource_id = ds.id")
     out["k7_names_csv"] = _with(WEB, HOST_NAMES) + (
         "SELECT w.clientip AS key, coalesce(n.name, 'unresolvable') AS name FROM (SELECT DISTINCT clientip FROM web_data) w "
         "LEFT JOIN host_names n ON n.address = w.clientip")
@@ -290,6 +314,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT a.address, g.latitude, g.longitude, g.country, g.region, g.city FROM (SELECT DISTINCT address FROM "
         "(SELECT clientip AS address FROM web_data UNION ALL SELECT destip FROM proxy_data)) a "
         f"JOIN geo_blocks g ON {IPNUM.replace('{a}', 'a.address')} BETWEEN g.start_ip AND g.end_ip")
+    out["j9_nested_blocks"] = _with(PROXY, WEB, GEO, NESTED) + (
+        "SELECT a.address, g.latitude, g.longitude, g.country, g.region, g.city FROM (SELECT DISTINCT address FROM "
+        "(SELECT clientip AS address FROM web_data UNION ALL SELECT destip FROM proxy_data)) a "
+        f"JOIN nested_blocks g ON {IPNUM.replace('{a}', 'a.address')} BETWEEN g.start_ip AND g.end_ip "
+        "QUALIFY row_number() OVER (PARTITION BY a.address ORDER BY g.end_ip - g.start_ip, g.start_ip, g.latitude, g.longitude, g.country, g.region, g.city) = 1")
     gate = lambda t: f"WHERE datasource_id IN (SELECT id FROM datasources_t WHERE type = '{t}')"
     out["a1_bluecoat_detail"] = PR + (
         "SELECT datasource_id, clientip, destip, CAST(sum(bytesIn) AS BIGINT) AS bytesIn, CAST(sum(bytesOut) AS BIGINT) AS bytesOut, "
@@ -310,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT datasource_id, clientip, destip, n, content_sum, bytes_sum, round_even(m * 100, 0) / 100 AS mean, "
         "round_even(sd * 1000, 0) / 1000 AS stdDev FROM pairs")
     beacons = _with(PROXY, REGISTRY, BEACON)
-    out["a7_beacon_scores"] = beacons + "SELECT * FROM beacons"
+    out["a7_beacon_scores"] = out["a7_scores_after_imports"] = beacons + "SELECT * FROM beacons"
     out["a8_a10_traffic_summary"] = W + " UNION ALL ".join([
         _labelled("clients_by_bytes_out", "web_data", "clientip", "sum(bytesOut)", 20),
         _labelled("clients_by_pages", "web_data", "clientip", "count(page)", 20),

@@ -250,6 +250,37 @@ def geo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cblocks.unionByName(rblocks)
 
 
+def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``geo_blocks`` within others: every nation's 2 048 addresses, each overlapping the next
+    nation's, a /17 a region, and one /8 that several regions claim."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    base = (198 << 24) + (51 << 16)
+
+    def block(df, start, size, key, name, kind):
+        return df.select(start.cast("bigint").alias("start_ip"), (start + size - 1).cast("bigint").alias("end_ip"),
+                         F.col(key).cast("double").alias("latitude"), (-F.col(key)).cast("double").alias("longitude"),
+                         F.col(name).alias("country"), F.lit(kind).alias("region"), F.lit(None).cast("string").alias("city"))
+
+    n = block(nation, F.lit(base) + F.col("n_nationkey") * 1500, 2048, "n_nationkey", "n_name", "nation")
+    half = block(region, F.lit(base) + F.col("r_regionkey") * (1 << 15), 1 << 15, "r_regionkey", "r_name", "half")
+    whole = block(region, F.lit(198 << 24) + F.col("r_regionkey") * 0, 1 << 24, "r_regionkey", "r_name", "whole")
+    return geo_blocks(spark, sf_dir).unionByName(n).unionByName(half).unionByName(whole)
+
+
+# Queries of requests whose lines lose a quote, by event_id % 5.
+ATTACKS = ["id=1", "id=1'--", "id=1'or'1'='1", "q='<script>x", "id=1';drop"]
+
+
+def attack_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IIS short lines (source 5) from ``events`` whose queries hold apostrophes: an odd number of
+    them leaves the line without a row."""
+    e = table(spark, sf_dir, "events")
+    attack = F.element_at(F.array(*[F.lit(a) for a in ATTACKS]), (F.col("event_id") % len(ATTACKS) + 1).cast("int"))
+    line = F.concat(F.lit("2023-11-14 22:13:20 192.0.2.1 GET /p v=1 "), attack, F.lit(" 80 198.51.0."),
+                    (F.col("event_id") % 200).cast("string"), F.lit(" UA - 200 0 0"))
+    return e.select(F.lit(5).alias("datasource_id"), F.lit("iis-short").alias("type"), line.alias("line"))
+
+
 def host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address-to-name rows in the ``host_names`` schema, one per customer."""
     c = table(spark, sf_dir, "customer")

@@ -1,5 +1,9 @@
 """Table store and sinks.
 
+The registry's tables (K6) are append-only logs: one small Parquet file for each version of a row,
+named by id and version and created once (``claims``), so two writers never get one id and nothing that
+is stored is ever overwritten; reading keeps the last version of each row.
+
 Fact tables are Parquet folders partitioned by ``datasource_id``; replacing sources'
 rows overwrites only their partition folders, after the new rows are computed, and
 an empty result also clears old rows (D18). Reads name the schema (no inference) and
@@ -7,20 +11,30 @@ filter on the partition column, which prunes folders.
 """
 from __future__ import annotations
 
+import io
 import uuid
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..schemas import PARTITIONED, TABLES
+from ..schemas import LOG_TYPES, PARTITIONED, TABLES
+from ..sources.ingest import KIND_TABLES, tagged_lines
+from . import claims
 from .registry import empty_table
 
 
 #: An import reserves 2^SLAB_BITS ids, 2^TASK_BITS of them for each task: 2^20 tasks of 67
-#: million rows an import, and 131 072 imports into a table.
+#: million rows an import, and 131 072 imports into a table (beyond either it fails with a message).
 SLAB_BITS, TASK_BITS = 46, 26
-GIVEN_IDS = -2
+REGISTRY = [name for name in TABLES if name not in PARTITIONED]
+
+
+def _versioned(table: str) -> StructType:
+    return StructType([*TABLES[table].fields, StructField("version", IntegerType())])
 
 
 class LogStore:
@@ -29,15 +43,15 @@ class LogStore:
         self.root = root.rstrip("/")
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        return f"{self.root}/table={table}" if table in PARTITIONED else f"{self.root}/{table}"
 
     def create_table(self, name: str) -> None:
         """K1 for one table (``IF NOT EXISTS``: the ``ignore`` save mode leaves an existing
         folder untouched)."""
-        writer = empty_table(self.spark, TABLES[name]).write.mode("ignore")
-        if name in PARTITIONED:
-            writer = writer.partitionBy("datasource_id")
-        writer.parquet(self.path(name))
+        if name in REGISTRY:
+            claims.make_folder(self.spark, self.path(name))
+        else:
+            empty_table(self.spark, TABLES[name]).write.mode("ignore").partitionBy("datasource_id").parquet(self.path(name))
 
     def create_tables(self) -> list[str]:
         """K1: create every table that does not exist yet."""
@@ -48,6 +62,9 @@ class LogStore:
     def read(self, table: str, datasource_id: int | None = None) -> DataFrame:
         """A table, optionally one data source (partition pruned)."""
         schema = TABLES[table]
+        if table in REGISTRY:
+            log = self.spark.read.schema(_versioned(table)).parquet(self.path(table))
+            return log.groupBy("id").agg(F.max_by(F.struct(*schema.fieldNames()), "version").alias("row")).select("row.*")
         df = self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(self.path(table))
         df = df.select(*schema.fieldNames())
         if datasource_id is not None:
@@ -58,33 +75,30 @@ class LogStore:
     def _claims_path(self, table: str) -> str:
         return f"{self.root}/_meta/{table}_ids"
 
-    def _claim(self, table: str, name: str, slab: int) -> bool:
-        """Write one claim; False when that name is taken (the save mode fails on an existing folder)."""
-        row = self.spark.range(1).select(F.lit(int(slab)).cast("bigint").alias("slab"))
-        try:
-            row.write.mode("error").json(f"{self._claims_path(table)}/{name}")
-        except AnalysisException as e:
-            if "ALREADY_EXISTS" not in str(e):
-                raise
-            return False
-        return True
-
     def reserve_ids(self, table: str) -> int:
         """Reserve a block of 2^SLAB_BITS ids before anything is written and return its first
-        id. A block belongs to one import, also if that fails later; two imports at once get
-        different blocks. Rows that were appended with ids of their own are respected."""
-        self._claim(table, "start", -1)
-        claims = self.spark.read.schema("slab bigint").json(f"{self._claims_path(table)}/*")
-        top, given = claims.agg(F.max("slab"), F.max(F.when(F.col("slab") == GIVEN_IDS, 1))).first()
-        slab = max(int(top), -1) + 1
-        if given or slab == 0:
+        id. A block is a file that can be created once, so it belongs to one import, also if that
+        fails later, and imports at once get different blocks. Rows that were appended with ids of
+        their own are respected."""
+        taken = claims.names(self.spark, self._claims_path(table))
+        slab = max((int(n[5:]) for n in taken if n.startswith("slab-")), default=-1) + 1
+        if slab == 0 or any(n.startswith("given-") for n in taken):
             self.create_table(table)
             stored = self.read(table).agg(F.max("id")).first()[0]
             slab = max(slab, 0 if stored is None else (int(stored) >> SLAB_BITS) + 1)
-        while not self._claim(table, f"slab-{slab}", slab):
+        while not claims.create_once(self.spark, f"{self._claims_path(table)}/slab-{slab:06d}"):
             slab += 1
+        if slab >= 1 << (63 - SLAB_BITS):
+            raise RuntimeError(f"{table} has no block of ids left")
         return slab << SLAB_BITS
 
+    def _new_ids(self, table: str) -> F.Column:
+        local = F.monotonically_increasing_id()
+        task, row = F.shiftright(local, 33), local.bitwiseAND(F.lit((1 << 33) - 1))
+        fits = (task < F.lit(1 << (SLAB_BITS - TASK_BITS))) & (row < F.lit(1 << TASK_BITS))
+        return F.when(fits, F.lit(self.reserve_ids(table)) + F.shiftleft(task, TASK_BITS) + row) \
+            .otherwise(F.raise_error(F.lit(f"more than 2^{TASK_BITS} rows in one task: use more partitions")).cast("bigint"))
+
     def append(self, table: str, df: DataFrame, new_ids: bool = False) -> None:
         """K2/K3: append rows; partition folders per data source.
 
@@ -95,18 +109,30 @@ class LogStore:
         and time-window reports skip most row groups."""
         cols = TABLES[table].fieldNames()
         if "id" in cols and new_ids:
-            local = F.monotonically_increasing_id()
-            task, row = F.shiftright(local, 33), local.bitwiseAND(F.lit((1 << 33) - 1))
-            fits = (task < F.lit(1 << (SLAB_BITS - TASK_BITS))) & (row < F.lit(1 << TASK_BITS))
-            df = df.withColumn("id", F.when(fits, F.lit(self.reserve_ids(table)) + F.shiftleft(task, TASK_BITS) + row)
-                               .otherwise(F.raise_error(F.lit(f"more than 2^{TASK_BITS} rows in one task: use more partitions")).cast("bigint")))
+            df = df.withColumn("id", self._new_ids(table))
         elif "id" in cols:
-            self._claim(table, f"given-{uuid.uuid4().hex}", GIVEN_IDS)
+            claims.create_once(self.spark, f"{self._claims_path(table)}/given-{uuid.uuid4().hex}")
         rows = df.select(*cols)
         if "time" in cols:
             rows = rows.sortWithinPartitions("datasource_id", "time")
         rows.write.mode("append").partitionBy("datasource_id").parquet(self.path(table))
 
+    def import_lines(self, lines: DataFrame, kind: str, log_type="type", tz: str = "UTC", positions: dict | None = None) -> None:
+        """S10 + S11 + K2/K3: one job that reads and parses every line once and writes the rows to
+        their table and the lines that gave none, with the reason, to ``rejects``. ``lines`` has
+        ``line`` and ``datasource_id``."""
+        table = KIND_TABLES[kind]
+        for name in (table, "rejects"):
+            self.create_table(name)
+        fields = [f for f in TABLES[table].fieldNames() if f not in ("id", "datasource_id")]
+        tagged = tagged_lines(lines, kind, log_type, tz=tz, positions=positions)
+        is_row = F.col("row").isNotNull()
+        rows = tagged.select(
+            F.when(is_row, table).otherwise("rejects").alias("table"), F.col("datasource_id").cast("int").alias("datasource_id"),
+            F.when(is_row, self._new_ids(table)).alias("id"), *[F.col("row")[f].alias(f) for f in fields],
+            F.when(~is_row, kind).alias("kind"), F.when(~is_row, F.col("line")).alias("line"), "reason")
+        rows.sortWithinPartitions("table", "datasource_id", "time").write.mode("append").partitionBy("table", "datasource_id").parquet(self.root)
+
     def replace_source(self, table: str, datasource_id: int, df: DataFrame) -> None:
         """K4/K5: replace one data source's rows."""
         self.replace_sources(table, df, [datasource_id])
@@ -136,10 +162,51 @@ class LogStore:
             self.read(name).createOrReplaceTempView(name)
         return list(TABLES)
 
+    # ---- registry (K6): one row an imported log source, so a listing and a few rows on the driver.
+    def _record(self, table: str, row: dict, version: int) -> bool:
+        """Store one version of a row; False if someone else stored that version first."""
+        schema = _versioned(table)
+        out = io.BytesIO()
+        pq.write_table(pa.Table.from_pylist([{**row, "version": version}], schema=to_arrow_schema(schema)), out)
+        return claims.create_once(self.spark, f"{self.path(table)}/{int(row['id']):010d}.{version:06d}.parquet", out.getvalue())
+
+    def _versions(self, table: str) -> dict[int, int]:
+        """The last version of every id."""
+        found: dict[int, int] = {}
+        for name in claims.names(self.spark, self.path(table)):
+            row_id, version = name.split(".")[:2]
+            found[int(row_id)] = max(found.get(int(row_id), 0), int(version))
+        return found
+
+    def _add(self, table: str, **fields) -> int:
+        row_id = max(self._versions(table), default=0) + 1
+        while not self._record(table, {"id": row_id, **fields}, 0):
+            row_id += 1
+        return row_id
+
+    def add_collection(self, name: str, description: str = "") -> int:
+        """K6: store a new collection; its id is its own, whoever else adds one."""
+        return self._add("collections", name=name, description=description)
+
+    def add_datasource(self, name: str, log_type: str, collection_id: int, description: str = "") -> int:
+        """K6: store a new data source; its id is its own, whoever else adds one."""
+        if log_type not in LOG_TYPES:
+            raise ValueError(f"unknown log type {log_type!r}; expected one of {LOG_TYPES}")
+        return self._add("datasources", collection_id=int(collection_id), name=name, type=log_type, description=description)
+
     def write_registry(self, collections: DataFrame, datasources: DataFrame) -> None:
-        """K6: persist the registry (tiny; rewritten whole)."""
-        collections.coalesce(1).write.mode("overwrite").parquet(self.path("collections"))
-        datasources.coalesce(1).write.mode("overwrite").parquet(self.path("datasources"))
+        """K6: store rows, also ones that are derived from what is stored: new ids are added, rows
+        that differ from their stored version get a next version, nothing is removed."""
+        for table, df in (("collections", collections), ("datasources", datasources)):
+            self.create_table(table)
+            rows = [r.asDict() for r in df.select(*TABLES[table].fieldNames()).collect()]
+            stored = {r["id"]: r.asDict() for r in self.read(table).collect()}
+            versions = self._versions(table)
+            for row in rows:
+                if stored.get(row["id"]) != row:
+                    version = versions.get(row["id"], -1) + 1
+                    while not self._record(table, row, version):
+                        version += 1
 
 
 def write_names_csv(df: DataFrame, path: str, key_col: str, name_col: str = "name") -> None:

@@ -25,6 +25,9 @@ BEACON_DATA = _s(("clientip", StringType()), ("destip", StringType()), ("mean",
 XSS_DATA = _s(("clientip", StringType()), ("query", StringType()), ("xsstype", StringType()),
               ("detector", StringType()), ("datasource_id", IntegerType()))
 
+# Lines that gave no row (S11), kept for search and for the detectors.
+REJECTS = _s(("kind", StringType()), ("line", StringType()), ("reason", StringType()), ("datasource_id", IntegerType()))
+
 COLLECTIONS = _s(("id", IntegerType()), ("name", StringType()), ("description", StringType()))
 
 DATASOURCES = _s(("id", IntegerType()), ("collection_id", IntegerType()), ("name", StringType()),
@@ -42,10 +45,11 @@ TABLES: dict[str, StructType] = {
     "web_data": WEB_DATA,
     "beacon_data": BEACON_DATA,
     "xss_data": XSS_DATA,
+    "rejects": REJECTS,
     "collections": COLLECTIONS,
     "datasources": DATASOURCES,
 }
-PARTITIONED = {"proxy_data", "web_data", "beacon_data", "xss_data"}
+PARTITIONED = {"proxy_data", "web_data", "beacon_data", "xss_data", "rejects"}
 
 # The data-source type strings the parsers and reports accept.
 PROXY_TYPES = ("bluecoat", "squid")

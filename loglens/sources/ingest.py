@@ -14,6 +14,7 @@ from .parsers import annotate
 from .text import read_log_lines
 
 ROW_FIELDS = {"proxy": PROXY_ROW_FIELDS, "web": WEB_ROW_FIELDS}
+KIND_TABLES = {"proxy": "proxy_data", "web": "web_data"}
 KIND_TYPES = {"proxy": PROXY_TYPES, "web": WEB_TYPES}
 
 
@@ -33,13 +34,14 @@ def spread(lines: DataFrame, min_partitions: int | None) -> DataFrame:
 
 def parse_lines(lines: DataFrame, kind: str, log_type="type", line_col: str = "line",
                 tz: str = "UTC", keep: list[str] | None = None, assign_id: bool = False,
-                min_partitions: int | None = None) -> DataFrame:
+                min_partitions: int | None = None, positions: dict | None = None) -> DataFrame:
     """Parsed rows of one kind (``proxy``/``web``); unparseable lines vanish.
 
-    ``log_type`` is a type string (one format for all lines) or the name of a column."""
+    ``log_type`` is a type string (one format for all lines) or the name of a column.
+    ``positions`` names other token positions by log type, e.g. ``{"iis": {"query": 6}}`` (D31)."""
     keep = [c for c in (keep if keep is not None else ["datasource_id"]) if c in lines.columns]
     lines = spread(lines, min_partitions)
-    ann = annotate(lines, kind, log_type, line_col, tz)
+    ann = annotate(lines, kind, log_type, line_col, tz, positions)
     # A line yields zero or one record. Emitting it through a generator (rather than
     # filtering on the parsed struct) keeps the optimizer from pushing a filter down
     # with the whole parser expression inlined once per token reference.
@@ -60,6 +62,17 @@ def rejected_lines(lines: DataFrame, kind: str, log_type="type", line_col: str =
                       F.explode(F.filter(F.array("_reason"), lambda r: r.isNotNull())).alias("reason"))
 
 
+def tagged_lines(lines: DataFrame, kind: str, log_type="type", line_col: str = "line", tz: str = "UTC",
+                 keep: list[str] | None = None, positions: dict | None = None) -> DataFrame:
+    """Every line once, from one parse: its ``row`` (struct; NULL if the line gave none), ``line``
+    and ``reason`` (NULL if it gave one)."""
+    keep = [c for c in (keep if keep is not None else ["datasource_id"]) if c in lines.columns]
+    ann = annotate(lines, kind, log_type, line_col, tz, positions)
+    # through a generator for the reason given in parse_lines
+    one = ann.select(*keep, F.explode(F.array(F.struct(F.col("_rec").alias("row"), F.col(line_col).alias("line"), F.col("_reason").alias("reason")))).alias("_t"))
+    return one.select(*keep, "_t.row", "_t.line", "_t.reason")
+
+
 def reject_counts(lines: DataFrame, kind: str, log_type="type", tz: str = "UTC") -> DataFrame:
     """S11 summary: rejected lines per data source and reason (partial aggregation)."""
     return (rejected_lines(lines, kind, log_type, tz=tz)

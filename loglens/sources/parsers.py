@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.counts import byte_difference
+from ..functions.counts import MAX_LONG, byte_difference
 from ..functions.ip import looks_like_ip
 from ..functions.times import parse_epoch, parse_local_time
 from ..functions.urls import request_page, request_query, url_host, url_path
@@ -35,10 +35,11 @@ def _is_int(tok: Column) -> Column:
 
 
 def _int(tok: Column) -> Column:
-    """Integer value of a token as a 64-bit number; blanks, junk and numbers that no 64-bit
-    column holds are 0 (D1)."""
+    """Integer value of a token as a 64-bit number: 0 for blanks and junk, the largest (or
+    smallest) 64-bit number for integers beyond it, as sums have it (D1)."""
     t = F.trim(tok)
-    return F.coalesce(F.when(t.rlike(_INTEGER), t.try_cast("bigint")), F.lit(0).cast("bigint"))
+    beyond = F.when(t.startswith("-"), F.lit(-MAX_LONG - 1)).otherwise(F.lit(MAX_LONG))
+    return F.coalesce(F.when(t.rlike(_INTEGER), F.coalesce(t.try_cast("bigint"), beyond)), F.lit(0).cast("bigint"))
 
 
 def _stored_bytes(tok: Column) -> Column:
@@ -130,9 +131,14 @@ WEB_PARSERS = {"apache": apache, "iis": iis, "iis-short": iis_short}
 STATUS_INDEX = {"apache": 6, "iis": IIS_FULL_MAP["status"], "iis-short": IIS_SHORT_MAP["status"]}
 
 
-def parse_for_type(tokens: Column, log_type, kind: str, tz: str = "UTC") -> Column:
-    """Struct for one record. ``log_type`` is a type string or a column holding it."""
-    parsers = PROXY_PARSERS if kind == "proxy" else WEB_PARSERS
+def parse_for_type(tokens: Column, log_type, kind: str, tz: str = "UTC", positions: dict | None = None) -> Column:
+    """Struct for one record. ``log_type`` is a type string or a column holding it (S10);
+    ``positions`` replaces token positions of the IIS types, by type (D31)."""
+    parsers = dict(PROXY_PARSERS if kind == "proxy" else WEB_PARSERS)
+    for name, places in (positions or {}).items():
+        if name not in ("iis", "iis-short"):
+            raise ValueError(f"{name!r} has no token positions to replace")
+        parsers[name] = lambda t, tz, parse=WEB_PARSERS[name], places=places: parse(t, tz, places)
     if isinstance(log_type, str):
         if log_type not in parsers:
             raise ValueError(f"{log_type!r} is not a {kind} log type")
@@ -162,7 +168,7 @@ def reject_reason(line: Column, tokens: Column, record: Column, log_type, kind:
     return reason.otherwise("unparsed")
 
 
-def annotate(lines, kind: str, log_type="type", line_col: str = "line", tz: str = "UTC"):
+def annotate(lines, kind: str, log_type="type", line_col: str = "line", tz: str = "UTC", positions: dict | None = None):
     """Add ``_rec`` (parsed struct or NULL) and ``_reason`` to a DataFrame of lines.
 
     Lines must start with a digit (D4, both importers call ``isdigit()``)."""
@@ -170,7 +176,7 @@ def annotate(lines, kind: str, log_type="type", line_col: str = "line", tz: str
     type_expr = F.col(log_type) if isinstance(log_type, str) and log_type in lines.columns else log_type
     with_tokens = with_shell_tokens(lines, line_col, "_tokens", where=F.coalesce(line.rlike("^[0-9]"), F.lit(False)))
     t = F.col("_tokens")
-    rec = F.when(t.isNotNull(), parse_for_type(t, type_expr, kind, tz))
+    rec = F.when(t.isNotNull(), parse_for_type(t, type_expr, kind, tz, positions))
     out = with_tokens.withColumn("_rec", rec)
     out = out.withColumn("_reason", reject_reason(line, t, F.col("_rec"), type_expr, kind))
     return out.drop("_tokens")
