@@ -174,9 +174,12 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             continue
         arr = batch.column(batch.schema.names.index(column))
         valid = ~np.asarray(arr.is_null())
-        arr = arr.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+        if arr.null_count:
+            arr = arr.fill_null("")
+        # the batch's own buffers, without a copy
+        wide = pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type)
         _, off, buf = arr.buffers()
-        offsets = np.frombuffer(off, dtype=np.int64)[arr.offset:arr.offset + len(arr) + 1]
+        offsets = np.frombuffer(off, dtype=np.int64 if wide else np.int32)[arr.offset:arr.offset + len(arr) + 1].astype(np.int64)
         data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.empty(0, np.uint8)
         i, n = 0, len(arr)
         while i < n:
