@@ -12,8 +12,10 @@ pieces, leftmost on ties), so equal strings have equal minimizers.
 3. Stretches of one minimizer are indexed together: each shard of them gets its
    Burrows-Wheeler transform, and the shards' transforms are merged by refining their
    interleave, one more leading byte a round, without sorting suffixes across shards.
-   Round t leaves the common prefixes shorter than t; after ``length`` rounds the
-   intervals that are left are the repeated strings. All but the first place are removed.
+   Round t leaves the intervals of rows that share t bytes; rows that share no more with any
+   other are finished and not moved again. After ``length`` rounds the intervals that are
+   left are the repeated strings. All but the first place are removed. (``merge_bwts`` moves
+   all rows, and so gives their whole order and all common prefixes.)
 
 Step 3 compares bytes; step 2 trusts two 64-bit hashes.
 
@@ -284,9 +286,34 @@ def merge_bwts(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_marks:
     return perm, lcp
 
 
+def open_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interval, row) of the shards' rows that share their first ``depth`` symbols with another row.
+
+    The rounds of ``merge_bwts`` over the rows that are still in an interval: the preceding suffix of
+    a row that shares t symbols with no other shares t + 1 with none, so it need not be looked at."""
+    base = np.concatenate(([0], np.cumsum([len(s[0]) for s in shards])))
+    # a row's preceding symbol and, above it, the row of its preceding suffix
+    step = np.concatenate([(np.where(s[2] < 0, 0, s[2] + b) << 16) | s[1] for s, b in zip(shards, base)]).astype(np.int64)
+    row = np.arange(int(base[-1]), dtype=np.int32)
+    interval = np.zeros(len(row), dtype=np.int32)
+    for _ in range(depth):
+        if not len(row):
+            break
+        go = step[row]
+        symbol = go.astype(np.uint16)
+        order = np.argsort(symbol, kind="stable")[np.count_nonzero(symbol == 0):]      # the others have no preceding suffix
+        symbol, inside = symbol[order], interval[order]
+        new = np.ones(len(order) + 1, dtype=bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (inside[1:] != inside[:-1])
+        shared = ~(new[:-1] & new[1:])
+        row = (go[order[shared]] >> 16).astype(np.int32)
+        interval = np.cumsum(new[:-1], dtype=np.int32)[shared]
+    return interval, row
+
+
 def repeated_strings(strings: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(interval, string, offset) of all substrings of ``length`` bytes that occur more than once."""
-    shards, marks, owner, offset = [], [], [], []
+    shards, owner, offset = [], [], []
     i = 0
     while i < len(strings):
         j, size = i, 0
@@ -294,19 +321,13 @@ def repeated_strings(strings: list[bytes], length: int, shard_bytes: int = SHARD
             size += len(strings[j]) + 1
             j += 1
         shards.append(shard_bwt(strings[i:j]))
-        marks.append(j - i)
         sizes = np.fromiter((len(s) + 1 for s in strings[i:j]), np.int64, j - i)
         own = np.repeat(np.arange(j - i), sizes)
         sa = shards[-1][0]
         owner.append(own[sa] + i)
         offset.append(sa - (np.cumsum(sizes) - sizes)[own[sa]])
         i = j
-    perm, lcp = merge_bwts(shards, marks, length)
-    repeat = lcp >= length
-    repeat[0] = False
-    inside = repeat | np.append(repeat[1:], False)
-    interval = np.cumsum(~repeat)[inside]
-    rows = perm[inside]
+    interval, rows = open_intervals(shards, length)
     return interval, np.concatenate(owner)[rows], np.concatenate(offset)[rows]
 
 

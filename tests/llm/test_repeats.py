@@ -82,3 +82,24 @@ def test_merged_transforms_are_sorted():
             n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
             assert lcp[i] == n
     assert np.all(lcp <= 50)
+
+
+def test_open_intervals_are_those_of_the_whole_order():
+    rng = random.Random(9)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() for _ in range(60)] + [b"\xff" * 30] * 3
+    for depth in (1, 4, 9, 25, 70):
+        parts = [strings[:20], strings[20:21], strings[21:]]
+        shards = [repeats.shard_bwt(p) for p in parts]
+        perm, lcp = repeats.merge_bwts(shards, [len(p) for p in parts], depth)
+        want = []
+        for i, row in enumerate(perm.tolist()):
+            if i and lcp[i] >= depth:
+                want[-1].add(row)
+            else:
+                want.append({row})
+        interval, rows = repeats.open_intervals(shards, depth)
+        got = {}
+        for k, row in zip(interval.tolist(), rows.tolist()):
+            got.setdefault(k, set()).add(row)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in want if len(w) > 1)
+    assert repeats.open_intervals([repeats.shard_bwt([b"abc"])], 5)[0].size == 0
