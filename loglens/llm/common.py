@@ -11,6 +11,7 @@ Hashes only stand for equality of strings of one job; 64 bits, mixed.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -337,24 +339,27 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def with_row_ids(df: DataFrame, id_col: str, name: str = "_rid") -> DataFrame:
-    """Add a unique long per row, ordered like ``id_col`` (nulls last). It is the id
-    itself where ids are unique and not null (checked); otherwise rows are numbered
-    in id order, rows of one id by all their other columns."""
+    """Add a unique long per row, ordered like ``id_col`` (nulls last). It is the id itself where ids
+    are whole numbers, unique and not null (checked); otherwise rows are numbered in id order (ids of
+    text in theirs: '01' and '1' are two), rows of one id by all their other columns that can be
+    ordered. Columns may have any names."""
     spark = df.sparkSession
-    bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
-    if not bad.limit(1).collect():
-        return df.withColumn(name, F.col(id_col).cast("long"))
-    rest = [c for c in df.columns if c != id_col]
-    ordered = written(df.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(*rest), *rest)
-                      .withColumn("_p", F.spark_partition_id())
-                      .withColumn("_o", F.monotonically_increasing_id()), "row-ids")
-    counts = sorted((r["_p"], r["n"]) for r in ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+        if not bad.limit(1).collect():
+            return df.withColumn(name, F.col(id_col).cast("long"))
+    rest = [f.name for f in df.schema.fields if f.name != id_col and not re.search("map<|variant", f.dataType.simpleString())]
+    part, place, shift = (fresh_name(df.withColumn(name, F.lit(0)), c) for c in ("row_part", "row_place", "row_shift"))
+    by = [F.col(f"`{c.replace('`', '``')}`") for c in rest]
+    ordered = written(df.orderBy(F.col(id_col).asc_nulls_last(), *([F.xxhash64(*by), *by] if by else []))
+                      .withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()), "row-ids")
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
     total, firsts = 0, []
-    for p, n in counts:
+    for p, n in counts:         # one row a partition
         firsts.append((p, total - (p << 33)))
         total += n
-    shift = spark.createDataFrame(firsts, "_p int, _s long")
-    return ordered.join(F.broadcast(shift), "_p").withColumn(name, F.col("_o") + F.col("_s")).drop("_p", "_o", "_s")
+    shifts = spark.createDataFrame(firsts, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(shift, T.LongType())]))
+    return ordered.join(F.broadcast(shifts), part).withColumn(name, F.col(place) + F.col(shift)).drop(part, place, shift)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

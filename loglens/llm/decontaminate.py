@@ -11,7 +11,8 @@ found once per shard as one range.
 Edge cases: a null or wordless text has no words and no hits; a null or wordless
 item has no windows; an item of fewer words than the window is one window; an item
 with a null id marks words but is not listed; repeated item ids count once; repeated
-document rows are judged row by row. Other columns are not touched.
+document rows are judged row by row; ids may be of any type that can be ordered. Other columns
+are not touched.
 """
 from __future__ import annotations
 
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM_WORDS, find_words, fresh_name, list_array, segment_sums, suffix_array, text_chunks, with_row_ids, word_hashes
 
 WINDOW = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text per broadcast, and broadcasts in one pass over the documents.
 BLOCK_BYTES = 8 << 20
 BLOCKS_PER_PASS = 8
@@ -239,11 +241,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ranges, flattened) and items. ``benchmark`` has item_id and text and is searched in
     blocks: eight broadcasts of ``block_bytes`` of text a pass, more passes beyond."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("_rid"), "text")
+    whole_ids = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    slim = docs.select(F.col(id_col).cast("long").alias("_rid") if whole_ids else F.lit(None).cast("long").alias("_rid"), "text")
     blocks = [spark.sparkContext.broadcast(b.fields()) for b in benchmark_blocks(benchmark, window, block_bytes)]
     passes = [blocks[k:k + BLOCKS_PER_PASS] for k in range(0, len(blocks), BLOCKS_PER_PASS)]
     result = "_rid long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<long>, items array<string>"
-    if len(passes) == 1:
+    if len(passes) == 1 and whole_ids:
         scan = _scan(passes[0], shard_bytes)
         return slim.mapInArrow(lambda batches: _digest(scan(batches)), result).withColumnRenamed("_rid", id_col)
     named = with_row_ids(docs.select(id_col, "text"), id_col)

@@ -50,3 +50,37 @@ def test_row_ids_keep_the_order(spark):
     plain = c.with_row_ids(df.filter("k = 3"), "k").collect()
     assert [r._rid for r in plain] == [3]
     assert c.fresh_name(df.withColumn("K_", F.lit(1)), "k") == "k__"
+
+
+CLASHING = ["_p", "_o", "_s", "row_part", "row_place", "row_shift", "n", "id", "rid", "row_id", "center", "component", "spans", "new_text", "source_", "h", "slot"]
+TEXTS = ["one two three four five six seven", "one two three four five six seven", None, "", "nine ten eleven twelve thirteen fourteen", "a b c d e f g h"]
+
+
+@pytest.mark.parametrize("ids", [["d1", "01", "1", "z", None, "d1"], [1, 1, None, 4, 5, 6]])
+def test_any_ids_and_any_column_names(spark, ids):
+    """Text ids, repeated and null ids, and columns of every name the operators use, for all table forms."""
+    from loglens.llm import decontaminate, mixing, ngram_join, repeats
+    kind = "string" if "d1" in ids else "long"
+    df = spark.createDataFrame([(i, t, "en", None if k == 2 else "s", 1) for k, (i, t) in enumerate(zip(ids, TEXTS))],
+                               f"doc_id {kind}, text string, lang string, source string, n_chars long")
+    odd = df
+    for name in CLASHING:
+        odd = odd.withColumn(name, F.lit("x"))
+    rows = c.with_row_ids(odd, "doc_id")
+    assert rows.columns == [*odd.columns, "_rid"] and sorted(r[-1] for r in rows.collect()) == list(range(6))
+    bench = spark.createDataFrame([("i", "nine ten eleven twelve thirteen fourteen")], "item_id string, text string")
+    kept = ngram_join.drop_near_copies(odd)
+    assert kept.columns == odd.columns and kept.count() == 5
+    clean = decontaminate.remove_contaminated(odd, bench)
+    assert clean.columns == odd.columns and clean.count() == 5
+    cut = repeats.remove_repeats(odd)
+    assert cut.columns == odd.columns and cut.count() == 6
+    mixed = mixing.with_copies(odd)
+    assert mixed.columns[:len(odd.columns)] == odd.columns and mixed.count() == 6
+    # the queries' forms: one row a document, ids as they are
+    key = lambda values: sorted(map(str, values))
+    assert key(r.doc_id for r in decontaminate.contamination(odd, bench).collect()) == key(ids)
+    assert key(r.doc_id for r in repeats.repeated_bytes(odd).collect()) == key(ids)
+    assert key(r.doc_id for r in mixing.mix(odd).collect()) == key(ids)
+    similar = ngram_join.similar_documents(odd).collect()
+    assert key(r.doc_id for r in similar) == key(ids) and all(r.component_id in ids for r in similar)
