@@ -5,7 +5,8 @@ seconds of the slice (at most ``slice_seconds``, sorted). Slices of one key merg
 any number: counts and sums add, seconds unite; the squared gaps inside a slice follow from its seconds.
 
 An import appends the slices of its own rows and nothing else. Reading merges the slices that several
-imports touched; ``compact`` stores them merged. Both group by (pair, slice), so a pair that holds a third of
+imports touched; ``compact`` stores them merged; ``index`` stores them as a table that is bucketed and sorted by
+pair (K8), over which scoring shuffles no pair: a bucket holds a hot pair's slices, not its rows. Both group by (pair, slice), so a pair that holds a third of
 all rows is spread over its slices, and a slice is as large as its seconds at most, times its imports.
 """
 from __future__ import annotations
@@ -49,6 +50,11 @@ def slice_figures(slices: DataFrame) -> DataFrame:
                          F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g).alias("sq_inner"))
 
 
+def pair_stats_of_state(slices: DataFrame) -> DataFrame:
+    """A5 over merged slices, e.g. those of an index table."""
+    return stats_of_slices(slice_figures(slices))
+
+
 class BeaconState:
     """The state below ``root``: one folder an import, and a log of which folders hold. Folders not in
     the log (of an import that failed) are never read."""
@@ -101,6 +107,15 @@ class BeaconState:
         name = self._write(merge_slices(self._read(old)))
         return self._log(f"swap-{swaps:06d}", "\n".join([name, *old]))
 
+    def index(self, buckets: int) -> str:
+        """K8: the merged slices as a table of the catalog, bucketed by (source, client, destination) and
+        sorted by slice within; its name. For a pair's slices to be read by few tasks, ``buckets`` is
+        about the state's bytes over 128 MB. The table is a copy: made again after imports."""
+        name = f"beacon_index_{uuid.uuid4().hex}"
+        self.slices().repartition(buckets, *PAIR).write.bucketBy(buckets, *PAIR).sortBy(*PAIR, "slice") \
+            .option("path", f"{self.root}/index/{name}").saveAsTable(name)
+        return name
+
     def scores(self, datasources: DataFrame) -> DataFrame:
         """``beacon_data`` rows, equal to scoring all rows at once."""
-        return scores_of_pairs(stats_of_slices(slice_figures(self.slices())), datasources)
+        return scores_of_pairs(pair_stats_of_state(self.slices()), datasources)

@@ -246,6 +246,14 @@ def k8_beacon_projection(spark, sf):
 
 
 # ---------------------------------------------------------------- predicates
+def k8_beacon_index(spark, sf):
+    """K8: scores over the bucketed index of the beacon state."""
+    state = beacon_state.BeaconState(spark, scratch_path(spark, "beacon-index"))
+    state.add(_proxy(spark, sf))
+    slices = spark.table(state.index(buckets=8))
+    return beacon.scores_of_pairs(beacon_state.pair_stats_of_state(slices), _registry(spark)[1])
+
+
 def f4_ip_literal_dests(spark, sf):
     """F4 (prefix-anchored) and F5 (strict) address tests over distinct destinations."""
     d = _proxy(spark, sf).select("datasource_id", "destip").distinct()
@@ -541,7 +549,7 @@ _ALL = [
     s1_text_scan_proxy, s3_tokenize_documents, s4_parse_squid, s5_parse_bluecoat_a, s6_parse_bluecoat_b,
     s4_numbers_proxy, s7_numbers_web, s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s11_reject_indicators, s12_partition_scan,
     k1_create_tables, k2_append_proxy, k3_append_web, k4_replace_beacons, k5_replace_indicators,
-    k6_registry_add, k6_registry_store, k7_names_csv, k8_beacon_projection,
+    k6_registry_add, k6_registry_store, k7_names_csv, k8_beacon_projection, k8_beacon_index,
     f4_ip_literal_dests, f7_public_addresses, f22_kilobytes_top_clients,
     j2_collections_nested, j7_destination_counts, j9_geo_locate, j9_nested_blocks,
     a1_bluecoat_detail, a2_bluecoat_summary, a3_squid_detail, a4_squid_summary, a5_pair_statistics,

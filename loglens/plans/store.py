@@ -30,9 +30,19 @@ from .registry import empty_table
 #: An import reserves 2^SLAB_BITS ids, 2^TASK_BITS of them for each task: 2^20 tasks of 67
 #: million rows an import, and 131 072 imports into a table (beyond either it fails with a message).
 SLAB_BITS, TASK_BITS = 46, 26
+#: Columns that reports look single addresses up in (F9, A20-A22): row groups get Bloom filters of them.
+ADDRESSES = ("clientip", "destip")
 REGISTRY = [name for name in TABLES if name not in PARTITIONED]
 
 
+def _with_filters(writer, columns):
+    """Bloom filters for the address columns, as large as their distinct addresses need."""
+    found = [c for c in ADDRESSES if c in columns]
+    for c in found:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true") if found else writer
+
+
 def _versioned(table: str) -> StructType:
     return StructType([*TABLES[table].fields, StructField("version", IntegerType())])
 
@@ -106,7 +116,8 @@ class LogStore:
         + task number * 2^TASK_BITS + row in the task (a task with more rows fails with a
         message; deal its rows out over more partitions). Otherwise given ids are kept. Fact
         rows are sorted by time inside each task, so Parquet row-group statistics follow time
-        and time-window reports skip most row groups."""
+        and time-window reports skip most row groups; Bloom filters of the addresses let reports
+        on one address skip those that do not hold it."""
         cols = TABLES[table].fieldNames()
         if "id" in cols and new_ids:
             df = df.withColumn("id", self._new_ids(table))
@@ -115,7 +126,7 @@ class LogStore:
         rows = df.select(*cols)
         if "time" in cols:
             rows = rows.sortWithinPartitions("datasource_id", "time")
-        rows.write.mode("append").partitionBy("datasource_id").parquet(self.path(table))
+        _with_filters(rows.write, cols).mode("append").partitionBy("datasource_id").parquet(self.path(table))
 
     def import_lines(self, lines: DataFrame, kind: str, log_type="type", tz: str = "UTC", positions: dict | None = None) -> None:
         """S10 + S11 + K2/K3: one job that reads and parses every line once and writes the rows to
@@ -131,7 +142,8 @@ class LogStore:
             F.when(is_row, table).otherwise("rejects").alias("table"), F.col("datasource_id").cast("int").alias("datasource_id"),
             F.when(is_row, self._new_ids(table)).alias("id"), *[F.col("row")[f].alias(f) for f in fields],
             F.when(~is_row, kind).alias("kind"), F.when(~is_row, F.col("line")).alias("line"), "reason")
-        rows.sortWithinPartitions("table", "datasource_id", "time").write.mode("append").partitionBy("table", "datasource_id").parquet(self.root)
+        rows = rows.sortWithinPartitions("table", "datasource_id", "time")
+        _with_filters(rows.write, rows.columns).mode("append").partitionBy("table", "datasource_id").parquet(self.root)
 
     def replace_source(self, table: str, datasource_id: int, df: DataFrame) -> None:
         """K4/K5: replace one data source's rows."""
@@ -147,7 +159,7 @@ class LogStore:
         seen = Observation(f"replaced_{uuid.uuid4().hex[:8]}")
         rows = df.filter(F.col("datasource_id").isin(*ids)).select(*schema.fieldNames())
         rows = rows.observe(seen, F.collect_set("datasource_id").alias("sources"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        _with_filters(rows.write, rows.columns).mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("datasource_id").parquet(self.path(table))
         written = {int(i) for i in seen.get.get("sources") or []}
         empty = empty_table(self.spark, schema).drop("datasource_id")

@@ -72,3 +72,14 @@ def test_slices_merge_to_the_same_figures(spark, proxy):
     got = slice_figures(merge_slices(halves))
     want = beacon.slice_stats(proxy)
     assert _sorted(got.select(*sorted(got.columns))) == _sorted(want.select(*sorted(want.columns)))
+
+
+def test_scoring_over_the_index_shuffles_no_pair(spark, proxy, registry, tmp_path):
+    from loglens.operators.beacon import scores_of_pairs
+    from loglens.operators.beacon_state import pair_stats_of_state
+    state = BeaconState(spark, str(tmp_path / "state"))
+    state.add(proxy)
+    stats = pair_stats_of_state(spark.table(state.index(4)))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert _sorted(scores_of_pairs(stats, registry[1])) == _sorted(beacon.beacon_scores(proxy, registry[1]))
