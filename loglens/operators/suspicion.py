@@ -1,9 +1,11 @@
 """Suspicion index: per-client shares of a data source's totals.
 
 Baselines are one row per data source; per-client aggregates are joined to them
-on ``datasource_id`` (one row per source). All figures are rolled up from one aggregate
-per (source, client, page or destination). Indicator and
-beacon sums are pre-aggregated per (source, client) and left-joined (J3, J4; D19).
+on ``datasource_id`` (one row per source). One aggregate per (source, client, page or
+destination) reads the rows; clients are rolled up from it, and so are sources, by way of
+(source, page or destination), whose rows also count the distinct ones. Both roll-ups use the
+same columns, so they share one scan and one shuffle (a test counts them). Indicator and
+beacon sums are pre-aggregated per (source, client) or per source and left-joined (J3-J5; D19).
 Percentages use half-up rounding on the scaled value, ``floor(x*100+0.5)/100``
 (D22), and divide by ``nullif(total, 0)`` (D21).
 """
@@ -45,33 +47,33 @@ def _per_item(facts: DataFrame, item: str) -> DataFrame:
         F.count(item).alias("hits"), byte_sum(add_bytes("bytesIn", "bytesOut")).alias("bytes"))
 
 
-def _distinct_items(items: DataFrame, item: str, name: str) -> DataFrame:
-    return items.groupBy("datasource_id").agg(F.countDistinct(item).alias(name))
+def _totals(items: DataFrame, item: str, distinct: str) -> DataFrame:
+    """Per source: hits, bytes and distinct items, by way of one row per (source, item)."""
+    each = items.groupBy("datasource_id", item).agg(F.sum("hits").alias("hits"), byte_sum("bytes").alias("bytes"))
+    return each.groupBy("datasource_id").agg(F.sum("hits").alias("total_hits"), byte_sum("bytes").alias("total_bytes"),
+                                             F.count(item).alias(distinct))
 
 
-def _web_base(items: DataFrame, clients: DataFrame) -> DataFrame:
-    sums = clients.groupBy("datasource_id").agg(
-        F.sum("hits").alias("total_hits"), byte_sum("bytes").alias("total_bytes"), F.sum("xss").alias("total_xss"))
-    return sums.join(_distinct_items(items, "page", "total_pages"), "datasource_id") \
+def _web_base(items: DataFrame, xss: DataFrame) -> DataFrame:
+    found = xss.groupBy("datasource_id").agg(F.count("query").alias("total_xss"))
+    return _totals(items, "page", "total_pages").join(found, "datasource_id", "left").fillna(0, ["total_xss"]) \
         .select("datasource_id", "total_hits", "total_pages", "total_bytes", "total_xss")
 
 
-def _proxy_base(items: DataFrame, clients: DataFrame) -> DataFrame:
-    sums = clients.groupBy("datasource_id").agg(byte_sum("bytes").alias("total_bytes"), F.sum("beacon").alias("total_beacon"))
-    return sums.join(_distinct_items(items, "destip", "total_dests"), "datasource_id") \
-        .select("datasource_id", "total_dests", "total_bytes", "total_beacon")
+def _proxy_base(items: DataFrame, beacons: DataFrame) -> DataFrame:
+    found = beacons.groupBy("datasource_id").agg(F.sum("beaconScore").alias("total_beacon"))
+    return _totals(items, "destip", "total_dests").join(found, "datasource_id", "left") \
+        .select("datasource_id", "total_hits", "total_dests", "total_bytes", "total_beacon")
 
 
 def web_baseline(web: DataFrame, xss: DataFrame) -> DataFrame:
     """A24 + J5: per source hits, distinct pages, bytes, indicator total."""
-    items = _per_item(web, "page")
-    return _web_base(items, _web_clients(items, xss))
+    return _web_base(_per_item(web, "page"), xss)
 
 
 def proxy_baseline(proxy: DataFrame, beacons: DataFrame) -> DataFrame:
     """A25 + J5: per source distinct destinations, bytes, beacon-score total."""
-    items = _per_item(proxy, "destip")
-    return _proxy_base(items, _proxy_clients(items, beacons))
+    return _proxy_base(_per_item(proxy, "destip"), beacons).drop("total_hits")
 
 
 def web_suspicion(web: DataFrame, xss: DataFrame, limit: int | None = None) -> DataFrame:
@@ -79,7 +81,7 @@ def web_suspicion(web: DataFrame, xss: DataFrame, limit: int | None = None) -> D
     ``limit`` keeps the top rows after sorting (never before, D20)."""
     items = _per_item(web, "page")
     c = _web_clients(items, xss)
-    c = c.join(_web_base(items, c), "datasource_id")   # one row per source (J6)
+    c = c.join(_web_base(items, xss), "datasource_id")   # one row per source (J6)
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("hits"), F.col("total_hits")).alias("hitsScore"),
@@ -97,7 +99,7 @@ def proxy_suspicion(proxy: DataFrame, beacons: DataFrame, limit: int | None = No
     ``limit`` keeps the top rows after sorting (never before, D20)."""
     items = _per_item(proxy, "destip")
     c = _proxy_clients(items, beacons)
-    c = c.join(_proxy_base(items, c), "datasource_id")
+    c = c.join(_proxy_base(items, beacons), "datasource_id")
     scored = c.select(
         "datasource_id", "clientip",
         share(F.col("dests"), F.col("total_dests")).alias("ipScore"),

@@ -74,3 +74,21 @@ def test_building_a_report_runs_no_job(spark, stored, registry):
         assert list(tracker.getJobIdsForGroup(group)) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_suspicion_reads_the_rows_once(spark, tmp_path):
+    """Clients and sources are rolled up from one scan and one shuffle of the rows."""
+    import re
+
+    from loglens.operators import suspicion
+    from loglens.schemas import BEACON_DATA, PROXY_DATA, WEB_DATA, XSS_DATA
+    web = [(k, f"10.0.0.{k % 7}", k, k, 1, f"/{k % 5}", "", 3 + k % 2) for k in range(200)]
+    proxy = [(k, f"10.0.0.{k % 7}", f"h{k % 5}", k, k, 1, 0, "", 0, "/", 1 + k % 2) for k in range(200)]
+    for name, rows, schema in (("web", web, WEB_DATA), ("proxy", proxy, PROXY_DATA), ("xss", [("10.0.0.1", "q", "xss", "xss", 3)], XSS_DATA),
+                               ("beacons", [("10.0.0.1", "h1", 1.0, 1.0, 3, 4, 4, 1)], BEACON_DATA)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    for facts, report in (("web", suspicion.web_suspicion(read("web"), read("xss"))), ("proxy", suspicion.proxy_suspicion(read("proxy"), read("beacons")))):
+        report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(rf"FileScan parquet .*{tmp_path}/{facts}", plan)) == 1 and "ReusedExchange" in plan
