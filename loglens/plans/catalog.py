@@ -5,6 +5,8 @@ derives from them) and runs the library's own code over the whole input.
 """
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -532,8 +534,7 @@ def t2_hourly_requests(spark, sf):
         F.count(F.lit(1)).alias("requests"), F.sum("bytesIn").alias("bytesIn"))
 
 
-def q1_free_sql(spark, sf):
-    """Q1: free SQL over all six stored tables; first column resolved to names."""
+def _stored_for_sql(spark, sf):
     store = LogStore(spark, scratch_path(spark, "free-sql"))
     coll, ds = _registry(spark)
     store.write_registry(coll, ds)
@@ -541,10 +542,22 @@ def q1_free_sql(spark, sf):
     store.append("web_data", _web(spark, sf))
     store.replace_sources("beacon_data", beacon.beacon_scores(store.read("proxy_data"), ds), [1, 2])
     store.replace_sources("xss_data", indicators.indicator_rows(store.read("web_data")), [3, 4, 5])
-    store.register_views()
+    return store
+
+
+def q1_free_sql(spark, sf):
+    """Q1: free SQL over all six stored tables; first column resolved to names."""
+    _stored_for_sql(spark, sf).register_views()
     return resolve_query(spark, FREE_SQL, si.host_names(spark, sf))
 
 
+def q1_catalog_sql(spark, sf):
+    """Q1 + K1: the same over catalog tables with statistics."""
+    database = f"logs_{uuid.uuid4().hex[:12]}"
+    _stored_for_sql(spark, sf).register_tables(database)
+    return resolve_query(spark, re.sub(r"\b(FROM|JOIN) (\w+)", rf"\1 {database}.\2", FREE_SQL), si.host_names(spark, sf))
+
+
 _ALL = [
     s1_text_scan_proxy, s3_tokenize_documents, s4_parse_squid, s5_parse_bluecoat_a, s6_parse_bluecoat_b,
     s4_numbers_proxy, s7_numbers_web, s7_parse_apache, s8_parse_iis, s9_parse_iis_short, s10_dispatch_web, s11_reject_counts, s11_reject_indicators, s12_partition_scan,
@@ -561,6 +574,6 @@ _ALL = [
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
     a28_map_feed_proxy, a28_map_feed_web, a28_map_feed_names, a28_map_one_address, a29_latest_time,
     p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, p4_indicator_rows,
-    r1_document_indicators, r1_page_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql,
+    r1_document_indicators, r1_page_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql, q1_catalog_sql,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}

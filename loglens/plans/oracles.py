@@ -458,7 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages)")
     out["t2_hourly_requests"] = P + (f"SELECT datasource_id, {_hour('time')} AS hour, count(*) AS requests, "
                                      f"CAST(sum(bytesIn) AS BIGINT) AS bytesIn FROM proxy_data GROUP BY datasource_id, {_hour('time')}")
-    out["q1_free_sql"] = _with(
+    out["q1_catalog_sql"] = out["q1_free_sql"] = _with(
         PROXY, WEB, REGISTRY, BEACON, XSS, HOST_NAMES,
         "listed AS (SELECT DISTINCT x.clientip, c.name AS label FROM xss x JOIN datasources_t d ON d.id = x.datasource_id "
         "JOIN collections_t c ON c.id = d.collection_id WHERE x.clientip IN (SELECT clientip FROM web_data WHERE bytesOut > 100))",

@@ -174,6 +174,31 @@ class LogStore:
             self.read(name).createOrReplaceTempView(name)
         return list(TABLES)
 
+    def register_tables(self, database: str) -> list[str]:
+        """K1 + Q1: every stored table in Spark's catalog, for free SQL without temporary views: fact
+        tables as partitioned external tables with their partitions, registry tables as views of
+        their last versions. Row counts and column statistics (distinct values, ranges, nulls) are
+        taken, one scan a table, so that the cost-based planner can order joins by them
+        (``spark.sql.cbo.enabled``, which ``build_session`` sets); call it again after imports."""
+        spark = self.spark
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        for name, schema in TABLES.items():
+            self.create_table(name)
+            full, ddl = f"`{database}`.`{name}`", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            if name in REGISTRY:
+                spark.sql(f"DROP VIEW IF EXISTS {full}")
+                spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}_log`")
+                spark.sql(f"CREATE TABLE `{database}`.`{name}_log` ({ddl}, version int) USING parquet LOCATION '{self.path(name)}'")
+                fields = ", ".join(schema.fieldNames())
+                spark.sql(f"CREATE VIEW {full} AS SELECT last.* FROM (SELECT max_by(struct({fields}), version) AS last FROM `{database}`.`{name}_log` GROUP BY id)")
+                full = f"`{database}`.`{name}_log`"
+            else:
+                spark.sql(f"DROP TABLE IF EXISTS {full}")       # external: the rows stay
+                spark.sql(f"CREATE TABLE {full} ({ddl}) USING parquet PARTITIONED BY (datasource_id) LOCATION '{self.path(name)}'")
+                spark.sql(f"MSCK REPAIR TABLE {full}")
+            spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS FOR ALL COLUMNS")
+        return list(TABLES)
+
     # ---- registry (K6): one row an imported log source, so a listing and a few rows on the driver.
     def _record(self, table: str, row: dict, version: int) -> bool:
         """Store one version of a row; False if someone else stored that version first."""
