@@ -23,21 +23,26 @@ def _contains(col: str, word: str, wildcards: bool) -> Column:
     return F.lower(F.col(col)).contains(word.lower())
 
 
-def page_search(facts: DataFrame, word: str, kind: str = "proxy", wildcards: bool = False) -> DataFrame:
-    """Per client hits, first/last seen (``%Y-%m-%d %H:%M`` UTC) and bytes; hits desc.
-
-    Proxy rows match on page or destination, web rows on page."""
+def holds_word(word: str, kind: str = "proxy", wildcards: bool = False) -> Column:
+    """F8: proxy rows match on page or destination, web rows on page."""
     cond = _contains("page", word, wildcards)
-    if kind == "proxy":
-        cond = cond | _contains("destip", word, wildcards)
+    return cond | _contains("destip", word, wildcards) if kind == "proxy" else cond
+
+
+def listing_of_hits(grouped: DataFrame) -> DataFrame:
+    """Columns and order of A23 for hits by (source, client)."""
+    return grouped.select("datasource_id", "clientip", "pageCount",
+                          minute_text(F.col("first_time")).alias("first_seen"),
+                          minute_text(F.col("last_time")).alias("last_seen"), "bytes") \
+                  .orderBy(F.col("pageCount").desc(), "datasource_id", "clientip")
+
+
+def page_search(facts: DataFrame, word: str, kind: str = "proxy", wildcards: bool = False) -> DataFrame:
+    """Per client hits, first/last seen (``%Y-%m-%d %H:%M`` UTC) and bytes; hits desc."""
     hits = F.count("time") if kind == "proxy" else F.count("page")
-    g = facts.filter(cond).groupBy("datasource_id", "clientip").agg(
+    return listing_of_hits(facts.filter(holds_word(word, kind, wildcards)).groupBy("datasource_id", "clientip").agg(
         hits.alias("pageCount"), F.min("time").alias("first_time"), F.max("time").alias("last_time"),
-        byte_sum(add_bytes("bytesIn", "bytesOut")).alias("bytes"))
-    return g.select("datasource_id", "clientip", "pageCount",
-                    minute_text(F.col("first_time")).alias("first_seen"),
-                    minute_text(F.col("last_time")).alias("last_seen"), "bytes") \
-            .orderBy(F.col("pageCount").desc(), "datasource_id", "clientip")
+        byte_sum(add_bytes("bytesIn", "bytesOut")).alias("bytes")))
 
 
 def _for_ip(facts: DataFrame, ip: str, kind: str) -> DataFrame:

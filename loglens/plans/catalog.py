@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import beacon, beacon_state, enrich, explore, indicators, proxy_reports, suspicion, web_reports
+from ..operators import beacon, beacon_state, enrich, explore, indicators, page_index, proxy_reports, suspicion, web_reports
 from ..functions.ip import is_public, is_strict_ip, looks_like_ip
 from ..functions.urls import url_host, url_path, url_query
 from ..session import scratch_path
@@ -446,6 +446,22 @@ def a23_page_search_web(spark, sf):
     return explore.page_search(_web(spark, sf), SEARCH_WORD_WEB, "web")
 
 
+def _searched(spark, facts, kind, word):
+    """A23 from the index of two imports."""
+    index = page_index.PageIndex(spark, scratch_path(spark, f"page-index-{kind}"), kind, parts=8)
+    for k in range(2):
+        index.add(facts.filter(F.col("id") % 2 == k))
+    return index.search(word)
+
+
+def a23_indexed_search_proxy(spark, sf):
+    return _searched(spark, _proxy(spark, sf), "proxy", SEARCH_WORD)
+
+
+def a23_indexed_search_web(spark, sf):
+    return _searched(spark, _web(spark, sf), "web", SEARCH_WORD_WEB)
+
+
 def a24_web_baseline(spark, sf):
     return suspicion.web_baseline(_web(spark, sf), _xss(spark, sf))
 
@@ -570,7 +586,7 @@ _ALL = [
     a12_top_pages_of_client, a13_top_pages_total, a14_top_clients_bytes_in, a15_top_clients_bytes_out,
     a16_top_clients_bytes_total, a17_top_clients_hosts, a18_web_byte_leaders, a19_beacon_listing,
     a19_beacon_listing_for_ip, a19_beacon_listing_all_labels, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,
-    a21_ip_top_pages, a22_indicator_listing, a22_indicators_of_client, a23_page_search_proxy, a23_page_search_web,
+    a21_ip_top_pages, a22_indicator_listing, a22_indicators_of_client, a23_page_search_proxy, a23_page_search_web, a23_indexed_search_proxy, a23_indexed_search_web,
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
     a28_map_feed_proxy, a28_map_feed_web, a28_map_feed_names, a28_map_one_address, a29_latest_time,
     p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, p4_indicator_rows,

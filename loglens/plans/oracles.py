@@ -381,6 +381,8 @@ def oracle_sql() -> dict[str, str]:
     out["a23_page_search_proxy"] = P + _page_search(
         "proxy_data", f"contains(lower(page), '{SEARCH_WORD.lower()}') OR contains(lower(destip), '{SEARCH_WORD.lower()}')", "time")
     out["a23_page_search_web"] = W + _page_search("web_data", f"contains(lower(page), '{SEARCH_WORD_WEB.lower()}')", "page")
+    for kind in ("proxy", "web"):
+        out[f"a23_indexed_search_{kind}"] = out[f"a23_page_search_{kind}"]
     web_base = ("wb AS (SELECT datasource_id, count(page) AS total_hits, count(DISTINCT page) AS total_pages, "
                 "CAST(sum(bytesIn + bytesOut) AS BIGINT) AS total_bytes FROM web_data GROUP BY datasource_id), "
                 "xb AS (SELECT datasource_id, count(query) AS total_xss FROM xss GROUP BY datasource_id), "
