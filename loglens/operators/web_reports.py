@@ -70,16 +70,17 @@ def _weeks(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFram
     if last_times is None:
         w = web.select("datasource_id", "time", "page").join(latest_time(web), "datasource_id")
         w = w.filter((F.col("time") > F.col("last_time") - 2 * WEEK_SECONDS) & (F.col("time") < F.col("last_time")))
-        return _tag_weeks(w)
+        return tag_weeks(w)
     window, last_col = F.lit(False), F.lit(None).cast("bigint")
     for ds, newest in last_times.items():
         mine = F.col("datasource_id") == int(ds)
         window = window | (mine & (F.col("time") > int(newest) - 2 * WEEK_SECONDS) & (F.col("time") < int(newest)))
         last_col = F.when(mine, F.lit(int(newest)).cast("bigint")).otherwise(last_col)
-    return _tag_weeks(web.filter(window).select("datasource_id", "time", "page", last_col.alias("last_time")))
+    return tag_weeks(web.filter(window).select("datasource_id", "time", "page", last_col.alias("last_time")))
 
 
-def _tag_weeks(w: DataFrame) -> DataFrame:
+def tag_weeks(w: DataFrame) -> DataFrame:
+    """Rows (datasource_id, time, page, last_time) with their week; others are left out."""
     t, lt = F.col("time"), F.col("last_time")
     week = (F.when((t < lt) & (t > lt - WEEK_SECONDS), "current")
              .when((t < lt - WEEK_SECONDS) & (t > lt - 2 * WEEK_SECONDS), "previous"))
@@ -88,7 +89,11 @@ def _tag_weeks(w: DataFrame) -> DataFrame:
 
 def page_week_totals(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
     """Per data source: last time and the distinct (time, page) totals of both weeks."""
-    d = _weeks(web, last_times).select("datasource_id", "last_time", "week", "time", "page").distinct()
+    return totals_of_weeks(_weeks(web, last_times))
+
+
+def totals_of_weeks(weeks: DataFrame) -> DataFrame:
+    d = weeks.select("datasource_id", "last_time", "week", "time", "page").distinct()
     return d.groupBy("datasource_id", "last_time").agg(
         F.count(F.when(F.col("week") == "current", 1)).alias("current_total"),
         F.count(F.when(F.col("week") == "previous", 1)).alias("previous_total"))
@@ -97,7 +102,11 @@ def page_week_totals(web: DataFrame, last_times: dict[int, int] | None = None) -
 def page_changes(web: DataFrame, last_times: dict[int, int] | None = None) -> DataFrame:
     """P2 + P3 in one pass: pages seen in only one of the two weeks, with ``change``
     ``new`` (current only) or ``gone`` (previous only). One shuffle on (source, page)."""
-    g = _weeks(web, last_times).groupBy("datasource_id", "page").agg(
+    return changes_of_weeks(_weeks(web, last_times))
+
+
+def changes_of_weeks(weeks: DataFrame) -> DataFrame:
+    g = weeks.groupBy("datasource_id", "page").agg(
         F.max(F.when(F.col("week") == "current", 1).otherwise(0)).alias("cur"),
         F.max(F.when(F.col("week") == "previous", 1).otherwise(0)).alias("prev"))
     return g.filter(F.col("cur") != F.col("prev")).select(

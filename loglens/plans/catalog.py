@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import beacon, beacon_state, enrich, explore, indicators, page_index, proxy_reports, suspicion, web_reports
+from ..operators import beacon, beacon_state, enrich, explore, indicators, page_days, page_index, proxy_reports, suspicion, web_reports
 from ..functions.ip import is_public, is_strict_ip, looks_like_ip
 from ..functions.urls import url_host, url_path, url_query
 from ..session import scratch_path
@@ -518,6 +518,26 @@ def p2_p3_page_changes(spark, sf):
     return web_reports.page_changes(_web(spark, sf))
 
 
+def _page_days(spark, sf):
+    """Pages by day after two imports."""
+    days, web = page_days.PageDays(spark, scratch_path(spark, "page-days")), _web(spark, sf)
+    for k in range(2):
+        days.add(web.filter(F.col("id") % 2 == k))
+    return days
+
+
+def a29_latest_from_footers(spark, sf):
+    return _page_days(spark, sf).latest_time()
+
+
+def p1_week_totals_by_day(spark, sf):
+    return web_reports.totals_of_weeks(_page_days(spark, sf).weeks())
+
+
+def p2_p3_page_changes_by_day(spark, sf):
+    return web_reports.changes_of_weeks(_page_days(spark, sf).weeks())
+
+
 def p4_indicator_rows(spark, sf):
     return _xss(spark, sf)
 
@@ -589,7 +609,7 @@ _ALL = [
     a21_ip_top_pages, a22_indicator_listing, a22_indicators_of_client, a23_page_search_proxy, a23_page_search_web, a23_indexed_search_proxy, a23_indexed_search_web,
     a24_web_baseline, a25_proxy_baseline, a26_web_suspicion, a27_proxy_suspicion,
     a28_map_feed_proxy, a28_map_feed_web, a28_map_feed_names, a28_map_one_address, a29_latest_time,
-    p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, p4_indicator_rows,
+    p1_week_totals, p2_new_pages, p3_gone_pages, p2_p3_page_changes, a29_latest_from_footers, p1_week_totals_by_day, p2_p3_page_changes_by_day, p4_indicator_rows,
     r1_document_indicators, r1_page_indicators, u1_url_parts, t2_hourly_requests, q1_free_sql, q1_catalog_sql,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: fn for fn in _ALL}

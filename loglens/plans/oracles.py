@@ -437,6 +437,9 @@ def oracle_sql() -> dict[str, str]:
     out["p3_gone_pages"] = weeks + f"{prev} EXCEPT {cur}"
     out["p2_p3_page_changes"] = weeks + (f"SELECT datasource_id, page, 'new' AS change FROM ({cur} EXCEPT {prev}) UNION ALL "
                                          f"SELECT datasource_id, page, 'gone' AS change FROM ({prev} EXCEPT {cur})")
+    for twin, name in (("a29_latest_from_footers", "a29_latest_time"), ("p1_week_totals_by_day", "p1_week_totals"),
+                       ("p2_p3_page_changes_by_day", "p2_p3_page_changes")):
+        out[twin] = out[name]
     out["p4_indicator_rows"] = _with(WEB, XSS) + "SELECT * FROM xss"
     out["r1_document_indicators"] = "SELECT count(*) AS texts, " + ", ".join(
         f"count(*) FILTER (WHERE regexp_matches(text, {_q('(?i)' + pattern)})) AS {name}_hits"
