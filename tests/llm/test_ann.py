@@ -55,3 +55,62 @@ def test_bounds_hold_for_most(spark):
     estimate = (q @ turn) @ signs.T / np.sqrt(turn.shape[1]) / c
     error = np.abs(estimate - q @ ann.unit(x).T)
     assert np.mean(error <= ann.EPSILON * np.sqrt((1 - c ** 2) / c ** 2 / (turn.shape[1] - 1))) > 0.98
+
+
+def clustered(n, dims=24, clusters=40, seed=3):
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((clusters, dims))
+    return centers[rng.integers(0, clusters, n)] + 0.25 * rng.standard_normal((n, dims))
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def recall(got, want):
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    return np.mean([len(mine.get(q, set()) & {i for i, _ in near}) / len(near) for q, (near,) in want.items()])
+
+
+def test_recall_in_lists(spark):
+    for x in (clustered(3000), np.random.default_rng(5).standard_normal((3000, 24))):      # with clusters, and without any
+        df = frame(spark, x)
+        index = ann.build_index(df, list_size=40)
+        assert len(index.lists) >= 64 and index.lists.probes <= len(index.lists)
+        got = ann.search(index, index.rows.filter("id % 50 = 0"), code_block=30, query_block=2).collect()
+        want = brute([(i, v.tolist()) for i, v in enumerate(x)])
+        assert len(got) == 5 * len(want) and recall(got, want) >= 0.9
+
+
+def test_clustered_vectors_meet_few_lists_and_work_grows_with_rows(spark):
+    sent = []
+    for n in (3000, 6000):
+        index = ann.build_index(frame(spark, clustered(n)), list_size=40)
+        assert index.lists.probes < len(index.lists) / 4
+        sent.append(ann.blocks(index, index.rows.filter("id % 50 = 0"), index.lists.probes).count())
+    assert sent[1] <= 2.6 * sent[0]
+
+
+def test_copies_are_not_paired(spark):
+    x = clustered(900)
+    x[300:600] = x[0]
+    df = frame(spark, x)
+    index = ann.build_index(df, list_size=40)
+    held = ann.blocks(index, index.rows.filter("id % 50 = 0"), index.lists.probes).filter("not is_query")
+    assert held.select("rid").distinct().count() <= 600 + 6
+    got = {}
+    for r in ann.search(index, index.rows.filter("id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert [i for _, i in sorted(got[0])] == [300, 301, 302, 303, 304]
+    assert [i for _, i in sorted(got[350])] == [0, 300, 301, 302, 303] and [i for _, i in sorted(got[300])] == [0, 301, 302, 303, 304]
+
+
+def test_queries_whose_lists_hold_too_few_meet_all(spark):
+    x = np.concatenate([clustered(600, clusters=2), -3 * np.eye(24)[:1]])
+    x[600], x[0] = x[0].copy(), x[600].copy()        # row 0 is alone
+    index = ann.build_index(frame(spark, x), list_size=10)
+    index.lists.probes = 1
+    got = ann.search(index, index.rows.filter("id % 50 = 0")).groupBy("query_id").count().collect()
+    assert len(got) == 13 and all(r["count"] == 5 for r in got)
