@@ -258,8 +258,8 @@ def _search(dims: int, seed: int, k: int, epsilon: float):
 
 
 def blocks(index: Index, queries: DataFrame, n_lists: int, k: int = K, code_block: int = CODE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Rows of the blocks in which queries meet vectors: (list, code_block, query_block, is_query, rid,
-    id, code, correction, vector)."""
+    """Rows of the blocks in which queries meet vectors: (block, is_query, rid, id, code, correction,
+    vector). A block is one key, so that the blocks of a list are not dealt out by the list alone."""
     columns = ["rid", "id", "code", "correction", "vector"]
     first = F.row_number().over(Window.partitionBy("code", "vector").orderBy("rid"))
     held = index.rows.withColumn("copy", first).filter(F.col("copy") <= k + 1)
@@ -272,13 +272,13 @@ def blocks(index: Index, queries: DataFrame, n_lists: int, k: int = K, code_bloc
     n_blocks = cut(held, code_block, "n_code").join(cut(asked, query_block, "n_query"), "list")
     base = held.join(n_blocks, "list").select("list", mine("n_code").alias("code_block"), every("n_query").alias("query_block"), F.lit(False).alias("is_query"), *columns)
     met = asked.join(n_blocks, "list").select("list", every("n_code").alias("code_block"), mine("n_query").alias("query_block"), F.lit(True).alias("is_query"), *columns)
-    return base.unionByName(met)
+    return base.unionByName(met).select(F.struct("list", "code_block", "query_block").alias("block"), "is_query", *columns)
 
 
 def search(index: Index, queries: DataFrame, k: int = K, epsilon: float = EPSILON, **sizes) -> DataFrame:
     """The ``k`` nearest indexed rows found of each query (rows of the index): query_id, rank, vec_id, score."""
     def found(asked: DataFrame, n_lists: int) -> DataFrame:
-        hits = blocks(index, asked, n_lists, k, **sizes).groupBy("list", "code_block", "query_block") \
+        hits = blocks(index, asked, n_lists, k, **sizes).groupBy("block") \
             .applyInArrow(_search(index.dims, index.seed, k, epsilon), "query_rid long, query_id long, rid long, vec_id long, score double")
         rank = F.row_number().over(Window.partitionBy("query_rid").orderBy(F.desc("score"), "rid"))
         return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
