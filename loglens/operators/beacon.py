@@ -124,10 +124,18 @@ def score_columns(mean: Column, std: Column, n: Column, content_sum: Column, byt
     return (rare_f + html_f + bytes_f + mean_f + std_f + ip_f + count_f).cast("int")
 
 
+def fold_destinations(proxy: DataFrame) -> DataFrame:
+    """Rows whose destinations are one in any letter case, in lower case (D13). For a kept state, fold
+    every import."""
+    return proxy.withColumn("destip", F.lower("destip"))
+
+
 def beacon_scores(proxy: DataFrame, datasources: DataFrame,
-                  slice_seconds: int = DEFAULT_SLICE_SECONDS) -> DataFrame:
-    """``beacon_data`` rows: pairs with a positive rounded mean gap (D10, F13), scored."""
-    return scores_of_pairs(pair_stats(proxy, slice_seconds), datasources)
+                  slice_seconds: int = DEFAULT_SLICE_SECONDS, fold_case: bool = False) -> DataFrame:
+    """``beacon_data`` rows: pairs with a positive rounded mean gap (D10, F13), scored. Destinations
+    are told apart by their bytes, or with ``fold_case`` whatever their letter case, both in pairs and
+    in requests per destination."""
+    return scores_of_pairs(pair_stats(fold_destinations(proxy) if fold_case else proxy, slice_seconds), datasources)
 
 
 def scores_of_pairs(stats: DataFrame, datasources: DataFrame) -> DataFrame:

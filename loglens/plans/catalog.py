@@ -339,6 +339,13 @@ def a7_beacon_scores(spark, sf):
     return _beacons(spark, sf)
 
 
+def a7_scores_any_case(spark, sf):
+    """Destinations logged in either case, scored as one."""
+    proxy = _proxy(spark, sf)
+    mixed = proxy.withColumn("destip", F.when(F.col("id") % 2 == 1, F.upper("destip")).otherwise(F.col("destip")))
+    return beacon.beacon_scores(mixed, _registry(spark)[1], fold_case=True)
+
+
 def a7_scores_after_imports(spark, sf):
     """A5 + A7 kept up to date: three imports, a compaction after the second, scored from the state."""
     state = beacon_state.BeaconState(spark, scratch_path(spark, "beacon-state"))
@@ -602,7 +609,7 @@ _ALL = [
     f4_ip_literal_dests, f7_public_addresses, f22_kilobytes_top_clients,
     j2_collections_nested, j7_destination_counts, j9_geo_locate, j9_nested_blocks,
     a1_bluecoat_detail, a2_bluecoat_summary, a3_squid_detail, a4_squid_summary, a5_pair_statistics,
-    a7_beacon_scores, a7_scores_after_imports, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
+    a7_beacon_scores, a7_scores_any_case, a7_scores_after_imports, a8_a10_traffic_summary, a11_top_clients_total, a12_top_clients_pages,
     a12_top_pages_of_client, a13_top_pages_total, a14_top_clients_bytes_in, a15_top_clients_bytes_out,
     a16_top_clients_bytes_total, a17_top_clients_hosts, a18_web_byte_leaders, a19_beacon_listing,
     a19_beacon_listing_for_ip, a19_beacon_listing_all_labels, a19_listing_after_import, a20_ip_hourly_proxy, a20_ip_hourly_web, a21_ip_top_destinations,

@@ -339,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT datasource_id, clientip, destip, n, content_sum, bytes_sum, round_even(m * 100, 0) / 100 AS mean, "
         "round_even(sd * 1000, 0) / 1000 AS stdDev FROM pairs")
     beacons = _with(PROXY, REGISTRY, BEACON)
-    out["k8_beacon_index"] = out["a7_beacon_scores"] = out["a7_scores_after_imports"] = beacons + "SELECT * FROM beacons"
+    out["k8_beacon_index"] = out["a7_beacon_scores"] = out["a7_scores_any_case"] = out["a7_scores_after_imports"] = beacons + "SELECT * FROM beacons"
     out["a8_a10_traffic_summary"] = W + " UNION ALL ".join([
         _labelled("clients_by_bytes_out", "web_data", "clientip", "sum(bytesOut)", 20),
         _labelled("clients_by_pages", "web_data", "clientip", "count(page)", 20),

@@ -130,3 +130,13 @@ def test_random_pairs_any_slice_width(spark, registry):
         got = {(r.datasource_id, r.clientip, r.destip): (r.mean, r.stdDev, r["count"], r.beaconScore, r.raw_score)
                for r in beacon_scores(df, registry[1], slice_seconds=width).collect()}
         assert got == expected, width
+
+
+def test_destinations_of_any_case(spark, registry):
+    rows = [(1, 1, "c", name, t, 1, 0, 1, "out", 0, "/") for t, name in enumerate(["Host.Example", "host.example", "HOST.EXAMPLE", None, "other"] * 4)]
+    df = spark.createDataFrame(rows, "id bigint, datasource_id int, clientip string, destip string, time bigint, bytesIn bigint, bytesOut bigint, bytesDiff bigint, direction string, contentType int, page string")
+    apart = {(r.destip, r["count"]) for r in beacon_scores(df, registry[1]).collect()}
+    assert {("Host.Example", 4), ("host.example", 4), ("HOST.EXAMPLE", 4)} <= apart
+    together = {r.destip: (r["count"], r.mean) for r in beacon_scores(df, registry[1], fold_case=True).collect()}
+    assert together["host.example"] == (12, round(17 / 11, 2)) and together["other"] == (4, 5.0)
+    assert not {"Host.Example", "HOST.EXAMPLE"} & set(together)
