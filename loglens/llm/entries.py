@@ -51,7 +51,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.similar_documents(read(spark, sf_dir, "documents"))
+    out = ngram_join.similar_documents(read(spark, sf_dir, "documents"), links=False)
     return out.select("doc_id", "n_shingles", "component_id")
 
 

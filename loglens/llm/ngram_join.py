@@ -8,15 +8,19 @@
    which links groups of near copies in proportion to their size, not its square.
 4. Cross round: prefix shingles that still join different components give the remaining
    candidate pairs, cut by size, position and frequency bounds; pairs inside a component are
-   not made.
+   not made, they change no component.
 5. Comparing is a T-occurrence search: one set queries an inverted index of its
    candidates; short lists are merged, the longest ones only probed (DivideSkip).
    It runs on the prefixes first, whose overlap bounds that of the sets, and on whole
    sets for the pairs that are left. Candidates of one set are split into blocks, so no
    group grows with the data.
 
+6. Every set's links are counted once the components are known, as all of them lie inside
+   one: its sets are dealt into blocks, and every two blocks are compared as in 5. Only the
+   counts leave a task, not the pairs.
+
 Links of every round are exact overlaps of whole sets. A link between sets of different
-components is never lost; links inside a component change nothing in the result.
+components is never lost.
 
 Edge cases: null or wordless texts have no shingles and link with nothing; texts of fewer
 than five words have one shingle, the whole sequence; repeated rows are one class; ids that
@@ -44,6 +48,9 @@ FREQUENT = 4
 MAX_FREQUENT = 1 << 20
 #: Candidates of one set that are indexed together.
 BLOCK = 256
+#: 64-bit words of the bit map that tells most shingles of one set only before they are
+#: shuffled again (16 MB); a fuller map lets more of them pass, the join drops these.
+MAP_WORDS = 1 << 21
 #: Cost ratio of DivideSkip's rule for the number of long lists.
 MU = 0.0085
 
@@ -123,6 +130,31 @@ def _prefixes(frequent, num: int, den: int):
     return run
 
 
+def _bit_map(shared: DataFrame) -> np.ndarray:
+    """Bit map of the shingles ``s``: a bit of MAP_WORDS words each, chosen by the code's low bits."""
+    bit = F.shiftright("s", MAP_WORDS.bit_length() - 1).bitwiseAND(F.lit(63)).cast("int")
+    words = shared.groupBy(F.col("s").bitwiseAND(F.lit(MAP_WORDS - 1)).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toArrow()
+    bits = np.zeros(MAP_WORDS, dtype=_U)
+    bits[numbers(words.column("w"))] = numbers(words.column("b")).view(_U)
+    return bits
+
+
+def _mapped(bits):
+    """Rows (rid, n, prefix) to rows (rid, n, pos, s) of the prefix shingles whose bit is set."""
+    def run(batches):
+        for batch in batches:
+            off, values = list_parts(batch.column(2))
+            s = numbers(values)
+            code = s.astype(_U)
+            set_ = (bits.value[s & (MAP_WORDS - 1)] >> ((code >> _U(MAP_WORDS.bit_length() - 1)) & _U(63))) & _U(1) == 1
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            pos = np.arange(len(s)) - off[:-1][row]
+            at = pa.array(row[set_])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[set_]), pa.array(s[set_])], names=["rid", "n", "pos", "s"])
+
+    return run
+
+
 # ------------------------------------------------------------------ comparing
 def divide_skip(query: np.ndarray, keys: np.ndarray, starts: np.ndarray, postings: np.ndarray, m: int, t: int) -> np.ndarray:
     """How many of the query's shingles each of ``m`` indexed sets holds; right for every set
@@ -194,6 +226,58 @@ def _links(num: int, den: int, prefixes: bool):
     return run
 
 
+def _link_counts(num: int, den: int):
+    """Rows (center, block, rid, n, codes) of pairs of blocks (``block``: the pair's number
+    doubled, plus 1 for its second block): how many sets of the pair each set reaches num / den with."""
+    def run(batches):
+        found = [np.empty((2, 0), np.int64)]
+        table = read_all(batches)
+        if table is not None:
+            center, block, rid = (numbers(table.column(c)) for c in ("center", "block", "rid"))
+            off, values = list_parts(table.column("codes"))
+            codes = numbers(values)
+            order = np.lexsort((rid, block, center))
+            cut = np.flatnonzero(np.concatenate(([True], (np.diff(center[order]) != 0) | (np.diff(block[order] >> 1) != 0), [True])))
+            size = np.diff(off)
+            links = np.zeros(len(rid), np.int64)
+            for g in range(len(cut) - 1):
+                rows = order[cut[g]:cut[g + 1]]
+                second = (block[rows] & 1) == 1
+                queries, members = (rows[~second], rows[second]) if second.any() else (rows, rows)
+                if not len(queries):
+                    continue
+                m = len(members)
+                keys, inverse = np.unique(np.concatenate([codes[off[r]:off[r + 1]] for r in members]), return_inverse=True)
+                postings = np.sort(inverse.reshape(-1) * m + np.repeat(np.arange(m), size[members]))
+                starts = np.searchsorted(postings, np.arange(len(keys) + 1) * m)
+                for q in queries:
+                    need = -(-num * (size[q] + size[members]) // (num + den))
+                    near = members[divide_skip(codes[off[q]:off[q + 1]], keys, starts, postings, m, max(1, int(need.min()))) >= need]
+                    near = near[near != q]
+                    links[q] += len(near)
+                    if second.any():
+                        links[near] += 1
+            found.append(np.stack((rid, links)))
+        rid, links = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(links)], names=["first", "n"])
+
+    return run
+
+
+def count_links(texts: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (first, n_links): the links of each set with all others of its component ((node, component) of ``found``)."""
+    n = shuffle_partitions(texts.sparkSession)
+    blocks = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pair = lambda i: (F.least(own, i) * F.col("blocks") + F.greatest(own, i)) * 2 + F.when(own > i, 1).otherwise(0)
+    groups = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.col("component").alias("center"), pair(i).cast("long").alias("block")))
+    wanted = found.join(blocks, "component").select(F.col("node").alias("rid"), groups.alias("groups"))
+    whole = texts.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "groups") \
+        .mapInArrow(_sets_of_groups, "center long, block long, rid long, n long, codes array<long>")
+    counts = whole.repartition(n, "center", F.shiftright("block", 1)).mapInArrow(_link_counts(num, den), "first long, n long")
+    return written(counts.groupBy("first").agg(F.sum("n").alias("n_links")), "link-counts")
+
+
 def _sets_of_groups(batches):
     """Rows (rid, text, groups): one row with the text's codes for each group."""
     schema = pa.schema([("center", pa.int64()), ("block", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("codes", pa.list_(pa.int64()))])
@@ -232,10 +316,9 @@ def compare(texts: DataFrame, sets: DataFrame, pairs: DataFrame, num: int, den:
     return written(whole.repartition(n, "center", "block").mapInArrow(_links(num, den, False), "u long, v long"), f"{name}-links")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, den: int = DEN) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, den: int = DEN, links: bool = True) -> DataFrame:
     """Row of ``docs`` by row: ``id_col``, n_shingles, class_size (rows with the same set),
-    n_links (links found with other sets; at least one for each other set that its
-    component holds beyond those reached through it) and component_id."""
+    n_links (all other sets that it links with; only with ``links``) and component_id."""
     spark = docs.sparkSession
     rid = "rid"
     named = with_row_ids(docs.select(F.col(id_col).alias("id"), "text"), "id", rid)
@@ -253,6 +336,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, d
     # written before it is joined, so that only one shuffle of all prefixes is on disk at a time
     shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("center"), F.min_by("n", "rid").alias("center_n"))
                      .filter("c > 1"), "shared-shingles")
+    bits = spark.sparkContext.broadcast(_bit_map(shared))
+    rows = sets.join(lead, "rid", "left_semi").select("rid", "n", "prefix").mapInArrow(_mapped(bits), "rid long, n long, pos long, s long")
     lists = written(rows.join(shared, "s").select("s", "rid", "n", "pos", "c", "center", "center_n"), "shared-prefixes")
 
     near = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
@@ -272,31 +357,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, d
     need = F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den))
     # Two sets that belong together share more than ``spare`` prefix shingles (all but the
     # needed overlap less one of a set follows its prefix). Of the first spare + 1 of these one
-    # is not among the ``spare`` heaviest of the larger set, and at most ``spare`` come before
-    # it. Sets of unlike size have little to spare: there the first shared one itself is asked for.
+    # is lighter than ``spare`` others, so not among the ``spare`` heaviest of either set, and at
+    # most ``spare`` come before it. Sets of unlike size have little to spare: there the first
+    # shared one itself is asked for.
     like = F.col("a_n") * 10 >= F.col("b_n") * 9
     spare = F.when(like, need - F.greatest(*[F.ceil(F.col(f"{x}_n") * num / den) for x in "ab"])).otherwise(0)
     early = (F.col("a_pos") <= F.col("a_n") - need + spare) & (F.col("b_pos") <= F.col("b_n") - need + spare)
     cross = a.join(b, "s").filter(
         (F.struct("a_n", "a_rid") < F.struct("b_n", "b_rid")) & (F.col("a_comp") != F.col("b_comp")) & near(F.col("a_n"), F.col("b_n"))
-        & (F.col("b_heavy") >= spare) & early)
+        & (F.col("a_heavy") >= spare) & (F.col("b_heavy") >= spare) & early)
     pairs = cross.select(F.least("a_rid", "b_rid").alias("center"), F.greatest("a_rid", "b_rid").alias("rid")).distinct()
     pairs = written(pairs.join(stars, ["center", "rid"], "left_anti"), "cross-pairs")
     more = compare(texts, sets, pairs, num, den, "cross")
     edges = edges.unionByName(more)
-    links = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("first")).agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(edges).select(F.col("node").alias("first"), "component")
-    out = members.join(found, "first", "left").join(links, "first", "left").select(
-        "rid", F.col("n").alias("n_shingles"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "first").alias("component"))
+    found = components(edges)
+    out = members.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
+    if links:
+        counts = count_links(texts, written(found, "components"), num, den)
+        out = out.join(counts, "first", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    columns = ["n_shingles", "class_size", *(["n_links"] if links else [])]
+    out = out.withColumnRenamed("n", "n_shingles").select("rid", *columns, F.coalesce("component", "first").alias("component"))
     ids = named.select("rid", "id")
     out = out.join(ids, "rid").join(ids.select(F.col("rid").alias("component"), F.col("id").alias("component_id")), "component")
-    return out.select(F.col("id").alias(id_col), "n_shingles", "class_size", "n_links", "component_id", "rid", "component")
+    return out.select(F.col("id").alias(id_col), *columns, "component_id", "rid", "component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component, that with the smallest id."""
     row = fresh_name(docs, "row_id")
     named = with_row_ids(docs, id_col, row)
-    gone = similar_documents(named.select(row, "text"), row).filter("rid <> component").select(F.col(row))
+    gone = similar_documents(named.select(row, "text"), row, links=False).filter("rid <> component").select(F.col(row))
     return named.join(gone, row, "left_anti").select(*docs.columns)

@@ -93,3 +93,26 @@ def test_divide_skip():
         for t in (1, 5, 15, 30):
             got = nj.divide_skip(query, keys, starts, postings, m, t)
             assert np.array_equal(got[true >= t], true[true >= t]) and np.all(got <= true)
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Links inside a component count too, over several blocks of it."""
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    rng = random.Random(21)
+    rows = [(i, t) for i, t in enumerate(t for c in (1, 2, 3, 4) for t in family(rng, 30, c))]
+    rows += [(900 + i, "a b c d e f") for i in range(3)] + [(990, "one"), (991, "One"), (992, None)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: len({t for t in sets.values() if t and t != s and 100 * len(s & t) >= 75 * len(s | t)}) if s else 0 for i, s in sets.items()}
+    got = {r.doc_id: r.n_links for r in nj.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and max(want.values()) > 12
+
+
+def test_the_bit_map_holds_every_shared_shingle(spark, monkeypatch):
+    monkeypatch.setattr(nj, "MAP_WORDS", 64)
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 1 << 53, 500))
+    bits = nj._bit_map(spark.createDataFrame([(int(x),) for x in s], "s long"))
+    value = type("Bits", (), {"value": bits})
+    batch = nj.pa.record_batch({"rid": [7, 8], "n": [250, 250], "prefix": [s[:250].tolist(), s[250:].tolist()]})
+    out = next(nj._mapped(value)(iter([batch])))
+    assert out.column("s").to_pylist() == s.tolist() and out.column("pos").to_pylist()[248:252] == [248, 249, 0, 1]
