@@ -1,20 +1,16 @@
-"""Byte-level BPE encoding and decoding by Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding, words cut and counted by Spark, merged in its tasks.
 
 A vocabulary is a rank file (base64 token, rank) that is read, never trained. A token's id is its rank.
-The ranks become one literal of Spark's plan: every pair of tokens that joins to a token, with that
-token's rank, dealt into short lists by the pair's remainder, so that a lookup costs the same at every
-vocabulary size. A word is an array of the ids of its bytes.
 
 * ``pieces``: a text's pieces, the matches of the vocabulary's pattern, as a Rust regular expression
   finds them (Unicode white space, letters and digits of the pattern library's Unicode version).
-* ``fold_merges``: a word's bytes folded by ``aggregate``: each step merges the leftmost pair of the
-  lowest rank. Words of more than ``LONG_WORD`` bytes merge all pairs of the lowest rank in a step,
-  unless one of these merges opens a lower rank, which then takes only the leftmost pair; both give
-  the same tokens.
+* ``merge_bytes``: a word's bytes joined, each step the leftmost pair of the lowest rank, from a heap,
+  so that long words cost little more than linear time; a word that is a token is that token.
 * ``encode``: distinct words are counted, the most frequent ones (``HOT_WORDS`` at most, of at most
-  ``HOT_BYTES`` bytes, so at most 20 MB) folded once each and made a literal as well; every other word
-  is folded where it stands, so the bound changes no result. Words are shuffled only for that count,
-  which is partial in each task, so hot words, sources and groups of copies cost nothing more.
+  ``HOT_BYTES`` bytes, so at most 20 MB) merged once each and handed to all tasks; of the other words
+  a task merges each distinct one of a run of rows once, so the bound changes no result. Words are
+  shuffled only for that count, which is partial in each task, so hot words, sources and groups of
+  copies cost nothing more.
 * ``decode``: the tokens' bytes, joined.
 
 Results: null and empty texts have no tokens and decode to no bytes. Rows are kept one for one, in
@@ -23,25 +19,27 @@ any number of equal rows; result columns replace columns of the same name; no ot
 from __future__ import annotations
 
 import base64
+import heapq
+import itertools
 import json
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import most_frequent, written
+from .common import list_array, list_parts, most_frequent, numbers, written
 
-#: Lists that the pairs of a vocabulary, and the looked-up words, are dealt into.
-_PAIR_LISTS = (1 << 14) - 3
-_WORD_LISTS = 1 << 14
 #: Most words that are folded once and looked up.
 HOT_WORDS = 1 << 17
 #: Longest word looked up so.
 HOT_BYTES = 32
-#: Words of more bytes merge all pairs of a rank in a step.
-LONG_WORD = 256
+#: Words of a task that are looked at together, and most merged words that it keeps.
+RUN_WORDS = 1 << 18
 #: White space of Unicode (fixed values): Java's own class is ASCII only.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -95,106 +93,71 @@ def _runs(codes: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
-# ------------------------------------------------------------------ literals
-def _rank_literal(vocabulary: Vocabulary) -> Column:
-    """Every pair of tokens that joins to a token, and the ids of the 256 bytes."""
-    ranks, size = vocabulary.ranks, len(vocabulary.by_rank())
-    lists: list[dict[str, list]] = [{"pair": [], "rank": [None]} for _ in range(_PAIR_LISTS)]      # place 0: no such pair
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                pair = left * size + right
-                lists[pair % _PAIR_LISTS]["pair"].append(pair)
-                lists[pair % _PAIR_LISTS]["rank"].append(rank)
-    table = {"bytes": [ranks.get(bytes([b])) for b in range(256)], "size": size, "lists": lists}
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))),
-                       "bytes array<bigint>, size bigint, lists array<struct<pair: array<bigint>, rank: array<bigint>>>")
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, computed once and, if a literal, held by the plan once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _pair_rank(ranks: Column, left: Column, right: Column) -> Column:
-    """The rank of two neighbouring tokens joined (null: no token, or no neighbour)."""
-    pair = left * ranks["size"] + right
-    found = F.get(ranks["lists"], pair % _PAIR_LISTS)
-    return F.get(found["rank"], F.array_position(found["pair"], pair))
-
-
-def _pair_ranks(ids: Column, ranks: Column) -> Column:
-    """The rank of every token joined with the next one (of the last: null)."""
-    return F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda left, right: _pair_rank(ranks, left, right))
-
-
 # ------------------------------------------------------------------ words to tokens
 def pieces(text: Column, vocabulary: Vocabulary) -> Column:
     return F.when(text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(vocabulary.newer_pattern), 0)) \
         .otherwise(F.regexp_extract_all(text, F.lit(vocabulary.pattern), 0))
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
+def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of ``word``."""
-    letters = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")        # a letter a byte
-    ids = F.transform(F.regexp_extract_all(letters, F.lit("(?s)."), 0), lambda c: F.get(ranks["bytes"], F.ascii(c)))
-    steps = F.sequence(F.lit(1), F.octet_length(word))
-    short = F.aggregate(steps, F.struct(ids.alias("ids"), F.lit(True).alias("more")), lambda state, _: _merge_one(state, ranks),
-                        lambda state: state["ids"].cast("array<int>"))
-    long = F.aggregate(steps, _let(ids, lambda x: _with_ranks(x, ranks)), lambda state, _: _merge_rank(state, ranks),
-                       lambda state: state["ids"].cast("array<int>"))
-    return F.when(F.octet_length(word) <= LONG_WORD, short).otherwise(long)
-
-
-def _merge_one(state: Column, ranks: Column) -> Column:
-    """The leftmost pair of the lowest rank is one token."""
-    ids = state["ids"]
-
-    def merge(pairs: Column) -> Column:
-        lowest = F.array_min(pairs)
-        place = F.array_position(pairs, lowest).cast("int")
-        return F.when(lowest.isNull(), F.struct(ids.alias("ids"), F.lit(False).alias("more"))).otherwise(F.struct(
-            F.concat(F.slice(ids, F.lit(1), place - 1), F.array(lowest), F.slice(ids, place + 2, F.size(ids))).alias("ids"),
-            F.lit(True).alias("more")))
-
-    return F.when(state["more"], _let(_pair_ranks(ids, ranks), merge)).otherwise(state)
-
-
-def _with_ranks(ids: Column, ranks: Column) -> Column:
-    return F.struct(ids.alias("ids"), _pair_ranks(ids, ranks).alias("ranks"))
-
-
-def _merge_rank(state: Column, ranks: Column) -> Column:
-    """All pairs of the lowest rank, from the left and without overlaps, are one token each;
-    only the leftmost where one of these merges makes a pair of a lower rank."""
-    ids, held = state["ids"], state["ranks"]
-
-    def merge(lowest: Column) -> Column:
-        flags = F.array_join(F.transform(held, lambda r: F.when(r == lowest, "1").otherwise("0")), "")
-        every = F.regexp_replace(flags, "11", "10").cast("binary")
-        first = F.regexp_replace(flags, "^(0*1).*", "$1").cast("binary")
-
-        def unless_lower(chosen: Column) -> Column:
-            # pairs that exist between two of the merges: a new token and the next old one
-            passing = F.array_min(F.transform(ids, lambda _, i: F.when(_is_chosen(chosen, i), _pair_rank(ranks, lowest, F.get(ids, i + 2)))))
-            return _let(_let(_merged(ids, chosen, lowest), lambda x: _with_ranks(x, ranks)), lambda after: F.when(
-                F.coalesce(F.least(F.array_min(after["ranks"]), passing), lowest) >= lowest, after).otherwise(
-                _let(first, lambda one: _let(_merged(ids, one, lowest), lambda x: _with_ranks(x, ranks)))))
-
-        return _let(every, unless_lower)
-
-    return _let(F.array_min(held), lambda lowest: F.when(lowest.isNull(), state).otherwise(merge(lowest)))
-
-
-def _is_chosen(flags: Column, i: Column) -> Column:
-    return F.substring(flags, i + 1, F.lit(1)) == F.lit(b"1")
-
-
-def _merged(ids: Column, flags: Column, new: Column) -> Column:
-    """``ids``, each one flagged made one with the next."""
-    return F.filter(F.transform(ids, lambda x, i: F.when((i > 0) & _is_chosen(flags, i - 1), None)
-                                .when(_is_chosen(flags, i), new).otherwise(x)), lambda x: x.isNotNull())
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))     # of the token that begins at a place; end 0: none does
+    heap = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if not middle or middle == n or end[middle] != stop:
+            continue        # one of the two was merged otherwise
+        end[i], end[middle], before[stop] = stop, 0, i
+        for a, z in ((before[i], stop), (i, end[stop] if stop < n else 0)):
+            if a >= 0 and word[a:z] in ranks:
+                heapq.heappush(heap, (ranks[word[a:z]], a, z))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return ids
+
+
+def _merged(vocabulary: Vocabulary, known: dict[bytes, list[int]]):
+    """Arrow function from arrays of words to arrays of their token ids, all words' in a row."""
+    ranks = vocabulary.ranks
+
+    def run(off: np.ndarray, flat: pa.Array, kept: dict[bytes, list[int]]) -> pa.Array:
+        words = flat.dictionary_encode()
+        found = []
+        for word in words.dictionary.cast(pa.binary()).to_pylist():
+            ids = known.get(word) or kept.get(word)
+            if ids is None:
+                ids = merge_bytes(word, ranks)
+                if len(kept) < RUN_WORDS and len(word) <= HOT_BYTES:
+                    kept[word] = ids
+            found.append(ids)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum()))
+        at = numbers(words.indices)
+        n = size[at]
+        until = np.cumsum(n)
+        place = np.arange(int(n.sum())) + np.repeat((np.cumsum(size) - size)[at] - until + n, n)
+        return list_array(np.concatenate(([0], until))[off], pa.array(ids[place]))
+
+    @F.arrow_udf("array<int>")
+    def tokens(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept: dict[bytes, list[int]] = {}
+        for column in columns:
+            off, flat = list_parts(column)
+            parts, i = [], 0
+            while i < len(column):      # whole rows, one at least
+                j = max(i + 1, int(np.searchsorted(off, off[i] + RUN_WORDS, side="right")) - 1)
+                parts.append(run(off[i:j + 1] - off[i], flat.slice(off[i], off[j] - off[i]), kept))
+                i = j
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    return tokens
 
 
 # ------------------------------------------------------------------ documents
@@ -204,30 +167,17 @@ def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -
     counts = written(docs.select(F.explode(pieces(F.col(text_col), vocabulary)).alias("word")).groupBy("word")
                      .agg(F.count(F.lit(1)).alias("n")), "words")
     hot = most_frequent(counts.filter(F.octet_length("word") <= HOT_BYTES), "n", HOT_WORDS)
-    return hot.select("word", _let(_rank_literal(vocabulary), lambda ranks: fold_merges(F.col("word"), ranks)).alias("ids"))
-
-
-def _list_of(word: Column) -> Column:
-    return (F.crc32(word.cast("binary")) % _WORD_LISTS).cast("int")
-
-
-def _word_literal(hot: DataFrame) -> Column:
-    """Words and tokens as lists, a word's list being chosen by its checksum."""
-    lists: list[dict[str, list[int]]] = [{} for _ in range(_WORD_LISTS)]
-    for r in hot.select(_list_of(F.col("word")).alias("list"), "word", "ids").collect():
-        lists[r["list"]][r["word"]] = r["ids"]
-    return F.from_json(F.lit(json.dumps(lists, separators=(",", ":"))), "array<map<string, array<int>>>")
+    return hot.select("word", _merged(vocabulary, {})(F.array("word")).alias("ids"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text_col`` (array<int>, empty for null)."""
-    known = _word_literal(hot_words(docs, vocabulary, text_col))
-    words = pieces(F.coalesce(F.col(text_col), F.lit("")), vocabulary)
-    return docs.withColumn(ids_col, _let(_rank_literal(vocabulary), lambda ranks: _let(known, lambda lists: F.flatten(F.transform(
-        words, lambda w: F.coalesce(F.try_element_at(F.get(lists, _list_of(w)), w), fold_merges(w, ranks)))))))
+    known = {r["word"].encode(): r["ids"] for r in hot_words(docs, vocabulary, text_col).collect()}
+    return docs.withColumn(ids_col, _merged(vocabulary, known)(pieces(F.coalesce(F.col(text_col), F.lit("")), vocabulary)))
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes of an array of token ids."""
     table = F.from_json(F.lit(json.dumps([t.hex() for t in vocabulary.by_rank()])), "array<string>")
-    return _let(table, lambda pieces_of: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces_of, i)), "")))
+    joined = F.transform(F.array(table), lambda pieces_of: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces_of, i)), "")))
+    return F.get(joined, F.lit(0))      # the table is held by the plan once

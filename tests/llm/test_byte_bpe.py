@@ -72,3 +72,18 @@ def test_the_bound_on_looked_up_words_changes_nothing(spark, vocabulary, library
     few = {r.word: r.ids for r in byte_bpe.hot_words(docs, vocabulary).collect()}
     assert 0 < len(few) <= 200 < len(every) and few.items() <= every.items()
     check(docs, vocabulary, library)
+
+
+def test_merging_without_spark(vocabulary, library):
+    """Words that no dictionary holds are merged by a heap; long ones without a step for all their bytes."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for letters in ("ab", "etaoinshrdlu", "\u00e9\u4e2d ax", "0123456789abcdef") for _ in range(300)]
+    for t in texts + ["a" * 20000]:
+        assert byte_bpe.merge_bytes(t.encode(), vocabulary.ranks) == library._core_bpe.encode_single_piece(t.encode())
+
+
+def test_rows_in_several_runs(spark, vocabulary, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "RUN_WORDS", 7)
+    monkeypatch.setattr(byte_bpe, "HOT_WORDS", 0)
+    texts = ["", None, "one two three four five six seven eight nine ten", "ten", "", "abcdefgh ijklmnop qrstuv wxyz", None]
+    check(spark.createDataFrame([(t,) for t in texts * 3], "text string").coalesce(1), vocabulary, library)
