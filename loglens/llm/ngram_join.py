@@ -2,8 +2,8 @@
 
 1. Scan: each text's set of distinct 5-word shingles. Sets that are equal are one class.
 2. Two sets that reach the similarity share one of their first n - T + 1 shingles in any
-   fixed order (T: the overlap that is needed at least). The order is: shingles that many
-   documents hold last, else by hash. Only these prefixes are shuffled.
+   fixed order (T: the overlap that is needed at least). The order is by levels of how many
+   documents hold a shingle, rare ones first, else by hash. Only these prefixes are shuffled.
 3. Star round: every set is compared with the first set that shares a prefix shingle,
    which links groups of near copies in proportion to their size, not its square.
 4. Cross round: prefix shingles that still join different components give the remaining
@@ -42,9 +42,9 @@ from .common import (SPACED_WORDS, Chunk, components, find_words, fresh_name, gr
 SHINGLE = 5
 #: Jaccard similarity NUM / DEN and more.
 NUM, DEN = 75, 100
-#: Shingles that at least so many documents of one scan task hold are put last, at most
-#: MAX_FREQUENT of them (8 MB): this only chooses the order, any order gives the same links.
-FREQUENT = 4
+#: Shingles that at least so many documents of one scan task hold are ordered by their counts, at
+#: most MAX_FREQUENT of them (16 MB): this only chooses the order, any order gives the same links.
+FREQUENT = 2
 MAX_FREQUENT = 1 << 20
 #: Candidates of one set that are indexed together.
 BLOCK = 256
@@ -103,25 +103,22 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _prefixes(frequent, num: int, den: int):
-    """Rows (rid, n, digest, prefix); a shingle's sort key is its code, plus a high bit if frequent."""
+    """Rows (rid, n, digest, prefix); a shingle's sort key is its code, with its level of ``frequent`` above."""
     schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
-        last = frequent.value
+        known, levels = frequent.value
         for chunk in text_chunks(batches, max_rows=_ROWS):
             codes, off = shingle_sets(chunk)
             n = np.diff(off)
             digests = [hashlib.blake2b(codes[off[i]:off[i + 1]].tobytes(), digest_size=16).digest() for i in range(len(chunk))]
-            common = np.zeros(len(codes), dtype=bool)
-            if len(last):
-                common = last[np.minimum(np.searchsorted(last, codes), len(last) - 1)] == codes
             doc = np.repeat(np.arange(len(chunk)), n)
-            rare_before = np.concatenate(([0], np.cumsum(~common)))
-            rare = rare_before[off[1:]] - rare_before[off[:-1]]
-            rank_rare = rare_before[:-1] - rare_before[off[:-1]][doc]
-            pos = np.where(common, np.arange(len(codes)) - off[:-1][doc] - rank_rare + rare[doc], rank_rare)
-            ordered = np.empty_like(codes)
-            ordered[off[:-1][doc] + pos] = codes | (common.astype(_U) << _U(_CODE_BITS))
+            level = np.zeros(len(codes), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                level = np.where(known[at] == codes, levels[at], 0)
+            order = np.argsort((doc << 8) | level, kind="stable")     # codes are in order within a document
+            ordered = codes[order] | (level[order].astype(_U) << _U(_CODE_BITS))
             keep = np.arange(len(codes)) - off[:-1][doc] < prefix_length(n, num, den)[doc]
             yield pa.RecordBatch.from_arrays([
                 chunk.column("rid"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
@@ -131,7 +128,7 @@ def _prefixes(frequent, num: int, den: int):
 
 
 def _bit_map(shared: DataFrame) -> np.ndarray:
-    """Bit map of the shingles ``s``: a bit of MAP_WORDS words each, chosen by the code's low bits."""
+    """Bit map of the shingles or row ids ``s``: a bit of MAP_WORDS words each, chosen by their low bits."""
     bit = F.shiftright("s", MAP_WORDS.bit_length() - 1).bitwiseAND(F.lit(63)).cast("int")
     words = shared.groupBy(F.col("s").bitwiseAND(F.lit(MAP_WORDS - 1)).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toArrow()
     bits = np.zeros(MAP_WORDS, dtype=_U)
@@ -139,14 +136,33 @@ def _bit_map(shared: DataFrame) -> np.ndarray:
     return bits
 
 
+def _is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    at = (s.astype(_U) >> _U(MAP_WORDS.bit_length() - 1)) & _U(63)
+    return (bits[s & (MAP_WORDS - 1)] >> at) & _U(1) == 1
+
+
+def _in_map(bits):
+    """The rows whose row id, the first column, has its bit set: all rows wanted and few others."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_is_set(bits.value, numbers(batch.column(0)))))
+
+    return run
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (rid first) with those of ``ids`` (s) and few others, without a shuffle of ``rows``."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bit_map(ids))
+    return rows.mapInArrow(_in_map(bits), rows.schema)
+
+
 def _mapped(bits):
     """Rows (rid, n, prefix) to rows (rid, n, pos, s) of the prefix shingles whose bit is set."""
     def run(batches):
         for batch in batches:
             off, values = list_parts(batch.column(2))
             s = numbers(values)
-            code = s.astype(_U)
-            set_ = (bits.value[s & (MAP_WORDS - 1)] >> ((code >> _U(MAP_WORDS.bit_length() - 1)) & _U(63))) & _U(1) == 1
+            set_ = _is_set(bits.value, s)
             row = np.repeat(np.arange(batch.num_rows), np.diff(off))
             pos = np.arange(len(s)) - off[:-1][row]
             at = pa.array(row[set_])
@@ -308,10 +324,11 @@ def _by_document(pairs: DataFrame) -> DataFrame:
 def compare(texts: DataFrame, sets: DataFrame, pairs: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """Those of ``pairs`` (center, rid) whose sets reach num / den, as (u, v)."""
     n = shuffle_partitions(texts.sparkSession)
-    grouped = sets.join(_by_document(pairs).hint("shuffle_hash"), "rid") \
+    ids = lambda pairs, *c: pairs.select(F.explode(F.array(*c)).alias("s"))
+    grouped = _only(sets.select("rid", "n", "prefix"), ids(pairs, "center", "rid")).join(_by_document(pairs).hint("shuffle_hash"), "rid") \
         .select(F.inline("groups"), "rid", "n", F.col("prefix").alias("codes"))
     near = written(grouped.repartition(n, "center", "block").mapInArrow(_links(num, den, True), "u long, v long"), f"{name}-near")
-    held = texts.join(_by_document(near.select(F.col("u").alias("center"), F.col("v").alias("rid"))).hint("shuffle_hash"), "rid").select("rid", "text", "groups")
+    held = _only(texts, ids(near, "u", "v")).join(_by_document(near.select(F.col("u").alias("center"), F.col("v").alias("rid"))).hint("shuffle_hash"), "rid").select("rid", "text", "groups")
     whole = held.mapInArrow(_sets_of_groups, "center long, block long, rid long, n long, codes array<long>")
     return written(whole.repartition(n, "center", "block").mapInArrow(_links(num, den, False), "u long, v long"), f"{name}-links")
 
@@ -324,25 +341,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, d
     named = with_row_ids(docs.select(F.col(id_col).alias("id"), "text"), "id", rid)
     texts = named.select(rid, "text")
     common = (texts.mapInArrow(_frequent, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-              .orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).select("s").toArrow())
-    frequent = spark.sparkContext.broadcast(np.sort(numbers(common.column("s")).astype(_U)))
+              .orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).select("s", F.floor(2 * F.log2("n")).alias("level")).toArrow())
+    known, level = numbers(common.column("s")).astype(_U), numbers(common.column("level"))
+    by_code = np.argsort(known)
+    frequent = spark.sparkContext.broadcast((known[by_code], level[by_code]))
     sets = written(texts.mapInArrow(_prefixes(frequent, num, den), "rid long, n long, digest binary, prefix array<long>"), "shingle-prefixes")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("class_size"))
     members = written(sets.select("rid", "n", "digest").join(classes, "digest", "left")
                       .select("rid", "n", F.coalesce("first", "rid").alias("first"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")), "shingle-classes")
     lead = members.filter("rid = first and n > 0").select("rid")
+    # nearly all other rows go here, the last ones from the pairs
+    leads = _only(sets.select("rid", "n", "prefix"), lead.select(F.col("rid").alias("s")))
 
-    rows = sets.join(lead, "rid", "left_semi").select("rid", "n", F.posexplode("prefix").alias("pos", "s"))
+    rows = leads.select("rid", F.posexplode("prefix").alias("pos", "s"), "n")
     # written before it is joined, so that only one shuffle of all prefixes is on disk at a time
     shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("center"), F.min_by("n", "rid").alias("center_n"))
                      .filter("c > 1"), "shared-shingles")
     bits = spark.sparkContext.broadcast(_bit_map(shared))
-    rows = sets.join(lead, "rid", "left_semi").select("rid", "n", "prefix").mapInArrow(_mapped(bits), "rid long, n long, pos long, s long")
+    rows = leads.mapInArrow(_mapped(bits), "rid long, n long, pos long, s long")
     lists = written(rows.join(shared, "s").select("s", "rid", "n", "pos", "c", "center", "center_n"), "shared-prefixes")
 
     near = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
     stars = written(lists.filter((F.col("rid") != F.col("center")) & near(F.col("n"), F.col("center_n")))
-                    .select("center", "rid").distinct(), "star-pairs")
+                    .select("center", "rid").distinct().join(lead, "rid", "left_semi"), "star-pairs")
     edges = compare(texts, sets, stars, num, den, "star")
     so_far = components(edges)
 
@@ -367,7 +388,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, d
         (F.struct("a_n", "a_rid") < F.struct("b_n", "b_rid")) & (F.col("a_comp") != F.col("b_comp")) & near(F.col("a_n"), F.col("b_n"))
         & (F.col("a_heavy") >= spare) & (F.col("b_heavy") >= spare) & early)
     pairs = cross.select(F.least("a_rid", "b_rid").alias("center"), F.greatest("a_rid", "b_rid").alias("rid")).distinct()
-    pairs = written(pairs.join(stars, ["center", "rid"], "left_anti"), "cross-pairs")
+    pairs = pairs.join(stars, ["center", "rid"], "left_anti").join(lead, "rid", "left_semi").join(lead.select(F.col("rid").alias("center")), "center", "left_semi")
+    pairs = written(pairs, "cross-pairs")
     more = compare(texts, sets, pairs, num, den, "cross")
     edges = edges.unionByName(more)
     found = components(edges)

@@ -116,3 +116,26 @@ def test_the_bit_map_holds_every_shared_shingle(spark, monkeypatch):
     batch = nj.pa.record_batch({"rid": [7, 8], "n": [250, 250], "prefix": [s[:250].tolist(), s[250:].tolist()]})
     out = next(nj._mapped(value)(iter([batch])))
     assert out.column("s").to_pylist() == s.tolist() and out.column("pos").to_pylist()[248:252] == [248, 249, 0, 1]
+
+
+def test_prefixes_hold_the_rarest_shingles(spark):
+    """Frequent shingles come by their counts: what fewer documents hold meets first."""
+    part = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(i, f"{part('often')} {part(f'mid{i // 4}x')}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "rid long, text string").coalesce(1)
+    known = docs.mapInArrow(nj._frequent, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toPandas()
+    assert sorted(set(known.n)) == [4, 64]
+    last = type("Last", (), {"value": (known.s.to_numpy().astype(np.uint64), np.floor(2 * np.log2(known.n.to_numpy())).astype(np.int64))})
+    batch = nj.pa.record_batch({"rid": [0, 1], "text": [rows[0][1], rows[9][1]]})
+    out = next(nj._prefixes(last, 75, 100)(iter([batch])))
+    held = dict(zip(known.s.tolist(), known.n.tolist()))
+    for prefix in out.column("prefix").to_pylist():
+        assert len(prefix) == nj.prefix_length(76, 75, 100) and prefix == sorted(prefix)
+        assert {held[s & ((1 << 52) - 1)] for s in prefix} == {4}
+
+
+def test_only_leaves_out_what_no_bit_stands_for(spark, monkeypatch):
+    monkeypatch.setattr(nj, "MAP_WORDS", 64)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-5, 3000)], "rid long, text string")
+    ids = spark.createDataFrame([(-5,), (0,), (63,), (64,), (2999,)], "s long")
+    assert {r.rid for r in nj._only(rows, ids).collect()} == {-5, 0, 63, 64, 2999}
