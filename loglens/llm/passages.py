@@ -8,8 +8,11 @@
    a row whose seeds are all held elsewhere, unless the seeds' links (hashes of the words up
    to the next seed) show that one first holder has them all, are keyed as a whole and
    anchored to their own first holder: exact passages are found whoever holds their seeds.
-   What such windows alone give counts as the passage of an earlier holder, with a few words
-   alike beside it by chance, if fewer than K of its words are in no other passage.
+   Seeds that lie in MIN_WORDS words but in different first holders, or apart in one, are
+   keyed by twos as well and anchored to the first holder of both, edits between them or not:
+   so fuzzy passages are found whoever holds their seeds.
+   What such windows and twos alone give counts as the passage of an earlier holder, with a few
+   words alike beside it by chance, if fewer than K of its words are in no other passage.
 3. Anchors of a pair of documents on one diagonal are merged; the fragments are chained
    in order in both documents, a gap costing GAP_COST a word on either side. The best
    predecessor is a prefix maximum in a Fenwick tree over the ends in the other document.
@@ -21,7 +24,7 @@
 
 A passage that many documents share is found in each as shared with the first one; the
 documents meet there, so no pairs within the group are made. A passage without MIN_WORDS
-unchanged words in a row whose seeds have different first holders can be missed.
+unchanged words in a row can be missed if every two of its seeds, too, have other first holders.
 
 Edge cases: null and wordless texts have no seeds; texts shorter than a window have one seed
 if they have K words; a passage that a text repeats is found at each place, and of the places
@@ -47,6 +50,8 @@ MIN_IDENTITY = 0.8
 #: passage ask its first document for the same stretch; stretches that begin within BLOCK
 #: roundings are asked for together.
 ROUND, BLOCK = 32, 512
+#: Seeds of whole documents that a task pairs at a time.
+PLACES = 1 << 17
 
 _U = np.uint64
 _NEVER = _U(0xFFFFFFFFFFFFFFFF)
@@ -89,18 +94,18 @@ def linked_seeds(chunk: Chunk, k: int = K, window: int = WINDOW) -> tuple[np.nda
     return row, code, position - w.offsets[:-1][row], step[order], link[order]
 
 
-def _keyed(chunk: Chunk, row: np.ndarray, code: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+def _keyed(rid: np.ndarray, row: np.ndarray, code: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
     """Rows (h, rid, pos, first), given by row, hash and position; ``first`` marks a hash's first place in its row."""
     first = np.ones(len(row), dtype=bool)
     first[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(numbers(chunk.column("rid"))[row]), pa.array(position), pa.array(first)],
+    return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rid[row]), pa.array(position), pa.array(first)],
                                       names=["h", "rid", "pos", "first"])
 
 
 def _seed_rows(batches):
     for chunk in text_chunks(batches):
         row, code, position, step, link = linked_seeds(chunk)
-        out = _keyed(chunk, row, code, position)
+        out = _keyed(numbers(chunk.column("rid")), row, code, position)
         yield out.append_column("step", pa.array(step)).append_column("link", pa.array(link.astype(np.int64)))
 
 
@@ -169,7 +174,48 @@ def _window_rows(length: int):
             row, position = np.repeat(row, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
             code = codes[w.offsets[row] + position]
             o = np.lexsort((position, code, row))
-            yield _keyed(chunk, row[o], code[o], position[o])
+            yield _keyed(numbers(chunk.column("rid")), row[o], code[o], position[o])
+
+    return run
+
+
+# ------------------------------------------------------------------ seeds by twos
+def apart_seeds(doc: np.ndarray, pos: np.ndarray, rep: np.ndarray, rep_pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every two seeds (first, second) of a document within ``length`` words that have different
+    first holders or lie there more than WINDOW words farther apart or nearer. Seeds are given by
+    doc and position."""
+    first, second, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1
+    while True:
+        gap = pos[d:] - pos[:-d]
+        near = (doc[d:] == doc[:-d]) & (gap + K <= length)
+        if not near.any():
+            return np.concatenate(first), np.concatenate(second)
+        i = np.flatnonzero(near & ((rep[d:] != rep[:-d]) | (np.abs(rep_pos[d:] - rep_pos[:-d] - gap) > WINDOW)))
+        first.append(i)
+        second.append(i + d)
+        d += 1
+
+
+def _pair_rows(length: int):
+    """Rows (rid, places) to rows (h, rid, pos, first, gap): seeds by twos, ``gap`` words apart.
+    A seed's first place stands for it."""
+    def run(batches):
+        for batch in batches:
+            rid, (off, places) = numbers(batch.column(0)), list_parts(batch.column(1))
+            at = 0
+            while at < len(rid):    # whole documents, about PLACES of their seeds at a time
+                to = max(at + 1, int(np.searchsorted(off, off[at] + PLACES, side="right")) - 1)
+                part = places.slice(off[at], off[to] - off[at])
+                pos, rep, rep_pos = (numbers(part.field(i)) for i in range(3))
+                doc = np.repeat(np.arange(at, to), np.diff(off[at:to + 1]))
+                o = np.lexsort((pos, doc))
+                doc, pos, rep, rep_pos = doc[o], pos[o], rep[o], rep_pos[o]
+                i, j = apart_seeds(doc, pos, rep, rep_pos, length)
+                code = gram_hashes(np.stack((rep[i], rep_pos[i], rep[j], rep_pos[j]), axis=1).reshape(-1).astype(_U), 4)[::4]
+                o = np.lexsort((pos[i], code, doc[i]))
+                i, j = i[o], j[o]
+                yield _keyed(rid, doc[i], code[o], pos[i]).append_column("gap", pa.array(pos[j] - pos[i]))
+                at = to
 
     return run
 
@@ -248,20 +294,21 @@ _CHAINS = pa.schema([("rid", pa.int64()), ("rep", pa.int64()), ("a0", pa.int64()
 
 
 def _chains(min_words: int, length: int):
-    """Rows (rid, places of seeds, places of windows of ``length`` words): chains of each pair
-    that may grow to a passage; pieces are (a start, a end, b start), ``late`` those of windows alone."""
+    """Rows (rid, places of seeds, places of windows of ``length`` words, places of seeds by twos): chains of
+    each pair that may grow to a passage; pieces are (a start, a end, b start), ``late`` those without two first places."""
     slack = 2 * (WINDOW + K)
 
     def run(batches):
         for batch in batches:
             rid = numbers(batch.column(0))
-            sides = [(K, *list_parts(batch.column(1))), (length, *list_parts(batch.column(2)))]
+            sides = [(size, *list_parts(batch.column(c))) for c, size in ((1, K), (2, length), (3, K))]
             doc = np.concatenate([np.repeat(np.arange(len(rid)), np.diff(off)) for _, off, _ in sides])
             a, rep, b = (np.concatenate([numbers(places.field(i)) for _, _, places in sides]) for i in range(3))
             n = np.concatenate([np.full(len(places), size) for size, _, places in sides])
+            own = np.arange(len(n)) < len(sides[0][2])
             o = np.lexsort((rep, doc))
             o = o[rep[o] != rid[doc[o]]]
-            doc, a, rep, b, n = doc[o], a[o], rep[o], b[o], n[o]
+            doc, a, rep, b, n, own = doc[o], a[o], rep[o], b[o], n[o], own[o]
             out: list[list] = [[] for _ in _CHAINS]
             if len(doc):
                 heads = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (rep[1:] != rep[:-1]))))
@@ -271,7 +318,7 @@ def _chains(min_words: int, length: int):
                 for i, j in zip(heads[good].tolist(), ends[good].tolist()):
                     for parts in chain(fragments(a[i:j], b[i:j], n[i:j])):
                         a0, a1, b0, b1 = parts[0][0], parts[-1][1], parts[0][2], parts[-1][2] + parts[-1][1] - parts[-1][0]
-                        late = int(((n[i:j] == K) & (a[i:j] >= a0) & (a[i:j] < a1)).sum()) < 2
+                        late = int((own[i:j] & (a[i:j] >= a0) & (a[i:j] < a1)).sum()) < 2
                         if min(a1 - a0, b1 - b0) + slack >= min_words and sum(p[3] for p in parts) > K:
                             for values, v in zip(out, (rid[doc[i]], rep[i], a0, a1, b0, b1, [x for p in parts for x in p[:3]], late)):
                                 values.append(v)
@@ -456,7 +503,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MI
                       .mapInArrow(_window_rows(length), "h long, rid long, pos long, first boolean"), "windows")
     whole = windows.drop("first").join(_first_places(windows), "h").filter("rid <> rep") \
         .groupBy("rid").agg(F.collect_list(F.struct("pos", "rep", "rep_pos")).alias("whole"))
-    anchors = by_doc.join(whole, "rid", "left").select("rid", "places", F.coalesce("whole", F.array().cast("array<struct<pos: long, rep: long, rep_pos: long>>")))
+    pairs = by_doc.mapInArrow(_pair_rows(min_words), "h long, rid long, pos long, first boolean, gap long")
+    ends = [F.struct((F.col("pos") + gap).alias("pos"), "rep", (F.col("rep_pos") + rep_gap).alias("rep_pos")) for gap, rep_gap in ((F.lit(0), F.lit(0)), (F.col("gap"), F.col("rep_gap")))]
+    paired = pairs.drop("first").join(_first_places(pairs, "gap"), "h").filter("rid <> rep") \
+        .select("rid", F.explode(F.array(*ends)).alias("place")).groupBy("rid").agg(F.collect_set("place").alias("paired"))
+    none = F.array().cast("array<struct<pos: long, rep: long, rep_pos: long>>")
+    anchors = by_doc.join(whole, "rid", "left").join(paired, "rid", "left").select("rid", "places", F.coalesce("whole", none), F.coalesce("paired", none))
     chains = written(anchors.mapInArrow(_chains(min_words, length), "rid long, rep long, a0 long, a1 long, b0 long, b1 long, pieces array<long>, late boolean"), "chains")
     down = lambda c: (F.greatest(F.floor((F.col(c) - EDGE) / ROUND), F.lit(0)) * ROUND).cast("long")
     up = lambda c: (F.ceil((F.col(c) + EDGE) / ROUND) * ROUND).cast("long")

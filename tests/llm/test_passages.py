@@ -178,3 +178,41 @@ def test_passages_whose_seeds_have_other_first_holders(spark):
 def test_fragments_of_unequal_anchors():
     assert ps.fragments(np.array([0, 10, 80, 5]), np.array([3, 13, 83, 50]), np.array([50, 6, 6, 6])) == [(0, 50, 3, 50), (5, 11, 50, 6), (80, 86, 83, 6)]
     assert ps.fragments(np.array([0, 4, 22]), np.array([0, 4, 22])) == [(0, 28, 0, 16)]
+
+
+def test_fuzzy_passages_whose_seeds_have_other_first_holders(spark):
+    """Parts of each passage come first, each in a document of its own, then the passage twice,
+    with other words changed each time, none of them with 50 unchanged words in a row."""
+    rng = random.Random(23)
+    passages = [prose(rng, n) for n in (60, 64, 72, 80, 96, 120)]
+    texts = []
+    for i, p in enumerate(passages):
+        step = len(p) // (2 + i % 2)
+        texts += [prose(rng, 12) + p[s:s + step] + prose(rng, 9) for s in range(0, len(p), step)]
+    whole = len(texts)
+    for turn in (18, 36):
+        for p in passages:
+            w = list(p)
+            for j in range(turn, len(w) - 6, 36):
+                w[j] = f"edit{rng.randint(0, 10**6)}"
+            texts.append(prose(rng, 20) + w + prose(rng, 20))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = ps.shared_passages(docs).collect()
+    assert all(r.other < r.doc_id and r.n_words >= 50 and r.identity >= 0.8 for r in out)
+    found = {(r.doc_id, r.other) for r in out}
+    n = len(passages)
+    assert {(whole + n + i, whole + i) for i in range(n)} <= found
+
+
+def test_seeds_apart_against_all_twos():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(0, 60))
+        doc, pos = np.sort(rng.integers(0, 3, n)), np.zeros(n, np.int64)
+        for d in range(3):
+            pos[doc == d] = np.sort(rng.choice(400, int((doc == d).sum()), replace=False))
+        rep, rep_pos = rng.integers(0, 3, n), rng.integers(0, 80, n)
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if doc[i] == doc[j] and pos[j] + ps.K - pos[i] <= 50
+                and (rep[i] != rep[j] or abs((rep_pos[j] - rep_pos[i]) - (pos[j] - pos[i])) > ps.WINDOW)}
+        i, j = ps.apart_seeds(doc, pos, rep, rep_pos, 50)
+        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
