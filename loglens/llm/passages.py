@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Chunk, RollingHash, find_words, gram_hashes, list_array, list_parts, numbers, text_chunks, with_row_ids, written
+from .common import (ALNUM_WORDS, _MULT, Chunk, RollingHash, find_words, give_back, gram_hashes, list_array, list_parts, mix, numbers,
+                     text_chunks, with_row_ids, written)
 
 K = 6
 WINDOW = 12
@@ -51,7 +52,7 @@ MIN_IDENTITY = 0.8
 #: roundings are asked for together.
 ROUND, BLOCK = 32, 512
 #: Seeds of whole documents that a task pairs at a time.
-PLACES = 1 << 17
+PLACES = 1 << 14
 
 _U = np.uint64
 _NEVER = _U(0xFFFFFFFFFFFFFFFF)
@@ -110,8 +111,9 @@ def _seed_rows(batches):
 
 
 def _first_places(rows: DataFrame, *more: str) -> DataFrame:
-    """(h, rep, rep_pos and ``more`` of that row): the first place of each hash that several documents hold."""
-    return rows.filter("first").groupBy("h").agg(F.min("rid").alias("rep"), F.max("rid").alias("last"), *[F.min_by(c, "rid").alias("rep_" + c) for c in ("pos", *more)]) \
+    """(h, rep, rep_pos and ``more`` of that row): the first place of each hash that several documents hold;
+    ``rows`` have one place a document."""
+    return rows.groupBy("h").agg(F.min("rid").alias("rep"), F.max("rid").alias("last"), *[F.min_by(c, "rid").alias("rep_" + c) for c in ("pos", *more)]) \
         .filter("rep <> last").drop("last")
 
 
@@ -184,21 +186,22 @@ def apart_seeds(doc: np.ndarray, pos: np.ndarray, rep: np.ndarray, rep_pos: np.n
     """Every two seeds (first, second) of a document within ``length`` words that have different
     first holders or lie there more than WINDOW words farther apart or nearer. Seeds are given by
     doc and position."""
-    first, second, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1
-    while True:
-        gap = pos[d:] - pos[:-d]
-        near = (doc[d:] == doc[:-d]) & (gap + K <= length)
-        if not near.any():
-            return np.concatenate(first), np.concatenate(second)
-        i = np.flatnonzero(near & ((rep[d:] != rep[:-d]) | (np.abs(rep_pos[d:] - rep_pos[:-d] - gap) > WINDOW)))
-        first.append(i)
-        second.append(i + d)
+    found, i, d = [np.empty((2, 0), np.int64)], np.arange(len(pos) - 1), 1
+    while len(i):
+        j = i + d
+        i = i[(doc[j] == doc[i]) & (pos[j] - pos[i] + K <= length)]
+        j = i + d
+        apart = (rep[j] != rep[i]) | (np.abs(rep_pos[j] - rep_pos[i] - pos[j] + pos[i]) > WINDOW)
+        found.append(np.stack((i[apart], j[apart])))
         d += 1
+        i = i[i + d < len(pos)]
+    first, second = np.concatenate(found, axis=1)
+    return first, second
 
 
-def _pair_rows(length: int):
-    """Rows (rid, places) to rows (h, rid, pos, first, gap): seeds by twos, ``gap`` words apart.
-    A seed's first place stands for it."""
+def _pair_rows(length: int, once: bool):
+    """Rows (rid, places) to rows (h, rid, pos, gap): seeds by twos, ``gap`` words apart; with ``once``,
+    one place of each two in a document."""
     def run(batches):
         for batch in batches:
             rid, (off, places) = numbers(batch.column(0)), list_parts(batch.column(1))
@@ -210,12 +213,15 @@ def _pair_rows(length: int):
                 doc = np.repeat(np.arange(at, to), np.diff(off[at:to + 1]))
                 o = np.lexsort((pos, doc))
                 doc, pos, rep, rep_pos = doc[o], pos[o], rep[o], rep_pos[o]
+                seed = gram_hashes(np.stack((rep, rep_pos), axis=1).reshape(-1).astype(_U), 2)[::2]
                 i, j = apart_seeds(doc, pos, rep, rep_pos, length)
-                code = gram_hashes(np.stack((rep[i], rep_pos[i], rep[j], rep_pos[j]), axis=1).reshape(-1).astype(_U), 4)[::4]
-                o = np.lexsort((pos[i], code, doc[i]))
-                i, j = i[o], j[o]
-                yield _keyed(rid, doc[i], code[o], pos[i]).append_column("gap", pa.array(pos[j] - pos[i]))
+                code = mix(seed[i] * _U(3) + seed[j])
+                if once:
+                    o = np.unique(mix(code + doc[i].astype(_U) * _U(_MULT)), return_index=True)[1]
+                    i, j, code = i[o], j[o], code[o]
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rid[doc[i]]), pa.array(pos[i]), pa.array(pos[j] - pos[i])], names=["h", "rid", "pos", "gap"])
                 at = to
+            give_back()
 
     return run
 
@@ -494,18 +500,18 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MI
     named = with_row_ids(docs.select(F.col(id_col).alias("id"), "text"), "id", "rid")
     texts = named.select("rid", "text")
     rows = texts.mapInArrow(_seed_rows, "h long, rid long, pos long, first boolean, step long, link long")
-    shared = rows.drop("first").join(_first_places(rows, "link"), "h") \
+    shared = rows.drop("first").join(_first_places(rows.filter("first"), "link"), "h") \
         .select("rid", F.struct("pos", "rep", "rep_pos", F.when(F.col("link") == F.col("rep_link"), F.col("step")).otherwise(0).alias("joined")).alias("place"))
     by_doc = written(shared.groupBy("rid").agg(F.collect_list("place").alias("places")), "places")
     length = max(min_words, K + WINDOW - 1)
     wanted = by_doc.mapInArrow(_open_rows(length), "rid long, wanted array<struct<s: long, e: long>>")
     windows = written(texts.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted")
                       .mapInArrow(_window_rows(length), "h long, rid long, pos long, first boolean"), "windows")
-    whole = windows.drop("first").join(_first_places(windows), "h").filter("rid <> rep") \
+    whole = windows.drop("first").join(_first_places(windows.filter("first")), "h").filter("rid <> rep") \
         .groupBy("rid").agg(F.collect_list(F.struct("pos", "rep", "rep_pos")).alias("whole"))
-    pairs = by_doc.mapInArrow(_pair_rows(min_words), "h long, rid long, pos long, first boolean, gap long")
+    pairs, once = (by_doc.mapInArrow(_pair_rows(min_words, o), "h long, rid long, pos long, gap long") for o in (False, True))
     ends = [F.struct((F.col("pos") + gap).alias("pos"), "rep", (F.col("rep_pos") + rep_gap).alias("rep_pos")) for gap, rep_gap in ((F.lit(0), F.lit(0)), (F.col("gap"), F.col("rep_gap")))]
-    paired = pairs.drop("first").join(_first_places(pairs, "gap"), "h").filter("rid <> rep") \
+    paired = pairs.join(_first_places(once, "gap"), "h").filter("rid <> rep") \
         .select("rid", F.explode(F.array(*ends)).alias("place")).groupBy("rid").agg(F.collect_set("place").alias("paired"))
     none = F.array().cast("array<struct<pos: long, rep: long, rep_pos: long>>")
     anchors = by_doc.join(whole, "rid", "left").join(paired, "rid", "left").select("rid", "places", F.coalesce("whole", none), F.coalesce("paired", none))
