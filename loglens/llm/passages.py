@@ -312,8 +312,15 @@ def _chains(min_words: int, length: int):
             a, rep, b = (np.concatenate([numbers(places.field(i)) for _, _, places in sides]) for i in range(3))
             n = np.concatenate([np.full(len(places), size) for size, _, places in sides])
             own = np.arange(len(n)) < len(sides[0][2])
+            # a seed is not anchored again in its own first holder
+            at, last = np.flatnonzero(own), np.arange(len(n)) >= len(n) - len(sides[2][2])
+            place = (doc << 40) | a
+            by_place = at[np.argsort(place[at])]
+            held = rep[by_place[np.searchsorted(place[by_place], place[last])]]
+            again = np.zeros(len(n), dtype=bool)
+            again[last] = rep[last] == held
             o = np.lexsort((rep, doc))
-            o = o[rep[o] != rid[doc[o]]]
+            o = o[(rep[o] != rid[doc[o]]) & ~again[o]]
             doc, a, rep, b, n, own = doc[o], a[o], rep[o], b[o], n[o], own[o]
             out: list[list] = [[] for _ in _CHAINS]
             if len(doc):
