@@ -10,6 +10,7 @@ Hashes only stand for equality of strings of one job; 64 bits, mixed.
 """
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 from collections.abc import Iterator
@@ -292,6 +293,28 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # ------------------------------------------------------------------ Spark helpers
 #: Lets Spark delete a statement's shuffle files when the statement ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that Spark hands to Python at a time.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` is ``value`` for the statements that run inside, as before after them."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, n_bytes: int = 8 * CHUNK_BYTES):
+    """Statements that run inside hand rows to Python by ``n_bytes`` or so: a batch is held by
+    the JVM and by the worker at once, and 10 000 whole texts may be large."""
+    return setting(spark, _BATCH, str(n_bytes))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -300,15 +323,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     write are not needed after it and go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -29,15 +29,17 @@ repeat or are null are numbered apart. Other columns are not touched.
 from __future__ import annotations
 
 import hashlib
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import (SPACED_WORDS, Chunk, components, find_words, fresh_name, gram_hashes, list_array, list_parts,
-                     numbers, read_all, segment_sums, shuffle_partitions, text_chunks, with_row_ids, written)
+                     numbers, read_all, segment_sums, shuffle_partitions, small_batches, text_chunks, with_row_ids, written)
 
 SHINGLE = 5
 #: Jaccard similarity NUM / DEN and more.
@@ -136,6 +138,14 @@ def _bit_map(shared: DataFrame) -> np.ndarray:
     return bits
 
 
+def _sent(spark: SparkSession, value, until: ExitStack | None = None) -> Broadcast:
+    """``value`` on all executors; in no memory once ``until`` is left, so what needs it is written before."""
+    sent = spark.sparkContext.broadcast(value)
+    if until is not None:
+        until.callback(sent.destroy)
+    return sent
+
+
 def _is_set(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
     at = (s.astype(_U) >> _U(MAP_WORDS.bit_length() - 1)) & _U(63)
     return (bits[s & (MAP_WORDS - 1)] >> at) & _U(1) == 1
@@ -150,16 +160,19 @@ def _in_map(bits):
     return run
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def _only(rows: DataFrame, ids: DataFrame, until: ExitStack | None = None) -> DataFrame:
     """``rows`` (rid first) with those of ``ids`` (s) and few others, without a shuffle of ``rows``."""
-    bits = rows.sparkSession.sparkContext.broadcast(_bit_map(ids))
-    return rows.mapInArrow(_in_map(bits), rows.schema)
+    return rows.mapInArrow(_in_map(_sent(rows.sparkSession, _bit_map(ids), until)), rows.schema)
 
 
-def _mapped(bits):
-    """Rows (rid, n, prefix) to rows (rid, n, pos, s) of the prefix shingles whose bit is set."""
+def _mapped(bits, wanted=None):
+    """Rows (rid, n, prefix) to rows (rid, n, pos, s) of the prefix shingles whose bit is set, of the
+    rows whose row id has its bit set in ``wanted``. One function does both: each that follows another
+    in a stage has Python workers of its own."""
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(_is_set(wanted.value, numbers(batch.column(0)))))
             off, values = list_parts(batch.column(2))
             s = numbers(values)
             set_ = _is_set(bits.value, s)
@@ -325,17 +338,24 @@ def compare(texts: DataFrame, sets: DataFrame, pairs: DataFrame, num: int, den:
     """Those of ``pairs`` (center, rid) whose sets reach num / den, as (u, v)."""
     n = shuffle_partitions(texts.sparkSession)
     ids = lambda pairs, *c: pairs.select(F.explode(F.array(*c)).alias("s"))
-    grouped = _only(sets.select("rid", "n", "prefix"), ids(pairs, "center", "rid")).join(_by_document(pairs).hint("shuffle_hash"), "rid") \
-        .select(F.inline("groups"), "rid", "n", F.col("prefix").alias("codes"))
-    near = written(grouped.repartition(n, "center", "block").mapInArrow(_links(num, den, True), "u long, v long"), f"{name}-near")
-    held = _only(texts, ids(near, "u", "v")).join(_by_document(near.select(F.col("u").alias("center"), F.col("v").alias("rid"))).hint("shuffle_hash"), "rid").select("rid", "text", "groups")
-    whole = held.mapInArrow(_sets_of_groups, "center long, block long, rid long, n long, codes array<long>")
-    return written(whole.repartition(n, "center", "block").mapInArrow(_links(num, den, False), "u long, v long"), f"{name}-links")
+    with ExitStack() as until:
+        grouped = _only(sets.select("rid", "n", "prefix"), ids(pairs, "center", "rid"), until).join(_by_document(pairs).hint("shuffle_hash"), "rid") \
+            .select(F.inline("groups"), "rid", "n", F.col("prefix").alias("codes"))
+        near = written(grouped.repartition(n, "center", "block").mapInArrow(_links(num, den, True), "u long, v long"), f"{name}-near")
+    with ExitStack() as until:
+        held = _only(texts, ids(near, "u", "v"), until).join(_by_document(near.select(F.col("u").alias("center"), F.col("v").alias("rid"))).hint("shuffle_hash"), "rid").select("rid", "text", "groups")
+        whole = held.mapInArrow(_sets_of_groups, "center long, block long, rid long, n long, codes array<long>")
+        return written(whole.repartition(n, "center", "block").mapInArrow(_links(num, den, False), "u long, v long"), f"{name}-links")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, den: int = DEN, links: bool = True) -> DataFrame:
     """Row of ``docs`` by row: ``id_col``, n_shingles, class_size (rows with the same set),
     n_links (all other sets that it links with; only with ``links``) and component_id."""
+    with small_batches(docs.sparkSession):
+        return _similar_documents(docs, id_col, num, den, links)
+
+
+def _similar_documents(docs: DataFrame, id_col: str, num: int, den: int, links: bool) -> DataFrame:
     spark = docs.sparkSession
     rid = "rid"
     named = with_row_ids(docs.select(F.col(id_col).alias("id"), "text"), "id", rid)
@@ -344,22 +364,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", num: int = NUM, d
               .orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).select("s", F.floor(2 * F.log2("n")).alias("level")).toArrow())
     known, level = numbers(common.column("s")).astype(_U), numbers(common.column("level"))
     by_code = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[by_code], level[by_code]))
-    sets = written(texts.mapInArrow(_prefixes(frequent, num, den), "rid long, n long, digest binary, prefix array<long>"), "shingle-prefixes")
+    with ExitStack() as until:
+        frequent = _sent(spark, (known[by_code], level[by_code]), until)
+        sets = written(texts.mapInArrow(_prefixes(frequent, num, den), "rid long, n long, digest binary, prefix array<long>"), "shingle-prefixes")
     classes = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("class_size"))
     members = written(sets.select("rid", "n", "digest").join(classes, "digest", "left")
                       .select("rid", "n", F.coalesce("first", "rid").alias("first"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")), "shingle-classes")
     lead = members.filter("rid = first and n > 0").select("rid")
-    # nearly all other rows go here, the last ones from the pairs
-    leads = _only(sets.select("rid", "n", "prefix"), lead.select(F.col("rid").alias("s")))
-
-    rows = leads.select("rid", F.posexplode("prefix").alias("pos", "s"), "n")
-    # written before it is joined, so that only one shuffle of all prefixes is on disk at a time
-    shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("center"), F.min_by("n", "rid").alias("center_n"))
-                     .filter("c > 1"), "shared-shingles")
-    bits = spark.sparkContext.broadcast(_bit_map(shared))
-    rows = leads.mapInArrow(_mapped(bits), "rid long, n long, pos long, s long")
-    lists = written(rows.join(shared, "s").select("s", "rid", "n", "pos", "c", "center", "center_n"), "shared-prefixes")
+    with ExitStack() as until:
+        # nearly all other rows go here, the last ones from the pairs
+        wanted = _sent(spark, _bit_map(lead.select(F.col("rid").alias("s"))), until)
+        prefixes = sets.select("rid", "n", "prefix")
+        rows = prefixes.mapInArrow(_in_map(wanted), prefixes.schema).select("rid", F.posexplode("prefix").alias("pos", "s"), "n")
+        # written before it is joined, so that only one shuffle of all prefixes is on disk at a time
+        shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("center"), F.min_by("n", "rid").alias("center_n"))
+                         .filter("c > 1"), "shared-shingles")
+        bits = _sent(spark, _bit_map(shared), until)
+        rows = prefixes.mapInArrow(_mapped(bits, wanted), "rid long, n long, pos long, s long")
+        lists = written(rows.join(shared, "s").select("s", "rid", "n", "pos", "c", "center", "center_n"), "shared-prefixes")
 
     near = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
     stars = written(lists.filter((F.col("rid") != F.col("center")) & near(F.col("n"), F.col("center_n")))

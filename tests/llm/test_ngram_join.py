@@ -139,3 +139,26 @@ def test_only_leaves_out_what_no_bit_stands_for(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"t{i}") for i in range(-5, 3000)], "rid long, text string")
     ids = spark.createDataFrame([(-5,), (0,), (63,), (64,), (2999,)], "s long")
     assert {r.rid for r in nj._only(rows, ids).collect()} == {-5, 0, 63, 64, 2999}
+
+
+def test_executors_hold_little_beside_the_rows(spark, monkeypatch):
+    """One Python function a stage, batches of a few MB, and no bit map longer than it is needed."""
+    import os
+
+    from loglens.llm import common
+    batch, before = common._BATCH, spark.conf.get(common._BATCH)
+    stages, sent, write = [], [], common.written
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        stages.append((name, "".join(x[0] for x in re.findall(r"MapInArrow|Exchange", plan)), int(spark.conf.get(batch).rstrip("b"))))
+        return write(df, name)
+    send = nj._sent
+    monkeypatch.setattr(nj, "written", seen)
+    monkeypatch.setattr(nj, "_sent", lambda *a: sent.append(send(*a)) or sent[-1])
+    rng = random.Random(2)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(t for c in (2, 6) for t in family(rng, 12, c))]
+    check(spark, rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(stages) > 5 and [x for x in stages if "MM" in x[1]] == []
+    assert {x[2] for x in stages} == {8 * common.CHUNK_BYTES} and spark.conf.get(batch) == before
+    assert len(sent) > 4 and not any(os.path.exists(b._path) for b in sent)
