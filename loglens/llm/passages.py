@@ -10,7 +10,8 @@
    anchored to their own first holder: exact passages are found whoever holds their seeds.
    Seeds that lie in MIN_WORDS words but in different first holders, or apart in one, are
    keyed by twos as well and anchored to the first holder of both, edits between them or not:
-   so fuzzy passages are found whoever holds their seeds.
+   so fuzzy passages are found whoever holds their seeds. A document has one row for each two,
+   with the places of either seed.
    What such windows and twos alone give counts as the passage of an earlier holder, with a few
    words alike beside it by chance, if fewer than K of its words are in no other passage.
 3. Anchors of a pair of documents on one diagonal are merged; the fragments are chained
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (ALNUM_WORDS, _MULT, Chunk, RollingHash, find_words, give_back, gram_hashes, list_array, list_parts, mix, numbers,
-                     text_chunks, with_row_ids, written)
+                     segment_sums, text_chunks, with_row_ids, written)
 
 K = 6
 WINDOW = 12
@@ -199,9 +200,16 @@ def apart_seeds(doc: np.ndarray, pos: np.ndarray, rep: np.ndarray, rep_pos: np.n
     return first, second
 
 
+def _places_of(group: np.ndarray, pos: np.ndarray, n: int) -> pa.Array:
+    """The distinct places of each of ``n`` groups."""
+    both = np.unique((group << 32) | pos)
+    return list_array(np.searchsorted(both >> 32, np.arange(n + 1)), pa.array((both & 0xFFFFFFFF).astype(np.int32)))
+
+
 def _pair_rows(length: int, once: bool):
-    """Rows (rid, places) to rows (h, rid, pos, gap): seeds by twos, ``gap`` words apart; with ``once``,
-    one place of each two in a document."""
+    """Rows (rid, places) to seeds by twos, one row for each two of a document: (h, rid, firsts, seconds), the
+    places of either seed; with ``once``, (h, rid, pos, gap) of one place, ``gap`` words apart. A text that
+    repeats its lines has most of its twos many times."""
     def run(batches):
         for batch in batches:
             rid, (off, places) = numbers(batch.column(0)), list_parts(batch.column(1))
@@ -216,10 +224,18 @@ def _pair_rows(length: int, once: bool):
                 seed = gram_hashes(np.stack((rep, rep_pos), axis=1).reshape(-1).astype(_U), 2)[::2]
                 i, j = apart_seeds(doc, pos, rep, rep_pos, length)
                 code = mix(seed[i] * _U(3) + seed[j])
+                two = mix(code + doc[i].astype(_U) * _U(_MULT))
                 if once:
-                    o = np.unique(mix(code + doc[i].astype(_U) * _U(_MULT)), return_index=True)[1]
-                    i, j, code = i[o], j[o], code[o]
-                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rid[doc[i]]), pa.array(pos[i]), pa.array(pos[j] - pos[i])], names=["h", "rid", "pos", "gap"])
+                    o = np.unique(two, return_index=True)[1]
+                    row, more = i[o], {"pos": pa.array(pos[i[o]]), "gap": pa.array(pos[j[o]] - pos[i[o]])}
+                    code = code[o]
+                else:
+                    found, group = np.unique(two, return_inverse=True)
+                    row, each = np.empty((2, len(found)), np.int64)
+                    row[group], each[group] = i, np.arange(len(i))
+                    code = code[each]
+                    more = {"firsts": _places_of(group, pos[i], len(found)), "seconds": _places_of(group, pos[j], len(found))}
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(rid[doc[row]]), *more.values()], names=["h", "rid", *more])
                 at = to
             give_back()
 
@@ -378,20 +394,51 @@ def grow(x: np.ndarray, y: np.ndarray, drop: float = 8.0) -> tuple[int, int]:
     return take, int(same[:take].sum())
 
 
-def align(x: np.ndarray, y: np.ndarray, x0: int, y0: int, pieces: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
-    """Ends of the passage in both documents and the words matched. ``x`` and ``y`` are the words
-    from positions ``x0`` and ``y0`` on; pieces are (a start, a end, b start)."""
-    a0, b0 = pieces[0][0], pieces[0][2]
-    a1, b1 = pieces[-1][1], pieces[-1][2] + pieces[-1][1] - pieces[-1][0]
-    left, same_left = grow(x[:a0 - x0][::-1], y[:b0 - y0][::-1])
-    right, same_right = grow(x[a1 - x0:], y[b1 - y0:])
-    matched = same_left + same_right
-    for i, (s, e, t) in enumerate(pieces):
-        matched += int((x[s - x0:e - x0] == y[t - y0:t - y0 + e - s]).sum())
-        if i + 1 < len(pieces):
-            n, _, u = pieces[i + 1]
-            matched += common_words(x[e - x0:n - x0].tolist(), y[t + e - s - y0:u - y0].tolist())
-    return a0 - left, a1 + right, b0 - left, b1 + right, matched
+def grow_all(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray, n: np.ndarray, step: int, drop: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """As ``grow``, for many walks at once: walk i goes over ``n[i]`` words of ``x`` from ``at[i]`` and of ``y`` from
+    ``to[i]`` on, forwards or (``step`` -1) backwards."""
+    take, same = np.zeros((2, len(n)), np.int64)
+    for i in np.flatnonzero(n > 256).tolist():
+        take[i], same[i] = grow(*(v[p + step * np.arange(n[i])] for v, p in ((x, at[i]), (y, to[i]))), drop)
+    walks = np.flatnonzero((n > 0) & (n <= 256))
+    for k in range(0, len(walks), 1000):
+        w = walks[k:k + 1000]
+        m = n[w][:, None]
+        place = np.arange(m.max() + 1)[None, :]
+        inside = step * np.minimum(place, m - 1)        # one column more, at which every walk ends
+        score = np.cumsum(np.where(place < m, np.where(x[at[w][:, None] + inside] == y[to[w][:, None] + inside], 1, -2), -1000), axis=1, dtype=np.int32)
+        top = np.maximum(np.maximum.accumulate(score, axis=1), 0)
+        stop = np.argmax(top - score > drop, axis=1)
+        score[place >= stop[:, None]] = -1000
+        last = np.argmax(score, axis=1)
+        best = score[np.arange(len(w)), last]
+        good = best > 0
+        take[w[good]], same[w[good]] = last[good] + 1, (best + 2 * (last + 1))[good] // 3
+    return take, same
+
+
+def align(x: np.ndarray, x_off: np.ndarray, y: np.ndarray, y_off: np.ndarray, xs: np.ndarray, ys: np.ndarray, pieces: np.ndarray, p_off: np.ndarray) -> np.ndarray:
+    """Ends of each chain's passage in both documents and the words matched (five rows). Chain i has the words
+    ``x[x_off[i]:x_off[i + 1]]`` and ``y[y_off[i]:y_off[i + 1]]``, from positions ``xs[i]`` and ``ys[i]`` on; its
+    pieces ``pieces[p_off[i]:p_off[i + 1]]`` are (a start, a end, b start)."""
+    x0, y0 = x_off[:-1] - xs, y_off[:-1] - ys       # where position 0 would be
+    own = np.repeat(np.arange(len(xs)), np.diff(p_off))
+    s, e, t = pieces.T
+    u = t + e - s
+    first, last = p_off[:-1], p_off[1:] - 1
+    a0, a1, b0, b1 = s[first], e[last], t[first], u[last]
+    left, matched = grow_all(x, y, x0 + a0 - 1, y0 + b0 - 1, np.minimum(a0 - xs, b0 - ys), -1)
+    right, same = grow_all(x, y, x0 + a1, y0 + b1, np.minimum(x_off[1:] - x0 - a1, y_off[1:] - y0 - b1), 1)
+    matched += same
+    off = np.concatenate(([0], np.cumsum(e - s)))
+    place = np.arange(off[-1]) - np.repeat(off[:-1], e - s)
+    equal = x[np.repeat(x0[own] + s, e - s) + place] == y[np.repeat(y0[own] + t, e - s) + place]
+    matched += segment_sums(equal, off[p_off])
+    gap = np.flatnonzero((own[1:] == own[:-1]) & (s[1:] > e[:-1]) & (t[1:] > u[:-1]))
+    for k in gap.tolist():
+        i = own[k]
+        matched[i] += common_words(x[x0[i] + e[k]:x0[i] + s[k + 1]].tolist(), y[y0[i] + u[k]:y0[i] + t[k + 1]].tolist())
+    return np.stack((a0 - left, a1 + right, b0 - left, b1 + right, matched))
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray, x0: int, y0: int, pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -445,21 +492,23 @@ def _align(min_words: int, min_identity: float):
     """Rows (rid, rep, xs, ys, pieces, x, y, late): passages."""
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in _PASSAGES]
             rid, rep, xs, ys = (numbers(batch.column(c)) for c in range(4))
             (p_off, p), (x_off, x), (y_off, y) = (list_parts(batch.column(c)) for c in (4, 5, 6))
             p, x, y = (numbers(v) for v in (p, x, y))
+            p, p_off = p.reshape(-1, 3), p_off // 3
             late = numbers(batch.column(7), bool)
-            for i in range(batch.num_rows):
-                pieces = p[p_off[i]:p_off[i + 1]].reshape(-1, 3).tolist()
-                part = x[x_off[i]:x_off[i + 1]], y[y_off[i]:y_off[i + 1]], int(xs[i]), int(ys[i]), pieces
-                spans = [align(*part)]
-                a0, a1, b0, b1, matched = spans[0]
-                if min(a1 - a0, b1 - b0) < min_words or matched / max(a1 - a0, b1 - b0) < min_identity:
-                    spans = split(*part, min_words, min_identity)
-                for a0, a1, b0, b1, matched in spans:
-                    for values, v in zip(out, (rid[i], rep[i], a0, a1, b0, b1, a1 - a0, matched, matched / max(a1 - a0, b1 - b0), late[i])):
-                        values.append(v)
+            spans = align(x, x_off, y, y_off, xs, ys, p, p_off)
+            a0, a1, b0, b1, matched = spans
+            good = (np.minimum(a1 - a0, b1 - b0) >= min_words) & (matched / np.maximum(a1 - a0, b1 - b0) >= min_identity)
+            row, found = np.flatnonzero(good), [spans[:, good]]
+            for i in np.flatnonzero(~good).tolist():
+                more = split(x[x_off[i]:x_off[i + 1]], y[y_off[i]:y_off[i + 1]], int(xs[i]), int(ys[i]), p[p_off[i]:p_off[i + 1]].tolist(), min_words, min_identity)
+                if more:
+                    row = np.concatenate((row, np.full(len(more), i)))
+                    found.append(np.array(more, np.int64).T)
+            o = np.argsort(row, kind="stable")
+            row, (a0, a1, b0, b1, matched) = row[o], np.concatenate(found, axis=1)[:, o]
+            out = (rid[row], rep[row], a0, a1, b0, b1, a1 - a0, matched, matched / np.maximum(a1 - a0, b1 - b0), late[row])
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _PASSAGES)], schema=_PASSAGES)
 
     return run
@@ -516,10 +565,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", min_words: int = MI
                       .mapInArrow(_window_rows(length), "h long, rid long, pos long, first boolean"), "windows")
     whole = windows.drop("first").join(_first_places(windows.filter("first")), "h").filter("rid <> rep") \
         .groupBy("rid").agg(F.collect_list(F.struct("pos", "rep", "rep_pos")).alias("whole"))
-    pairs, once = (by_doc.mapInArrow(_pair_rows(min_words, o), "h long, rid long, pos long, gap long") for o in (False, True))
-    ends = [F.struct((F.col("pos") + gap).alias("pos"), "rep", (F.col("rep_pos") + rep_gap).alias("rep_pos")) for gap, rep_gap in ((F.lit(0), F.lit(0)), (F.col("gap"), F.col("rep_gap")))]
+    pairs = by_doc.mapInArrow(_pair_rows(min_words, False), "h long, rid long, firsts array<int>, seconds array<int>")
+    once = by_doc.mapInArrow(_pair_rows(min_words, True), "h long, rid long, pos long, gap long")
+    ends = [F.struct(F.col(c).alias("at"), at.alias("rep_pos")) for c, at in (("firsts", F.col("rep_pos")), ("seconds", F.col("rep_pos") + F.col("rep_gap")))]
     paired = pairs.join(_first_places(once, "gap"), "h").filter("rid <> rep") \
-        .select("rid", F.explode(F.array(*ends)).alias("place")).groupBy("rid").agg(F.collect_set("place").alias("paired"))
+        .select("rid", "rep", F.inline(F.array(*ends))).select("rid", "rep", "rep_pos", F.explode("at").alias("pos")) \
+        .groupBy("rid").agg(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), "rep", "rep_pos")).alias("paired"))
     none = F.array().cast("array<struct<pos: long, rep: long, rep_pos: long>>")
     anchors = by_doc.join(whole, "rid", "left").join(paired, "rid", "left").select("rid", "places", F.coalesce("whole", none), F.coalesce("paired", none))
     chains = written(anchors.mapInArrow(_chains(min_words, length), "rid long, rep long, a0 long, a1 long, b0 long, b1 long, pieces array<long>, late boolean"), "chains")

@@ -216,3 +216,55 @@ def test_seeds_apart_against_all_twos():
                 and (rep[i] != rep[j] or abs((rep_pos[j] - rep_pos[i]) - (pos[j] - pos[i])) > ps.WINDOW)}
         i, j = ps.apart_seeds(doc, pos, rep, rep_pos, 50)
         assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_chains_are_aligned_many_at_a_time():
+    rng = np.random.default_rng(11)
+    words, pieces, starts = ([], []), [], []
+    for _ in range(120):
+        x, y, found = [rng.integers(0, 3, rng.choice([0, 5, 40, 300])) for _ in "xy"], None, []
+        x, y = x
+        for k in range(int(rng.integers(1, 4))):
+            same = rng.integers(0, 3, int(rng.integers(6, 60)))
+            found.append((len(x), len(x) + len(same), len(y)))
+            noisy = np.where(rng.random(len(same)) < 0.1, 9, same)
+            gap = [rng.integers(0, 3, int(rng.integers(0, 9))) for _ in "xy"]
+            x, y = np.concatenate((x, same, gap[0])), np.concatenate((y, noisy, gap[1]))
+        tail = rng.integers(0, 3, 280)
+        words[0].append(np.concatenate((x, tail[:int(rng.integers(0, 280))])))
+        words[1].append(np.concatenate((y, tail)))
+        at = rng.integers(0, 100, 2)
+        starts.append(at)
+        pieces.append([(s + at[0], e + at[0], t + at[1]) for s, e, t in found])
+    want = []
+    for x, y, (xs, ys), p in zip(*words, starts, pieces):
+        (a0, _, b0), (s, a1, t) = p[0], p[-1]
+        b1 = t + a1 - s
+        left, m = ps.grow(x[:a0 - xs][::-1], y[:b0 - ys][::-1])
+        right, n = ps.grow(x[a1 - xs:], y[b1 - ys:])
+        n += m + sum(int((x[s - xs:e - xs] == y[t - ys:t - ys + e - s]).sum()) for s, e, t in p)
+        n += sum(ps.common_words(x[e - xs:u - xs].tolist(), y[t + e - s - ys:v - ys].tolist()) for (s, e, t), (u, _, v) in zip(p, p[1:]))
+        want.append((a0 - left, a1 + right, b0 - left, b1 + right, n))
+    off = lambda parts: np.cumsum([0, *map(len, parts)])
+    xs, ys = np.array(starts).T
+    got = ps.align(np.concatenate(words[0]), off(words[0]), np.concatenate(words[1]), off(words[1]), xs, ys, np.array(sum(pieces, [])), off(pieces))
+    assert list(map(tuple, got.T.tolist())) == want
+
+
+def test_a_document_has_one_row_for_each_two():
+    """Lines that a text repeats do not give a row for each of their places."""
+    places = [{"pos": 10 * i, "rep": i % 3, "rep_pos": 7 * (i % 3), "joined": 0} for i in range(300)]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in places[0]]))
+    batch = pa.RecordBatch.from_pylist([{"rid": 5, "places": places}, {"rid": 6, "places": places[:4]}], pa.schema([("rid", pa.int64()), ("places", kind)]))
+    pos, rep, rep_pos = (np.array([p[c] for p in places]) for c in ("pos", "rep", "rep_pos"))
+    i, j = ps.apart_seeds(np.zeros(300, np.int64), pos, rep, rep_pos, 50)
+    twos = {(rep[a], rep[b]): [set(), set()] for a, b in zip(i, j)}
+    for a, b in zip(i, j):
+        for k, x in enumerate((a, b)):
+            twos[rep[a], rep[b]][k].add(int(pos[x]))
+    rows = [r for b in ps._pair_rows(50, False)(iter([batch])) for r in b.to_pylist() if r["rid"] == 5]
+    assert len(i) > 900 and len(rows) == len(twos) == len({r["h"] for r in rows})
+    key = lambda r: (sorted(r[0]), sorted(r[1]))
+    assert sorted(map(key, twos.values())) == sorted(key((r["firsts"], r["seconds"])) for r in rows)
+    first = {(r["h"], r["pos"]) for b in ps._pair_rows(50, True)(iter([batch])) for r in b.to_pylist() if r["rid"] == 5}
+    assert {h for h, _ in first} == {r["h"] for r in rows} and all(any(r["h"] == h and p in r["firsts"] for r in rows) for h, p in first)
