@@ -342,6 +342,18 @@ def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
     return counts.limit(0) if fits is None else counts.filter(level >= fits)
 
 
+#: Kinds that Arrow and Spark take alike, without time zones.
+_PLAIN = (T.StringType, T.IntegralType, T.FractionalType, T.BooleanType, T.BinaryType, T.DateType)
+
+
+def small_table(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
+    """Rows of the driver by Arrow. Given as Python objects they are unpacked on the executors by
+    Python workers with a daemon of their own, which stay there for a while."""
+    if not all(isinstance(f.dataType, _PLAIN) for f in schema.fields):
+        return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(pa.table({f.name: pa.array([r[i] for r in rows]) for i, f in enumerate(schema.fields)}), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -374,7 +386,7 @@ def with_row_ids(df: DataFrame, id_col: str, name: str = "_rid") -> DataFrame:
     for p, n in counts:         # one row a partition
         firsts.append((p, total - (p << 33)))
         total += n
-    shifts = spark.createDataFrame(firsts, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(shift, T.LongType())]))
+    shifts = small_table(spark, T.StructType([T.StructField(part, T.IntegerType()), T.StructField(shift, T.LongType())]), firsts)
     return ordered.join(F.broadcast(shifts), part).withColumn(name, F.col(place) + F.col(shift)).drop(part, place, shift)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh_name, numbers, with_row_ids, written
+from .common import fresh_name, numbers, small_table, with_row_ids, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -68,10 +68,6 @@ def word_count(col) -> F.Column:
     return F.coalesce(F.regexp_count(col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _table(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, names))
-
-
 def solve_rates(spark: SparkSession, cells: DataFrame, sizes: list[int], targets: list[float], cap: float = CAP) -> list[float]:
     """Dual variables by source number; ``cells`` has rows (src, size, n), size above 0.
     A target of ``cap`` times the size is the limit of large variables (infinity), 0 that of small ones."""
@@ -85,7 +81,7 @@ def solve_rates(spark: SparkSession, cells: DataFrame, sizes: list[int], targets
     for _ in range(MAX_ROUNDS):
         if not live:
             return dual
-        state = _table(spark, "src int, l double", [(i, dual[i]) for i in live])
+        state = F.broadcast(small_table(spark, T.StructType([T.StructField("src", T.IntegerType()), T.StructField("l", T.DoubleType())]), [(i, dual[i]) for i in live]))
         rate = F.when(F.col("l") * F.col("size") >= log_cap, float(cap)).otherwise(F.exp(F.col("l") * F.col("size")))
         free = F.when(F.col("l") * F.col("size") < log_cap, F.col("size").cast("double") * F.col("size") * F.col("n") * rate).otherwise(0.0)
         sums = cells.join(state, "src").groupBy("src").agg(F.sum(F.col("size") * F.col("n") * rate).alias("g"), F.sum(free).alias("h")).collect()
@@ -144,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     kind = sized.schema["source"].dataType
     schema = T.StructType([T.StructField("source", kind), T.StructField("src", T.IntegerType()),
                            T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    named = F.broadcast(spark.createDataFrame([(s, i, n, targets[i]) for i, (s, n) in enumerate(sources)], schema))
+    named = F.broadcast(small_table(spark, schema, [(s, i, n, targets[i]) for i, (s, n) in enumerate(sources)]))
     placed = sized.join(named.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     cells = written(placed.filter("size > 0").groupBy("src", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     dual = solve_rates(spark, cells, sizes, targets, cap)

@@ -71,3 +71,13 @@ def test_empty(spark, schema):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     out = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, " ", "en", "a", 1)], schema)).collect()
     assert [(r.target, r.taken) for r in out] == [(0, 0), (0, 0)]
+
+
+def test_rows_of_the_driver_start_no_workers(spark, schema, tmp_path):
+    """Rows given as Python objects are unpacked by Python workers on the executors: an RDD in the plan."""
+    rows = [(i % 50, "a b c " * (i % 5 + 1), "en", f"s{i % 3}" if i % 4 else None, 1) for i in range(60)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/docs")
+    out = mixing.with_copies(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = out._jdf.queryExecution().toString()
+    assert "LogicalRDD" not in plan and "ExistingRDD" not in plan
+    check(out.collect(), rows)
