@@ -13,7 +13,8 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from loglens.session import build_session
-    s = build_session("local[4]", app_name="loglens-tests", shuffle_partitions=8)
+    # tests look for their folders in plans, which cut long paths
+    s = build_session("local[4]", app_name="loglens-tests", shuffle_partitions=8, conf={"spark.sql.maxMetadataStringLength": "1000"})
     yield s
     s.stop()
 
